@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def share(spark: SparkSession, model: Any) -> Callable[[], Any]:
+    """A getter for use on workers; a worker unpacks the model once and keeps it, with its caches, for later tasks."""
+    shared = spark.sparkContext.broadcast([cloudpickle.dumps(model)])
+
+    def get() -> Any:
+        held = shared.value
+        if isinstance(held[0], bytes):
+            held[0] = cloudpickle.loads(held[0])
+        return held[0]
+
+    return get
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from lexloom.llm import mixing, sharding
+from lexloom.llm import exact_dedup, langid, mixing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op2_sharding": sharding.op2_sharding,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_mixing": mixing.op5_mixing,
+    "op7_simhash": simhash.op7_simhash,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op10_quality_rules": quality_rules.OP10_SQL,
 }
