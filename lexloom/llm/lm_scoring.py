@@ -38,6 +38,8 @@ LN10 = math.log(10)
 MARK = "▁"  # stands for the start of a word in the vocabulary
 CACHE_WORDS = 300_000
 FLUSH_WORDS = 250_000
+#: Words of as many texts as are looked up together.
+CHUNK_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -184,6 +186,7 @@ class Scorer:
         self.lattice, self.facts = lattice, facts
         self.head, self.head_counts, self.head_subs = head[at], head_counts[at], head_subs[at]
         self.cache: dict[bytes, int] = {}
+        self.names: list[bytes] = []  # the cache's words in order
         self.values = np.zeros((0, 3))
 
     def learn(self, new: list[bytes]) -> None:
@@ -202,23 +205,32 @@ class Scorer:
             self.values = grown
         self.values[used : used + len(new)] = rows
         self.cache.update(zip(new, range(used, used + len(new))))
-
-    def score(self, text: str | None) -> tuple[int, int, float, float, list[dict[str, Any]]]:
-        """Words, known head words, their base and model scores, and the other words with count and lattice score."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.values = {}, np.zeros((0, 3))
-        words = words_of(text)
-        if not words:
-            return 0, 0, 0.0, 0.0, []
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
-        if new:
-            self.learn(new)
-        ids = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        got = self.values[ids]
-        in_head = got[:, 0] > 0
-        tail = Counter(ids[~in_head].tolist())
-        names = {i: w for w, i in zip(words, ids.tolist()) if i in tail} if tail else {}
-        return len(words), int(in_head.sum()), float(got[in_head, 1].sum()), float(got[in_head, 2].sum()), [{"word": names[i], "n": n, "sub": float(self.values[i, 2])} for i, n in tail.items()]
+        self.names += new
+
+    def score(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, list[dict[str, Any]]]]:
+        """For each text: words, known head words, their base and model scores, and the other words with count and lattice score.
+
+        New words are looked up for many texts at once; a text is never cut.
+        """
+        at = 0
+        while at < len(texts):
+            lists: list[list[bytes]] = []
+            total = 0
+            while at < len(texts) and total < CHUNK_WORDS:
+                lists.append(words_of(texts[at]))
+                total, at = total + len(lists[-1]), at + 1
+            if len(self.cache) > CACHE_WORDS:
+                self.cache, self.names, self.values = {}, [], np.zeros((0, 3))
+            new = list({w for words in lists for w in words}.difference(self.cache))
+            if new:
+                self.learn(new)
+            for words in lists:
+                ids = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+                got = self.values[ids]
+                in_head = got[:, 0] > 0
+                sums = got[in_head].sum(axis=0)
+                tail = Counter(ids[~in_head].tolist())
+                yield len(words), int(in_head.sum()), float(sums[1]), float(sums[2]), [{"word": self.names[i], "n": n, "sub": float(self.values[i, 2])} for i, n in tail.items()]
 
 
 def base_of(c: np.ndarray, facts: dict[str, float]) -> np.ndarray:
@@ -275,7 +287,7 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("sub", pa.float64())]))
         for batch in batches:
-            rows = [scorer().score(t.as_py()) for t in batch.column(1)]
+            rows = list(scorer().score(batch.column(1).to_pylist()))
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail))]], ["doc_id", "n_words", "known", "base", "model", "tail"])
 
