@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once; a bare expression inside a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def spaces(text: Column) -> Column:
     """Blanks and tabs collapsed, three or more newlines cut to two, ends trimmed."""
     one = F.regexp_replace(text, r"[ \t]+", " ")
@@ -99,7 +106,8 @@ def window_starts(length: Column, size: int, overlap: int) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """Runs of n items joined by blanks; empty for fewer items."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(items, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none))
 
 
 def dedup_normal(lines: Column) -> Column:
@@ -110,8 +118,8 @@ def dedup_normal(lines: Column) -> Column:
 
 def shingles(normal: Column, k: int = config.SHINGLE_WORDS) -> Column:
     """Distinct k-word shingles; a shorter text is one shingle, an empty one none."""
-    w = words(normal)
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(ngrams(w, k)))
+    none = F.array().cast("array<string>")
+    return let(words(normal), lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(ngrams(w, k))))
 
 
 def html_text(html: Column) -> Column:

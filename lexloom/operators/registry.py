@@ -161,7 +161,7 @@ def check(resolved: DataFrame, as_of: str, known_sections: DataFrame, known_stat
     it is repealed, and the note tells a recorded absence from a missing record.
     """
     succ = successions.groupBy(F.col("from_section_id").alias("__from")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_set("to_section_id")), render), " / ").alias("__see"),
+        F.array_join(F.transform(F.array_sort(F.collect_set("to_section_id")), lambda s: render(s)), " / ").alias("__see"),
         F.count("to_section_id").alias("__n"),
         F.max(F.col("relation") == "repealed_no_successor").alias("__none"),
     )

@@ -114,7 +114,7 @@ def _chunked(spark, sf_dir):
     return claims(spark, sf_dir).select("answer_id", "claim_id", F.explode(F.array("score", F.col("score") * 0.5)).alias("s"))
 
 
-@query(f"""WITH {_CLAIMS_SQL}, p AS (SELECT answer_id, round(avg((score >= 0.5::DOUBLE)::INT::DOUBLE), 6) AS r FROM claims GROUP BY answer_id)
+@query(f"""WITH {_CLAIMS_SQL}, b AS (SELECT answer_id, claim_id, max(score) AS best FROM claims GROUP BY ALL), p AS (SELECT answer_id, round(avg((best >= 0.5::DOUBLE)::INT::DOUBLE), 6) AS r FROM b GROUP BY answer_id)
 SELECT count(*) AS n_pairs, count(*) FILTER (r >= 0.8::DOUBLE) AS n_accepted, round(count(*) FILTER (r >= 0.8::DOUBLE)::DOUBLE / count(*), 4) AS acceptance,
  (SELECT round(avg((score < 0.5::DOUBLE)::INT::DOUBLE), 4) FROM claims WHERE score IS NOT NULL) AS hallucination FROM p""")
 def acceptance_summary(spark, sf_dir):
@@ -183,8 +183,8 @@ def detection_rate(spark, sf_dir):
 
 @query(f"""WITH {_RATERS_SQL}, p AS (SELECT a.label AS a, b.label AS b FROM raters a JOIN raters b USING (item_id) WHERE a.rater_id = 1 AND b.rater_id = 2),
 n AS (SELECT count(*) AS n, count(*) FILTER (a = b)::DOUBLE / count(*) AS po FROM p),
-e AS (SELECT sum(na::DOUBLE * nb) AS both FROM (SELECT a AS l, count(*) AS na FROM p GROUP BY a) x JOIN (SELECT b AS l, count(*) AS nb FROM p GROUP BY b) y USING (l))
-SELECT n, round((po - both / (n::DOUBLE * n)) / (1 - both / (n::DOUBLE * n)), 4) AS kappa FROM n, e""")
+e AS (SELECT sum(na::DOUBLE * nb) AS agreed FROM (SELECT a AS l, count(*) AS na FROM p GROUP BY a) x JOIN (SELECT b AS l, count(*) AS nb FROM p GROUP BY b) y USING (l))
+SELECT n, round((po - agreed / (n::DOUBLE * n)) / (1 - agreed / (n::DOUBLE * n)), 4) AS kappa FROM n, e""")
 def cohen_kappa(spark, sf_dir):
     r = raters(spark, sf_dir)
     pairs = r.where("rater_id = 1").select("item_id", F.col("label").alias("a")).join(r.where("rater_id = 2").select("item_id", F.col("label").alias("b")), "item_id")

@@ -70,8 +70,8 @@ def date_parse(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, left(text, 200) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || left(text, 120) ELSE '' END AS t FROM documents),
-c AS (SELECT doc_id, t, CASE WHEN length(t) > 40 THEN strpos(substr(t, 41), left(t, 40)) ELSE 0 END AS at FROM t)
-SELECT doc_id, md5(CASE WHEN at > 0 THEN rtrim(left(t, at + 39), ' ') ELSE t END) AS cut_md5 FROM c""")
+c AS (SELECT doc_id, t, CASE WHEN length(t) > 40 THEN strpos(substr(t, 41), left(t, 40)) ELSE 0 END AS pos FROM t)
+SELECT doc_id, md5(CASE WHEN pos > 0 THEN rtrim(left(t, pos + 39), ' ') ELSE t END) AS cut_md5 FROM c""")
 def loop_cut(spark, sf_dir):
     t = F.concat(F.left("text", F.lit(200)), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), F.left("text", F.lit(120)))).otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.md5(R.cut_loop(F.col("t"))).alias("cut_md5"))

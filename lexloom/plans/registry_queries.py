@@ -70,13 +70,13 @@ PARSE = (
 
 CHECK = r""", sc AS (SELECT from_section_id, string_agg(DISTINCT CASE WHEN regexp_matches(to_section_id, '-s[^-]*$') THEN coalesce((SELECT short_form FROM st WHERE st.statute_id = regexp_extract(to_section_id, '^(.*)-s([^-]*)$', 1)), '') || ' ' || regexp_extract(to_section_id, '^(.*)-s([^-]*)$', 2) ELSE to_section_id END, ' / ') AS see,
   count(to_section_id) AS n, bool_or(relation = 'repealed_no_successor') AS none FROM su GROUP BY from_section_id),
-j AS (SELECT res.*, se.section_id AS sec, se.status AS sstatus, se.in_force_to AS sto, coalesce(se.in_force_from, st.in_force_from) AS f, coalesce(se.in_force_to, st.repealed_on) AS e, st.statute_id AS sid, st.repealed_by AS by, see, coalesce(sc.n, 0) > 0 AS has, coalesce(none, false) AS none
+j AS (SELECT res.*, se.section_id AS sec, se.status AS sstatus, se.in_force_to AS sto, coalesce(se.in_force_from, st.in_force_from) AS f, coalesce(se.in_force_to, st.repealed_on) AS e, st.statute_id AS sid, st.repealed_by AS rby, see, coalesce(sc.n, 0) > 0 AS has, coalesce(none, false) AS none
   FROM res LEFT JOIN se ON res.target_type = 'section' AND res.target_id = se.section_id LEFT JOIN st ON coalesce(se.statute_id, CASE WHEN res.target_type = 'statute' THEN res.target_id END) = st.statute_id LEFT JOIN sc ON se.section_id = sc.from_section_id),
 chk AS (SELECT *, CASE WHEN target_id IS NULL THEN 'not_found|no target id' WHEN target_type = 'section' AND sstatus = 'omitted' AND sto IS NULL THEN 'repealed|omitted from the Constitution; effective date not recorded in registry'
   WHEN as_of < f THEN 'not_found|not in force until ' || f
   WHEN target_type = 'section' AND as_of >= e AND has THEN 'superseded|repealed ' || e || '; see ' || see WHEN target_type = 'section' AND as_of >= e AND none THEN 'repealed|repealed ' || e || '; no corresponding provision'
   WHEN target_type = 'section' AND as_of >= e THEN 'repealed|repealed ' || e || '; successor not recorded in registry'
-  WHEN as_of >= e AND by IS NOT NULL THEN 'superseded|repealed ' || e || '; see ' || (SELECT short_form FROM st WHERE statute_id = by) WHEN as_of >= e THEN 'repealed|repealed ' || e ELSE 'in_force|' END AS s FROM j),
+  WHEN as_of >= e AND rby IS NOT NULL THEN 'superseded|repealed ' || e || '; see ' || (SELECT short_form FROM st WHERE statute_id = rby) WHEN as_of >= e THEN 'repealed|repealed ' || e ELSE 'in_force|' END AS s FROM j),
 checked AS (SELECT *, split_part(s, '|', 1) AS status, nullif(split_part(s, '|', 2), '') AS note FROM chk)"""
 
 

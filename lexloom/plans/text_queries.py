@@ -102,11 +102,11 @@ _BOUNDARY_SQL = r"(?im)^\s*(Section\s+\d+[A-Za-z]?|Clause\s+\d+[A-Za-z]?|\d+\.|\
 
 @query(rf"""WITH t AS (SELECT doc_id, {F4_SQL} AS t FROM documents),
 m AS (SELECT doc_id, t, regexp_extract_all(t, '{_BOUNDARY_SQL}', 0) AS m, regexp_extract_all(t, '{_BOUNDARY_SQL}', 1) AS g, string_split_regex(t, '{_BOUNDARY_SQL}') AS gap FROM t),
-f AS (SELECT doc_id, t, i, sum(length(gap[i]) + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(m[i]) AS at, trim(g[i]) AS label FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
-z AS (SELECT doc_id, t, at, label FROM f UNION ALL SELECT t.doc_id, t.t, 0, NULL FROM t LEFT JOIN (SELECT doc_id, min(at) AS a FROM f GROUP BY doc_id) x ON t.doc_id = x.doc_id WHERE coalesce(x.a, 1) > 0),
-p AS (SELECT doc_id, at, label, substr(t, at::BIGINT + 1, (coalesce(lead(at) OVER (PARTITION BY doc_id ORDER BY at), length(t)) - at)::BIGINT) AS piece FROM z),
-c AS (SELECT doc_id, at, label, at + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS s, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS body FROM p)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS para_no, label AS section_label, s::BIGINT AS char_start, (s + length(body))::BIGINT AS char_end, md5(body) AS chunk_md5,
+f AS (SELECT doc_id, t, i, sum(length(gap[i]) + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(m[i]) AS pos, trim(g[i]) AS label FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+z AS (SELECT doc_id, t, pos, label FROM f UNION ALL SELECT t.doc_id, t.t, 0, NULL FROM t LEFT JOIN (SELECT doc_id, min(pos) AS a FROM f GROUP BY doc_id) x ON t.doc_id = x.doc_id WHERE coalesce(x.a, 1) > 0),
+p AS (SELECT doc_id, pos, label, substr(t, pos::BIGINT + 1, (coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(t)) - pos)::BIGINT) AS piece FROM z),
+c AS (SELECT doc_id, pos, label, pos + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS s, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS body FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS para_no, label AS section_label, s::BIGINT AS char_start, (s + length(body))::BIGINT AS char_end, md5(body) AS chunk_md5,
   CASE WHEN length(body) > 400 THEN ceil(length(body) / 400.0)::BIGINT ELSE 0 END AS n_children, length(body) <= 400 AS bm25_indexed FROM c WHERE length(body) > 0""")
 def clause_boundary_chunks(spark, sf_dir):
     got = chunking.clauses(legal_texts(spark, sf_dir), "doc_id", "text")
