@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -52,14 +54,18 @@ class Scratch:
 
 
 def share(spark: SparkSession, model: Any) -> Callable[[], Any]:
-    """A getter for use on workers; a worker unpacks the model once and keeps it, with its caches, for later tasks."""
-    shared = spark.sparkContext.broadcast([cloudpickle.dumps(model)])
+    """A getter for use on workers. A worker unpacks the model once and keeps it, with its caches, for later tasks;
+    when it meets another model it lets go of the one before, so that a long-lived worker holds one at most."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    name = uuid.uuid4().hex
 
     def get() -> Any:
-        held = shared.value
-        if isinstance(held[0], bytes):
-            held[0] = cloudpickle.loads(held[0])
-        return held[0]
+        # the function travels by value, so what outlasts a task lives in a module of its own
+        held = sys.modules.setdefault("_lexloom_worker", types.ModuleType("_lexloom_worker")).__dict__
+        if held.get("name") != name:
+            held.pop("model", None)
+            held["model"], held["name"] = cloudpickle.loads(shared.value), name
+        return held["model"]
 
     return get
 
