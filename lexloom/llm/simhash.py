@@ -180,8 +180,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable through links)."""
+def _marked_and_labels(docs: DataFrame, key: str, text: str, shingle: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every document, and for each fp the component's root, its component_id and first_id, the smallest id with this fp."""
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprints(docs, key, text, shingle, seed), "fingerprints")
     nodes = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
@@ -189,19 +189,47 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     roots = scratch.save(components(edges, scratch), "roots")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = scratch.save(rooted.join(smallest, "root").select("fp", "component_id"), "labels")
+    return marked, scratch.save(rooted.join(smallest, "root").select("fp", "component_id", "root", "first_id"), "labels")
+
+
+def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable through links)."""
+    marked, labels = _marked_and_labels(docs, key, text, shingle, radius, seed)
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """docs with the smallest id of each group, all columns kept; of repeated rows of that id one stays."""
+    """docs with one row of each component, all columns kept: a row with its smallest id, without id only if no row has one.
+
+    An id that no other row has names its row. Rows that share an id, or have none, are told apart by id and
+    fingerprint, which are computed again for those rows only; equal ones go by hash of the text, then of the row.
+    """
     scratch = Scratch(docs.sparkSession, "simhash-stage")
-    groups = scratch.save(find_groups(docs, key, text, shingle, radius, seed), "groups")
-    stay = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = docs.join(groups.where(~stay).select(F.col("doc_id").alias("__id")).distinct(), F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    if not groups.where(stay).groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked, labels = _marked_and_labels(docs, key, text, shingle, radius, seed)
+    # one fp of each component stays, the least of those with its smallest id
+    chosen = labels.where(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("keep_fp"))
+    chosen = labels.join(chosen, "root").select("fp", "component_id", "keep_fp")
+    stay = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
+    rows = scratch.save(marked.join(chosen, "fp").select("doc_id", "fp", stay.alias("stay")), "rows")
+    repeated = scratch.save(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "repeated")
+    own = F.col(key).cast("long")
+    out = [F.col(f"`{c}`") for c in docs.columns]
+
+    dropped = rows.where("NOT stay").select(F.col("doc_id").alias("__id"))
+    if repeated.isEmpty():
+        return docs.join(dropped, own == F.col("__id"), "left_anti").select(*out)
+    once = docs.join(dropped.unionByName(repeated).distinct(), own.eqNullSafe(F.col("__id")), "left_anti").select(*out)
+
+    @F.arrow_udf("long")
+    def marks(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    shared = docs.join(repeated, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__fp", marks(F.col(text)))
+    survivors = rows.where("stay").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__keep")).distinct()
+    shared = shared.join(survivors, own.eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep")), "left_semi")
+    order = F.struct(F.sha2(F.col(text).cast("binary"), 256), F.sha2(F.to_json(F.struct(*out)).cast("binary"), 256))
+    shared = shared.groupBy(own.alias("__id"), "__fp").agg(F.min_by(F.struct(*out), order).alias("__row"))
+    return once.unionByName(shared.select(*[F.col(f"__row.`{c}`") for c in docs.columns]))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,20 @@ def test_repeated_rows_leave_one(spark, docs):
     assert kept.count(0) == 1 and kept.count(24) == 0
 
 
+def test_simhash_stage_keeps_one_row_of_each_group(spark):
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(80))
+    plain = [(1, words("a"), "x"), (None, words("a"), "x"), (None, words("b"), "x"), (None, words("c"), "x"), (None, words("c"), "y")]  # null ids linked to an id, alone, and in a group of their own
+    plain += [(5, words("d"), "x"), (5, words("e"), "x"), (4, words("e"), "x"), (6, words("f"), "x"), (6, words("g"), "x"), (7, words("h"), "x"), (7, words("h"), "y")]  # repeated ids
+    for rows in (plain, plain[::-1], [r for r in plain if r[0] != 1]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit("extra").alias("fp")).repartition(3)
+        kept = simhash.deduplicate(docs)
+        assert kept.columns == docs.columns
+        want = {}
+        for d, t, _ in rows:
+            want[t] = min((x for x in (want.get(t), d) if x is not None), default=None)
+        assert sorted((r["text"], r["doc_id"] or 0) for r in kept.collect()) == sorted((t, d or 0) for t, d in want.items())
+
+
 def test_null_and_letterless_texts_are_unknown(docs):
     got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect() if r["doc_id"] is not None}
     assert all(got[i]["lang_pred"] == "und" and not got[i]["accepted"] and got[i]["score"] == 0 for i in (20, 21, 22, 27))
