@@ -110,6 +110,11 @@ def ngrams(items: Column, n: int) -> Column:
     return let(items, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(none))
 
 
+def split_lines(text: Column) -> Column:
+    """The lines of a text; a null text is one empty line."""
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
 def dedup_normal(lines: Column) -> Column:
     """Header lines dropped, the rest joined, lower-cased, reduced to a-z, 0-9 and single blanks."""
     kept = F.filter(lines, lambda x: ~F.lower(x).rlike("|".join(f"(?:{p})" for p in HEADER_LINES)))

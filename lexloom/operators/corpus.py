@@ -11,7 +11,7 @@ from lexloom.functions import text as T
 
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int = config.SHINGLE_WORDS) -> DataFrame:
     """key and its distinct shingles as sorted 64-bit hashes."""
-    normal = T.dedup_normal(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    normal = T.dedup_normal(T.split_lines(F.col(text)))
     return docs.select(F.col(key).alias("doc_id"), F.sort_array(F.transform(T.shingles(normal, k), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
 
 

@@ -326,7 +326,7 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g
 
 @query(f"WITH n AS (SELECT doc_id, md5({_NORM}) AS m FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY m) AS rep, count(*) OVER (PARTITION BY m) AS copies FROM n")
 def exact_duplicates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_normal(F.array("text"))).alias("m"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_normal(T.split_lines(F.col("text")))).alias("m"))
     return d.join(d.groupBy("m").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "m").select("doc_id", "rep", "copies")
 
 
@@ -341,7 +341,7 @@ near AS (SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS jaccard FROM pairs
 
 
 def _near(spark, sf_dir):
-    return corpus.near_duplicate_pairs(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", " ").alias("text")), "doc_id", "text")
+    return corpus.near_duplicate_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query(f"WITH {_SH} SELECT a, b, jaccard FROM near")

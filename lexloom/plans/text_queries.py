@@ -136,7 +136,7 @@ _NORMAL_SQL = r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '
 @query(rf"""WITH n AS (SELECT doc_id, list_filter(string_split({_NORMAL_SQL}, ' '), lambda x: length(x) > 0) AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS n_shingles FROM n""")
 def shingle_count(spark, sf_dir):
-    normal = T.dedup_normal(F.array("text"))
+    normal = T.dedup_normal(T.split_lines(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.shingles(normal)).cast("bigint").alias("n_shingles"))
 
 
