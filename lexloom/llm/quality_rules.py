@@ -4,7 +4,8 @@ Words are runs of anything but ASCII white space. Base rules fail a document wit
 many words inside repeated three-word windows. Then each line is normalised (lower case, white
 space collapsed, digits to 0) and hashed; for each host the distinct documents with the line are
 counted, where exact copies are one document. A line above the host's limits is taken out, and a
-document that loses more than max_removed of its characters is rejected.
+document that loses more than max_removed of its characters is rejected. `apply_rules` gives the
+measures and the verdict, `clean` the texts of the kept documents without those lines.
 
 Edge cases: a null text has no words, lines or symbols and fails the base rules. A null host is a
 host of its own. Rows with equal ids are judged one by one. An empty table gives no rows. Only id,
@@ -60,14 +61,8 @@ def base_measures(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return measured.select(F.monotonically_increasing_id().alias("row"), *measured.columns[:7], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "lines")
 
 
-def apply_rules(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_line_docs: int = 20, max_line_share: float = 0.02, max_removed: float = 0.5
-) -> DataFrame:
-    """One row per document: the base measures, base_failed, removed_lines, removed_chars, line_chars, kept.
-
-    A line is above the limits in a host if at least min_line_docs distinct documents and more than
-    max_line_share of the host's distinct documents have it.
-    """
+def _judged(docs: DataFrame, key: str, text: str, host: str, min_words: int, max_repeat_percent: int, min_line_docs: int, max_line_share: float, max_removed: float) -> DataFrame:
+    """One row per document: host, content, the columns of apply_rules, and gone, the hashes of its lines above the limits."""
     base = Scratch(docs.sparkSession, "rules").save(base_measures(docs, key, text, host), "base")
     # exact copies are merged by the distinct count, each text's lines by array_distinct; both before the exchange
     seen = base.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
@@ -79,13 +74,13 @@ def apply_rules(
     removed = (
         lines.join(above, (F.col("line") == F.col("above_line")) & F.col("host").eqNullSafe(F.col("above_host")))
         .groupBy("row")
-        .agg(F.count("*").alias("removed_lines"), F.sum("chars").alias("removed_chars"))
+        .agg(F.count("*").alias("removed_lines"), F.sum("chars").alias("removed_chars"), F.collect_set("line").alias("gone"))
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     line_chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     lost = F.coalesce("removed_chars", F.lit(0))
     return base.join(removed, "row", "left").select(
-        *["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+        *["host", "content", "gone", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         failed.alias("base_failed"),
         (~failed & (lost <= max_removed * line_chars)).alias("kept"),
         F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"),
@@ -94,6 +89,33 @@ def apply_rules(
     )
 
 
+def apply_rules(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_line_docs: int = 20, max_line_share: float = 0.02, max_removed: float = 0.5
+) -> DataFrame:
+    """One row per document: the base measures, base_failed, removed_lines, removed_chars, line_chars, kept.
+
+    A line is above the limits in a host if at least min_line_docs distinct documents and more than
+    max_line_share of the host's distinct documents have it.
+    """
+    return _judged(docs, key, text, host, min_words, max_repeat_percent, min_line_docs, max_line_share, max_removed).drop("host", "content", "gone")
+
+
+def clean(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_line_docs: int = 20, max_line_share: float = 0.02, max_removed: float = 0.5
+) -> DataFrame:
+    """The rows of docs that apply_rules keeps, all columns, their text without the lines above the limits.
+
+    The other lines stay as they are, in order. Equal texts of one host have one verdict, so it is found by
+    (host, hash of the text) and rows with equal or null ids are told apart; a text moves once, to its verdict.
+    """
+    judged = _judged(docs, key, text, host, min_words, max_repeat_percent, min_line_docs, max_line_share, max_removed)
+    verdicts = judged.where("kept").groupBy(F.col("host").alias("__host"), F.col("content").alias("__content")).agg(F.first("gone").alias("__gone"))
+    same = F.col(host).cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__content"))
+    left = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("__gone", F.xxhash64(line_key(x)))))
+    rebuilt = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text)
+    return docs.join(verdicts, same).select(*[rebuilt if c == text else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(documents(spark, sf_dir))
 

@@ -107,6 +107,20 @@ def test_simhash_stage_keeps_one_row_of_each_group(spark):
         assert sorted((r["text"], r["doc_id"] or 0) for r in kept.collect()) == sorted((t, d or 0) for t, d in want.items())
 
 
+def test_rules_give_texts_without_frequent_lines(spark):
+    own = lambda i: " ".join(f"{chr(0x4E00 + i)}x{j}" for j in range(60))
+    rows = [(None if i % 5 == 0 else i // 2, f"Shared {i:02} line\n\n{own(i)}\n  another  SHARED line\nlast", "a") for i in range(30)]
+    rows += [(100, f"shared 01 line\n{own(100)}", "b"), (101, "short\nlast", "a"), (102, f"shared 07 line\n{own(102)}\n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit("extra").alias("content")).repartition(3)
+    got = quality_rules.clean(docs)
+    assert got.columns == docs.columns
+    want = [(d, f"\n{own(i)}", s) for i, (d, _, s) in enumerate(rows[:30])] + [rows[30], rows[32]]
+    key = lambda r: (r[1], r[0] or -1)
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=key) == sorted(want, key=key)
+    lost = {r["removed_chars"] for r in quality_rules.apply_rules(docs).where("kept AND removed_lines = 3").collect()}
+    assert lost == {len("Shared 00 line" + "  another  SHARED line" + "last")}
+
+
 def test_null_and_letterless_texts_are_unknown(docs):
     got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect() if r["doc_id"] is not None}
     assert all(got[i]["lang_pred"] == "und" and not got[i]["accepted"] and got[i]["score"] == 0 for i in (20, 21, 22, 27))
