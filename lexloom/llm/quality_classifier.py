@@ -1,6 +1,6 @@
 """Text quality by random-indexing word vectors and a two-layer network.
 
-A text is a stream of words: the letters of each token, its shape (runs of upper case, lower case,
+A text is a stream of words: the letters of each token (a long one in pieces), its shape (runs of upper case, lower case,
 digits and punctuation), and markers for a token or a line that stands there again. A word's index
 vector is sparse, ternary and derived from a hash; its context vector adds up the index vectors of
 its neighbours in the training texts; the word vector joins both. Vectors are pooled over a whole
@@ -31,12 +31,21 @@ from lexloom.llm.common import documents, held_out, share
 
 DIM, HIDDEN, WINDOW = 48, 24, 2
 CACHE_TOKENS = 400_000
+#: A token of more characters is read in consecutive pieces of so many.
+PIECE = 32
+
+
+def pieces(tokens: list[str]) -> list[str]:
+    """The tokens, long ones cut into pieces, so that a vocabulary can know them and no character is passed over."""
+    if max(map(len, tokens), default=0) <= PIECE:
+        return tokens
+    return [t[a : a + PIECE] for t in tokens for a in range(0, len(t), PIECE)]
 
 
 def shape(token: str) -> str:
-    """Runs by class; a run of one punctuation mark keeps up to two of them; at most 12 signs."""
+    """Runs by class; a run of one punctuation mark keeps up to two of them."""
     out = []
-    for ch in token[:256]:
+    for ch in token:
         if ch.isalpha():
             c = "A" if ch.isupper() else "a"
         elif ch.isdigit():
@@ -46,8 +55,6 @@ def shape(token: str) -> str:
         if c in "Aa0" and out[-1:] == [c] or c not in "Aa0" and out[-2:] == [c, c]:
             continue
         out.append(c)
-        if len(out) == 12:
-            break
     return "".join(out)
 
 
@@ -80,7 +87,7 @@ class Vocabulary:
 
     def stream(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the letters, and of shapes and markers, in order."""
-        tokens = (text or "").split()
+        tokens = pieces((text or "").split())
         if not tokens:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(self.cache) > CACHE_TOKENS:

@@ -121,6 +121,15 @@ def test_rules_give_texts_without_frequent_lines(spark):
     assert lost == {len("Shared 00 line" + "  another  SHARED line" + "last")}
 
 
+def test_quality_reads_long_tokens_to_their_end():
+    head, good, bad = (lambda n: "#1a" * n), "ab" * 40, "{}Q7;" * 16
+    model = quality_classifier.QualityModel()
+    model.fit((head(100 + i // 2) + (good if i % 2 else bad), i % 2) for i in range(400))
+    scores = model.score([head(400) + good, head(400) + bad])  # tokens that training has not seen
+    assert scores[0] > 0.9 and scores[1] < 0.1
+    assert quality_classifier.pieces(["x" * 70, "y"]) == ["x" * 32, "x" * 32, "x" * 6, "y"]
+
+
 def test_null_and_letterless_texts_are_unknown(docs):
     got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect() if r["doc_id"] is not None}
     assert all(got[i]["lang_pred"] == "und" and not got[i]["accepted"] and got[i]["score"] == 0 for i in (20, 21, 22, 27))
