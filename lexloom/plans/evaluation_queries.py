@@ -288,7 +288,7 @@ def platt_fit(spark, sf_dir):
 @query()
 def paired_bootstrap(spark, sf_dir):
     pairs = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 0.9).alias("a"), (F.col("doc_id") % 7 / 7.0).alias("b"))
-    return E.paired_bootstrap(pairs, "doc_id", "a", "b", rounds=200)
+    return E.paired_bootstrap(pairs, "doc_id", "a", "b", rounds=config.BOOTSTRAP_ROUNDS)
 
 
 @query("""SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 'official' ELSE 'parsed' END) || '/' || (CASE p_partkey % 3 WHEN 0 THEN 's' WHEN 1 THEN 'art' ELSE 'r' END) || '/' || (CASE WHEN p_size >= 50 THEN 'high' WHEN p_size >= 5 THEN 'mid' WHEN p_size >= 1 THEN 'low' ELSE 'none' END) AS stratum FROM part""")
