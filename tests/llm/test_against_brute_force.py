@@ -107,6 +107,42 @@ def test_exact_dedup(docs, texts):
             assert (got[d]["keep_id"], got[d]["group_size"], got[d]["kept"]) == (max(members), len(members), d == max(members))
 
 
+def test_exact_dedup_compares_bytes_whatever_the_hash(docs, texts):
+    """Other hashes and capacities change buckets and chains, never the groups; texts under one hash get places of one chain."""
+    want = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.find_groups(docs).collect()}
+    owners = set()
+    for hash_of in (F.xxhash64, lambda c: F.pmod(F.length(c), F.lit(3)).cast("long"), lambda c: F.lit(-1).cast("long"), lambda c: F.length(c).cast("long") * 0x0123456789ABCDE):
+        for capacity in (None, 2, 1000):
+            rows = exact_dedup.find_groups(docs, capacity=capacity, hash_of=hash_of).collect()
+            assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows} == want and len(rows) == len(want)
+            owners.add(len({r["bucket"] for r in rows}))
+            if hash_of is not F.xxhash64:
+                chains = Counter()
+                for sha, chain in {(r["text_sha256"], r["chain"]) for r in rows if r["bucket"] == rows[0]["bucket"]}:
+                    chains[sha] += 1
+                assert max(r["chain"] for r in rows) > 0 and set(chains.values()) == {1}
+            else:
+                assert {r["chain"] for r in rows} == {0}
+    assert len(owners) > 2
+
+
+def test_exact_dedup_owners_hold_whole_key_ranges(spark, docs):
+    owners = exact_dedup.owners_of(list(range(9)), [5, 5, 40, 1, 1, 1, 7, 0, 3], 4)
+    assert list(owners.values()) == sorted(owners.values()) and set(owners.values()) <= set(range(4))
+    keys = exact_dedup.owner_keys(spark, 37)
+    assert len(set(keys)) == 37
+    parts = spark.createDataFrame([(k,) for k in keys], "owner long").repartition(37, "owner").select("owner", F.spark_partition_id().alias("p")).collect()
+    assert {r["owner"]: r["p"] for r in parts} == {k: p for p, k in enumerate(keys)}
+
+
+def test_exact_dedup_hot_hashes(spark):
+    rows = [(i, "same text" if i % 3 else f"text {i}") for i in range(600)] + [(1000 + i, "Same Text") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in exact_dedup.find_groups(docs).collect()}
+    assert len(got) == 700 and all((got[d]["keep_id"], got[d]["group_size"]) == ((1099, 500) if t.lower() == "same text" else (d, 1)) for d, t in rows)
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(docs).collect()) == sorted([d for d, t in rows if t.lower() != "same text"] + [1099])
+
+
 def test_directory_doubles_only_where_needed():
     depth, slots = exact_dedup.split_buckets({0: 9, 1: 9, 4000: 3}, 10, 12)
     assert depth == 12 and len(slots) == 4096
