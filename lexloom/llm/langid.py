@@ -10,7 +10,7 @@ shows for the language, if the posterior is below what all but one in a thousand
 named rows reach (one half at most), or if it has no letter.
 
 The models are fitted on a bounded sample of labelled rows: at most max_rows rows for each language,
-whole texts, and about max_chars letters in all. Everything that is scored is scored whole.
+whole texts, about max_chars letters in all, and at most max_langs languages. Everything that is scored is scored whole.
 
 Edge cases: a null text, or one without a letter, gets `und`, score 0 and is rejected; so does every
 text if no row is labelled. Ties go to the first language by code point. Repeated rows and equal
@@ -22,23 +22,35 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import documents, held_out, share
 
-PIECE = re.compile(r"[^\W\d_]{1,64}")
+#: A letter, and up to 63 more with the combining marks that stand on them.
+PIECE = regex.compile(r"\p{L}[\p{L}\p{M}]{0,63}")
+#: The same for texts without marks and without digits that are not decimal (as in squares and fractions), several times as fast.
+PLAIN_PIECE = re.compile(r"[^\W\d_]{1,64}")
 START, END = "\x02", "\x03"
 PRIME = np.uint64(0x100000001B3)
 #: Words whose scores a worker remembers before it starts anew; only a cache.
 CACHE_WORDS = 400_000
 
 
+def pieces(text: str) -> list[str]:
+    """Runs of letters in lower case; a digit of any kind is no letter, a combining mark stays with its letter."""
+    low = text.lower()
+    plain = low.isascii() or not any(c > "\x7f" and unicodedata.category(c)[0] in "MN" for c in set(low))
+    return (PLAIN_PIECE if plain else PIECE).findall(low)
+
+
 def _mix(h: np.ndarray, order: int) -> np.ndarray:
     h = (h + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -167,7 +179,7 @@ class LanguageModel:
         if not self.cache or len(self.cache) > CACHE_WORDS:
             self.cache, self.rows = {}, np.zeros((0, len(self.langs)), np.float32)
         for i, text in enumerate(texts):
-            words = PIECE.findall(text.lower()) if text else []
+            words = pieces(text) if text else []
             if not words:
                 continue
             new = [w for w in dict.fromkeys(words) if w not in self.cache]
@@ -239,13 +251,15 @@ class LanguageModel:
         return [self.langs[j] if s else "und" for j, s in zip(best, some)], score, h / math.log(2), some & ~far & (score >= self.least)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 5, max_rows: int = 1500, max_chars: int = 4_000_000) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 5, max_rows: int = 1500, max_chars: int = 4_000_000, max_langs: int = 256) -> LanguageModel:
     """Fit on a bounded sample of labelled: for each language the rows first by a hash of their id.
 
-    One row in five of the sample is kept from training and calibrates temperature and rejection.
+    One row in five of the sample is kept from training and calibrates temperature and rejection. Of over max_langs
+    values of lang the most frequent are learned.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang).alias("lang")).count().collect()}  # one row per language
+    kinds = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["count"] for r in kinds.collect()}
     if not counts:
         return LanguageModel({})
     order_by = F.xxhash64(F.col(key).cast("string"))
@@ -260,7 +274,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     kept: list[tuple[str, str]] = []
     for r in sample.select("lang", "text", "h").orderBy("lang", "n").toLocalIterator():
         if r["h"] % 5:
-            words.setdefault(r["lang"], Counter()).update(PIECE.findall(r["text"].lower()))
+            words.setdefault(r["lang"], Counter()).update(pieces(r["text"]))
         else:
             kept.append((r["text"], r["lang"]))
     model = LanguageModel({x: w for x, w in words.items() if w}, order)
