@@ -17,8 +17,6 @@ themselves. Null ids come first. An empty table gives no rows. Only id and text
 
 from __future__ import annotations
 
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,29 +95,30 @@ def pack(
     capacities = tuple(sorted(capacities))
     n = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(1)), F.lit(1)) if length else word_count(F.col(text)) + 1
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("tie"))
-    ranged = narrow.repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "n", "tie")
+    scratch, order = Scratch(spark, "pack"), ["doc_id", "n", "tie"]
+    # written once: range partitioning reads its input twice, and texts are to be read once only
+    ranged = scratch.save(narrow, "narrow").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()  # partition and place in it
-    placed = Scratch(spark, "pack").save(ranged.select("doc_id", "n", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("local")), "ranked")
+    placed = scratch.save(ranged.select("doc_id", "n", F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("local")), "ranked")
+    scratch.drop("narrow")
     # one row per partition
     before = placed.groupBy("part").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = placed.join(F.broadcast(before), "part").select("doc_id", "n", (F.col("before") + F.col("local")).alias("rank"))
     grouped = ranked.withColumn("pack_group", F.floor(F.col("rank") / group_rows))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pandas().sort_values("rank")
-        group, ids = int(rows["pack_group"].iloc[0]), rows["doc_id"].tolist()
-        packed = pack_lengths(rows["n"].astype("int64").tolist(), capacities, scale)
-        out = pd.DataFrame(packed, columns=["i", "piece_start", "tokens", "bin_id", "capacity", "bin_offset"])
-        ids = rows["doc_id"].convert_dtypes().to_numpy(dtype=object, na_value=None)
+        rows = table.sort_by("rank")
+        group = rows["pack_group"][0].as_py()
+        i, start, tokens, bins, capacity, offset = zip(*pack_lengths(rows["n"].to_pylist(), capacities, scale))
         return pa.table(
             {
-                "doc_id": pa.array(ids[out["i"].to_numpy()], pa.int64()),
-                "piece_start": pa.array(out["piece_start"], pa.int64()),
-                "tokens": pa.array(out["tokens"], pa.int32()),
-                "pack_group": pa.array([group] * len(out), pa.int64()),
-                "bin_id": pa.array(group * (1 << 32) + out["bin_id"].astype("int64"), pa.int64()),
-                "capacity": pa.array(out["capacity"], pa.int32()),
-                "bin_offset": pa.array(out["bin_offset"], pa.int32()),
+                "doc_id": rows["doc_id"].take(pa.array(i, pa.int64())),  # stays Arrow: null ids do not turn the others into floats
+                "piece_start": pa.array(start, pa.int64()),
+                "tokens": pa.array(tokens, pa.int32()),
+                "pack_group": pa.array([group] * len(i), pa.int64()),
+                "bin_id": pa.array([group * (1 << 32) + b for b in bins], pa.int64()),
+                "capacity": pa.array(capacity, pa.int32()),
+                "bin_offset": pa.array(offset, pa.int32()),
             }
         )
 
