@@ -51,9 +51,13 @@ def shard_by_bytes(docs: DataFrame, num_shards: int = 8, key: str = "doc_id", te
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("tie"),
     )
-    ranged = narrow.repartitionByRange(partitions or shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "size", "text_crc32", "tie").drop("tie")
+    scratch, order = Scratch(spark, "shards"), ["doc_id", "size", "text_crc32", "tie"]
+    # written once: range partitioning reads its input twice, and texts are to be read once only
+    narrow = scratch.save(narrow, "narrow")
+    ranged = narrow.repartitionByRange(partitions or shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("tie")
     schema = "doc_id long, size long, text_crc32 long, part int, local_bytes long, local_row long"
-    sums = Scratch(spark, "shards").save(ranged.mapInArrow(_running, schema), "sums")
+    sums = scratch.save(ranged.mapInArrow(_running, schema), "sums")
+    scratch.drop("narrow")
 
     # one row per partition, so the window and the broadcast are bounded by the partition count
     totals = sums.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
