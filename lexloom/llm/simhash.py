@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, documents, shuffle_partitions
+from lexloom.llm.common import Scratch, documents, fresh, shuffle_partitions
 
 BITS = 64
 
@@ -189,7 +189,10 @@ def _marked_and_labels(docs: DataFrame, key: str, text: str, shingle: int, radiu
     roots = scratch.save(components(edges, scratch), "roots")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked, scratch.save(rooted.join(smallest, "root").select("fp", "component_id", "root", "first_id"), "labels")
+    labels = scratch.save(rooted.join(smallest, "root").select("fp", "component_id", "root", "first_id"), "labels")
+    for done in ("nodes", "links", "roots"):
+        scratch.drop(done)
+    return marked, labels
 
 
 def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -211,25 +214,26 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     chosen = labels.join(chosen, "root").select("fp", "component_id", "keep_fp")
     stay = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
     rows = scratch.save(marked.join(chosen, "fp").select("doc_id", "fp", stay.alias("stay")), "rows")
-    repeated = scratch.save(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")), "repeated")
+    id_, fp_, keep, row = fresh(docs, "__id", "__fp", "__keep", "__row")
+    repeated = scratch.save(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(id_)), "repeated")
     own = F.col(key).cast("long")
     out = [F.col(f"`{c}`") for c in docs.columns]
 
-    dropped = rows.where("NOT stay").select(F.col("doc_id").alias("__id"))
+    dropped = rows.where("NOT stay").select(F.col("doc_id").alias(id_))
     if repeated.isEmpty():
-        return docs.join(dropped, own == F.col("__id"), "left_anti").select(*out)
-    once = docs.join(dropped.unionByName(repeated).distinct(), own.eqNullSafe(F.col("__id")), "left_anti").select(*out)
+        return docs.join(dropped, own == F.col(id_), "left_anti").select(*out)
+    once = docs.join(dropped.unionByName(repeated).distinct(), own.eqNullSafe(F.col(id_)), "left_anti").select(*out)
 
     @F.arrow_udf("long")
     def marks(texts: pa.Array) -> pa.Array:
         return pa.array(np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    shared = docs.join(repeated, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__fp", marks(F.col(text)))
-    survivors = rows.where("stay").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__keep")).distinct()
-    shared = shared.join(survivors, own.eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__keep")), "left_semi")
+    shared = docs.join(repeated, own.eqNullSafe(F.col(id_)), "left_semi").withColumn(fp_, marks(F.col(text)))
+    survivors = rows.where("stay").select(F.col("doc_id").alias(id_), F.col("fp").alias(keep)).distinct()
+    shared = shared.join(survivors, own.eqNullSafe(F.col(id_)) & (F.col(fp_) == F.col(keep)), "left_semi")
     order = F.struct(F.sha2(F.col(text).cast("binary"), 256), F.sha2(F.to_json(F.struct(*out)).cast("binary"), 256))
-    shared = shared.groupBy(own.alias("__id"), "__fp").agg(F.min_by(F.struct(*out), order).alias("__row"))
-    return once.unionByName(shared.select(*[F.col(f"__row.`{c}`") for c in docs.columns]))
+    shared = shared.groupBy(own.alias(id_), fp_).agg(F.min_by(F.struct(*out), order).alias(row))
+    return once.unionByName(shared.select(*[F.col(f"{row}.`{c}`") for c in docs.columns]))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
