@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, documents, word_count
+from lexloom.llm.common import Scratch, documents, fresh, word_count
 
 
 def draw(doc_id: Column, seed: str = "mix") -> Column:
@@ -94,9 +94,10 @@ def emit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     scratch = Scratch(docs.sparkSession, "mix-emit")
     sizes = scratch.save(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    targets = source_targets(sizes, **options).select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    copies = F.floor("__rate") + F.when(draw(F.col(key)) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    mixed = docs.join(targets, F.col(source).cast("string").eqNullSafe(F.col("__of"))).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    of, rate, copy = fresh(docs, "__of", "__rate", "__copy")
+    targets = source_targets(sizes, **options).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
+    copies = F.floor(rate) + F.when(draw(F.col(key)) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    mixed = docs.join(targets, F.col(source).cast("string").eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -8,7 +8,8 @@ document, letters and shapes apart, and a two-layer network gives a logit, which
 on rows kept from training turns into a probability.
 
 The classifier, word vectors included, is fitted on a bounded sample of labelled rows: the max_rows
-first by a hash of their id. Everything that is scored is scored whole.
+first by a hash of their id. Its size is bounded too: of the words in at least min_docs texts of the sample the
+max_words in the most texts have vectors, all others share the zero vector. Everything that is scored is scored whole.
 
 Edge cases: null and empty texts have zero vectors and get the network's answer for them. Without
 labelled rows every score is one half. Labels of an id count once for each of its rows; null labels

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, Scratch, documents
+from lexloom.llm.common import WORD, Scratch, documents, fresh
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -109,10 +109,11 @@ def clean(
     (host, hash of the text) and rows with equal or null ids are told apart; a text moves once, to its verdict.
     """
     judged = _judged(docs, key, text, host, min_words, max_repeat_percent, min_line_docs, max_line_share, max_removed)
-    verdicts = judged.where("kept").groupBy(F.col("host").alias("__host"), F.col("content").alias("__content")).agg(F.first("gone").alias("__gone"))
-    same = F.col(host).cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__content"))
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains("__gone", F.xxhash64(line_key(x)))))
-    rebuilt = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text)
+    of, content, gone = fresh(docs, "__host", "__content", "__gone")
+    verdicts = judged.where("kept").groupBy(F.col("host").alias(of), F.col("content").alias(content)).agg(F.first("gone").alias(gone))
+    same = F.col(host).cast("string").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(content))
+    left = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(gone, F.xxhash64(line_key(x)))))
+    rebuilt = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text)
     return docs.join(verdicts, same).select(*[rebuilt if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -7,7 +7,7 @@ import corpus_pipeline
 from lexloom.llm import exact_dedup, langid, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["score", "row", "h", "bucket", "size", "shard", "fp", "keep_id", "host", "line", "n", "rate", "part", "tie", "accepted"]
+CLASH = ["score", "row", "h", "bucket", "size", "shard", "fp", "keep_id", "host", "line", "n", "rate", "part", "tie", "accepted", "__own", "__id", "__sha", "__row", "__text", "__copy", "__of", "__rate", "__key", "__fp", "__keep", "__host", "__content", "__gone", "norm", "owner", "hot", "chain", "n_rows"]
 
 
 def rows():
@@ -16,7 +16,7 @@ def rows():
     out = [(i, t, "en" if i % 2 else "fr", f"s{i % 3}", len(t)) for i, t in enumerate(plain)]
     out += [(20, None, "en", "s0", None), (21, "", None, None, 0), (22, " \n\t ", "en", "s1", 4), (None, "no id here", "en", "s2", 9), (None, None, None, None, None)]
     out += [(23, plain[0].upper(), "en", "s0", 1), (24, plain[0], "en", "s0", 1), (24, plain[0], "en", "s0", 1)]  # a tie in text, a repeated row
-    out += [(25, "word " * 60_000, "en", "s1", 300_000), (26, "x" * 200_000, "en", "s1", 200_000), (27, "\U0001f600 ### 12345 ...", "en", "s2", 17), (28, "né à la mère", "fr", "s2", 12)]
+    out += [(25, "word " * 60_000, "en", "s1", 300_000), (26, "x" * 200_000, "en", "s1", 200_000), (27, "\U0001f600 ### 12345 ... ² ½ Ⅷ", "en", "s2", 17), (28, "né à la mère", "fr", "s2", 12)]
     return out
 
 
@@ -130,6 +130,23 @@ def test_quality_reads_long_tokens_to_their_end():
     assert quality_classifier.pieces(["x" * 70, "y"]) == ["x" * 32, "x" * 32, "x" * 6, "y"]
 
 
+def test_letters_are_letters():
+    assert langid.pieces("² ½ Ⅷ ① ٣ 7 _") == [] and langid.pieces("AB²c né Ⅷx हिन्दी") == ["ab", "c", "né", "x", "हिन्दी"]
+    assert langid.pieces("x" * 70 + "1" + "y") == langid.pieces("x" * 70 + "²" + "y") == ["x" * 64, "x" * 6, "y"]
+
+
+def test_packing_keeps_large_ids_beside_null(spark):
+    big = (1 << 53) + 1
+    got = packing.pack(spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["tokens"]) for r in got) == [(0, 2), (big, 3), (big + 2, 1)]
+
+
+def test_equal_ids_follow_by_size_across_partitions(spark):
+    docs = spark.createDataFrame([(7, "x" * ((31 * i) % 97)) for i in range(97)], "doc_id long, text string").repartition(4)
+    got = sorted(sharding.shard_by_bytes(docs, 8, partitions=5).collect(), key=lambda r: r["prefix_bytes"])
+    assert [r["size"] for r in got] == list(range(1, 98))
+
+
 def test_null_and_letterless_texts_are_unknown(docs):
     got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect() if r["doc_id"] is not None}
     assert all(got[i]["lang_pred"] == "und" and not got[i]["accepted"] and got[i]["score"] == 0 for i in (20, 21, 22, 27))
