@@ -1,17 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Tokens become symbols: insult, threat, target, negation, reported speech, clause end, other. Small
-transducers each follow one thing within a clause: how many symbols ago a target, a negation or an
-intent was, whether speech is reported, how long ago the last insult was. Their composition, built
-as its states are met, reads a clause and outputs weighted matches: an insult or a threat, bare or
-aimed at a target before or after it, denied, reported. A clause scores the weights of its matches,
-so a denied or reported insult counts for little and a word of threat without a target after it for nothing.
-
-The insult lexicon is a short seed list plus words and stems (prefixes of 4 to 6 letters) that labelled
-rows show to stand in toxic texts far more often than in others, whatever their language, each with
-its log-odds as weight. A logistic curve, fitted on the same sample, turns a document's sum and density into
-a probability. Lexicon and curve are fitted on a bounded sample of labelled rows: the max_rows first by a hash
-of their id; of texts that are near copies of each other one counts.
+A lexicon transducer turns each token into a symbol with a weight: insult, threat, target (a person
+spoken of), object (a person who can be acted on), first person, intent, negation, reported speech,
+clause end, other. Sequential transducers then rewrite the symbols of a clause, each for one thing:
+one reads from right to left and marks insults and threats with a target after them, the others read
+from left to right and mark targets before an insult, an object put before an intended threat, intent,
+the first person, denial and report. An arc has an output symbol and a weight; the grammar is their
+composition, in which each reads what the one before it writes and weights multiply, made as its states
+are met. Its last member accepts marked insults and threats and weighs the match: bare, aimed,
+intended. A clause scores the sum of its matches, so a denied or reported insult counts for little
+and a word of threat with nobody to suffer it for nothing, unless labelled rows show it to be toxic by itself.
+
+The lexicon holds function words, insults and threats of four languages. Words and stems (prefixes of 4
+to 6 letters) that labelled rows show to stand in toxic texts far more often than in others, whatever
+their language, join the insults with their log-odds as weight. A logistic curve, fitted on the same
+sample, turns a document's sum and density into a probability. Lexicon and curve are fitted on a bounded
+sample of labelled rows: the max_rows first by a hash of their id. Near copies share the weight of one row.
 
 Edge cases: null and empty texts have no clause and score as a text without matches. Without
 labelled rows the curve is a fixed prior. Repeated rows are scored one by one; an empty table gives
@@ -34,87 +38,163 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import documents, held_out, share
 from lexloom.llm.quality_classifier import labelled_sample
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-SYMBOL = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.,;!?:\n]")
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENT, END = range(8)
-INSULTS = "idiot moron stupid dumb loser scum trash pathetic worthless disgusting imbecile fool bastard jerk vermin filth degenerate".split()
-THREATS = "kill hurt destroy stab shoot strangle beat burn crush murder smash".split()
-TARGETS = "you your you're yourself u he she him her they them their these those people".split()
-NEGATIONS = "not no never isn't aren't don't doesn't didn't won't wasn't weren't cannot can't without nobody nor".split()
-REPORTS = "said says say claimed claims wrote writes called calls quoted quote reported reports alleged accused according".split()
-INTENTS = "will gonna shall should must i'll we'll going".split()
-
-#: What each kind of match is worth, times the word's weight.
-BARE, AIMED, THREATENED = 1.0, 1.6, 2.0
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+SYMBOL = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.,;!?:\n]")
+
+OTHER, INSULT, THREAT, TARGET, OBJECT, FIRST, INTENT, NEGATION, REPORT, END = range(10)
+KINDS = 16  # symbols are a kind plus marks
+AIMED, FRONTED, MEANT, OWN = 16, 32, 64, 128
+
+#: Words of each kind in English, French, German and Spanish. Articles that are pronouns too are left out.
+INSULTS = (
+    "idiot moron stupid dumb loser scum trash pathetic worthless disgusting imbecile fool bastard jerk vermin filth degenerate",
+    "imbécile crétin connard salaud abruti débile ordure",
+    "idiotin dummkopf trottel arschloch abschaum wertlos versager",
+    "idiota imbécil estúpido estúpida escoria basura inútil",
+)
+THREATS = (
+    "kill hurt destroy stab shoot strangle beat burn crush murder smash",
+    "tuer tuerai tue frapper frapperai détruire étrangler écraser",
+    "töten töte umbringen schlagen schlage zerstören erwürgen",
+    "matar mataré golpear golpearé destruir destruiré aplastar",
+)
+TARGETS = (
+    "your you're yours he she they their these those people everyone",
+    "ton ta tes votre vos ils elles ceux",
+    "dein deine euer eure er diese leute",
+    "tu tus su sus ellos ellas esos gente",
+)
+OBJECTS = ("you yourself u him her them myself", "toi te vous eux lui", "du dich dir euch ihn ihnen", "tú te ti usted ustedes vosotros")
+FIRSTS = ("i i'm i'll i'd we we'll we're me us", "je nous on moi", "ich wir mich", "yo nosotros voy vamos")
+INTENTS = ("will gonna shall should must i'll we'll going", "vais allons dois veux", "werde werden muss will", "voy vamos debo quiero")
+NEGATIONS = (
+    "not no never isn't aren't don't doesn't didn't won't wasn't weren't cannot can't without nobody nor",
+    "pas jamais sans ni aucun",
+    "nicht kein keine nie niemals ohne",
+    "no nunca jamás sin ningún",
+)
+REPORTS = (
+    "said says say claimed claims wrote writes called calls quoted quote reported reports alleged accused according",
+    "dit disait écrit selon déclaré accusé",
+    "sagte sagt schrieb laut behauptet behauptete",
+    "dijo dice escribió según afirmó acusado",
+)
+
+#: What each kind of match is worth, times the word's weight, and what denial and report leave of it.
+BARE, INSULTED, THREATENED, HINTED = 1.0, 1.6, 2.0, 0.4
+UNMEANT, BEFORE = 0.5, 0.5
 DENIED, REPORTED = 0.2, 0.35
 SEED_WEIGHT, CACHE_WORDS, REACH = 2.5, 500_000, 4
 
 
-class Recent:
-    """A transducer whose state is how many symbols ago the last of its symbols was, up to a reach."""
+def inflected(word: str) -> set[str]:
+    """An English verb with its regular endings."""
+    stem = word[:-1] if word.endswith("e") else word
+    return {word, word + "s", stem + "ed", stem + "ing", stem + stem[-1] + "ed", stem + stem[-1] + "ing"}
 
-    def __init__(self, symbol: int, reach: int):
-        self.symbol, self.reach = symbol, reach
 
-    def step(self, state: int, symbol: int) -> int:
-        if symbol == END:
-            return 0
-        return 1 if symbol == self.symbol else state + 1 if 0 < state < self.reach else 0
+class Transducer:
+    """Sequential: step gives the next state, the symbol written and the weight of the arc."""
 
+    start: object = 0
 
-class Since:
-    """A transducer that remembers its symbol until the clause ends."""
+    def step(self, state, symbol: int) -> tuple[object, int, float]:
+        raise NotImplementedError
 
-    def __init__(self, symbol: int):
-        self.symbol = symbol
 
-    def step(self, state: int, symbol: int) -> int:
-        return 0 if symbol == END else 1 if symbol == self.symbol else state
+class Near(Transducer):
+    """Marks, or weighs, symbols of some kinds that stand at most reach symbols after one of the triggers (None: anywhere after it)."""
 
+    def __init__(self, triggers: tuple[int, ...], kinds: tuple[int, ...], reach: int | None, mark: int = 0, weight: float = 1.0):
+        self.triggers, self.kinds, self.reach, self.mark, self.weight = triggers, kinds, reach, mark, weight
 
-class Grammar:
-    """The composition of the transducers; its arcs are made when first met."""
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        kind = symbol % KINDS
+        hit = state > 0 and kind in self.kinds
+        after = 1 if kind in self.triggers else state if self.reach is None else state + 1 if 0 < state < self.reach else 0
+        return after, symbol | self.mark if hit else symbol, self.weight if hit else 1.0
 
-    PARTS = (Recent(TARGET, REACH), Recent(NEGATION, REACH), Since(REPORT), Recent(INTENT, REACH), Recent(INSULT, 3), Recent(THREAT, 3))
 
-    def __init__(self) -> None:
-        self.start = (0,) * len(self.PARTS)
-        self.arcs: dict[tuple, tuple[tuple, tuple[float, float, int]]] = {}
+class Fronted(Transducer):
+    """Marks a threat after an object and, later than that, an intent: you I will ..."""
+
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        kind = symbol % KINDS
+        after = 1 if kind == OBJECT else 2 if kind == INTENT and state else state
+        return after, symbol | FRONTED if kind == THREAT and state == 2 else symbol, 1.0
+
+
+class Match(Transducer):
+    """Accepts insults and threats; the weight is what the match is worth, 0 for all other symbols.
+
+    A threat that nothing aims is written as an insult: its word's own weight counts.
+    """
+
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        kind = symbol % KINDS
+        if kind == INSULT:
+            return 0, INSULT, INSULTED if symbol & AIMED else BARE
+        if kind != THREAT:
+            return 0, OTHER, 0.0
+        meant = 1.0 if symbol & MEANT else UNMEANT
+        if symbol & AIMED:
+            return 0, THREAT, THREATENED * meant
+        if symbol & FRONTED:
+            return 0, THREAT, THREATENED * BEFORE * meant
+        if symbol & MEANT and symbol & OWN:
+            return 0, THREAT, HINTED
+        return 0, INSULT, BARE
 
-    def arc(self, state: tuple, symbol: int) -> tuple[tuple, tuple[float, float, int]]:
-        """Next state and output: factor for this word, factor for the insult or threat before it, which of them (its symbol)."""
-        key = (*state, symbol)
+
+class Composition(Transducer):
+    """Each part reads what the part before it writes; weights multiply. Arcs are made when first met."""
+
+    def __init__(self, *parts: Transducer):
+        self.parts = parts
+        self.start = tuple(p.start for p in parts)
+        self.arcs: dict[tuple, tuple[tuple, int, float]] = {}
+
+    def step(self, state: tuple, symbol: int) -> tuple[tuple, int, float]:
+        key = (state, symbol)
         if key not in self.arcs:
-            target, negation, reported, intent, insult, threat = state
-            scale = (DENIED if negation else 1.0) * (REPORTED if reported else 1.0)
-            now, before, which = 0.0, 0.0, OTHER
-            if symbol == INSULT:
-                now = (AIMED if target else BARE) * scale
-            elif symbol == TARGET and threat:
-                before, which = THREATENED * scale * (1.0 if intent else 0.5), THREAT
-            elif symbol == TARGET and insult:
-                before, which = (AIMED - BARE) * scale, INSULT
-            self.arcs[key] = (tuple(p.step(s, symbol) for p, s in zip(self.PARTS, state)), (now, before, which))
+            after, weight = [], 1.0
+            for part, s in zip(self.parts, state):
+                s, symbol, w = part.step(s, symbol)
+                after.append(s)
+                weight *= w
+            self.arcs[key] = (tuple(after), symbol, weight)
         return self.arcs[key]
 
-    def clauses(self, symbols: Iterator[tuple[int, float]]) -> Iterator[float]:
-        """Score of each clause that has a match, from (symbol, weight) in order."""
-        state, score, last = self.start, 0.0, {INSULT: 0.0, THREAT: 0.0}
-        for symbol, weight in symbols:
-            state, (now, before, which) = self.arc(state, symbol)
-            if now:
-                score += now * weight
-            if before:
-                score += before * last[which]
-            if symbol in last:
-                last[symbol] = weight
-            elif symbol == END:
-                if score:
-                    yield score
-                score = 0.0
-        if score:
-            yield score
+
+PERSONS, HITS = (TARGET, OBJECT), (INSULT, THREAT)
+
+
+class Grammar:
+    """The right-to-left pass, then the composition of all that reads from left to right."""
+
+    def __init__(self) -> None:
+        self.back = Composition(Near(PERSONS, (INSULT,), REACH, AIMED), Near(PERSONS, (THREAT,), None, AIMED))
+        self.forth = Composition(
+            Near(PERSONS, (INSULT,), REACH, AIMED),
+            Fronted(),
+            Near((INTENT,), (THREAT,), REACH, MEANT),
+            Near((FIRST,), (THREAT,), REACH + 2, OWN),
+            Near((NEGATION,), HITS, REACH, weight=DENIED),
+            Near((REPORT,), HITS, None, weight=REPORTED),
+            Match(),
+        )
+
+    def clause(self, kinds: list[int]) -> list[tuple[int, int, float]]:
+        """(place, INSULT or THREAT, weight) of each match among the symbols of one clause."""
+        state, marked = self.back.start, list(kinds)
+        for i in range(len(kinds) - 1, -1, -1):
+            state, marked[i], _ = self.back.step(state, kinds[i])
+        state, out = self.forth.start, []
+        for i, symbol in enumerate(marked):
+            state, kind, weight = self.forth.step(state, symbol)
+            if weight:
+                out.append((i, kind, weight))
+        return out
 
 
 def near_copy_keys(words: list[str]) -> tuple[int, int]:
@@ -124,11 +204,20 @@ def near_copy_keys(words: list[str]) -> tuple[int, int]:
     return int(h.min()), int((h * np.uint64(0x9E3779B97F4A7C15)).min())
 
 
+def folded(text: str | None) -> str:
+    """Lower case, one kind of apostrophe."""
+    return (text or "").lower().replace("\u2019", "'")
+
+
 class ToxicityModel:
+    """fixed and stems: kind and weight by word; a threat's weight counts if it is aimed or meant, alone what bare says."""
+
     def __init__(self) -> None:
         self.fixed: dict[str, tuple[int, float]] = {}
-        for kind, words, weight in ((TARGET, TARGETS, 0.0), (NEGATION, NEGATIONS, 0.0), (REPORT, REPORTS, 0.0), (INTENT, INTENTS, 0.0), (THREAT, THREATS, SEED_WEIGHT), (INSULT, INSULTS, SEED_WEIGHT)):
-            self.fixed |= {w: (kind, weight) for w in words}
+        self.bare: dict[str, float] = {}
+        for kind, lists, weight in ((TARGET, TARGETS, 0.0), (OBJECT, OBJECTS, 0.0), (FIRST, FIRSTS, 0.0), (INTENT, INTENTS, 0.0), (NEGATION, NEGATIONS, 0.0), (REPORT, REPORTS, 0.0), (THREAT, THREATS, SEED_WEIGHT), (INSULT, INSULTS, SEED_WEIGHT)):
+            self.fixed |= {w: (kind, weight) for words in lists for w in words.split()}
+        self.fixed |= {x: (THREAT, SEED_WEIGHT) for w in THREATS[0].split() for x in inflected(w)}
         self.stems: dict[str, float] = {}
         self.curve = np.array([-3.0, 2.0, 0.0])
         self.grammar = Grammar()
@@ -145,37 +234,66 @@ class ToxicityModel:
                 return INSULT, self.stems[word[:n]]
         return OTHER, 0.0
 
-    def measure(self, text: str | None) -> tuple[float, float]:
-        """Logarithm of the clause scores' sum, and their sum for a hundred words."""
-        low = (text or "").lower()
+    def clauses(self, low: str) -> Iterator[tuple[int, int, float]]:
+        """Number of the first and the last token of each clause with matches, and its score; of a folded text."""
+        cache, kinds, weights, names, first, at = self.cache, [], [], [], 0, 0
+
+        def done() -> float:
+            found = self.grammar.clause(kinds) if any(weights) else ()
+            return sum(w * (weights[i] if kind == kinds[i] else self.bare.get(names[i], 0.0)) for i, kind, w in found)
+
+        for at, token in enumerate(SYMBOL.findall(low)):
+            known = cache.get(token)
+            if known is None:  # only ends of clauses are not words
+                if kinds and (score := done()):
+                    yield first, at - 1, score
+                kinds, weights, names, first = [], [], [], at + 1
+            else:
+                kinds.append(known[0])
+                weights.append(known[1])
+                names.append(token)
+        if kinds and (score := done()):
+            yield first, first + len(kinds) - 1, score
+
+    def learn_words(self, low: str) -> tuple[int, bool]:
+        """Number of words, and whether any of them can match; all are in the cache afterwards."""
         words = WORD.findall(low)
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        cache = self.cache
-        kinds = set(words)
-        for w in kinds.difference(cache):
-            cache[w] = self.symbol(w)
-        if not any(cache[w][1] for w in kinds):
-            return 0.0, 0.0
-        ends = ((END, 0.0),) * 2
-        symbols = (cache[m] if m in cache else ends[0] for m in SYMBOL.findall(low))
-        total = sum(self.grammar.clauses(symbols))
-        return math.log1p(total), 100 * total / max(len(words), 1)
+        names = set(words)
+        for w in names.difference(self.cache):
+            self.cache[w] = self.symbol(w)
+        return len(words), any(self.cache[w][1] for w in names)
+
+    def measure(self, text: str | None) -> tuple[float, float]:
+        """Logarithm of the clause scores' sum, and their sum for a hundred words."""
+        low = folded(text)
+        n, some = self.learn_words(low)
+        total = sum(score for _, _, score in self.clauses(low)) if some else 0.0
+        return math.log1p(total), 100 * total / max(n, 1)
+
+    def matched(self, text: str | None) -> list[tuple[int, int, float]]:
+        """Start, end and score of each clause that matches, as places in the lower-cased text."""
+        low = folded(text)
+        if not self.learn_words(low)[1]:
+            return []
+        spans = [m.span() for m in SYMBOL.finditer(low)]
+        return [(spans[a][0], spans[b][1], score) for a, b, score in self.clauses(low)]
 
     def fit(self, rows: Iterator[tuple[str | None, int]], min_share: float = 0.02, min_docs: int = 5, least: float = 2.0) -> None:
-        toxic, clean, sizes, seen, sample = Counter(), Counter(), [0, 0], set(), []
+        sample, keys = [], []
         for text, label in rows:
-            words = WORD.findall((text or "").lower())
-            if words:
-                keys = {(i, k) for i, k in enumerate(near_copy_keys(words))}
-                if keys & seen:
-                    continue
-                seen |= keys
-            sample.append((text, label))
-            sizes[label > 0] += 1
-            names = set(words)
-            names |= {w[:n] + "*" for w in names for n in (4, 5, 6) if len(w) > n}
-            (toxic if label > 0 else clean).update(names)
+            words = WORD.findall(folded(text))
+            sample.append((text, label, set(words)))
+            keys.append(near_copy_keys(words) if words else (0, 0))
+        copies = [Counter(k[j] for k in keys) for j in (0, 1)]
+        share_of = np.array([1.0 / max(copies[0][a], copies[1][b]) for a, b in keys])
+        toxic, clean, sizes = Counter(), Counter(), [0.0, 0.0]
+        for (_, label, words), part in zip(sample, share_of):
+            sizes[label > 0] += part
+            into = toxic if label > 0 else clean
+            for x in words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}:
+                into[x] += part
         if not all(sizes):
             return
 
@@ -191,20 +309,23 @@ class ToxicityModel:
                     covered[name[:k] + "*"] = max(covered[name[:k] + "*"], n)
         for x in sorted(strong):
             if not x.endswith("*"):
-                if x not in self.fixed or self.fixed[x][0] == INSULT:
+                kind = self.fixed.get(x, (INSULT, 0.0))[0]
+                if kind == INSULT:
                     self.fixed[x] = (INSULT, odds(x))
+                elif kind == THREAT:
+                    self.bare[x] = odds(x)
             elif covered[x] < 0.7 * toxic[x]:
                 self.stems[x[:-1]] = odds(x)
-        x = np.array([[1.0, *self.measure(t)] for t, _ in sample])
-        y = np.array([float(label > 0) for _, label in sample])
+        self.cache = {}
+        x = np.array([[1.0, *self.measure(t)] for t, _, _ in sample])
+        y = np.array([float(label > 0) for _, label, _ in sample])
         prior, w = np.array([-3.0, 2.0, 0.0]), self.curve.copy()
         for _ in range(50):  # Newton steps, held near the prior; more matches never lower the score
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            grad = x.T @ (p - y) + 0.1 * (w - prior)
-            w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), grad)
+            grad = x.T @ ((p - y) * share_of) + 0.1 * (w - prior)
+            w = w - np.linalg.solve((x * (p * (1 - p) * share_of)[:, None]).T @ x + 0.1 * np.eye(3), grad)
             w[1:] = np.maximum(w[1:], 0.0)
         self.curve = w
-        self.cache = {}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([[1.0, *self.measure(t)] for t in texts]).reshape(-1, 3)
@@ -225,6 +346,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[Column |
     return out.mapInArrow(run, schema)
 
 
+def matched_clauses(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per matched clause: doc_id, clause_start, clause_end (places in the lower-cased text), weight."""
+    shared = share(docs.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) for m in shared().matched(t)]
+            at, start, end, weight = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(weight, pa.float64())], ["doc_id", "clause_start", "clause_end", "weight"])
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, clause_start long, clause_end long, weight double")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = ToxicityModel()
