@@ -1,10 +1,11 @@
 """Language-model scores: the marginal likelihood of a text over all segmentations into subwords.
 
-The pieces come from an existing vocabulary. Its scores are ranks, so they give a prior
-that falls with the rank; the pieces' weights are that prior mixed with their frequencies in the
-training words. A word's probability sums over all paths through the lattice of its pieces (bytes stand for
+The vocabulary file at hand is a byte-pair one: its scores are ranks, not log-probabilities. So they enter
+as a prior that falls with the rank, with a small share, mixed with the pieces' frequencies in the training
+words. A word's probability sums over all paths through the lattice of its pieces (bytes stand for
 characters that the vocabulary lacks), by a forward recursion in log space; a whole word that
-training has seen is one more arc, weighted by its count, with Good-Turing mass left to the rest.
+training has seen is one more arc, weighted by its count, with Good-Turing mass left to the rest. So known words
+score mostly by their own counts and the lattice speaks for the others.
 A text is its words and one end token, each drawn independently, so the probabilities of all texts
 add up to at most one.
 
@@ -20,6 +21,7 @@ empty table gives no rows. Only id and text are read.
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from collections.abc import Iterator
 from typing import Any
@@ -40,6 +42,10 @@ CACHE_WORDS = 300_000
 FLUSH_WORDS = 250_000
 #: Words of as many texts as are looked up together.
 CHUNK_WORDS = 200_000
+#: Characters whose arcs are held at once; longer words are read in blocks of so many.
+BLOCK_CHARS = 1 << 17
+#: The vocabulary's path where neither a parameter nor the setting spark.lexloom.vocabulary names one.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,11 +100,15 @@ def piece_counts(counts: DataFrame, vocabulary: bytes) -> dict[int, int]:
     return {r["piece"]: r["c"] for r in rows}
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 class Lattice:
     """Natural log-probability of words under all their segmentations."""
 
-    def __init__(self, pieces: dict[str, float], byte_pieces: list[float]):
-        self.byte_pieces = byte_pieces
+    def __init__(self, pieces: dict[str, float], byte_pieces: list[float], block: int = BLOCK_CHARS):
+        self.byte_pieces, self.block = byte_pieces, block
         by_length: dict[int, list[tuple[int, float]]] = {}
         for piece, p in pieces.items():
             h = 0
@@ -139,10 +149,19 @@ class Lattice:
         if not words:
             return result
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        for a in range(0, len(order), 4096):
-            part = order[a : a + 4096]
+        a = 0
+        while a < len(order):
+            if len(words[order[a]]) >= self.block:
+                result[order[a]] = self.long_word(MARK + words[order[a]])
+                a += 1
+                continue
+            part, total = [], 0
+            while a < len(order) and len(part) < 4096 and total + len(words[order[a]]) < self.block:
+                part.append(order[a])
+                total += len(words[order[a]]) + 1
+                a += 1
             texts = [MARK + words[i] for i in part]
-            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            codes = _codes("".join(texts))
             length = np.array([len(x) for x in texts])
             first = np.cumsum(length) - length
             arcs = self.arcs(codes, np.arange(len(codes)) - np.repeat(first, length))
@@ -160,6 +179,21 @@ class Lattice:
                     result[np.array(part)[:live][done]] = alpha[:live, j % (self.longest + 1)][done]
         return result
 
+    def long_word(self, text: str) -> float:
+        """The same for one word of any length, whose arcs are made block by block."""
+        recent = [0.0]  # of the last places, the latest at the end
+        for at in range(0, len(text), self.block):
+            start = max(0, at - self.longest + 1)
+            codes = _codes(text[start : at + self.block])
+            arcs = self.arcs(codes, np.arange(start, start + len(codes)))
+            for i in range(at - start, len(codes)):
+                ways = np.array(recent[::-1]) + arcs[: len(recent), i]
+                top = ways.max()
+                recent.append(float(top + np.log(np.exp(ways - top).sum())))
+                if len(recent) > self.longest:
+                    del recent[0]
+        return recent[-1]
+
 
 def load_lattice(path: str, seen: dict[int, int], prior_share: float = 0.01) -> Lattice:
     """Weights for all pieces of the vocabulary file: frequency mixed with a prior of 1 / (rank + 10)."""
@@ -245,12 +279,16 @@ def model_of(c: np.ndarray, sub: np.ndarray, facts: dict[str, float]) -> np.ndar
     return math.log10(1 - facts["end"]) + top + np.log10(10 ** (whole - top) + 10 ** (rest - top))
 
 
-def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", vocabulary: str = "/opt/tokenizers/piece_bpe_32k.model", head_words: int = 1 << 19) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, head_words: int = 1 << 19) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    training: which rows are learned from. vocabulary: path of a SentencePiece model on the driver.
+    training: which rows are learned from. vocabulary: path of a SentencePiece model on the driver, else what
+    spark.lexloom.vocabulary says, else VOCABULARY.
     """
     spark = docs.sparkSession
+    vocabulary = vocabulary or spark.conf.get("spark.lexloom.vocabulary", VOCABULARY)
+    if not os.path.isfile(vocabulary):
+        raise FileNotFoundError(f"no vocabulary at {vocabulary}: name a SentencePiece model by the parameter or by spark.lexloom.vocabulary")
     scratch = Scratch(spark, "lm")
     learned = docs.where(training)
     counts = scratch.save(count_words(learned, text), "counts")
