@@ -279,11 +279,12 @@ def model_of(c: np.ndarray, sub: np.ndarray, facts: dict[str, float]) -> np.ndar
     return math.log10(1 - facts["end"]) + top + np.log10(10 ** (whole - top) + 10 ** (rest - top))
 
 
-def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, head_words: int = 1 << 19) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, head_words: int = 1 << 19, word_arcs: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     training: which rows are learned from. vocabulary: path of a SentencePiece model on the driver, else what
-    spark.lexloom.vocabulary says, else VOCABULARY.
+    spark.lexloom.vocabulary says, else VOCABULARY. word_arcs: whether whole words that training has seen are arcs too;
+    without them the pieces alone speak.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or spark.conf.get("spark.lexloom.vocabulary", VOCABULARY)
@@ -296,7 +297,7 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
     facts_row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("words"), F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     words, once = facts_row["words"], facts_row["once"]
     n = words + ends
-    known = min(1 - 1e-6, max(0.0, 1 - (once + 1) / (words + 1))) if words else 0.0
+    known = min(1 - 1e-6, max(0.0, 1 - (once + 1) / (words + 1))) if words and word_arcs else 0.0
     facts = {"words": float(words), "n": float(n), "v": float(facts_row["kinds"] + (1 if ends else 0)), "end": (ends + 0.5) / (n + 1), "known": known}
 
     # the head: whole classes of counts, eight to an octave, as many as stay under the bound

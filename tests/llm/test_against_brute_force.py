@@ -257,6 +257,40 @@ def test_lattice_sums_over_segmentations():
     for w, p in zip(words[:-1], got):
         assert math.isclose(p, math.log(total("▁" + w)), rel_tol=1e-9)
     assert np.isfinite(got).all()
+    small = lm_scoring.Lattice({k: math.log(v) for k, v in pieces.items()}, [math.log(0.001)] * 256, block=7)
+    assert np.allclose(small.log_probability(words), got, rtol=1e-12)
+
+
+def test_lm_score_by_hand(spark):
+    """The score of a known and of an unknown word, from counts and all segmentations by recursion."""
+    import sentencepiece
+
+    rows = [(i, "aba abc aba cab") for i in range(30)] + [(100, "aba zzqx"), (101, None)]
+    rows = [r for r in rows if r[0] >= 100 or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    train = F.col("doc_id") < 100
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), train).collect()}
+    n = len(rows) - 2
+    model = sentencepiece.SentencePieceProcessor(model_file=lm_scoring.VOCABULARY)
+    seen = Counter(i for w in ("aba", "abc", "cab") for i in model.encode(w))
+    lattice = lm_scoring.load_lattice(lm_scoring.VOCABULARY, dict(seen))
+    weight = {}
+    usable = [i for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i)]
+    rank = {i: 0.0 if model.is_byte(i) else -model.get_score(i) for i in usable}
+    worst = max(rank.values())
+    prior = {i: 1 / ((worst if model.is_byte(i) else rank[i]) + 10) for i in usable}
+    for i in usable:
+        if not model.is_byte(i):
+            weight[model.id_to_piece(i)] = 0.01 * prior[i] / sum(prior.values()) + 0.99 * seen[i] / sum(seen.values())
+
+    def ways(s):
+        return 1.0 if not s else sum(weight[s[:k]] * ways(s[k:]) for k in range(1, len(s) + 1) if s[:k] in weight)
+
+    assert math.isclose(lattice.log_probability(["zzqx"])[0], math.log(ways("▁zzqx")), rel_tol=1e-9)
+    words, end, known = 4 * n, (n + 0.5) / (5 * n + 1), 1 - 1 / (4 * n + 1)
+    aba = (1 - end) * (known * 2 * n / words + (1 - known) * ways("▁aba"))
+    rare = (1 - end) * (1 - known) * ways("▁zzqx")
+    assert math.isclose(got[100], math.log10(aba) + math.log10(rare) + math.log10(end), rel_tol=1e-9)
+    assert math.isclose(got[101], math.log10(end), rel_tol=1e-9)
 
 
 def test_lm_scores(docs, texts):
@@ -285,6 +319,63 @@ def test_toxic_clauses():
     assert model.measure("not. you idiot")[0] > denied  # a clause ends
 
 
+def test_toxic_clauses_in_four_languages():
+    weigh = lambda t: toxicity.ToxicityModel().measure(t)[0]
+    assert weigh("you aren\u2019t an idiot") == weigh("you aren't an idiot") < weigh("you are an idiot")
+    for text in ("I will kill every last one of you", "you I will kill", "I will kill Anna", "they killed him", "eres un idiota", "je vais te tuer", "ich werde dich töten", "voy a matar a ustedes"):
+        assert weigh(text) > 0, text
+    assert weigh("du bist kein Idiot") < weigh("du bist ein Idiot") and weigh("no eres un idiota") < weigh("tu eres un idiota") and weigh("il dit que c'est un crétin") < weigh("c'est un crétin")
+    assert weigh("the killing of time") == weigh("they will burn wood") == 0
+
+
+def test_toxic_grammar_against_its_definition():
+    """Weights of the composed transducers against rules that look at the whole clause."""
+    t, rng, grammar = toxicity, random.Random(8), toxicity.Grammar()
+
+    def worth(kinds, i):
+        before, after = kinds[:i], kinds[i + 1 :]
+        near = lambda some, reach, of: any(k in some for k in (of[-reach:] if of is before else of[:reach]))
+        factor = (t.DENIED if near((t.NEGATION,), t.REACH, before) else 1.0) * (t.REPORTED if t.REPORT in before else 1.0)
+        if kinds[i] == t.INSULT:
+            return t.INSULT, factor * (t.INSULTED if near(t.PERSONS, t.REACH, before) or near(t.PERSONS, t.REACH, after) else t.BARE)
+        meant = near((t.INTENT,), t.REACH, before)
+        fronted = t.OBJECT in before and t.INTENT in before[before.index(t.OBJECT) :] and _last_is_intended(before)
+        if any(k in t.PERSONS for k in after):
+            return t.THREAT, factor * t.THREATENED * (1.0 if meant else t.UNMEANT)
+        if fronted:
+            return t.THREAT, factor * t.THREATENED * t.BEFORE * (1.0 if meant else t.UNMEANT)
+        if meant and near((t.FIRST,), t.REACH + 2, before):
+            return t.THREAT, factor * t.HINTED
+        return t.INSULT, factor * t.BARE
+
+    def _last_is_intended(before):
+        last = max(j for j, k in enumerate(before) if k == t.OBJECT)
+        return t.INTENT in before[last:]
+
+    for _ in range(3000):
+        kinds = rng.choices(range(t.END), [6, 2, 2, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 14))
+        got = {i: (kind, round(w, 9)) for i, kind, w in grammar.clause(kinds)}
+        assert got == {i: (worth(kinds, i)[0], round(worth(kinds, i)[1], 9)) for i, k in enumerate(kinds) if k in t.HITS}
+    assert len(grammar.forth.arcs) > 100
+
+
+def test_toxic_spans(spark):
+    docs = spark.createDataFrame([(1, "Calm here. You are an idiot, yes! fine"), (2, None), (None, "YOU moron"), (3, "calm")], "doc_id long, text string")
+    got = {(r["doc_id"], r["clause_start"], r["clause_end"]) for r in toxicity.matched_clauses(docs, toxicity.ToxicityModel()).collect()}
+    assert got == {(1, 11, 27), (None, 0, 9)}
+
+
+def test_toxicity_weighs_bare_threats_and_near_copies():
+    filler = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in range(20))
+    rows = [(filler(i) + (" shoot" if i % 2 else ""), i % 2) for i in range(60)]
+    model = toxicity.ToxicityModel()
+    model.fit(iter(rows))
+    assert model.bare["shoot"] > 0 and model.measure("shoot")[0] > 0 == toxicity.ToxicityModel().measure("shoot")[0]
+    copied = toxicity.ToxicityModel()
+    copied.fit(iter(rows + [(filler(0) + " zork", 1)] * 400))  # one text four hundred times is one witness
+    assert "zork" not in copied.fixed
+
+
 def test_toxicity_learns_stems():
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("ba de ko lu mi".split()) for _ in range(3))
