@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexloom import config
+from lexloom.functions.unicode import normal_form
 
 #: Letters and digits of any script without combining marks, and the underscore.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -139,18 +140,43 @@ def html_text(html: Column) -> Column:
 
 
 def sanitise(text: Column) -> Column:
-    """Control and zero-width characters out, injection patterns to blanks. Unicode compatibility folding is `sources.unicode`'s."""
-    s = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\u200b-\\u200f\\ufeff]", "")
+    """Compatibility forms folded, control and zero-width characters out, injection patterns to blanks."""
+    s = F.regexp_replace(normal_form(text, "NFKC"), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\u200b-\\u200f\\ufeff]", "")
     for p in INJECTIONS:
         s = F.regexp_replace(s, p, " ")
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """struct(start, end, value) of each match in order; a match starts after all gaps up to it and all matches before it."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    start = lambda a, z: a["at"] + F.length(z["g"])
+    step = lambda a, z: F.struct((start(a, z) + F.length(z["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(start(a, z).alias("start"), (start(a, z) + F.length(z["m"])).alias("end"), z["m"].alias("value")))).alias("out"))
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+
+def personal_data(text: Column) -> Column:
+    """struct(p, kind, start, end, value) of personal data by precedence; a span inside one of an earlier kind is left out."""
+
+    def spans(order: int, kind: str, pattern: str) -> Column:
+        return F.transform(match_spans(text, pattern), lambda s: F.struct(F.lit(order).alias("p"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+    kinds = [spans(i, kind, pattern) for i, (kind, pattern) in enumerate(PII)]
+    inside = lambda x, y: (y["p"] < x["p"]) & (y["start"] <= x["start"]) & (y["end"] >= x["end"])
+    return let(F.flatten(F.array(*kinds)), lambda found: F.filter(found, lambda x: ~F.exists(found, lambda y: inside(x, y))))
+
+
 def redact(text: Column) -> Column:
-    """Each kind of personal data replaced by its tag, in order of precedence."""
-    for kind, pattern in PII:
-        text = F.regexp_replace(text, pattern, f"<{kind}>")
-    return text
+    """struct(text, status): each span of personal data replaced by its tag, from the last to the first.
+
+    A text that cannot be read (null) gives an empty text and failed_closed, never the input.
+    """
+    spans = F.sort_array(F.transform(personal_data(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), asc=False)
+    put = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit("<"), s["kind"], F.lit(">"), F.substring(t, s["end"] + 1, F.length(t)))
+    clean = F.aggregate(spans, text, put)
+    return F.struct(F.coalesce(clean, F.lit("")).alias("text"), F.when(clean.isNull(), "failed_closed").otherwise("ok").alias("status"))
 
 
 def citation_key(text: Column) -> Column:

@@ -49,7 +49,7 @@ def matches(df: DataFrame, key: str, text: Column, pattern: str, group: int = 1)
 
 
 def clauses(df: DataFrame, key: str, text: str, child: int = config.CHUNK_CHILD_CHARS) -> DataFrame:
-    """Parent clauses: key, para_no, section_label, char_start, char_end, chunk_text, page_no, n_children, bm25_indexed.
+    """Clauses: key, para_no, section_label, char_start, char_end, chunk_text, page_no, n_children, bm25_indexed.
 
     A document without a boundary is one clause; text before the first boundary is a preamble
     without a label. Blank spans are left out. Form feeds count once each, up to and in the span.
@@ -64,8 +64,9 @@ def clauses(df: DataFrame, key: str, text: str, child: int = config.CHUNK_CHILD_
     left = F.regexp_replace(piece, r"^\s+", "")
     start = F.col("at") + F.length(piece) - F.length(left)
     body = F.regexp_replace(left, r"\s+$", "")
-    rows = spans.select(key, "at", "label", start.alias("char_start"), body.alias("chunk_text"), F.regexp_count(piece, F.lit("\f")).alias("breaks")).where(F.length("chunk_text") > 0)
     order = Window.partitionBy(key).orderBy("at")
+    breaks = F.when(F.length(body) > 0, F.regexp_count(piece, F.lit("\f"))).otherwise(0)
+    rows = spans.select(key, "at", "label", start.alias("char_start"), body.alias("chunk_text"), (F.sum(breaks).over(order) + 1).alias("page_no")).where(F.length("chunk_text") > 0)
     n = F.length("chunk_text")
     return rows.select(
         key,
@@ -74,12 +75,30 @@ def clauses(df: DataFrame, key: str, text: str, child: int = config.CHUNK_CHILD_
         "char_start",
         (F.col("char_start") + n).alias("char_end"),
         "chunk_text",
-        (F.sum("breaks").over(order) + 1).alias("page_no"),
+        "page_no",
         F.when(n > child, F.ceil(n / child)).otherwise(0).cast("int").alias("n_children"),
         (n <= child).alias("bm25_indexed"),
     )
 
 
+def clause_chunks(df: DataFrame, key: str, text: str, child: int = config.CHUNK_CHILD_CHARS) -> DataFrame:
+    """Parents and children: key, chunk_id, parent_chunk_id, para_no, section_label, page_no, char_start, char_end, chunk_text, bm25_indexed.
+
+    A clause longer than `child` is not searched itself; its slices are, and name it as their parent.
+    """
+    whole = clauses(df, key, text, child)
+    own = F.concat(F.lit("ch-"), F.col(key).cast("string"), F.lit("-"), F.col("para_no").cast("string"))
+    parents = whole.withColumn("chunk_id", own).withColumn("parent_chunk_id", F.lit(None).cast("string"))
+    cut = parents.where("n_children > 0").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n_children") - 1)))
+    body = F.substring("chunk_text", F.col("__i") * child + 1, F.lit(child))
+    start = F.col("char_start") + F.col("__i") * child
+    children = cut.select(
+        *[key, F.concat("chunk_id", F.lit("-"), F.col("__i").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_chunk_id"), "para_no", "section_label", "page_no"],
+        *[start.alias("char_start"), (start + F.length(body)).alias("char_end"), body.alias("chunk_text"), F.lit(True).alias("bm25_indexed")],
+    )
+    return parents.select(*children.columns).unionByName(children)
+
+
 def small_to_big(ranked: DataFrame, query: str = "query_id", parent: str = "parent_id", rank: str = "rank", keep: int = config.RERANK_TOP_K) -> DataFrame:
     """The best-ranked child of each parent, in rank order, at most `keep` parents for each query."""
     best = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(query, parent).orderBy(rank))).where("__n = 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators.chunking import matches
 
+#: Names of acts as texts write them.
 ACT_NAMES = (
     "Indian Penal Code|IPC|Bharatiya Nyaya Sanhita|BNS"
     "|Code of Criminal Procedure|CrPC|Cr\\.P\\.C\\.|Bharatiya Nagarik Suraksha Sanhita|BNSS"
@@ -48,14 +49,9 @@ BUCKETS = {
 
 
 def pii_spans(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, entity_type, span_start, span_end, value; a span inside one of an earlier kind is left out."""
-    found = None
-    for order, (kind, pattern) in enumerate(T.PII):
-        one = matches(df, key, F.col(text), pattern, 0).select(key, F.lit(order).alias("p"), F.lit(kind).alias("entity_type"), F.col("match_start").alias("span_start"), F.col("match_end").alias("span_end"), F.col("found").alias("value"))
-        found = one if found is None else found.unionByName(one)
-    outer = found.select(F.col(key).alias("__k"), F.col("p").alias("__p"), F.col("span_start").alias("__s"), F.col("span_end").alias("__e"))
-    inside = (F.col(key) == F.col("__k")) & (F.col("__p") < F.col("p")) & (F.col("__s") <= F.col("span_start")) & (F.col("__e") >= F.col("span_end"))
-    return found.join(outer, inside, "left_anti").drop("p")
+    """key, entity_type, span_start, span_end, value; a span inside one of an earlier kind is left out. Texts do not move."""
+    flat = df.select(key, F.explode(T.personal_data(F.col(text))).alias("s"))
+    return flat.select(key, F.col("s.kind").alias("entity_type"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.value").alias("value"))
 
 
 def legal_entities(df: DataFrame, key: str, text: str, patterns=ENTITIES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,36 +108,46 @@ def ece(bins: DataFrame) -> DataFrame:
 
 
 def platt_fit(pairs: DataFrame, x: str, y: str, rounds: int = 100, rate: float = 0.1) -> tuple[float, float]:
-    """Slope and offset by full-batch gradient descent; each round is one aggregate of two numbers."""
+    """Slope and offset by full-batch gradient descent over the distinct pairs with their counts; each round is one aggregate of two numbers."""
     a, b = 1.0, 0.0
+    pairs = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("__c")).checkpoint()
     for _ in range(rounds):
         z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col(x) + b))
-        e = M.sigmoid(z) - F.col(y)
-        g = pairs.agg(F.avg(e * F.col(x)), F.avg(e)).first()
+        e = (M.sigmoid(z) - F.col(y)) * F.col("__c")
+        g = pairs.agg(F.sum(e * F.col(x)) / F.sum("__c"), F.sum(e) / F.sum("__c")).first()
         if g[0] is None:
             break
         a, b = a - rate * g[0], b - rate * g[1]
     return a, b
 
 
-def paired_bootstrap(pairs: DataFrame, item: str, a: str, b: str, rounds: int = 1000, seed: int = 42, alpha: float = config.ALPHA) -> DataFrame:
+def _poisson(most: int = 8) -> list[tuple[float, int]]:
+    """For each number below most: the probability that a Poisson(1) number is at most that."""
+    out, cumulative, p = [], 0.0, math.exp(-1)
+    for k in range(most):
+        cumulative += p
+        out.append((cumulative, k))
+        p /= k + 1
+    return out
+
+
+POISSON = _poisson()
+
+
+def paired_bootstrap(pairs: DataFrame, item: str, a: str, b: str, rounds: int = config.BOOTSTRAP_ROUNDS, seed: int = 42, alpha: float = config.ALPHA) -> DataFrame:
     """Mean difference, its bootstrap interval and Cohen's d.
 
-    Each resample weighs every item by a Poisson(1) number drawn from a hash of (seed, round, item), so
-    items stay where they are, and one aggregate per round number replaces an index table.
+    Each resample weighs every item by a Poisson(1) number drawn from md5(seed:round:item), so items stay
+    where they are, one aggregate per round number replaces an index table, and reruns agree.
     """
     d = pairs.select(F.col(item).alias("i"), (F.col(a) - F.col(b)).alias("d"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "r", "i"), F.lit(1 << 30)) / float(1 << 30)
-    weight, cumulative, p = F.lit(8), 0.0, 0.36787944117144233
-    steps = []
-    for k in range(8):
-        cumulative += p
-        steps.append((cumulative, k))
-        p /= k + 1
-    for upto, k in reversed(steps):
-        weight = F.when(u < upto, F.lit(k)).otherwise(weight)
-    drawn = d.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    means = drawn.groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    drawn = d.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("r").cast("string"), F.lit(":"), F.col("i").cast("string")))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = F.lit(len(POISSON))
+    for upto, k in reversed(POISSON):
+        weight = F.when(F.col("u") < upto, F.lit(k)).otherwise(weight)
+    means = drawn.withColumn("u", u).withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
     ci = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     base = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.try_divide(F.avg("d"), F.stddev_samp("d")).alias("cohens_d"))
     return base.crossJoin(ci).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))  # one row each

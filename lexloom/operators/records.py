@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom import config
+from lexloom.functions.text import match_spans
 
+#: A section number that introduces a heading, a sub-section that does, and what makes the number after it a cross-reference.
 SECTION_NUMBER = r"(?<![\w(])(\d+[A-Z]{0,2})\s*(?:\((\d+[A-Za-z]?)\))?(?=\s*[.\-–—]|\s+[A-Z“‘\"'])"
 SUBSECTION = r"^\s*(\d+[A-Z]{0,2})\s*\((\d+[A-Za-z]?)\)"
 CROSS_REFERENCE = r"(?i)(?:sections?|act|schedule|chapter|clause)\s+(?:no\.?\s*)?$"
-NEW_MARK, REPEALED_MARK = r"(?i)\bnew\s+(sub-?\s*)?section", r"(?i)\b(repealed|deleted|omitted)\b"
-NEGATIONS = (
-    (r"(?i)\bshall not\b", "shall"), (r"(?i)\bmust not\b", "must"), (r"(?i)\bcannot\b", "can"), (r"(?i)\bis not entitled\b", "is entitled"), (r"(?i)\bwas not entitled\b", "was entitled"),
-    (r"(?i)\bshall\b", "shall not"), (r"(?i)\bmust\b", "must not"), (r"(?i)\bis entitled\b", "is not entitled"), (r"(?i)\bwas entitled\b", "was not entitled"),
-    (r"(?i)\bis liable\b", "is not liable"), (r"(?i)\bwas liable\b", "was not liable"), (r"(?i)\bis barred\b", "is not barred"),
-)
+#: Cells that say that there is no counterpart, and rows that only divide a table.
+NEW_MARK = r"(?i)\bnew\s+(section|sub-?section|provision|clause)\b"
+REPEALED_MARK = r"(?i)\brepealed\b|\bomitted\b|\bdeleted\b"
+CHAPTER_ROW = r"(?i)^\s*(part|chapter|schedule)\b"
+#: Cells that stand where a heading would.
+NO_HEADING = ("repealed", "deleted", "omitted", "new section", "new sub-section")
 
 
 def operative_sections(cell: Column) -> Column:
@@ -38,7 +41,7 @@ def correspondence_class(left: Column, right: Column) -> Column:
     header = F.lower(left).rlike("sanhita|adhiniyam") & F.lower(right).rlike("penal code|criminal procedure|evidence act")
     return (
         F.when(header, "header")
-        .when(left.rlike(r"(?i)^\s*chapter\b") | right.rlike(r"(?i)^\s*chapter\b"), "chapter")
+        .when(left.rlike(CHAPTER_ROW) | right.rlike(CHAPTER_ROW), "chapter")
         .when(right.rlike(NEW_MARK) & (old == 0), F.when(new > 0, "new_provision").otherwise("unparsed"))
         .when((old > 0) & (new == 0) & ((left == "") | left.rlike(REPEALED_MARK) | right.rlike(REPEALED_MARK)), "repealed_no_successor")
         .when((new > 0) & (old > 0), "maps_to")
@@ -63,27 +66,6 @@ def cut_loop(text: Column, anchor: int = 40) -> Column:
     return F.when((F.length(text) > anchor) & (at > 0), F.rtrim(F.substring(text, F.lit(1), at - 1))).otherwise(text)
 
 
-def negate(claim: Column) -> Column:
-    """The first rule that fits, applied once; null if none does. Removals come before insertions."""
-    out = F.lit(None).cast("string")
-    for pattern, to in reversed(NEGATIONS):
-        head = F.regexp_extract(claim, r"(?s)^(.*?)" + pattern.replace("(?i)", "(?i:") + ")", 1)
-        tail = F.regexp_extract(claim, r"(?s)^.*?" + pattern.replace("(?i)", "(?i:") + r")(.*)$", 1)
-        out = F.when(claim.rlike(pattern), F.concat(head, F.lit(to), tail)).otherwise(out)
-    return out
-
-
-def shift_section(claim: Column, key: Column, deltas=(-100, -11, -3, -1, 1, 3, 11, 100)) -> Column:
-    """The first cited section number moved by a delta that a hash of the key picks among those that leave it positive; null without one."""
-    pattern = r"(?i)\b(section|sections|s\.|ss\.)\s*(\d+)([A-Za-z]?)\b"
-    n = F.regexp_extract(claim, pattern, 2).try_cast("int")
-    fit = F.filter(F.array(*[F.lit(d) for d in deltas]), lambda d: n + d > 0)
-    delta = F.get(fit, F.pmod(F.crc32(key.cast("string").cast("binary")), F.size(fit)).cast("int"))
-    rest = F.regexp_extract(claim, r"(?is)^(.*?\b(?:section|sections|s\.|ss\.)\s*)(\d+)(.*)$", 1)
-    after = F.regexp_extract(claim, r"(?is)^(.*?\b(?:section|sections|s\.|ss\.)\s*)(\d+)(.*)$", 3)
-    return F.when(n.isNotNull(), F.concat(rest, (n + delta).cast("string"), after))
-
-
 def segments(text: Column, limit: int = config.SUMMARY_SEGMENT_CHARS) -> Column:
     """Paragraphs packed in order up to the limit; a paragraph that would overflow opens the next segment. Whole texts, no cut."""
     paragraphs = F.split(text, "\n\n")
@@ -100,6 +82,75 @@ def footnote_repair(number: Column, known: Column, largest: int = 395) -> Column
     return F.coalesce(F.get(F.filter(candidates, lambda c: F.array_contains(known, c)), F.lit(0)), F.get(F.filter(candidates, lambda c: F.regexp_extract(c, r"^(\d+)", 1).try_cast("int") <= largest), F.lit(0)))
 
 
+def verdict(cell: Column) -> Column:
+    """correct, wrong or unclear by how a reviewer's cell begins; null if it says none of them."""
+    v = F.trim(F.lower(cell))
+    return F.when(v.startswith("correct"), "correct").when(v.startswith("wrong"), "wrong").when(v.startswith("unclear"), "unclear")
+
+
+def number_spans(cell: Column) -> Column:
+    """struct(number, start, end) of the operative section numbers of a cell, in order."""
+    found = match_spans(cell, SECTION_NUMBER)
+    number = lambda x: F.regexp_extract(x["value"], r"^(\d+[A-Z]{0,2})", 1)
+    before = lambda x: F.substring(cell, F.greatest(x["start"] - 13, F.lit(1)), F.least(x["start"], F.lit(14)))
+    year = lambda x: number(x).rlike(r"^\d{4}$") & number(x).between("1800", "2100")
+    kept = F.filter(found, lambda x: ~before(x).rlike(CROSS_REFERENCE) & ~year(x))
+    return F.transform(kept, lambda x: F.struct(number(x).alias("number"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def section_headings(cell: Column) -> Column:
+    """struct(number, heading): the text from the end of each operative number to the start of the next; markers and shorter ones than three characters are left out."""
+    spans = number_spans(cell)
+    stops = F.concat(F.transform(F.slice(spans, F.lit(2), F.greatest(F.size(spans), F.lit(1))), lambda x: x["start"]), F.array(F.length(cell)))
+    raw = F.transform(F.arrays_zip(spans.alias("s"), stops.alias("stop")), lambda z: F.struct(z["s"]["number"].alias("number"), F.substring(cell, z["s"]["end"] + 1, z["stop"] - z["s"]["end"]).alias("t")))
+    clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^[\s.\-–—:;,―]+", ""), r"[\s.\-–—:;,]+$", ""), r"\s+", " "))
+    out = F.transform(raw, lambda z: F.struct(z["number"].alias("number"), clean(z["t"]).alias("heading")))
+    marker = lambda h: h.rlike("^(?:" + NEW_MARK + ")$") | F.lower(h).isin(*NO_HEADING)
+    return F.filter(out, lambda z: z["number"].isNotNull() & (F.length(z["heading"]) >= 3) & ~marker(z["heading"]))
+
+
+def long_repeat(text: Column, least: int = 150) -> Column:
+    """The first block of `least` characters, not at the text's start, that stood there before; null without one.
+
+    Only told, never cut: documents repeat themselves too. Blocks are compared by hash in one pass over the text.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _first_repeat(t, least))
+
+    return run(text)
+
+
+def _first_repeat(text: str, least: int) -> str | None:
+    n = len(text)
+    base, mod = 1_000_003, (1 << 61) - 1
+    if n < 2 * least:
+        return None
+    power, h, first = pow(base, least - 1, mod), 0, {}
+    for c in text[:least]:
+        h = (h * base + ord(c)) % mod
+    for start in range(n - least + 1):
+        if start:
+            h = ((h - ord(text[start - 1]) * power) * base + ord(text[start + least - 1])) % mod
+        at = first.setdefault(h, start)
+        if at < start and least <= start < n - least and text.startswith(text[start : start + least], at):
+            return text[at : start + least]
+    return None
+
+
+def cut_leak(text: Column, prompt: str) -> Column:
+    """A transcript cut where the prompt itself begins."""
+    at = F.position(F.lit(prompt), text)
+    return F.when(at > 0, F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")).otherwise(text)
+
+
+def english_page(text: Column, least: float = 0.9, letters: int = 40) -> Column:
+    """Whether a page has enough letters and at least this share of them is ASCII."""
+    n = F.length(F.regexp_replace(text, r"\P{L}", ""))
+    return F.coalesce((n >= letters) & (F.length(F.regexp_replace(text, "[^A-Za-z]", "")) / n >= least), F.lit(False))
+
+
 def best_window(pairs: DataFrame, claim: str, passage: str, order: str, hits: str, least: float = config.CLAIM_OVERLAP) -> DataFrame:
     """Each claim's passage with the most shared words, the first on a tie, if the overlap reaches the least."""
     return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(claim).orderBy(F.desc(hits), F.asc(order)))).where((F.col("__n") == 1) & (F.col("overlap") >= least)).drop("__n")

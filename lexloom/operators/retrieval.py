@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +19,26 @@ def scoped(df: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(scope.select(*keys).distinct(), keys, "left_semi")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int = config.RETRIEVE_TOP_K) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int = config.RETRIEVE_TOP_K, owner: str | None = None) -> DataFrame:
     """Okapi BM25: query_id, doc_id, score (6 decimals), rank; ties by doc_id.
 
+    With an owner column on both sides a query sees its owner's documents only, statistics included.
     A term in more than half of the documents gets epsilon times the mean idf. Query terms count as
-    often as they occur. Only postings of query terms are kept, so the join is on terms, not on all pairs.
+    often as they occur. Document frequencies move one row per distinct term of a task; of the documents'
+    words only those that some query asks for become postings.
     """
-    toks = docs.select(F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("w"))
-    stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
-    postings = toks.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # stats is one row
-    raw = df.withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, config.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hit = terms.join(idf, "term").join(postings, "term")
+    own = [F.col(owner).alias("owner") if owner else F.lit(0).alias("owner")]
+    toks = docs.select(*own, F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("w"))
+    stats = toks.groupBy("owner").agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
+    df = toks.select("owner", F.explode(F.array_distinct("w")).alias("term")).groupBy("owner", "term").agg(F.count("*").alias("df"))
+    raw = df.join(stats, "owner").withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.groupBy("owner").agg(F.avg("raw").alias("mean_idf"))
+    idf = raw.join(mean, "owner").select("owner", "term", "avgdl", F.when(F.col("raw") < 0, config.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    terms = queries.select(*own, F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("owner", "query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = terms.select("owner", "term").distinct()
+    said = toks.select("owner", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, ["owner", "term"], "left_semi")
+    postings = said.groupBy("owner", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    hit = terms.join(idf, ["owner", "term"]).join(postings, ["owner", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (config.BM25_K1 + 1) / (F.col("tf") + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, "query_id", k)
@@ -46,13 +53,35 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_TOP_K) -> DataFrame:
-    """Flat inner-product search of a stated query set: query_id, doc_id, score (6 decimals), rank.
+def dense(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_TOP_K, query_block: int = 4096, vector_block: int = 65536) -> DataFrame:
+    """Flat inner-product search of a stated query set: query_id, doc_id, score (6 decimals), rank; ties by doc_id.
 
-    vectors: (doc_id, v); queries: (query_id, q). Every query meets every vector once; the partial
-    top-k of a task is cut before the exchange.
+    vectors: (doc_id, v); queries: (query_id, q). Both are dealt into blocks of bounded size; each pair of blocks is one
+    task's matrix product, of which only the best k for each query go on.
     """
-    return top_k(vectors.crossJoin(queries).select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), "query_id", k)
+    n_vectors, n_queries = vectors.count(), queries.count()
+    across, down = max(1, -(-n_queries // query_block)), max(1, -(-n_vectors // vector_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = vectors.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(down)).cast("int").alias("row")).withColumn("col", every(across))
+    b = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int").alias("col")).withColumn("row", every(down))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            matrix = lambda t, c: np.array(t[c].combine_chunks().values, np.float64).reshape(t.num_rows, -1)
+            ids, q_ids, q = left["doc_id"].to_numpy(), right["query_id"].to_numpy(), matrix(right, "q")
+            v = matrix(left, "v")
+            for at in range(0, len(q), 256):
+                scores = np.round(q[at : at + 256] @ v.T, 6)
+                for i, row in enumerate(scores):
+                    cut = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    best = cut[np.lexsort((ids[cut], -row[cut]))[:k]]
+                    out.append((np.full(len(best), q_ids[at + i]), ids[best], row[best]))
+        cols = [np.concatenate(x) if x else np.array([]) for x in (zip(*out) if out else ((), (), ()))]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "doc_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+
+    found = a.groupBy("row", "col").cogroup(b.groupBy("row", "col")).applyInArrow(run, "query_id long, doc_id long, score double")
+    return top_k(found, "query_id", k)
 
 
 def fuse(runs: DataFrame, k: int = config.RETRIEVE_TOP_K, c: int = config.RRF_K) -> DataFrame:
@@ -61,9 +90,20 @@ def fuse(runs: DataFrame, k: int = config.RETRIEVE_TOP_K, c: int = config.RRF_K)
     return top_k(scored, "query_id", k)
 
 
-def pool(runs: DataFrame, depth: int = config.POOL_DEPTH, c: int = config.RRF_K) -> DataFrame:
-    """Judgment pool with ranks from 1: score, best_rank and the methods that found each document."""
+def pool(runs: DataFrame, depth: int = config.POOL_DEPTH, c: int = config.RRF_K, most: int | None = None) -> DataFrame:
+    """Judgment pool with ranks from 1: score, best_rank, the methods that found each document, and its place; at most `most` of each query."""
     near = runs.where(F.col("rank") <= depth)
-    return near.groupBy("query_id", "doc_id").agg(
+    scored = near.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(1.0 / (c + F.col("rank"))), 9).alias("score"), F.min("rank").alias("best_rank"), F.array_sort(F.collect_set("method")).alias("found_by")
     )
+    placed = scored.withColumn("pooled_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return placed.where(F.col("pooled_rank") <= most) if most else placed
+
+
+def rerank(candidates: DataFrame, scores: Column, k: int = config.RERANK_TOP_K, floor: float | None = None) -> DataFrame:
+    """The best k of each query's candidates by a reranker's score; equal scores keep the order of the candidates' rank."""
+    scored = candidates.withColumn("rerank_score", scores)
+    if floor is not None:
+        scored = scored.where(F.col("rerank_score") >= floor)
+    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    return scored.withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= k)

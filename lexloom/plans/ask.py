@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom import config
 from lexloom.functions import text as T
 from lexloom.operators import chunking, claims as C, retrieval
 from lexloom.sources.tables import table
 
 
-def bm25_scoped(chunks: DataFrame, questions: DataFrame, k: int = config.RETRIEVE_TOP_K) -> DataFrame:
-    """Okapi BM25 where each question sees its owner's chunks only, statistics included.
-
-    chunks (owner, doc_id, chunk, text), questions (question_id, owner, question). Ties by doc_id, chunk.
-    """
-    toks = chunks.select("owner", "doc_id", "chunk", T.tokens(F.col("text")).alias("w"))
-    stats = toks.groupBy("owner").agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
-    postings = toks.select("owner", "doc_id", "chunk", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("owner", "doc_id", "chunk", "dl", "term").agg(F.count("*").alias("tf"))
-    raw = postings.groupBy("owner", "term").agg(F.count("*").alias("df")).join(stats, "owner").withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.groupBy("owner").agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.join(mean, "owner").select("owner", "term", "avgdl", F.when(F.col("raw") < 0, config.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    terms = questions.select("question_id", "owner", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("question_id", "owner", "term").agg(F.count("*").alias("qtf"))
-    hit = terms.join(idf, ["owner", "term"]).join(postings, ["owner", "term"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (config.BM25_K1 + 1) / (F.col("tf") + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("question_id", "doc_id", "chunk").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "chunk")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def ask(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """question_id, outcome, reason, n_passages, passages, answer_text; documents (owner, doc_id, text).
 
@@ -37,7 +17,9 @@ def ask(documents: DataFrame, questions: DataFrame) -> DataFrame:
     A question whose scope holds no matching chunk has no claim and is refused.
     """
     chunks = chunking.slices(documents.select("owner", "doc_id", "text"), "text").select("owner", "doc_id", F.col("chunk_index").alias("chunk"), F.col("chunk_text").alias("text"))
-    ranked = bm25_scoped(chunks, questions).withColumnRenamed("doc_id", "parent_id")
+    chunks = chunks.select("owner", F.struct("doc_id", "chunk").alias("place"), "text")
+    ranked = retrieval.bm25(chunks, questions, "place", "text", "question_id", "question", owner="owner")
+    ranked = ranked.select(F.col("query_id").alias("question_id"), F.col("doc_id.doc_id").alias("parent_id"), "rank")
     top = chunking.small_to_big(ranked, "question_id", "parent_id", "rank")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("parent_rank", "parent_id"))), lambda p: p["parent_id"].cast("string"))
     made = top.groupBy("question_id").agg(ids.alias("passages")).withColumn("claim_id", F.lit(0))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexloom.plans import ask, evaluation_queries, record_queries, registry_queries, text_queries
+from lexloom.plans import ask, evaluation_queries, perturbation_queries, record_queries, registry_queries, text_queries
 
-QUERIES = {"ask": ask.flagship, **text_queries.QUERIES, **registry_queries.QUERIES, **evaluation_queries.QUERIES, **record_queries.QUERIES}
-SQL = {"ask": ask.FLAGSHIP_SQL, **text_queries.SQL, **registry_queries.SQL, **evaluation_queries.SQL, **record_queries.SQL}
+_PARTS = (text_queries, registry_queries, evaluation_queries, record_queries, perturbation_queries)
+QUERIES = {"ask": ask.flagship, **{name: f for part in _PARTS for name, f in part.QUERIES.items()}}
+SQL = {"ask": ask.FLAGSHIP_SQL, **{name: sql for part in _PARTS for name, sql in part.SQL.items()}}

@@ -124,9 +124,9 @@ def acceptance_summary(spark, sf_dir):
     return a.crossJoin(h)  # one row each
 
 
-_RANK_SQL = """q AS (SELECT DISTINCT o_custkey AS query_id FROM orders WHERE o_custkey % 7 = 0),
-ranked AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey * 7919) % 1009, o_orderkey) AS rank FROM orders WHERE o_custkey % 7 = 0),
-judged AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, (o_orderkey % 3)::DOUBLE AS gain FROM orders WHERE o_custkey % 7 = 0 AND o_orderkey % 3 > 0 AND o_custkey % 5 > 0),
+_RANK_SQL = """q AS (SELECT DISTINCT o_custkey AS query_id FROM orders),
+ranked AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey * 7919) % 1009, o_orderkey) AS rank FROM orders),
+judged AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, (o_orderkey % 3)::DOUBLE AS gain FROM orders WHERE o_orderkey % 3 > 0 AND o_custkey % 5 > 0),
 ideal AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS i FROM judged),
 best AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) END) AS idcg FROM ideal GROUP BY query_id),
 hit AS (SELECT r.query_id, count(*) FILTER (rank <= 5 AND gain IS NOT NULL) AS h5, count(*) FILTER (rank <= 5) AS s5, count(*) FILTER (rank <= 10 AND gain IS NOT NULL) AS h10, count(*) FILTER (rank <= 10) AS s10, count(*) FILTER (rank <= 20 AND gain IS NOT NULL) AS h20, count(*) FILTER (rank <= 20) AS s20,
@@ -136,7 +136,7 @@ per AS (SELECT q.query_id, coalesce(h5::DOUBLE / relevant, 0) AS recall5, coales
 
 
 def _per_query(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))
     ranked = o.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("doc_id") * 7919 % 1009, "doc_id")))
     judged = o.where("doc_id % 3 > 0 AND query_id % 5 > 0").withColumn("gain", (F.col("doc_id") % 3).cast("double"))
     return E.retrieval_per_query(ranked, judged, o.select("query_id").distinct())
@@ -277,18 +277,28 @@ def platt_proba(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(p, 6).alias("p_answer"), (p < config.OOS_DECISION_THRESHOLD).alias("is_oos"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT (doc_id % 100)::DOUBLE / 50 - 1 AS x, quality::DOUBLE AS y, count(*)::DOUBLE AS c FROM labels WHERE quality IS NOT NULL GROUP BY ALL),
+r(i, a, b) AS (SELECT 0, 1::DOUBLE, 0::DOUBLE UNION ALL SELECT i + 1, a - 0.1::DOUBLE * (sum(c * (1 / (1 + exp(-(a * x + b))) - y) * x) / sum(c)), b - 0.1::DOUBLE * (sum(c * (1 / (1 + exp(-(a * x + b))) - y)) / sum(c)) FROM r, p WHERE i < 100 GROUP BY i, a, b)
+SELECT round(a, 6) AS slope, round(b, 6) AS "offset" FROM r WHERE i = 100""")
 def platt_fit(spark, sf_dir):
-    """Slope and offset after 100 rounds; tests compare with plain Python."""
+    """Slope and offset after 100 rounds."""
     pairs = table(spark, sf_dir, "labels").select((F.col("doc_id") % 100 / 50.0 - 1).alias("x"), F.col("quality").cast("double").alias("y"))
     a, b = E.platt_fit(pairs, "x", "y")
     return spark.createDataFrame([(round(a, 6), round(b, 6))], "slope double, offset double")
 
 
-@query()
+_POISSON = E.POISSON
+
+
+@query("WITH d AS (SELECT doc_id AS i, quality * 0.9::DOUBLE - (doc_id % 7)::DOUBLE / 7 AS d FROM labels WHERE quality IS NOT NULL), "
+  + "u AS (SELECT r, d, ('0x' || substr(md5('42:' || r || ':' || i), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM d, range(1, " + str(config.BOOTSTRAP_ROUNDS + 1) + ") x(r)), "
+  + "w AS (SELECT r, d, CASE " + " ".join(f"WHEN u < {upto!r}::DOUBLE THEN {k}" for upto, k in _POISSON) + " ELSE 8 END AS w FROM u), "
+  + """m AS (SELECT r, sum(w * d) / nullif(sum(w), 0) AS m FROM w GROUP BY r), c AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)
+SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(d) FROM d), 6) AS mean_difference, round((SELECT avg(d) / stddev_samp(d) FROM d), 6) AS cohens_d, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM c""")
 def paired_bootstrap(spark, sf_dir):
-    pairs = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 0.9).alias("a"), (F.col("doc_id") % 7 / 7.0).alias("b"))
-    return E.paired_bootstrap(pairs, "doc_id", "a", "b", rounds=config.BOOTSTRAP_ROUNDS)
+    pairs = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", (F.col("quality") * 0.9).alias("a"), (F.col("doc_id") % 7 / 7.0).alias("b"))
+    got = E.paired_bootstrap(pairs, "doc_id", "a", "b", rounds=config.BOOTSTRAP_ROUNDS)
+    return got.select("n", *[F.round(c, 6).alias(c) for c in ("mean_difference", "cohens_d", "low", "high")], "significant")
 
 
 @query("""SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 'official' ELSE 'parsed' END) || '/' || (CASE p_partkey % 3 WHEN 0 THEN 's' WHEN 1 THEN 'art' ELSE 'r' END) || '/' || (CASE WHEN p_size >= 50 THEN 'high' WHEN p_size >= 5 THEN 'mid' WHEN p_size >= 1 THEN 'low' ELSE 'none' END) AS stratum FROM part""")
@@ -334,10 +344,9 @@ _SH = rf"""n AS (SELECT doc_id, list_filter(string_split({_NORM}, ' '), lambda x
 s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS s FROM n WHERE len(w) > 0),
 node AS (SELECT s, min(doc_id) AS doc_id, len(s) AS n FROM s GROUP BY s),
 flat AS (SELECT doc_id, n, unnest(s) AS g FROM node),
-rare AS (SELECT g FROM flat GROUP BY g HAVING count(*) BETWEEN 2 AND 200),
-it AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9 WHERE a.g IN (FROM rare) GROUP BY ALL),
-pairs AS (SELECT it.a, it.b, len(list_intersect(x.s, y.s)) AS i, na, nb FROM it JOIN node x ON x.doc_id = it.a JOIN node y ON y.doc_id = it.b),
-near AS (SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS jaccard FROM pairs WHERE i::DOUBLE / (na + nb - i) >= 0.9::DOUBLE - 1e-9)"""
+it AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9 GROUP BY ALL),
+near AS (SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS jaccard FROM it WHERE i::DOUBLE / (na + nb - i) >= 0.9::DOUBLE - 1e-9
+  UNION ALL SELECT node.doc_id, s.doc_id, 1::DOUBLE FROM s JOIN node ON s.s = node.s WHERE s.doc_id <> node.doc_id)"""
 
 
 def _near(spark, sf_dir):
@@ -381,10 +390,9 @@ def split_join(spark, sf_dir):
 
 @query(f"""WITH s AS (SELECT doc_id, text, {_SPLIT}) SELECT b.item_id, count(*) AS n_train FROM benchmark b JOIN s ON contains(s.text, b.text) WHERE s.split = 'train' GROUP BY b.item_id""")
 def leakage_check(spark, sf_dir):
-    """Benchmark items inside training documents: a stated query set, each document scanned once."""
+    """Benchmark items inside training documents."""
     s = corpus.hash_split(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("split = 'train'")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
-    return s.join(b, F.contains("text", "needle")).groupBy("item_id").agg(F.count("*").alias("n_train"))
+    return corpus.containing(s, table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text").groupBy("item_id").agg(F.count("*").alias("n_train"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, {_SPLIT}), n AS (SELECT doc_id, md5({_NORM}) AS m FROM documents), p AS (SELECT n.doc_id, min(n.doc_id) OVER (PARTITION BY m) AS rep FROM n)

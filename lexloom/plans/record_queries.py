@@ -9,6 +9,7 @@ from lexloom.functions import measures as M
 from lexloom.functions import text as T
 from lexloom.operators import evaluation as E
 from lexloom.operators import records as R
+from lexloom.operators.ordering import ranked, ranked_within
 from lexloom.sources.files import html_rows
 from lexloom.sources.tables import table
 
@@ -35,22 +36,50 @@ def html_table_rows(spark, sf_dir):
     return rows.select("p_partkey", F.size("c").cast("bigint").alias("n_cells"), F.array_join("c", "|").alias("cells"))
 
 
-_CELLS = [
-    ("Bharatiya Nyaya Sanhita", "Indian Penal Code"), ("CHAPTER I", "Chapter I"), ("318. Cheating", "420. Cheating"), ("Deleted", "124A. Sedition"), ("111. Organised crime", "New Section"),
-    ("2(3) child", "10. Man"), ("63. Rape, see section 84. of the Sanhita, 2023.", "375. Rape"), ("nothing here", "nothing there"),
-]
-_CLASS_SQL = ["header", "chapter", "maps_to", "repealed_no_successor", "new_provision", "maps_to", "maps_to", "unparsed"]
-_NEW_SQL = ["", "", "318", "", "111", "2", "63", ""]
+# cells built from columns; for each kind of row: left cell, right cell, class, new section numbers, and the headings of the right cell
+_ROWS = (
+    ("'Bharatiya Nyaya Sanhita'", "'Indian Penal Code'", "header", "''", "''"),
+    ("'CHAPTER ' || p_size", "'Of offences'", "chapter", "''", "''"),
+    ("'General'", "'Part ' || p_size", "chapter", "''", "''"),
+    ("'Schedule'", "'420. Cheating'", "chapter", "''", "'420=Cheating'"),
+    ("n || '. Cheating'", "o || 'A. Cheating by  person'", "maps_to", "n || ''", "o || 'A=Cheating by person'"),
+    ("n || '- Theft 7 days ' || (n + 1) || '. Robbery'", "o || '. Theft'", "maps_to", "n || ',' || (n + 1)", "o || '=Theft'"),
+    ("'Deleted'", "o || 'B. Sedition ' || (o + 1) || '- Conspiracy, see section 9. there'", "repealed_no_successor", "''", "o || 'B=Sedition,' || (o + 1) || '=Conspiracy, see section 9. there'"),
+    ("''", "o || '. Old offence. Repealed'", "repealed_no_successor", "''", "o || '=Old offence. Repealed'"),
+    ("n || '. Organised crime'", "'New Section'", "new_provision", "n || ''", "''"),
+    ("n || '. Snatching'", "'New provision'", "new_provision", "n || ''", "''"),
+    ("'no number'", "'New sub-section'", "unparsed", "''", "''"),
+    ("n || '(2) child'", "o || '. Man'", "maps_to", "n || ''", "o || '=Man'"),
+    ("n || '. Rape, see section 84. of the Sanhita, 2023.'", "o || '. Omitted'", "maps_to", "n || ''", "''"),
+    ("'nothing here'", "'nothing there'", "unparsed", "''", "''"),
+)
+_BASE = "SELECT p_partkey, p_size, p_partkey % 14 AS kind, 100 + p_partkey % 300 AS n, 100 + p_size AS o FROM part"
+_CASE = lambda i: "CASE kind " + " ".join(f"WHEN {k} THEN {r[i] if i != 2 else repr(r[i])}" for k, r in enumerate(_ROWS)) + " END"
+
+
+def _cells(spark, sf_dir):
+    base = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 14).alias("kind"), (F.col("p_partkey") % 300 + 100).alias("n"), (F.col("p_size") + 100).alias("o"))
+    return base.select("p_partkey", F.expr(_CASE(0)).alias("l"), F.expr(_CASE(1)).alias("r"))
+
+
+@query(f"SELECT p_partkey, {_CASE(2)} AS row_class, {_CASE(3)} AS new_sections FROM ({_BASE})")
+def correspondence_rows(spark, sf_dir):
+    return _cells(spark, sf_dir).select("p_partkey", R.correspondence_class(F.col("l"), F.col("r")).alias("row_class"), F.array_join(R.operative_sections(F.col("l")), ",").alias("new_sections"))
 
 
-@query(f"SELECT p_partkey, {_CLASS_SQL}[p_partkey % 8 + 1] AS row_class, {_NEW_SQL}[p_partkey % 8 + 1] AS new_sections FROM part")
-def correspondence_rows(spark, sf_dir):
-    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in _CELLS]), (F.col("p_partkey") % 8 + 1).cast("int"))
-    df = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("l"), pick(1).alias("r"))
-    return df.select("p_partkey", R.correspondence_class(F.col("l"), F.col("r")).alias("row_class"), F.array_join(R.operative_sections(F.col("l")), ",").alias("new_sections"))
+@query(f"SELECT {_CASE(2)} AS row_class, count(*) AS n FROM ({_BASE}) GROUP BY 1")
+def parse_stats(spark, sf_dir):
+    return _cells(spark, sf_dir).groupBy(R.correspondence_class(F.col("l"), F.col("r")).alias("row_class")).agg(F.count("*").alias("n"))
+
 
+@query(f"SELECT p_partkey, {_CASE(4)} AS headings FROM ({_BASE})")
+def section_headings(spark, sf_dir):
+    """The heading of each operative number: from its end to the start of the next."""
+    h = F.transform(R.section_headings(F.col("r")), lambda x: F.concat(x["number"], F.lit("="), x["heading"]))
+    return _cells(spark, sf_dir).select("p_partkey", F.array_join(h, ",").alias("headings"))
 
-_DATED = "CASE doc_id % 3 WHEN 0 THEN 'Judgment delivered on 15th January, ' || (1950 + doc_id % 90) || '. ' ELSE '' END || left(text, 300)"
+
+_DATED = "CASE doc_id % 3 WHEN 0 THEN 'Judgment delivered on 15th January, ' || (1950 + doc_id % 90) || '. ' ELSE '' END || text"
 
 
 @query(f"""WITH y AS (SELECT doc_id, nullif(regexp_extract(regexp_extract(left({_DATED}, 1000), '(?i)(?:delivered\\s+on|pronounced\\s+on|decided\\s+on|dated)\\s*[:\\-]?\\s*([^\\n.]{{0,40}})', 1), '\\b((?:18|19|20)\\d{{2}})\\b', 1), '') AS y FROM documents)
@@ -69,31 +98,15 @@ def date_parse(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", M.parse_date(v).cast("string").alias("parsed"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, left(text, 200) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || left(text, 120) ELSE '' END AS t FROM documents),
+@query(r"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || text ELSE '' END AS t FROM documents),
 c AS (SELECT doc_id, t, CASE WHEN length(t) > 40 THEN strpos(substr(t, 41), left(t, 40)) ELSE 0 END AS pos FROM t)
 SELECT doc_id, md5(CASE WHEN pos > 0 THEN rtrim(left(t, pos + 39), ' ') ELSE t END) AS cut_md5 FROM c""")
 def loop_cut(spark, sf_dir):
-    t = F.concat(F.left("text", F.lit(200)), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), F.left("text", F.lit(120)))).otherwise(""))
+    """Whole texts, half of them followed by themselves."""
+    t = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), "text")).otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.md5(R.cut_loop(F.col("t"))).alias("cut_md5"))
 
 
-_DUTY = ["The tenant shall not pay.", "The tenant shall pay.", "He must not appeal; he must wait.", "The heir is entitled to rent.", "No duty here."]
-_DUTY_OUT = ["The tenant shall pay.", "The tenant shall not pay.", "He must appeal; he must wait.", "The heir is not entitled to rent.", None]
-
-
-@query("SELECT p_partkey, [" + ", ".join("NULL" if x is None else f"'{x}'" for x in _DUTY_OUT) + "][p_partkey % 5 + 1] AS negated FROM part")
-def negate_claims(spark, sf_dir):
-    claim = F.element_at(F.array(*[F.lit(x) for x in _DUTY]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", claim.alias("c")).select("p_partkey", R.negate(F.col("c")).alias("negated"))
-
-
-@query()
-def perturb_claims(spark, sf_dir):
-    """A section number moved by a delta that a hash picks; tests check the properties."""
-    claim = F.concat(F.lit("Held under Section "), F.col("p_size").cast("string"), F.lit("A of the Act."))
-    return table(spark, sf_dir, "part").select("p_partkey", claim.alias("claim")).withColumn("perturbed", R.shift_section(F.col("claim"), F.col("p_partkey")))
-
-
 @query("""WITH RECURSIVE t AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS p FROM documents),
 s AS (SELECT doc_id, p, 0 AS i, '' AS buf, []::VARCHAR[] AS out FROM t UNION ALL SELECT doc_id, p, i + 1, CASE WHEN length(buf) + length(p[i + 1]) > 3000 THEN p[i + 1] ELSE buf || chr(10) || chr(10) || p[i + 1] END, CASE WHEN length(buf) + length(p[i + 1]) > 3000 THEN list_append(out, buf) ELSE out END FROM s WHERE i < len(p))
 SELECT doc_id, len(list_filter(list_append(out, buf), lambda x: regexp_matches(x, '\\S'))) AS n_segments, md5(array_to_string(list_filter(list_append(out, buf), lambda x: regexp_matches(x, '\\S')), '|')) AS segments_md5 FROM s WHERE i = len(p)""".replace("\\\\S", "\\S"))
@@ -118,9 +131,8 @@ def outer_json(spark, sf_dir):
 
 @query("SELECT p_partkey, ['correct', 'wrong', 'unclear', NULL][p_partkey % 4 + 1] AS verdict FROM part")
 def verdict_normalise(spark, sf_dir):
-    raw = F.trim(F.lower(F.element_at(F.array(*[F.lit(x) for x in (" Correct!", "WRONG - see 12", "unclear?", "n/a")]), (F.col("p_partkey") % 4 + 1).cast("int"))))
-    v = F.when(raw.startswith("correct"), "correct").when(raw.startswith("wrong"), "wrong").when(raw.startswith("unclear"), "unclear")
-    return table(spark, sf_dir, "part").select("p_partkey", v.alias("verdict"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in (" Correct!", "WRONG - see 12", "unclear?", "n/a")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.verdict(raw).alias("verdict"))
 
 
 @query("""SELECT conv_id, '<untrusted_document_content>' || chr(10) || string_agg('[p' || turn || '] ' || md5(text), chr(10) ORDER BY turn, md5(text)) || chr(10) || '</untrusted_document_content>' AS fenced FROM conversations GROUP BY conv_id""")
@@ -158,9 +170,10 @@ def split_disjoint(spark, sf_dir):
 SELECT event_type, n, round((SELECT avg(value) FROM w x WHERE x.event_type = w.event_type), 6) AS mean, round(value, 6) AS upper_median FROM w WHERE i = n // 2 + 1""")
 def wer_stats(spark, sf_dir):
     """Mean and upper median over successes."""
-    e = table(spark, sf_dir, "events").where("event_id % 17 > 0").withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")))
+    e = table(spark, sf_dir, "events").where("event_id % 17 > 0").select("event_type", "value", "event_id")
     n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    return e.join(n, "event_type").where("i = n div 2 + 1").select("event_type", "n", "mean", F.round("value", 6).alias("upper_median"))
+    placed = ranked_within(e, "event_type", F.col("value"), F.col("event_id"))
+    return placed.join(n, "event_type").where("rank = n div 2").select("event_type", "n", "mean", F.round("value", 6).alias("upper_median"))
 
 
 @query("""SELECT conv_id, turn, (length(text) + 40) // 4 AS tokens, round((length(text) + 40) // 4 * 2e-7::DOUBLE, 9) AS usd FROM conversations""")
@@ -187,15 +200,16 @@ def mean_pool_normalise(spark, sf_dir):
 
 @query("""SELECT doc_id, rater, row_number() OVER (PARTITION BY rater ORDER BY sha256('42:' || rater || ':' || doc_id), doc_id) AS place FROM labels, (VALUES ('r1'), ('r2')) v(rater)""")
 def rater_queue_order(spark, sf_dir):
-    q = table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(F.lit("r1"), F.lit("r2"))).alias("rater"))
     order = F.sha2(F.concat(F.lit("42:"), "rater", F.lit(":"), F.col("doc_id").cast("string")), 256)
-    return q.withColumn("place", F.row_number().over(Window.partitionBy("rater").orderBy(order, "doc_id")).cast("bigint"))
+    q = table(spark, sf_dir, "labels").select("doc_id", F.explode(F.array(F.lit("r1"), F.lit("r2"))).alias("rater")).withColumn("o", order)
+    return ranked_within(q, "rater", F.col("o"), F.col("doc_id")).select("doc_id", "rater", (F.col("rank") + 1).alias("place"))
 
 
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY regexp_extract(p_size || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END, '^(\\d+)', 1)::INT, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END, p_partkey) AS place FROM part""")
 def numeric_prefix_order(spark, sf_dir):
     n = F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise(""))
-    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(Window.partitionBy(F.col("p_partkey") % 10).orderBy(F.regexp_extract(n, r"^(\d+)", 1).cast("int"), n, "p_partkey")).cast("bigint").alias("place"))
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("g"), F.regexp_extract(n, r"^(\d+)", 1).cast("int").alias("i"), n.alias("n"))
+    return ranked_within(p, "g", F.col("i"), F.col("n"), F.col("p_partkey")).select("p_partkey", (F.col("rank") + 1).alias("place"))
 
 
 _MAP = "'{\"facts\": \"f' || doc_id || '\", \"statute\": \"\", \"analysis\": \"a\"}'"
@@ -282,12 +296,11 @@ def audit_priority(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", stratum.alias("stratum"), F.when(single & high, "1-critical").when(single, "2-high").when(high, "3-medium").otherwise("4-routine").alias("priority"))
 
 
-@query("""WITH r AS (SELECT 'W' || lpad(row_number() OVER (ORDER BY p_size DESC, p_partkey)::VARCHAR, 4, '0') AS row_id, p_partkey FROM part WHERE p_partkey % 20 = 0) SELECT row_id, p_partkey FROM r""")
+@query("""SELECT 'W' || lpad(row_number() OVER (ORDER BY p_size DESC, p_partkey)::VARCHAR, 8, '0') AS row_id, p_partkey FROM part""")
 def worksheet_rows(spark, sf_dir):
     """A sheet for human raters: its rows are numbered in one order."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select("p_partkey", "p_size")
-    n = F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey"))
-    return p.select(F.concat(F.lit("W"), F.lpad(n.cast("string"), 4, "0")).alias("row_id"), "p_partkey")
+    p = ranked(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.desc("p_size"), F.col("p_partkey"))
+    return p.select(F.concat(F.lit("W"), F.lpad((F.col("rank") + 1).cast("string"), 8, "0")).alias("row_id"), "p_partkey")
 
 
 @query("""WITH s AS (SELECT c.conv_id, a.turn AS claim, b.turn AS passage, len(list_intersect(regexp_extract_all(lower(a.text), '[a-z]{3,}'), regexp_extract_all(lower(b.text), '[a-z]{3,}'))) AS hits, len(list_distinct(regexp_extract_all(lower(a.text), '[a-z]{3,}'))) AS n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom import config
 from lexloom.functions import text as T
+from lexloom.functions.unicode import normal_form
 from lexloom.operators import chunking, retrieval
 from lexloom.sources.tables import table
 
@@ -24,8 +25,16 @@ def query(sql: str | None = None):
     return register
 
 
-#: A judgment-like text from the columns of documents: three kinds of boundary, a PAN and a phone number.
-F4_SQL = """'Section ' || (1 + doc_id % 40) || '. Scope' || chr(10) || left(text, 700) || chr(10) || '(2) WHEREAS ' || left(text, 120) || chr(10) || 'Clause ' || (doc_id % 7) || 'A. Notice to ABCDE' || (1000 + doc_id % 9000) || 'F or 98' || (10000000 + doc_id) || '.'"""
+#: A judgment-like text around each whole text of documents: three kinds of boundary, a page break, a PAN, a phone number, and a mail address that holds a phone number.
+F4_SQL = """'Section ' || (1 + doc_id % 40) || '. Scope' || chr(10) || text || chr(10) || '(2) WHEREAS the party of ' || source || chr(10) || chr(12) || chr(10) || 'Clause ' || (doc_id % 7) || 'A. Notice to ABCDE' || (1000 + doc_id % 9000) || 'F or 98' || (10000000 + doc_id) || ' or 97' || (10000000 + doc_id) || '@post.example.'"""
+
+
+def spans_sql(source: str, pattern: str, columns: str = "", group: int = 0) -> str:
+    """Rows (doc_id, columns, i, s, e, value, label) of all matches in t of source (doc_id, t): places by prefix sums over gaps and matches."""
+    extra = f"{columns}, " if columns else ""
+    return rf"""SELECT doc_id, {extra}i, (upto - length(m[i]))::BIGINT AS s, upto::BIGINT AS e, m[i] AS value, g[i] AS label FROM (
+  SELECT *, sum(length(gap[i]) + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM (
+    SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS gap FROM {source})))"""
 
 
 def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +71,9 @@ def table_counts(spark, sf_dir):
     return out
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM documents""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM documents""")
 def normalise_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.spaces(F.col("text"))).alias("clean_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.spaces(normal_form(F.col("text")))).alias("clean_md5"))
 
 
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' धारा' ELSE text END AS t FROM documents)
@@ -105,12 +114,15 @@ m AS (SELECT doc_id, t, regexp_extract_all(t, '{_BOUNDARY_SQL}', 0) AS m, regexp
 f AS (SELECT doc_id, t, i, sum(length(gap[i]) + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i) - length(m[i]) AS pos, trim(g[i]) AS label FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
 z AS (SELECT doc_id, t, pos, label FROM f UNION ALL SELECT t.doc_id, t.t, 0, NULL FROM t LEFT JOIN (SELECT doc_id, min(pos) AS a FROM f GROUP BY doc_id) x ON t.doc_id = x.doc_id WHERE coalesce(x.a, 1) > 0),
 p AS (SELECT doc_id, pos, label, substr(t, pos::BIGINT + 1, (coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(t)) - pos)::BIGINT) AS piece FROM z),
-c AS (SELECT doc_id, pos, label, pos + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS s, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS body FROM p)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS para_no, label AS section_label, s::BIGINT AS char_start, (s + length(body))::BIGINT AS char_end, md5(body) AS chunk_md5,
-  CASE WHEN length(body) > 400 THEN ceil(length(body) / 400.0)::BIGINT ELSE 0 END AS n_children, length(body) <= 400 AS bm25_indexed FROM c WHERE length(body) > 0""")
+c AS (SELECT doc_id, pos, label, pos + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS s, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS body, length(piece) - length(replace(piece, chr(12), '')) AS breaks FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS para_no, sum(breaks) OVER (PARTITION BY doc_id ORDER BY pos) + 1 AS page_no, 'ch-' || doc_id || '-' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS id FROM c WHERE length(body) > 0),
+k AS (SELECT *, unnest(range(0, CASE WHEN length(body) > 400 THEN ceil(length(body) / 400::DOUBLE)::BIGINT ELSE 0 END)) AS i FROM n)
+SELECT doc_id, id AS chunk_id, NULL AS parent_chunk_id, para_no, label AS section_label, page_no::BIGINT AS page_no, s::BIGINT AS char_start, (s + length(body))::BIGINT AS char_end, md5(body) AS chunk_md5, length(body) <= 400 AS bm25_indexed FROM n
+UNION ALL SELECT doc_id, id || '-' || i, id, para_no, label, page_no::BIGINT, (s + 400 * i)::BIGINT, (s + 400 * i + length(substr(body, 400 * i + 1, 400)))::BIGINT, md5(substr(body, 400 * i + 1, 400)), true FROM k""")
 def clause_boundary_chunks(spark, sf_dir):
-    got = chunking.clauses(legal_texts(spark, sf_dir), "doc_id", "text")
-    return got.select("doc_id", F.col("para_no").cast("bigint"), "section_label", F.col("char_start").cast("bigint"), F.col("char_end").cast("bigint"), F.md5("chunk_text").alias("chunk_md5"), F.col("n_children").cast("bigint"), "bm25_indexed")
+    got = chunking.clause_chunks(legal_texts(spark, sf_dir), "doc_id", "text")
+    longs = [F.col(c).cast("bigint").alias(c) for c in ("para_no", "page_no", "char_start", "char_end")]
+    return got.select("doc_id", "chunk_id", "parent_chunk_id", "section_label", *longs, F.md5("chunk_text").alias("chunk_md5"), "bm25_indexed")
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*(br|/p|/div|hr)\s*/?\s*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS s FROM pages),
@@ -150,23 +162,23 @@ def header_noise_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", kept.alias("k")).select("doc_id", F.size("k").cast("bigint").alias("n_kept"), F.md5(F.array_join("k", "|")).alias("kept_md5"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, {F4_SQL} AS t FROM documents),
-m AS (SELECT doc_id, 1 AS p, 'IN_PAN' AS entity_type, unnest(regexp_extract_all(t, '\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\b')) AS value FROM t
-UNION ALL SELECT doc_id, 2, 'IN_AADHAAR', unnest(regexp_extract_all(t, '\b\d{{4}}\s\d{{4}}\s\d{{4}}\b|\b\d{{12}}\b')) FROM t
-UNION ALL SELECT doc_id, 3, 'EMAIL_ADDRESS', unnest(regexp_extract_all(t, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}\b')) FROM t
-UNION ALL SELECT doc_id, 4, 'PHONE_NUMBER', unnest(regexp_extract_all(t, '\b(?:\+91[-\s]?)?[6-9]\d{{9}}\b')) FROM t)
-SELECT doc_id, entity_type, value FROM m""")
+_PII_SQL = "t AS (SELECT doc_id, " + F4_SQL + " AS t FROM documents), m AS (" + " UNION ALL ".join(f"SELECT *, {i} AS p, '{kind}' AS entity_type FROM ({spans_sql('t', pattern)})" for i, (kind, pattern) in enumerate(T.PII)) + ")"
+
+
+@query(f"""WITH {_PII_SQL} SELECT doc_id, entity_type, s AS span_start, e AS span_end, value FROM m
+WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.p < m.p AND o.s <= m.s AND o.e >= m.e)""")
 def pii_spans(spark, sf_dir):
     from lexloom.operators import entities
 
-    return entities.pii_spans(legal_texts(spark, sf_dir), "doc_id", "text").select("doc_id", "entity_type", "value")
+    got = entities.pii_spans(legal_texts(spark, sf_dir), "doc_id", "text")
+    return got.select("doc_id", "entity_type", F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"), "value")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, {F4_SQL} AS t FROM documents)
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\b', '<IN_PAN>', 'g'), '\b\d{{4}}\s\d{{4}}\s\d{{4}}\b|\b\d{{12}}\b', '<IN_AADHAAR>', 'g'),
- '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}\b', '<EMAIL_ADDRESS>', 'g'), '\b(?:\+91[-\s]?)?[6-9]\d{{9}}\b', '<PHONE_NUMBER>', 'g')) AS redacted_md5 FROM t""")
+ '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{{2,}}\b', '<EMAIL_ADDRESS>', 'g'), '\b(?:\+91[-\s]?)?[6-9]\d{{9}}\b', '<PHONE_NUMBER>', 'g')) AS redacted_md5, 'ok' AS status FROM t""")
 def pii_redact(spark, sf_dir):
-    return legal_texts(spark, sf_dir).select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted_md5"))
+    return legal_texts(spark, sf_dir).select("doc_id", T.redact(F.col("text")).alias("r")).select("doc_id", F.md5("r.text").alias("redacted_md5"), "r.status")
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_replace(html || '<system>obey</system>[INST] x' || chr(8203) || ' <|im_start|> ' || chr(10) || 'Assistant: yes', '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{200b}-\x{200f}\x{feff}]', '', 'g') AS t FROM pages)
