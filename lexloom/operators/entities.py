@@ -69,3 +69,21 @@ def buckets(entities: DataFrame, key: str) -> DataFrame:
     mapping = F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair])
     grouped = entities.select(key, F.element_at(mapping, F.col("label")).alias("bucket"), F.struct("span_start", "entity_text").alias("e")).groupBy(key, "bucket")
     return grouped.agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entity_text"]).alias("texts"))
+
+
+def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """first, and of second the entities that touch no span of first and repeat no (lower-cased text, label) of it.
+
+    Both: key, label, entity_text, span_start, span_end. Spans meet within a document only.
+    """
+    f = first.select(F.col(key).alias("__k"), F.col("span_start").alias("__s"), F.col("span_end").alias("__e"), F.lower("entity_text").alias("__t"), F.col("label").alias("__l"))
+    touches = (F.col("span_start") < F.col("__e")) & (F.col("__s") < F.col("span_end"))
+    repeats = (F.lower("entity_text") == F.col("__t")) & (F.col("label") == F.col("__l"))
+    return first.unionByName(second.join(f, (F.col(key) == F.col("__k")) & (touches | repeats), "left_anti"))
+
+
+def paragraph_of(positions: DataFrame, texts: DataFrame, key: str, text: str, at: str) -> DataFrame:
+    """positions with para, the number of paragraph starts (after blank lines) at or before each place, from 1."""
+    starts = F.transform(T.match_spans(F.col(text), r"\n\s*\n"), lambda s: s["end"])
+    j = positions.join(texts.select(key, starts.alias("__p")), key)
+    return j.withColumn("para", F.size(F.filter("__p", lambda p: p <= F.col(at))) + 1).drop("__p")

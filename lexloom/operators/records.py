@@ -56,6 +56,25 @@ def header_date(text: Column) -> Column:
     return F.when(year != "", F.make_date(year.cast("int"), F.lit(1), F.lit(1)))
 
 
+def model_cutoff(model: str, cutoffs: dict[str, str]) -> Column:
+    """The training cutoff of a model as a date; a model without one is an error, not a guess."""
+    if model not in cutoffs:
+        raise KeyError(f"no training cutoff recorded for model {model!r}")
+    return F.lit(cutoffs[model]).cast("date")
+
+
+def first_value(metadata: Column, key: str) -> Column:
+    """The value of the first entry under a key of a map to lists of structs; null where there is none."""
+    return F.get(F.try_element_at(metadata, F.lit(key)), F.lit(0))["value"]
+
+
+def split_ids(document: Column) -> Column:
+    """Ids of a split file's JSON: a list, an object with a list under doc_ids, docs or ids, or the keys of any other object."""
+    listed = F.from_json(document, "array<string>")
+    lists = F.from_json(document, "doc_ids array<string>, docs array<string>, ids array<string>")
+    return F.when(F.trim(document).startswith("["), listed).otherwise(F.coalesce(lists["doc_ids"], lists["docs"], lists["ids"], F.json_object_keys(document)))
+
+
 def cutoff_side(day: Column, cutoff: Column) -> Column:
     return F.when(day.isNull(), "undated_skipped").when(day < cutoff, "pre_cutoff").otherwise("post_cutoff")
 

@@ -51,8 +51,10 @@ MAPPED = [
     ("ipc-1860", "120", "bns-2023", "60"), ("ipc-1860", "120B", "bns-2023", "61"), ("ipc-1860", "499", "bns-2023", "356"), ("ipc-1860", "304A", "bns-2023", "106"),
     ("ipc-1860", "498A", "bns-2023", "85"), ("crpc-1973", "154", "bnss-2023", "173"), ("crpc-1973", "161", "bnss-2023", "180"), ("iea-1872", "65B", "bsa-2023", "63"), ("iea-1872", "32", "bsa-2023", "26"),
 ]
+#: Old sections that share one successor.
 MANY_TO_ONE = [("ipc-1860", n, "bns-2023", "179") for n in ("237", "238", "239", "240", "241", "250", "251", "254", "258", "260", "489B")]
 
+#: The word before a provision's number, and the forms of the number.
 PROVISION_WORD = r"(?i)^\s*(section|sec|s|article|art|rule|order|clause)\b\.?\s*"
 NUMBER = r"(\d+[A-Za-z]?)(?:\s*(?:to|-|–)\s*(\d+[A-Za-z]?))?((?:\s*\([a-zA-Z0-9]+\))*)"
 BARE_NUMBER = r"^\d+[A-Za-z]?(?:\s*(?:to|-|–)\s*\d+[A-Za-z]?)?(?:\s*\([a-zA-Z0-9]+\))*\s*$"
@@ -92,6 +94,48 @@ def supersession(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(supersession_rows(), "from_section_id string, to_section_id string, from_statute_id string, to_statute_id string, effective_on date, relation string")
 
 
+#: Columns of the three tables, as they are written and read.
+STATUTE_SCHEMA = "statute_id string, title string, year int, in_force_from date, repealed_on date, repealed_by string, short_form string"
+SECTION_SCHEMA = "section_id string, statute_id string, kind string, number string, heading string, in_force_from date, in_force_to date, status string"
+SUPERSESSION_SCHEMA = "from_section_id string, to_section_id string, from_statute_id string, to_statute_id string, effective_on date, relation string"
+
+
+def read_registry(spark: SparkSession, folder: str, form: str = "parquet") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """statutes, sections, supersession from a folder of parquet or csv tables; read lazily, never written to."""
+    reader = spark.read.option("header", True).format(form)
+    return tuple(reader.schema(schema).load(f"{folder}/{name}") for name, schema in (("statutes", STATUTE_SCHEMA), ("sections", SECTION_SCHEMA), ("supersession", SUPERSESSION_SCHEMA)))
+
+
+def registry_problems(known_statutes: DataFrame, known_sections: DataFrame, successions: DataFrame) -> DataFrame:
+    """problem, id: sections of no known statute, repeated ids, and successions from or to unknown sections."""
+    orphan = known_sections.join(known_statutes.select("statute_id").distinct(), "statute_id", "left_anti").select(F.lit("section_without_statute").alias("problem"), F.col("section_id").alias("id"))
+    twice = known_sections.groupBy("section_id").count().where("count > 1").select(F.lit("repeated_section").alias("problem"), F.col("section_id").alias("id"))
+    known = known_sections.select("section_id").distinct()
+    ends = [successions.where(F.col(c).isNotNull()).select(F.col(c).alias("section_id")).distinct().join(known, "section_id", "left_anti").select(F.lit(p).alias("problem"), F.col("section_id").alias("id")) for c, p in (("from_section_id", "unknown_predecessor"), ("to_section_id", "unknown_successor"))]
+    return orphan.unionByName(twice).unionByName(ends[0]).unionByName(ends[1])
+
+
+def enriched_successions(successions: DataFrame, known_sections: DataFrame, citations: DataFrame) -> DataFrame:
+    """Each succession with both headings, how often its old section is cited, and how many successors that has. citations: (target_id, occurrences)."""
+    heading = known_sections.select("section_id", "heading")
+    a = heading.select(F.col("section_id").alias("from_section_id"), F.col("heading").alias("from_heading"))
+    b = heading.select(F.col("section_id").alias("to_section_id"), F.col("heading").alias("to_heading"))
+    cites = citations.groupBy(F.col("target_id").alias("from_section_id")).agg(F.sum("occurrences").alias("cites"))
+    fan = successions.groupBy("from_section_id").agg(F.count("*").alias("fanout"))
+    j = successions.join(a, "from_section_id", "left").join(b, "to_section_id", "left").join(cites, "from_section_id", "left").join(fan, "from_section_id")
+    return j.select("from_section_id", F.coalesce("from_heading", F.lit("")).alias("from_heading"), "relation", F.coalesce("to_section_id", F.lit("")).alias("to_section_id"), F.coalesce("to_heading", F.lit("")).alias("to_heading"), F.coalesce("cites", F.lit(0)).alias("cites"), "fanout")
+
+
+def title_key(title: Column) -> Column:
+    """A title for comparison: lower case, commas as blanks, white space collapsed."""
+    return F.trim(F.regexp_replace(F.lower(F.replace(title, F.lit(","), F.lit(" "))), r"\s+", " "))
+
+
+def first_omissions(rows: DataFrame, article: str, order: str, day: str) -> DataFrame:
+    """The first date told for each article, in reading order; dates that do not exist are passed over."""
+    return rows.where(F.col(day).isNotNull()).groupBy(article).agg(F.min_by(day, order).alias(day))
+
+
 def act_id(text: Column) -> Column:
     """The act that a mention names: the longest alias between letter boundaries, after a leading provision word; else null."""
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), F.lit(" "))

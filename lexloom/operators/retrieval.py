@@ -107,3 +107,23 @@ def rerank(candidates: DataFrame, scores: Column, k: int = config.RERANK_TOP_K,
         scored = scored.where(F.col("rerank_score") >= floor)
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= k)
+
+
+def letter_vector(text: Column, letters: str = "aeinrst") -> Column:
+    """A stand-in for an encoder: how often each letter occurs, at unit length; a text with none of them has a zero vector."""
+    low = F.lower(text)
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in letters])
+    return T.let(counts, lambda v: T.let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, owner: str, encoder=letter_vector, k: int = config.RETRIEVE_TOP_K) -> DataFrame:
+    """BM25 and dense search of each query within its owner's documents, fused by reciprocal rank: query_id, doc_id, score, rank.
+
+    Vectors meet by the owner, so nothing outside the scope is ever scored; encoder: text column to unit vector column.
+    """
+    sparse = bm25(docs, queries, doc_id, text, query_id, query, k, owner).select("query_id", F.lit("sparse").alias("method"), "doc_id", "rank")
+    v = docs.select(F.col(owner).alias("owner"), F.col(doc_id).alias("doc_id"), encoder(F.col(text)).alias("v"))
+    q = queries.select(F.col(owner).alias("owner"), F.col(query_id).alias("query_id"), encoder(F.col(query)).alias("q"))
+    scored = v.join(q, "owner").select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    near = top_k(scored, "query_id", k).select("query_id", F.lit("dense").alias("method"), "doc_id", "rank")
+    return fuse(sparse.unionByName(near), k)

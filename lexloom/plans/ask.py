@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom import config
 from lexloom.functions import text as T
 from lexloom.operators import chunking, claims as C, retrieval
 from lexloom.sources.tables import table
 
 
-def ask(documents: DataFrame, questions: DataFrame) -> DataFrame:
+def one_claim(passages: Column) -> Column:
+    """The stub of a generator: one claim that cites all passages."""
+    return F.concat(F.lit("Supported by passages "), F.array_join(passages, ", "))
+
+
+def ask(
+    documents: DataFrame, questions: DataFrame, encoder: Callable[[Column], Column] | None = None, reranker: Callable[[Column, Column], Column] | None = None,
+    generator: Callable[[Column], Column] = one_claim, verifier: Callable[[Column, Column], Column] = lambda claim, passages: F.lit(1.0),
+) -> DataFrame:
     """question_id, outcome, reason, n_passages, passages, answer_text; documents (owner, doc_id, text).
 
-    Generator and verifier are the deterministic stubs: one claim that cites all passages, entailed with score 1.
+    Four places take any column function, a pandas function around a model as well: encoder (text to unit vector; with it the
+    search is hybrid, without it BM25 alone), reranker (question, chunk text to score), generator (passage ids to a claim) and
+    verifier (claim, passage ids to a score; null means unavailable and refuses the answer). The defaults are deterministic stubs.
     A question whose scope holds no matching chunk has no claim and is refused.
     """
-    chunks = chunking.slices(documents.select("owner", "doc_id", "text"), "text").select("owner", "doc_id", F.col("chunk_index").alias("chunk"), F.col("chunk_text").alias("text"))
-    chunks = chunks.select("owner", F.struct("doc_id", "chunk").alias("place"), "text")
-    ranked = retrieval.bm25(chunks, questions, "place", "text", "question_id", "question", owner="owner")
+    chunks = chunking.slices(documents.select("owner", "doc_id", "text"), "text").select("owner", F.struct("doc_id", F.col("chunk_index").alias("chunk")).alias("place"), F.col("chunk_text").alias("text"))
+    if encoder:
+        ranked = retrieval.hybrid(chunks, questions, "place", "text", "question_id", "question", "owner", encoder)
+    else:
+        ranked = retrieval.bm25(chunks, questions, "place", "text", "question_id", "question", owner="owner")
+    if reranker:
+        texts = ranked.join(chunks.select(F.col("place").alias("doc_id"), "text"), "doc_id").join(questions.select(F.col("question_id").alias("query_id"), "question"), "query_id")
+        ranked = retrieval.rerank(texts, reranker(F.col("question"), F.col("text")), config.RETRIEVE_TOP_K, config.RERANK_FLOOR).withColumn("rank", F.col("rerank_rank"))
     ranked = ranked.select(F.col("query_id").alias("question_id"), F.col("doc_id.doc_id").alias("parent_id"), "rank")
     top = chunking.small_to_big(ranked, "question_id", "parent_id", "rank")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("parent_rank", "parent_id"))), lambda p: p["parent_id"].cast("string"))
     made = top.groupBy("question_id").agg(ids.alias("passages")).withColumn("claim_id", F.lit(0))
-    made = made.withColumn("text", F.concat(F.lit("Supported by passages "), F.array_join("passages", ", ")))
-    checked = C.strike(made.select("question_id", "claim_id", "text", "passages", C.structural(F.col("passages"), F.col("passages"))["is_valid"].alias("is_valid"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("bad_citation")))
+    made = made.withColumn("text", generator(F.col("passages")))
+    checked = C.strike(made.select("question_id", "claim_id", "text", "passages", C.structural(F.col("passages"), F.col("passages"))["is_valid"].alias("is_valid"), verifier(F.col("text"), F.col("passages")).cast("double").alias("score"), F.lit(None).cast("string").alias("bad_citation")))
     decided = C.gate(checked, "question_id")
     answers = C.render(checked, decided, "question_id", "claim_id")
     out = questions.select("question_id").join(made.select("question_id", "passages"), "question_id", "left").join(decided, "question_id", "left").join(answers, "question_id", "left")
@@ -38,13 +56,24 @@ def ask(documents: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+def owners_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One question per owner: the first eight tokens of its lowest document, and one that nothing matches."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("owner"), "doc_id", "text")
     first = docs.groupBy("owner").agg(F.min_by("text", "doc_id").alias("t"))
     asked = first.select(F.col("owner").alias("question_id"), "owner", F.array_join(F.slice(T.tokens(F.col("t")), 1, 8), " ").alias("question"))
     none = first.where("owner = 'src1'").select(F.lit("none").alias("question_id"), "owner", F.lit("zzzzqqqq").alias("question"))
-    return ask(docs, asked.unionByName(none))
+    return docs, asked.unionByName(none)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ask(*owners_questions(spark, sf_dir))
+
+
+def ask_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions with a dense leg, a reranker that prefers longer chunks, and a verifier that is down for some."""
+    docs, questions = owners_questions(spark, sf_dir)
+    down = lambda claim, passages: F.when(F.size(passages) % 4 != 0, 0.75)
+    return ask(docs, questions, retrieval.letter_vector, lambda question, text: F.length(text) / 100.0, verifier=down)
 
 
 FLAGSHIP_SQL = r"""WITH c AS (SELECT source AS owner, doc_id, i // 400 AS chunk, regexp_extract_all(lower(substr(text, i + 1, 400)), '[\p{L}\p{N}_]+') AS w FROM (SELECT source, doc_id, text, unnest(range(0, length(text), 400)) AS i FROM documents)),
@@ -63,3 +92,33 @@ t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS pr
 a AS (SELECT question_id, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY pr) AS p, string_agg(doc_id::VARCHAR, ', ' ORDER BY pr) AS pp FROM t WHERE pr <= 5 GROUP BY question_id)
 SELECT z.question_id, CASE WHEN n IS NULL THEN 'REFUSE' ELSE 'ALLOW' END AS outcome, CASE WHEN n IS NULL THEN 'no_claims_to_verify' ELSE 'all_claims_verified' END AS reason, coalesce(n, 0) AS n_passages, coalesce(p, '') AS passages,
  CASE WHEN n IS NULL THEN 'I cannot verify an answer from the available document(s).' ELSE 'Supported by passages ' || pp END AS answer_text FROM (SELECT DISTINCT question_id FROM q) z LEFT JOIN a USING (question_id)"""
+
+_LETTERS = "list_transform(['a', 'e', 'i', 'n', 'r', 's', 't'], lambda c: (length({0}) - length(replace({0}, c, '')))::DOUBLE)"
+_UNIT = "list_transform({0}, lambda x: CASE WHEN list_dot_product({0}, {0}) > 0 THEN x / sqrt(list_dot_product({0}, {0})) ELSE 0 END)"
+HYBRID_SQL = (
+    r"""WITH c AS (SELECT source AS owner, doc_id, i // 400 AS chunk, lower(substr(text, i + 1, 400)) AS t, length(substr(text, i + 1, 400)) AS n, regexp_extract_all(lower(substr(text, i + 1, 400)), '[\p{L}\p{N}_]+') AS w FROM (SELECT source, doc_id, text, unnest(range(0, length(text), 400)) AS i FROM documents)),
+f AS (SELECT source AS owner, arg_min(text, doc_id) AS t FROM documents GROUP BY source),
+q0 AS (SELECT owner AS question_id, owner, array_to_string(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')[1:8], ' ') AS t FROM f UNION ALL SELECT 'none', 'src1', 'zzzzqqqq'),
+q AS (SELECT owner AS question_id, owner, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}_]+')[1:8]) AS term FROM f UNION ALL SELECT 'none', 'src1', 'zzzzqqqq'),
+qt AS (SELECT question_id, owner, term, count(*) AS qtf FROM q GROUP BY ALL),
+s AS (SELECT owner, count(*) AS n, avg(len(w)) AS avgdl FROM c GROUP BY owner),
+p AS (SELECT owner, doc_id, chunk, dl, term, count(*) AS tf FROM (SELECT owner, doc_id, chunk, len(w) AS dl, unnest(w) AS term FROM c) GROUP BY ALL),
+r AS (SELECT owner, term, avgdl, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw FROM (SELECT owner, term, count(*) AS df FROM p GROUP BY ALL) JOIN s USING (owner)),
+m AS (SELECT owner, avg(raw) AS mean FROM r GROUP BY owner),
+i AS (SELECT owner, term, avgdl, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM r JOIN m USING (owner)),
+x AS (SELECT question_id, doc_id, chunk, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM qt JOIN i USING (owner, term) JOIN p USING (owner, term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk) AS rank FROM x),
+sp AS (SELECT question_id, doc_id, chunk, rank FROM k WHERE rank <= 20),
+cv AS (SELECT owner, doc_id, chunk, """ + _LETTERS.format("t") + """ AS v FROM c), qv AS (SELECT question_id, owner, """ + _LETTERS.format("t") + """ AS v FROM q0),
+cu AS (SELECT owner, doc_id, chunk, """ + _UNIT.format("v") + """ AS v FROM cv), qu AS (SELECT question_id, owner, """ + _UNIT.format("v") + """ AS v FROM qv),
+ds AS (SELECT question_id, doc_id, chunk, round(list_dot_product(cu.v, qu.v), 6) AS score FROM cu JOIN qu USING (owner)),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk) AS rank FROM ds) WHERE rank <= 20),
+fu AS (SELECT question_id, doc_id, chunk, round(sum(1::DOUBLE / (60 + rank - 1)), 9) AS score FROM (SELECT question_id, doc_id, chunk, rank FROM sp UNION ALL SELECT question_id, doc_id, chunk, rank FROM dn) GROUP BY ALL),
+fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, chunk) AS r FROM fu) WHERE r <= 20),
+rr AS (SELECT fr.question_id, fr.doc_id, row_number() OVER (PARTITION BY question_id ORDER BY c.n DESC, r) AS rank FROM fr JOIN c USING (doc_id, chunk)),
+b AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY rank) AS n FROM rr),
+t AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS pr FROM b WHERE n = 1),
+a AS (SELECT question_id, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY pr) AS p, string_agg(doc_id::VARCHAR, ', ' ORDER BY pr) AS pp FROM t WHERE pr <= 5 GROUP BY question_id)
+SELECT z.question_id, CASE WHEN n IS NULL OR n % 4 = 0 THEN 'REFUSE' ELSE 'ALLOW' END AS outcome, CASE WHEN n IS NULL THEN 'no_claims_to_verify' WHEN n % 4 = 0 THEN 'safety_component_unavailable: entailment' ELSE 'all_claims_verified' END AS reason, coalesce(n, 0) AS n_passages, coalesce(p, '') AS passages,
+ CASE WHEN n IS NULL OR n % 4 = 0 THEN 'I cannot verify an answer from the available document(s).' ELSE 'Supported by passages ' || pp END AS answer_text FROM (SELECT DISTINCT question_id FROM q) z LEFT JOIN a USING (question_id)"""
+)
