@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,12 +130,21 @@ def shingles(normal: Column, k: int = config.SHINGLE_WORDS) -> Column:
     return let(words(normal), lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(ngrams(w, k))))
 
 
+def unescaped(text: Column) -> Column:
+    """Named and numeric character references of HTML as characters; Spark has no such function, so batches pass through Arrow."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unescape(t))
+
+    return run(text)
+
+
 def html_text(html: Column) -> Column:
-    """Block ends to newlines, tags stripped, common entities resolved, space tidied; null if nothing is left."""
+    """Block ends to newlines, tags stripped, character references resolved, space tidied; null if nothing is left."""
     s = F.regexp_replace(html, r"(?i)<\s*(br|/p|/div|hr)\s*/?\s*>", "\n")
     s = F.regexp_replace(s, r"<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (" ", " ")):
-        s = F.replace(s, F.lit(entity), F.lit(char))
+    s = F.replace(unescaped(s), F.lit("\u00a0"), F.lit(" "))
     s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n\s*\n\s*\n+", "\n\n")
     s = F.regexp_replace(F.regexp_replace(s, r"[ \t\r\f]*\n[ \t\r\f]*", "\n"), r"^\s+|\s+$", "")
     return F.nullif(s, F.lit(""))

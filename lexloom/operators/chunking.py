@@ -103,3 +103,11 @@ def small_to_big(ranked: DataFrame, query: str = "query_id", parent: str = "pare
     """The best-ranked child of each parent, in rank order, at most `keep` parents for each query."""
     best = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(query, parent).orderBy(rank))).where("__n = 1")
     return best.withColumn("parent_rank", F.row_number().over(Window.partitionBy(query).orderBy(rank))).where(F.col("parent_rank") <= keep).drop("__n")
+
+
+def with_parents(hits: DataFrame, near: DataFrame, store: DataFrame, parent: str, text: str) -> DataFrame:
+    """hits with their parent's text and where it came from: near (the chunks at hand) or fetched (the store, asked for the rest only)."""
+    j = hits.join(near.select(parent, text), parent, "left")
+    found = j.where(F.col(text).isNotNull()).withColumn("source", F.lit("near"))
+    rest = j.where(F.col(text).isNull()).drop(text).join(store.select(parent, text), parent, "left").withColumn("source", F.when(F.col(text).isNotNull(), "fetched").otherwise("missing"))
+    return found.unionByName(rest)

@@ -65,6 +65,12 @@ def entailment(score: Column, ids: Column, passage: Column, threshold: float = c
     return F.struct(F.when(why.isNull(), "ok").otherwise("unavailable").alias("status"), F.coalesce(why.isNull() & yes, F.lit(False)).alias("is_entailed"), F.coalesce(why, F.when(yes, "entailed").otherwise("not_entailed")).alias("reason"))
 
 
+def scored(raw: Column) -> Column:
+    """struct(value, status, reason) of a model's score: null means that the model failed, and what is not finite is no score either."""
+    why = F.when(raw.isNull(), "scorer_failed").when(F.isnan(raw) | (F.abs(raw) == float("inf")), "score_not_finite")
+    return F.struct(F.when(why.isNull(), raw).alias("value"), F.when(why.isNull(), "ok").otherwise("unavailable").alias("status"), F.coalesce(why, F.lit("")).alias("reason"))
+
+
 def strike(claims: DataFrame) -> DataFrame:
     """claims (is_valid, score, bad_citation: null or the first failing citation's reason) with component and struck_reason.
 

@@ -162,6 +162,13 @@ def containing(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
     return met
 
 
+def with_split(pairs: DataFrame, splits: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """pairs with their document's split, those of dropped documents left out; a document without a split is an error."""
+    j = pairs.join(dropped.select(key), key, "left_anti").join(splits.select(key, "split"), key, "left")
+    named = F.coalesce(F.col("split"), F.raise_error(F.concat(F.lit("no split for "), F.col(key).cast("string"))))
+    return j.withColumn("split", named)
+
+
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """target with the first row of each new key of the batch appended."""
     new = batch.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")

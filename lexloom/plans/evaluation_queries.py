@@ -385,7 +385,7 @@ SELECT l.doc_id, l.quality, s.split FROM labels l JOIN s USING (doc_id) WHERE l.
 def split_join(spark, sf_dir):
     s = hash_split(spark, sf_dir)
     dropped = table(spark, sf_dir, "documents").where("doc_id % 11 = 0").select("doc_id")
-    return table(spark, sf_dir, "labels").join(dropped, "doc_id", "left_anti").join(s, "doc_id").select("doc_id", "quality", "split")
+    return corpus.with_split(table(spark, sf_dir, "labels"), s, dropped, "doc_id").select("doc_id", "quality", "split")
 
 
 @query(f"""WITH s AS (SELECT doc_id, text, {_SPLIT}) SELECT b.item_id, count(*) AS n_train FROM benchmark b JOIN s ON contains(s.text, b.text) WHERE s.split = 'train' GROUP BY b.item_id""")

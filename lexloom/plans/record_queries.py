@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import measures as M
 from lexloom.functions import text as T
+from lexloom.operators import claims as C
 from lexloom.operators import evaluation as E
 from lexloom.operators import records as R
 from lexloom.operators.ordering import ranked, ranked_within
@@ -339,3 +340,65 @@ def citation_existence(spark, sf_dir):
     index = d.where("doc_id % 7 = 0").select(T.citation_key(F.col("source")).alias("k")).distinct().withColumn("hit", F.lit(True))
     asked = d.select("doc_id", T.citation_key(F.concat(F.lit(" "), F.upper("source"), F.lit("  "))).alias("k"))
     return asked.join(index, "k", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("known"))
+
+
+@query("""WITH p AS (SELECT doc_id, doc_id % 97 AS s, doc_id % 97 + n_chars % 7 AS e, lang AS label FROM documents WHERE doc_id % 3 > 0), g AS (SELECT doc_id, doc_id % 97 AS s, doc_id % 97 + n_chars % 5 AS e, lang AS label FROM documents WHERE doc_id % 2 = 0),
+x AS (SELECT coalesce(p.label, g.label) AS label, count(*) FILTER (p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS tp, count(*) FILTER (g.doc_id IS NULL) AS fp, count(*) FILTER (p.doc_id IS NULL) AS fn FROM p FULL JOIN g USING (doc_id, s, e, label) GROUP BY 1)
+SELECT label, tp, fp, fn, round(tp::DOUBLE / (tp + fp), 4) AS precision, round(tp::DOUBLE / (tp + fn), 4) AS recall FROM x""".replace("FULL JOIN g USING (doc_id, s, e, label)", "FULL JOIN g ON p.doc_id = g.doc_id AND p.s = g.s AND p.e = g.e AND p.label = g.label"))
+def ner_f1_by_span(spark, sf_dir):
+    """Entities are right if place and label are."""
+    d, at = table(spark, sf_dir, "documents"), F.col("doc_id") % 97
+    p = d.where("doc_id % 3 > 0").select("doc_id", at.alias("s"), (at + F.col("n_chars") % 7).alias("e"), F.col("lang").alias("label"), F.lit(1).alias("p"))
+    g = d.where("doc_id % 2 = 0").select("doc_id", at.alias("s"), (at + F.col("n_chars") % 5).alias("e"), F.col("lang").alias("label"), F.lit(1).alias("g"))
+    c = p.join(g, ["doc_id", "s", "e", "label"], "full").groupBy("label").agg(F.count(F.col("p") + F.col("g")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    a, b, _ = M.prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    return c.select("label", "tp", "fp", "fn", a.alias("precision"), b.alias("recall"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 's' || l_linenumber AS section FROM lineitem WHERE l_linenumber % 4 > 0 AND l_partkey % 11 > 0""")
+def parsed_only(spark, sf_dir):
+    """Generations that are neither errors nor unparsable: the parse tells, not a flag."""
+    k = F.col("l_linenumber")
+    raw = F.when(F.col("l_partkey") % 11 == 0, '{"error": "quota"}').when(k % 4 == 0, "{not json").otherwise(F.concat(F.lit('{"section": "s'), k.cast("string"), F.lit('"}')))
+    parsed = F.from_json(raw, "error string, section string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("r"))
+    return r.where("r._bad IS NULL AND r.error IS NULL AND r.section IS NOT NULL").select("l_orderkey", "l_linenumber", "r.section")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (props::JSON ->> 'k')::BIGINT END AS k, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS note, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS n_tags FROM events""")
+def row_records(spark, sf_dir):
+    """Rows to records: JSON columns decoded, defaults where a column is null."""
+    e = table(spark, sf_dir, "events")
+    null = F.col("event_id") % 3 == 0
+    rows = e.select("event_id", F.when(~null, F.col("props")).alias("props"), F.when(~null, F.col("event_type")).alias("note"), F.when(~null, F.lit('["a","b"]')).alias("tags"))
+    none = F.array().cast("array<string>")
+    decoded = rows.select("event_id", F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0)).alias("k"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce(F.from_json("tags", "array<string>"), none).alias("tags"))
+    return decoded.select("event_id", "k", "note", F.size("tags").alias("n_tags"))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS claim_id, CASE WHEN l_linenumber % 5 = 0 OR l_partkey % 13 = 0 THEN 'unavailable' ELSE 'ok' END AS status, CASE WHEN l_linenumber % 5 = 0 THEN 'scorer_failed' WHEN l_partkey % 13 = 0 THEN 'score_not_finite' ELSE '' END AS reason, 'unavailable' AS second_status FROM lineitem""")
+def scorer_failures(spark, sf_dir):
+    """A scorer that fails, or answers with no number, is unavailable with a reason; the second scorer's place is kept and never filled by guess."""
+    raw = F.when(F.col("l_linenumber") % 5 == 0, None).when(F.col("l_partkey") % 13 == 0, F.lit(float("nan"))).otherwise(F.lit(0.5))
+    s = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), C.scored(raw).alias("a"), C.scored(F.lit(None).cast("double")).alias("b"))
+    return s.select("claim_id", "a.status", "a.reason", F.col("b.status").alias("second_status"))
+
+
+@query("""SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'yes' END, CASE WHEN doc_id % 3 = 1 THEN 'maybe' END, 'unlabelled') AS proposal FROM labels WHERE doc_id % 7 > 0""")
+def rating_queue(spark, sf_dir):
+    """Items that a rater has not rated yet, with the label on the row as proposal, or a placeholder."""
+    l = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "yes").alias("label"), F.when(F.col("doc_id") % 3 == 1, "maybe").alias("in_force_label"))
+    rated = l.where("doc_id % 7 = 0").select("doc_id")
+    return l.join(rated, "doc_id", "left_anti").select("doc_id", F.coalesce("label", "in_force_label", F.lit("unlabelled")).alias("proposal"))
+
+
+@query("""WITH c AS (SELECT doc_id, i // 400 AS child, (doc_id * 7919 + i * 31) % 1000 AS score FROM (SELECT doc_id, unnest(range(0, length(text), 400)) AS i FROM documents)) SELECT doc_id, child, CASE WHEN doc_id % 4 > 0 THEN 'near' ELSE 'fetched' END AS source, md5(CASE WHEN doc_id % 4 > 0 THEN 'p' || doc_id ELSE 'db' || doc_id END) AS parent_md5 FROM c WHERE score > 900""")
+def parent_lookup(spark, sf_dir):
+    """A hit's parent from the chunks at hand, else from the store."""
+    from lexloom.operators import chunking
+
+    c = chunking.slices(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", F.col("chunk_index").cast("bigint").alias("child"), ((F.col("doc_id") * 7919 + F.col("char_start") * 31) % 1000).alias("score")).where("score > 900")
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    near = ids.where("doc_id % 4 > 0").select("doc_id", F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("text"))
+    store = ids.select("doc_id", F.concat(F.lit("db"), F.col("doc_id").cast("string")).alias("text"))
+    return chunking.with_parents(c, near, store, "doc_id", "text").select("doc_id", "child", "source", F.md5("text").alias("parent_md5"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom import config
 from lexloom.operators import entities, registry as R
 from lexloom.operators.chunking import matches
-from lexloom.plans.text_queries import F4_SQL, legal_texts
+from lexloom.plans.text_queries import F4_SQL, legal_texts, spans_sql
 from lexloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -241,18 +241,43 @@ def strict_citations(spark, sf_dir):
 _NER = [(label, p) for label, p in entities.ENTITIES if label in ("PROVISION", "DATE", "MONEY")]
 
 
-@query(rf"""WITH t AS (SELECT doc_id, {F4_SQL} || ' On 15th January, 2023 Rs. ' || (doc_id % 500) || ',000 was due; Rs. 5 lakh on 01/02/2020.' AS t FROM documents),
-f AS (SELECT doc_id, 0 AS p, 'PROVISION' AS label, unnest(regexp_extract_all(t, '{_NER[0][1]}')) AS e FROM t UNION ALL SELECT doc_id, 1, 'MONEY', unnest(regexp_extract_all(t, '{_NER[1][1]}')) FROM t UNION ALL SELECT doc_id, 2, 'DATE', unnest(regexp_extract_all(t, '{_NER[2][1]}')) FROM t)
-SELECT DISTINCT doc_id, label, lower(trim(e)) AS entity FROM f WHERE length(trim(e)) > 2""")
-def ner_entities(spark, sf_dir):
+def _entities_sql(text: str, table_name: str, key: str, patterns) -> str:
+    """The first of each lower-cased text and label by pattern and place, over two characters."""
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS p, '{label}' AS label, s, e, trim(value) AS v FROM ({spans_sql('t', p.replace(chr(39), chr(39) * 2))})" for i, (label, p) in enumerate(patterns))
+    return f"t AS (SELECT {key} AS doc_id, {text} AS t FROM {table_name}), f AS ({found}), en AS (SELECT * FROM f WHERE length(v) > 2 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(v), label ORDER BY p, s) = 1)"
+
+
+_DUE = F4_SQL + " || ' On 15th January, 2023 Rs. ' || (doc_id % 500) || ',000 was due; Rs. 5 lakh on 01/02/2020.'"
+
+
+def _due(spark, sf_dir):
     text = F.concat("text", F.lit(" On 15th January, 2023 Rs. "), (F.col("doc_id") % 500).cast("string"), F.lit(",000 was due; Rs. 5 lakh on 01/02/2020."))
-    got = entities.legal_entities(legal_texts(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id", "text", _NER)
-    return got.select("doc_id", "label", F.lower("entity_text").alias("entity"))
+    return entities.legal_entities(legal_texts(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id", "text", _NER)
+
+
+@query(f"WITH {_entities_sql(_DUE, 'documents', 'doc_id', _NER)} SELECT doc_id, label, v AS entity, s AS span_start, e AS span_end FROM en")
+def ner_entities(spark, sf_dir):
+    return _due(spark, sf_dir).select("doc_id", "label", F.col("entity_text").alias("entity"), F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, {F4_SQL} || ' On 15th January, 2023 Rs. ' || (doc_id % 500) || ',000 was due; Rs. 5 lakh on 01/02/2020.' AS t FROM documents),
-f AS (SELECT doc_id, 'legal_provisions' AS bucket, unnest(regexp_extract_all(t, '{_NER[0][1]}')) AS e FROM t UNION ALL SELECT doc_id, 'monetary_values', unnest(regexp_extract_all(t, '{_NER[1][1]}')) FROM t UNION ALL SELECT doc_id, 'dates', unnest(regexp_extract_all(t, '{_NER[2][1]}')) FROM t)
-SELECT doc_id, bucket, count(DISTINCT lower(trim(e))) AS n FROM f WHERE length(trim(e)) > 2 GROUP BY ALL""")
+@query(f"WITH {_entities_sql(_DUE, 'documents', 'doc_id', _NER)} SELECT doc_id, CASE label WHEN 'PROVISION' THEN 'legal_provisions' WHEN 'MONEY' THEN 'monetary_values' ELSE 'dates' END AS bucket, count(*) AS n, string_agg(v, '|' ORDER BY s, v) AS texts FROM en GROUP BY ALL")
 def ner_buckets(spark, sf_dir):
-    text = F.concat("text", F.lit(" On 15th January, 2023 Rs. "), (F.col("doc_id") % 500).cast("string"), F.lit(",000 was due; Rs. 5 lakh on 01/02/2020."))
-    return entities.buckets(entities.legal_entities(legal_texts(spark, sf_dir).select("doc_id", text.alias("text")), "doc_id", "text", _NER), "doc_id").select("doc_id", "bucket", "n")
+    return entities.buckets(_due(spark, sf_dir), "doc_id").select("doc_id", "bucket", "n", F.array_join("texts", "|").alias("texts"))
+
+
+#: A report from the columns of part that holds each kind of entity.
+_REPORT = """'Before the ' || CASE p_partkey % 3 WHEN 0 THEN 'Supreme Court of India' WHEN 1 THEN 'Delhi High Court' ELSE 'NCLT' END || ', Justice Asha Rao Patel. Section ' || (p_partkey % 400) || 'A of the Indian Penal Code, 1860 and Art. ' || p_size || '(1)(b); the Companies Act 2013, the RTI Act. AIR ' || (1950 + p_size) || ' SC ' || p_partkey || '; (' || (1990 + p_size % 30) || ') ' || (p_size % 9 + 1) || ' SCC ' || p_partkey || '; [1973] 4 SCR ' || p_size || '. W.P.(C) No. ' || p_partkey || '/2019, SLP 12/2020. Paid Rs. ' || p_size || ' lakh, INR 4,000.50 on ' || (p_size % 28 + 1) || '/02/2020, 3rd March 2021; May 5, 1999.'"""
+
+
+@query(f"WITH {_entities_sql(_REPORT, 'part', 'p_partkey', entities.ENTITIES)} SELECT doc_id, label, v AS entity, s AS span_start, e AS span_end FROM en")
+def ner_all_labels(spark, sf_dir):
+    """All nine patterns with offsets."""
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_REPORT).alias("text"))
+    got = entities.legal_entities(texts, "doc_id", "text")
+    return got.select("doc_id", "label", F.col("entity_text").alias("entity"), F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"))
+
+
+@query(f"WITH {PARSE}{CHECK} SELECT mention_id, CASE WHEN target_id IS NULL THEN 'not_found' ELSE status END AS status, target_id IS NOT NULL AS known FROM checked")
+def existence_status(spark, sf_dir):
+    """The existence baseline in the registry's words: what it does not know is not_found, the rest has its status."""
+    return _checked(spark, sf_dir).select("mention_id", F.when(F.col("target_id").isNull(), "not_found").otherwise(F.col("status")).alias("status"), F.col("target_id").isNotNull().alias("known"))

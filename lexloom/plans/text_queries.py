@@ -126,7 +126,7 @@ def clause_boundary_chunks(spark, sf_dir):
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<\s*(br|/p|/div|hr)\s*/?\s*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS s FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), chr(160), ' ') AS s FROM a),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), chr(160), ' ') AS s FROM (SELECT page_id, replace(replace(s, '&copy;', chr(169)), '&middot;', chr(183)) AS s FROM a)),
 c AS (SELECT page_id, regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g') AS s FROM b),
 d AS (SELECT page_id, nullif(regexp_replace(regexp_replace(s, '[ \t\r\f]*\n[ \t\r\f]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS s FROM c)
 SELECT page_id, md5(s) AS text_md5, length(s) AS n_chars FROM d""")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.functions.text import html_text
+from lexloom.functions.text import unescaped
 from lexloom.operators.ordering import ranked
 from lexloom.operators.records import english_page
 
@@ -120,9 +120,10 @@ def english_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def html_rows(html: Column) -> Column:
-    """Cells of each table row as arrays, white space collapsed, rows without any text dropped."""
+    """Cells of each table row as arrays, character references resolved, white space collapsed, rows without any text dropped."""
+    html = unescaped(F.replace(html, F.lit("&lt;"), F.lit("&amp;lt;")))
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
-    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.coalesce(html_text(c), F.lit("")), r"\s+", " "))))
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " "))))
     return F.filter(cells, lambda r: F.exists(r, lambda c: F.length(c) > 0))
 
 

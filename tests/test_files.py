@@ -137,3 +137,53 @@ def test_scope(spark):
     assert [r[0] for r in ids.collect()] == [[1], [1, 2], [1, 2]]
     chunks = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", False), (4, None, False)], "k int, o string, bm25_indexed boolean")
     assert sorted(r["k"] for r in searchable(chunks, "o").collect()) == [1, 3, 4]
+
+
+def flaky_page(page):
+    """Two rows on each of three pages; the first try of page 1 fails."""
+    import os
+
+    mark = os.environ.get("FLAKY_MARK", "/nonexistent")
+    if page == 1 and not os.path.exists(mark):
+        open(mark, "w").close()
+        raise OSError("busy")
+    return [{"id": f"{page}-{i}", "extra": 1} for i in range(2)] if page < 3 else []
+
+
+def test_pages_are_tried_again(spark, tmp_path):
+    from lexloom.sources.paged import PagedReader, with_retry
+
+    calls = []
+
+    def once_busy():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "ok"
+
+    assert with_retry(once_busy, pause=0.0) == "ok" and len(calls) == 3
+    with pytest.raises(OSError):
+        with_retry(lambda: flaky_page(1), attempts=1)
+    import os
+
+    os.environ["FLAKY_MARK"] = f"{tmp_path}/mark"
+    reader = PagedReader({"fetch": f"{__name__}:flaky_page", "pages": "5", "pause": "0"}, T.StructType([T.StructField("id", T.StringType())]))
+    assert [row for p in reader.partitions() for row in reader.read(p)] == [(f"{p}-{i}",) for p in range(3) for i in range(2)]
+
+
+def test_page_source_in_spark(spark):
+    from lexloom.sources.paged import PagedSource
+
+    spark.dataSource.register(PagedSource)
+    got = spark.read.format("pages").option("fetch", "calendar:_page_of_nothing").option("pages", 0).schema("id string").load()
+    assert got.count() == 0
+
+
+def test_documents_without_split_are_an_error(spark):
+    from lexloom.operators.corpus import with_split
+
+    rows, none = spark.createDataFrame([(1,), (2,)], "d int"), spark.createDataFrame([], "d int")
+    splits = spark.createDataFrame([(1, "train")], "d int, split string")
+    assert [tuple(r) for r in with_split(rows, splits, rows.where("d = 2"), "d").collect()] == [(1, "train")]
+    with pytest.raises(Exception, match="no split for 2"):
+        with_split(rows, splits, none, "d").collect()
