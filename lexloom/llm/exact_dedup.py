@@ -127,6 +127,9 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", capaci
     chain = (F.row_number().over(Window.partitionBy("owner", "bucket", "h").orderBy("sha")) - 1).cast("int")
     pages = scratch.save(texts.select("owner", "bucket", "h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"), "keep_id", "group_size").withColumn("chain", chain).drop("owner"), "pages")
 
+    for done in ("keys", "directory"):  # the result reads entries, pages and hot
+        scratch.drop(done)
+
     def answered(some: DataFrame, page: DataFrame) -> DataFrame:
         return some.join(page, ["h", "sha"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain")
 

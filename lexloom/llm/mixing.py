@@ -43,6 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     rank = F.col("before") + F.col("local")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
     ranked = scratch.save(placed.join(F.broadcast(before), "part").select("source", "source_size", "n_docs", weight.cast("long").alias("weight")), "ranked")
+    scratch.drop("sources")
 
     up, down = share
     budget, full = None, (0, 0, 0)

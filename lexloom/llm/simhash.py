@@ -12,7 +12,8 @@ missed, whatever the data. Each mask keeps about half of the bits.
 Within a bucket a breadth-first search emits a spanning set of links, at most one for each
 fingerprint, never all pairs. A bucket above split_size is dealt again by a second covering family
 over the bits that its mask leaves open, so that it spreads over many tasks and still loses no
-link. Components are labelled by alternating star contraction, one written table for each round.
+link; both masks together leave about 16 bits open, so no bucket then holds more than some 2 ** 16 fingerprints,
+however many documents there are. Components are labelled by alternating star contraction, one written table for each round.
 
 Edge cases: null and empty texts and texts of white space have fingerprint zero, which links like
 any other; texts shorter than a shingle are one shingle. Rows with equal ids are separate rows; the

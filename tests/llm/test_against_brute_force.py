@@ -161,6 +161,16 @@ def test_sharding(docs, texts):
         assert abs(sum(r["size"] for r in part) - sum(size) / 8) <= max(size)
 
 
+def test_shards_by_midpoint(docs, texts):
+    """A row's shard is the one in which the middle of its bytes lies, on the line of all rows in order of id."""
+    got = {r["doc_id"]: r for r in sharding.shard_by_bytes(docs, 8).collect()}
+    size = [len((t or "").encode()) + 1 for t in texts]
+    total, before = sum(size), 0
+    for d, n in zip(ids(texts), size):
+        assert (got[d]["shard"], got[d]["prefix_bytes"]) == (min(7, (2 * before + n) * 8 // (2 * total)), before)
+        before += n
+
+
 def test_mixing(docs, texts):
     size = {d: len(WORD.findall(t or "")) for d, t in zip(ids(texts), texts)}
     source = {d: (f"s{i % 4}" if i % 9 else None) for i, d in enumerate(ids(texts))}
@@ -211,6 +221,40 @@ def test_packing(docs, texts):
     assert sum(r["tokens"] for r in got) / sum(rows[0]["capacity"] for rows in bins.values()) > 0.9
 
 
+def plain_best_fit(lengths, capacities, largest, scale):
+    """Cost of best fit from long to short by looking at every open bin, and what each bin holds."""
+    top, cost = capacities[-1], lambda c: packing.bin_cost(c, scale)
+    pieces = sorted((min(top, n - a) for n in lengths for a in range(0, max(n, 1), top)), reverse=True)
+    rest, bins = sum(pieces), []  # [capacity opened, contents], in order of the last touch
+    for p in pieces:
+        open_ = [b for b in bins if b[0] - b[1] >= p]
+        if open_:
+            least = min(b[0] - b[1] for b in open_)
+            best = [b for b in open_ if b[0] - b[1] == least][-1]  # of equal ones the last that was touched
+            bins = [b for b in bins if b is not best]
+        else:
+            fits = [c for c in capacities if c >= p]
+            fits = [c for c in fits if c <= largest or c == fits[0]]
+            best = [min(fits, key=lambda c: (cost(c) / min(c, rest), c)), 0]
+        bins.append(best)
+        best[1] += p
+        rest -= p
+    return sum(cost(min(c for c in capacities if c >= n)) for _, n in bins), sorted(n for _, n in bins)
+
+
+def test_packing_against_plain_best_fit():
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths = [rng.choice([1, rng.randint(1, 40), rng.randint(1, 9)]) for _ in range(rng.randint(1, 80))]
+        capacities = (8, 16, 32)
+        want = min((plain_best_fit(lengths, capacities, c, 64) for c in capacities), key=lambda x: x[0])
+        rows, contents = packing.pack_lengths(lengths, capacities, 64), {}
+        for _, _, n, b, _, _ in rows:
+            contents[b] = contents.get(b, 0) + n
+        got = sum(packing.bin_cost(c, 64) for c in {b: c for _, _, _, b, c, _ in rows}.values())
+        assert math.isclose(got, want[0]) and sorted(contents.values()) == want[1]
+
+
 def test_quality_rules(spark, docs, texts):
     got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
     for d, t in zip(ids(texts), texts):
