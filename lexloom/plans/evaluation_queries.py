@@ -10,6 +10,7 @@ from lexloom.functions import measures as M
 from lexloom.functions import text as T
 from lexloom.operators import claims as C
 from lexloom.operators import corpus, evaluation as E
+from lexloom.operators.ordering import percentiles
 from lexloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -223,8 +224,9 @@ def anchoring(spark, sf_dir):
 
 @query("""SELECT event_type AS mode, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median_seconds, round(avg(value), 6) AS mean_seconds, round(3600 / avg(value), 6) AS items_per_hour FROM events WHERE value > 0 GROUP BY event_type""")
 def throughput(spark, sf_dir):
-    g = table(spark, sf_dir, "events").where("value > 0").groupBy(F.col("event_type").alias("mode"))
-    return g.agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_seconds"), F.round(F.avg("value"), 6).alias("mean_seconds"), F.round(3600 / F.avg("value"), 6).alias("items_per_hour"))
+    e = table(spark, sf_dir, "events").where("value > 0").select(F.col("event_type").alias("mode"), "value")
+    mean = e.groupBy("mode").agg(F.round(F.avg("value"), 6).alias("mean_seconds"), F.round(3600 / F.avg("value"), 6).alias("items_per_hour"))
+    return percentiles(e, "mode", "value", {"m": 0.5}).join(mean, "mode").select("mode", "n", F.round("m", 6).alias("median_seconds"), "mean_seconds", "items_per_hour")
 
 
 _CONF_SQL = """p AS (SELECT least(1, greatest(0, ((event_id * 7919) % 1100) / 1000::DOUBLE - 0.05::DOUBLE)) AS c, (event_id * 31) % 1000 < 600 AS ok FROM events WHERE event_id % 11 > 0),
@@ -267,8 +269,8 @@ def bonferroni(spark, sf_dir):
 
 @query("SELECT event_type AS stage, count(*) AS n, round(quantile_cont(value, 0.5), 4) AS p50_ms, round(quantile_cont(value, 0.95), 4) AS p95_ms FROM events GROUP BY event_type")
 def stage_latency_percentiles(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage"))
-    return g.agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 4).alias("p50_ms"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95_ms"))
+    p = percentiles(table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "value"), "stage", "value", {"p50": 0.5, "p95": 0.95})
+    return p.select("stage", "n", F.round("p50", 4).alias("p50_ms"), F.round("p95", 4).alias("p95_ms"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-(0.05::DOUBLE * value - 2))), 6) AS p_answer, 1 / (1 + exp(-(0.05::DOUBLE * value - 2))) < 0.5 AS is_oos FROM events")
