@@ -4,8 +4,8 @@ One model per language over the letters of a word between word boundaries; runs
 are cut into pieces of 64. All orders of all languages share sorted arrays of 64-bit n-gram hashes:
 the payload of a gram is its interpolated log-probability in every language, that of a context its
 log back-off weight. A text's cross-entropy in a language is the mean over its letters and word
-ends; the lowest wins. A posterior, with a temperature fitted on labelled rows kept from training,
-is the score. A text is rejected if its cross-entropy lies outside what that calibration part
+ends; the lowest wins. A posterior, with a temperature and a span of certainty fitted on labelled rows
+kept from training, is the score. A text is rejected if its cross-entropy lies outside what that calibration part
 shows for the language, if the posterior is below what all but one in a thousand of its correctly
 named rows reach (one half at most), or if it has no letter.
 
@@ -129,6 +129,7 @@ class LanguageModel:
                 pay = np.log(np.array([[value(m, g) for m in models] for g in names], np.float64).reshape(len(names), len(models))).astype(np.float32)
                 at = np.argsort(h)
                 table.append((h[at], pay[at]))
+        self.span = math.inf  # symbols beyond which more of them hardly add to the certainty
         self.temperature, self.mean, self.scale, self.reach = 1.0, np.zeros(len(self.langs)), np.ones(len(self.langs)), np.full(len(self.langs), np.inf)
         self.least = 0.0  # posterior of an accepted text
         self.cache: dict[str, int] = {}
@@ -203,28 +204,29 @@ class LanguageModel:
             self.rows = grown
         self.rows[used : used + len(rows)] = rows
 
-    def posterior(self, sums: np.ndarray) -> np.ndarray:
-        z = self.temperature * (sums - sums.max(axis=1, keepdims=True))
+    def posterior(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """From the cross-entropies, as if a text had n / (1 + n / span) symbols: a long text in two languages is not sure of either."""
+        z = self.temperature * (sums - sums.max(axis=1, keepdims=True)) / (1 + n / self.span)[:, None]
         e = np.exp(z)
         return e / e.sum(axis=1, keepdims=True)
 
     def calibrate(self, texts: list[str], langs: list[str], margin: float = 1.5) -> None:
-        """Temperature by likelihood over a grid; the reach of each language's cross-entropy."""
+        """Temperature and span by likelihood over a grid; the reach of each language's cross-entropy."""
         sums, n = self.totals(texts)
         y = np.array([self.langs.index(x) if x in self.langs else -1 for x in langs], np.int64)
         ok = (n > 0) & (y >= 0)
         sums, n, y = sums[ok], n[ok], y[ok]
         if not len(y):
             return
-        best = math.inf
-        for t in np.geomspace(0.001, 1.0, 31):
-            self.temperature, before = float(t), self.temperature
-            loss = -np.log(np.maximum(self.posterior(sums)[np.arange(len(y)), y], 1e-12)).mean()
-            if loss < best - 1e-9:
-                best = loss
-            else:
-                self.temperature = before
-        sure = self.posterior(sums)
+        best = (math.inf, 1.0, math.inf)
+        for span in (math.inf, 1024.0, 256.0, 64.0, 16.0):
+            for t in np.geomspace(0.001, 10.0, 41):
+                self.temperature, self.span = float(t), span
+                loss = -np.log(np.maximum(self.posterior(sums, n)[np.arange(len(y)), y], 1e-12)).mean()
+                if loss < best[0] - 1e-9:
+                    best = (loss, float(t), span)
+        _, self.temperature, self.span = best
+        sure = self.posterior(sums, n)
         right = sure.argmax(axis=1) == y
         if right.any():
             self.least = min(0.5, float(np.quantile(sure.max(axis=1)[right], 0.001)))
@@ -245,7 +247,7 @@ class LanguageModel:
             return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.zeros(len(texts), bool)
         sums, n = self.totals(texts)
         best, some = sums.argmax(axis=1), n > 0
-        score = np.where(some, self.posterior(sums)[np.arange(len(texts)), best], 0.0)
+        score = np.where(some, self.posterior(sums, n)[np.arange(len(texts)), best], 0.0)
         h = np.where(some, -sums[np.arange(len(texts)), best] / np.maximum(n, 1), np.nan)
         far = np.array([(h[i] - self.mean[j]) / self.unit(j, max(n[i], 1)) > self.reach[j] if some[i] else True for i, j in enumerate(best)], bool)
         return [self.langs[j] if s else "und" for j, s in zip(best, some)], score, h / math.log(2), some & ~far & (score >= self.least)

@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns for every operator and stage."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +153,16 @@ def test_equal_ids_follow_by_size_across_partitions(spark):
 def test_null_and_letterless_texts_are_unknown(docs):
     got = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect() if r["doc_id"] is not None}
     assert all(got[i]["lang_pred"] == "und" and not got[i]["accepted"] and got[i]["score"] == 0 for i in (20, 21, 22, 27))
+
+
+def test_short_texts_are_known_though_some_long_ones_are_mixed():
+    """Long texts in two languages are no reason to doubt a short text in one."""
+    rng = random.Random(11)
+    say = {"a": lambda n: " ".join(rng.choice(["bada", "koda", "mida", "bako"]) for _ in range(n)), "z": lambda n: " ".join(rng.choice(["zuxe", "wyxe", "vexu", "xuwy"]) for _ in range(n))}
+    words = {x: Counter(langid.pieces(f(4000))) for x, f in say.items()}
+    model = langid.LanguageModel(words)
+    texts = [(say[x](rng.randint(3, 60)), x) for x in "az" * 150]
+    texts += [(f"{say['a'](200)} {say['z'](200)}", rng.choice("az")) for _ in range(12)]
+    model.calibrate([t for t, _ in texts], [x for _, x in texts])
+    lang, score, _, ok = model.predict([say["a"](4), say["z"](4), f"{say['a'](300)} {say['z'](300)}", "", None])
+    assert lang == ["a", "z", lang[2], "und", "und"] and ok[0] and ok[1] and min(score[:2]) > 0.9 > score[2] and not ok[3:].any()
