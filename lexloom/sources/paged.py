@@ -45,7 +45,9 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in range(self.pages)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark asks for where there are no pages
+            return
         module, function = self.fetch.split(":")
         fetch = getattr(importlib.import_module(module), function)
         for row in with_retry(lambda: fetch(partition.value), self.attempts, self.pause):

@@ -1,6 +1,7 @@
 """Readers and writers: nothing stops a batch, nothing is half written, nothing is overwritten by mistake."""
 
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 from lexloom.operators import registry as R
 from lexloom.operators.scope import Scope, requested, searchable
 from lexloom.sources import files
+from lexloom.sources.paged import PagedReader, PagedSource, with_retry
 
 SCHEMA = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("label", T.StringType())])
 
@@ -141,18 +143,14 @@ def test_scope(spark):
 
 def flaky_page(page):
     """Two rows on each of three pages; the first try of page 1 fails."""
-    import os
-
-    mark = os.environ.get("FLAKY_MARK", "/nonexistent")
+    mark = os.environ["FLAKY_MARK"]
     if page == 1 and not os.path.exists(mark):
         open(mark, "w").close()
         raise OSError("busy")
     return [{"id": f"{page}-{i}", "extra": 1} for i in range(2)] if page < 3 else []
 
 
-def test_pages_are_tried_again(spark, tmp_path):
-    from lexloom.sources.paged import PagedReader, with_retry
-
+def test_pages_are_tried_again(tmp_path, monkeypatch):
     calls = []
 
     def once_busy():
@@ -162,18 +160,15 @@ def test_pages_are_tried_again(spark, tmp_path):
         return "ok"
 
     assert with_retry(once_busy, pause=0.0) == "ok" and len(calls) == 3
+    monkeypatch.setenv("FLAKY_MARK", f"{tmp_path}/one")
     with pytest.raises(OSError):
         with_retry(lambda: flaky_page(1), attempts=1)
-    import os
-
-    os.environ["FLAKY_MARK"] = f"{tmp_path}/mark"
+    monkeypatch.setenv("FLAKY_MARK", f"{tmp_path}/two")
     reader = PagedReader({"fetch": f"{__name__}:flaky_page", "pages": "5", "pause": "0"}, T.StructType([T.StructField("id", T.StringType())]))
     assert [row for p in reader.partitions() for row in reader.read(p)] == [(f"{p}-{i}",) for p in range(3) for i in range(2)]
 
 
 def test_page_source_in_spark(spark):
-    from lexloom.sources.paged import PagedSource
-
     spark.dataSource.register(PagedSource)
     got = spark.read.format("pages").option("fetch", "calendar:_page_of_nothing").option("pages", 0).schema("id string").load()
     assert got.count() == 0
