@@ -18,7 +18,8 @@ from lexloom.operators.ordering import ranked
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int = config.SHINGLE_WORDS) -> DataFrame:
     """doc_id, s (its distinct shingles as sorted 64-bit hashes) and the hash of the whole set."""
     normal = T.dedup_normal(T.split_lines(F.col(text)))
-    sets = docs.select(F.col(key).alias("doc_id"), F.sort_array(F.transform(T.shingles(normal, k), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
+    sets = docs.select(F.col(key).alias("doc_id"), F.sort_array(F.transform(T.shingles(normal, k), lambda s: F.xxhash64(s))).alias("s"))
+    sets = sets.checkpoint().where(F.size("s") > 0)  # made once, though filter and hash read it too
     return sets.withColumn("set", F.unhex(F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").cast("binary"), 256)))
 
 
@@ -44,7 +45,7 @@ def blocked_pairs(rows: DataFrame, key: str, node: str, block: int = 2000) -> Da
 
 def shingle_classes(docs: DataFrame, key: str, text: str, k: int = config.SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
     """nodes (doc_id, s): the smallest id of each distinct shingle set; members (doc_id, rep): every document with shingles and its node."""
-    sets = shingle_sets(docs, key, text, k).checkpoint()
+    sets = shingle_sets(docs, key, text, k)
     nodes = sets.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s")).checkpoint()  # copies merge before the exchange
     return nodes.select(F.col("rep").alias("doc_id"), "s"), sets.select("doc_id", "set").join(nodes.select("set", "rep"), "set").select("doc_id", "rep")
 
