@@ -36,9 +36,11 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch, documents, share
 
-#: Keys of one chunk, entries of one block of counts, keys that a task gathers before it counts, buckets at most.
-CHUNK, BLOCK, GATHER, MAX_BUCKETS = 1 << 20, 1 << 16, 1 << 20, 1 << 28
-SLICE = 4 << 20
+#: Keys of one chunk, entries of one block of counts, tokens that a task gathers before it counts, buckets at most.
+CHUNK, BLOCK, GATHER, MAX_BUCKETS = 1 << 20, 1 << 16, 1 << 19, 1 << 28
+#: Tokens of one stored row, so that a batch of ten thousand rows is small too.
+ROW = 256
+SLICE = 2 << 20
 FAN = 32
 COUNTS = "block long, slots binary, counts binary"
 
@@ -217,16 +219,18 @@ def token_rows(pieces: Iterator[tuple[np.ndarray, np.ndarray]], m: int, buckets:
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("slots", pa.binary()), ("counts", pa.binary())])
     gathered, held, out = [], 0, []
 
-    def rows(kind: int, found: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"kind": kind, **x} for x in found], schema)
-
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal gathered, held, out
-        numbers, words = np.concatenate([n for n, _ in out]), np.concatenate([w for _, w in out])
-        yield rows(0, [{"block": 0, "slots": numbers.astype(np.int32).tobytes(), "counts": words.astype(np.int32).tobytes()}])
+        numbers, words = (np.concatenate(x).astype(np.int32) for x in zip(*out, strict=True))
+        # rows end at breaks, which no phrase crosses
+        ends = np.flatnonzero(numbers < 0) + 1
+        cuts = np.unique(np.append(ends[np.searchsorted(ends, np.arange(ROW, len(numbers), ROW))], len(numbers)))
+        offsets = pa.py_buffer((np.append(0, cuts) * 4).astype(np.int32))
+        columns = [pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(x)]) for x in (numbers, words)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cuts), np.int32)), pa.array(np.zeros(len(cuts), np.int64)), *columns], schema=schema)
         hashed = (mix(np.concatenate(gathered)) % np.uint64(buckets)).astype(np.int64)
         for row in partial_counts(hashed):
-            yield rows(1, [row])
+            yield pa.RecordBatch.from_pylist([{"kind": 1, **row}], schema)
         gathered, held, out = [], 0, []
 
     for numbers, words in pieces:
@@ -243,10 +247,17 @@ def token_rows(pieces: Iterator[tuple[np.ndarray, np.ndarray]], m: int, buckets:
 
 
 def opened(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, words) of each stored row of tokens."""
+    """(numbers, words) of stored rows of tokens, some thousand rows at once: they end at breaks, so they can stand in one array."""
     for batch in batches:
-        for numbers, words in zip(batch.column(0), batch.column(1), strict=True):
-            yield np.frombuffer(numbers.as_buffer(), np.int32), np.frombuffer(words.as_buffer(), np.int32)
+        for at in range(0, batch.num_rows, GATHER // ROW):
+            part = batch.slice(at, GATHER // ROW)
+            yield tuple(_joined(part.column(i)) for i in (0, 1))
+
+
+def _joined(column: pa.Array) -> np.ndarray:
+    column = column.cast(pa.binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.int32)
 
 
 def _chunks(table: DataFrame, size: int, build) -> list:
