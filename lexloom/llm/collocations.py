@@ -223,7 +223,7 @@ def token_rows(pieces: Iterator[tuple[np.ndarray, np.ndarray]], m: int, buckets:
         nonlocal gathered, held, out
         numbers, words = (np.concatenate(x).astype(np.int32) for x in zip(*out, strict=True))
         # rows end at breaks, which no phrase crosses
-        ends = np.flatnonzero(numbers < 0) + 1
+        ends = np.flatnonzero(words < 0) + 1
         cuts = np.unique(np.append(ends[np.searchsorted(ends, np.arange(ROW, len(numbers), ROW))], len(numbers)))
         offsets = pa.py_buffer((np.append(0, cuts) * 4).astype(np.int32))
         columns = [pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(x)]) for x in (numbers, words)]

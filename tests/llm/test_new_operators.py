@@ -62,7 +62,10 @@ def some_texts():
 
 
 @pytest.mark.parametrize("chunk, buckets, top", [(1 << 20, 1 << 28, 2000), (9, 1 << 16, 4)])
-def test_collocations(spark, chunk, buckets, top):
+def test_collocations(spark, chunk, buckets, top, monkeypatch):
+    if chunk < 100:  # small rows and steps too
+        monkeypatch.setattr(collocations, "ROW", 3)
+        monkeypatch.setattr(collocations, "GATHER", 60)
     rows = some_texts()
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
     docs = docs.select("*", *[F.lit("extra").alias(c) for c in ("phrase", "n", "spread", "key", "rank", "of")]).repartition(3)
