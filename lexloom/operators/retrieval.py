@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom import config
 from lexloom.functions import text as T
+from lexloom.operators import search_index
 
 
 def scoped(df: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,26 +23,12 @@ def scoped(df: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, k: int = config.RETRIEVE_TOP_K, owner: str | None = None) -> DataFrame:
     """Okapi BM25: query_id, doc_id, score (6 decimals), rank; ties by doc_id.
 
-    With an owner column on both sides a query sees its owner's documents only, statistics included.
-    A term in more than half of the documents gets epsilon times the mean idf. Query terms count as
-    often as they occur. Document frequencies move one row per distinct term of a task; of the documents'
-    words only those that some query asks for become postings.
+    With an owner column on both sides a query sees its owner's documents only, statistics included. The texts are read
+    once into posting lists in the checkpoint folder, which statistics and scores read; `search_index.SearchIndex` keeps
+    such lists for further batches of queries.
     """
-    own = [F.col(owner).alias("owner") if owner else F.lit(0).alias("owner")]
-    toks = docs.select(*own, F.col(doc_id).alias("doc_id"), T.tokens(F.col(text)).alias("w"))
-    stats = toks.groupBy("owner").agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))
-    df = toks.select("owner", F.explode(F.array_distinct("w")).alias("term")).groupBy("owner", "term").agg(F.count("*").alias("df"))
-    raw = df.join(stats, "owner").withColumn("raw", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.groupBy("owner").agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.join(mean, "owner").select("owner", "term", "avgdl", F.when(F.col("raw") < 0, config.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    terms = queries.select(*own, F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("owner", "query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = terms.select("owner", "term").distinct()
-    said = toks.select("owner", "doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, ["owner", "term"], "left_semi")
-    postings = said.groupBy("owner", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    hit = terms.join(idf, ["owner", "term"]).join(postings, ["owner", "term"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (config.BM25_K1 + 1) / (F.col("tf") + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored, "query_id", k)
+    postings = search_index.inverted(docs, doc_id, text, owner).checkpoint()
+    return search_index.score(postings, *search_index.sides(postings), queries, query_id, query, k, owner)
 
 
 def top_k(scored: DataFrame, query: str, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -84,6 +71,42 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_TOP_K
     return top_k(found, "query_id", k)
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
+def dense_within(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_TOP_K, vector_block: int = 65536) -> DataFrame:
+    """Flat inner-product search within owners: query_id, doc_id, score (6 decimals), rank; ties by doc_id.
+
+    vectors: (owner, doc_id, v) with doc_id of any type that sorts; queries: (owner, query_id, q). An owner's vectors are dealt into
+    blocks of bounded size, each with the owner's queries one task's matrix product; only the best k of a block go on.
+    """
+    sizes = vectors.groupBy("owner").agg(F.ceil(F.count("*") / vector_block).cast("int").alias("blocks"))
+    a = vectors.join(sizes, "owner").select("owner", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id", "v")
+    b = queries.join(sizes, "owner").select("owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
+    kinds = {c: vectors.schema["doc_id"].dataType.simpleString() if c == "doc_id" else queries.schema["query_id"].dataType.simpleString() for c in ("query_id", "doc_id")}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", _nullable(right.schema.field("query_id").type)), ("doc_id", _nullable(left.schema.field("doc_id").type)), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        matrix = lambda t, c: np.array(t[c].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        v, q, rows, of, scores = matrix(left, "v"), matrix(right, "q"), [], [], []
+        for at in range(0, len(q), 64):
+            for i, row in enumerate(np.round(q[at : at + 64] @ v.T, 6)):
+                # all that tie with the k-th: the final rank settles them by id
+                best = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                rows.append(best)
+                of.append(np.full(len(best), at + i))
+                scores.append(row[best])
+        take = lambda t, c, x: t[c].combine_chunks().take(pa.array(np.concatenate(x)))
+        ids = [x.cast(f.type) for x, f in zip((take(right, "query_id", of), take(left, "doc_id", rows)), schema, strict=False)]
+        return pa.table([*ids, pa.array(np.concatenate(scores))], schema=schema)
+
+    found = a.groupBy("owner", "block").cogroup(b.groupBy("owner", "block")).applyInArrow(run, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return top_k(found, "query_id", k)
+
+
 def fuse(runs: DataFrame, k: int = config.RETRIEVE_TOP_K, c: int = config.RRF_K) -> DataFrame:
     """Reciprocal rank fusion with ranks from 0: runs (query_id, method, doc_id, rank from 1)."""
     scored = runs.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (c + F.col("rank") - 1)), 9).alias("score"))
@@ -124,6 +147,5 @@ def hybrid(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id
     sparse = bm25(docs, queries, doc_id, text, query_id, query, k, owner).select("query_id", F.lit("sparse").alias("method"), "doc_id", "rank")
     v = docs.select(F.col(owner).alias("owner"), F.col(doc_id).alias("doc_id"), encoder(F.col(text)).alias("v"))
     q = queries.select(F.col(owner).alias("owner"), F.col(query_id).alias("query_id"), encoder(F.col(query)).alias("q"))
-    scored = v.join(q, "owner").select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    near = top_k(scored, "query_id", k).select("query_id", F.lit("dense").alias("method"), "doc_id", "rank")
+    near = dense_within(v, q, k).select("query_id", F.lit("dense").alias("method"), "doc_id", "rank")
     return fuse(sparse.unionByName(near), k)

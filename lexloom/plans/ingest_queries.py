@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import chunking, claims as C, corpus, entities, records, registry as R, retrieval, scope as S
 from lexloom.operators.chunking import matches
+from lexloom.plans import evaluation_queries
 from lexloom.plans.text_queries import F4_SQL, legal_texts, spans_sql
 from lexloom.sources.tables import table
 
@@ -400,8 +401,14 @@ def top_rerank_logit(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.max(F.col("o_orderkey") * 31 % 97 / F.lit(10.0).cast("double") - 5).alias("top_logit"))
 
 
-@query()
+@query(evaluation_queries.SQL["duplicate_components"])
 def minhash_lsh(spark, sf_dir):
-    """One row per document with shingles that is near another: its class by MinHash; tests measure recall against the exact pairs."""
+    """One row per document with shingles that is near another: its class by verified MinHash pairs; tests measure recall against the exact pairs."""
     pairs = corpus.minhash_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
     return corpus.components(pairs).select(F.col("node").alias("doc_id"), "root")
+
+
+@query(f"WITH {evaluation_queries._SH} SELECT a, b, jaccard FROM near WHERE jaccard >= 0.95")
+def minhash_pairs(spark, sf_dir):
+    """Verified MinHash pairs at 0.95 and above, where a band is missed once in thirty million pairs."""
+    return corpus.minhash_pairs(table(spark, sf_dir, "documents"), "doc_id", "text").where("jaccard >= 0.95")

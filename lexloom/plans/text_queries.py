@@ -9,6 +9,9 @@ from lexloom import config
 from lexloom.functions import text as T
 from lexloom.functions.unicode import normal_form
 from lexloom.operators import chunking, retrieval
+from lexloom.operators.search_index import SearchIndex
+from lexloom.operators.vector_index import VectorIndex
+from lexloom.sources.scratch import shared_folder
 from lexloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -203,6 +206,16 @@ def bm25_topk(spark, sf_dir):
     return got.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(SQL["bm25_topk"])
+def search_index(spark, sf_dir):
+    """The same ranking from an index on disk that got its documents in two parts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = SearchIndex(spark, shared_folder(spark, "search"), buckets=16)
+    index.add(docs.where("doc_id % 3 = 0"), "doc_id", "text").add(docs.where("doc_id % 3 <> 0"), "doc_id", "text")
+    got = index.search(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return got.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
 
@@ -221,6 +234,15 @@ def dense_topk(spark, sf_dir):
     return _dense_runs(spark, sf_dir).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"WITH {_DENSE_SQL} SELECT query_id, doc_id, score, rank FROM dr WHERE rank <= 20")
+def vector_index(spark, sf_dir):
+    """The same search from cells on disk: the best cells of each query, then those whose bound still reaches its results."""
+    v = _vectors(spark, sf_dir)
+    index = VectorIndex(spark, shared_folder(spark, "vectors")).build(v.select("doc_id", "v"))
+    got = index.search(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q")), exact=True)
+    return got.select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10""")
 def cosine_pairs(spark, sf_dir):
     v = _vectors(spark, sf_dir)
