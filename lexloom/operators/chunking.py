@@ -48,52 +48,49 @@ def matches(df: DataFrame, key: str, text: Column, pattern: str, group: int = 1)
     return flat.select(key, "match_no", (upto - F.col("n")).alias("match_start"), upto.alias("match_end"), "found")
 
 
-def clauses(df: DataFrame, key: str, text: str, child: int = config.CHUNK_CHILD_CHARS) -> DataFrame:
-    """Clauses: key, para_no, section_label, char_start, char_end, chunk_text, page_no, n_children, bm25_indexed.
+def clauses(df: DataFrame, key: str | list[str], text: str, child: int = config.CHUNK_CHILD_CHARS) -> DataFrame:
+    """Clauses: key columns, para_no, section_label, char_start, char_end, chunk_text, page_no, n_children, bm25_indexed.
 
     A document without a boundary is one clause; text before the first boundary is a preamble
     without a label. Blank spans are left out. Form feeds count once each, up to and in the span.
+    Spans are found and cut inside the row, so no text moves.
     """
-    whole = df.select(key, F.col(text).alias("__t"))
-    found = matches(whole, key, F.col("__t"), BOUNDARY).select(key, F.col("match_start").alias("at"), F.trim("found").alias("label"))
-    first = found.groupBy(key).agg(F.min("at").alias("first_at"))
-    zero = whole.join(first, key, "left").where(F.coalesce("first_at", F.lit(1)) > 0).select(key, F.lit(0).cast("bigint").alias("at"), F.lit(None).cast("string").alias("label"))
-    spans = found.select(key, F.col("at").cast("bigint").alias("at"), "label").unionByName(zero)
-    spans = spans.withColumn("next_at", F.lead("at").over(Window.partitionBy(key).orderBy("at"))).join(whole, key)
-    piece = F.substring("__t", F.col("at") + 1, F.coalesce("next_at", F.length("__t")) - F.col("at"))
-    left = F.regexp_replace(piece, r"^\s+", "")
-    start = F.col("at") + F.length(piece) - F.length(left)
-    body = F.regexp_replace(left, r"\s+$", "")
-    order = Window.partitionBy(key).orderBy("at")
-    breaks = F.when(F.length(body) > 0, F.regexp_count(piece, F.lit("\f"))).otherwise(0)
-    rows = spans.select(key, "at", "label", start.alias("char_start"), body.alias("chunk_text"), (F.sum(breaks).over(order) + 1).alias("page_no")).where(F.length("chunk_text") > 0)
+    keys = [key] if isinstance(key, str) else list(key)
+    left = lambda c: F.regexp_replace(c, r"^\s+", "")
+    whole = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    found = whole.withColumn("__m", F.transform(T.match_spans(F.col("__t"), BOUNDARY), lambda m: F.struct(m["start"].alias("at"), left(m["value"]).alias("label"))))
+    head = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("label")))
+    cut = found.withColumn("__b", F.when(F.coalesce(F.get("__m", F.lit(0))["at"], F.lit(1)) > 0, F.concat(head, "__m")).otherwise(F.col("__m")))
+    end = lambda i: F.coalesce(F.get("__b", i + 1)["at"], F.length("__t"))
+    piece = lambda x, i: F.struct(x["at"].alias("at"), x["label"].alias("label"), F.substring(F.col("__t"), x["at"] + 1, end(i) - x["at"]).alias("piece"))
+    parts = cut.select(*keys, F.filter(F.transform("__b", piece), lambda x: x["piece"].rlike(r"\S")).alias("__p"))
+    breaks = parts.withColumn("__f", F.transform("__p", lambda x: F.regexp_count(x["piece"], F.lit("\f"))))
+    rows = breaks.select(*keys, "__f", F.posexplode("__p").alias("__i", "__x"))
+    bare = left(F.col("__x.piece"))
+    page = F.aggregate(F.slice("__f", F.lit(1), F.col("__i") + 1), F.lit(1), lambda n, x: n + x)
+    rows = rows.select(*keys, (F.col("__i") + 1).alias("para_no"), F.col("__x.label").alias("section_label"), (F.col("__x.at") + F.length("__x.piece") - F.length(bare)).alias("char_start"), F.regexp_replace(bare, r"\s+$", "").alias("chunk_text"), page.alias("page_no"))
     n = F.length("chunk_text")
     return rows.select(
-        key,
-        F.row_number().over(order).alias("para_no"),
-        F.col("label").alias("section_label"),
-        "char_start",
-        (F.col("char_start") + n).alias("char_end"),
-        "chunk_text",
-        "page_no",
+        *[*keys, "para_no", "section_label", "char_start", (F.col("char_start") + n).alias("char_end"), "chunk_text", "page_no"],
         F.when(n > child, F.ceil(n / child)).otherwise(0).cast("int").alias("n_children"),
         (n <= child).alias("bm25_indexed"),
     )
 
 
-def clause_chunks(df: DataFrame, key: str, text: str, child: int = config.CHUNK_CHILD_CHARS) -> DataFrame:
-    """Parents and children: key, chunk_id, parent_chunk_id, para_no, section_label, page_no, char_start, char_end, chunk_text, bm25_indexed.
+def clause_chunks(df: DataFrame, key: str | list[str], text: str, child: int = config.CHUNK_CHILD_CHARS) -> DataFrame:
+    """Parents and children: key columns, chunk_id, parent_chunk_id, para_no, section_label, page_no, char_start, char_end, chunk_text, bm25_indexed.
 
     A clause longer than `child` is not searched itself; its slices are, and name it as their parent.
     """
-    whole = clauses(df, key, text, child)
-    own = F.concat(F.lit("ch-"), F.col(key).cast("string"), F.lit("-"), F.col("para_no").cast("string"))
+    keys = [key] if isinstance(key, str) else list(key)
+    own = F.concat_ws("-", F.lit("ch"), *[F.col(c).cast("string") for c in keys], F.col("para_no").cast("string"))
+    whole = clauses(df, keys, text, child)
     parents = whole.withColumn("chunk_id", own).withColumn("parent_chunk_id", F.lit(None).cast("string"))
     cut = parents.where("n_children > 0").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n_children") - 1)))
     body = F.substring("chunk_text", F.col("__i") * child + 1, F.lit(child))
     start = F.col("char_start") + F.col("__i") * child
     children = cut.select(
-        *[key, F.concat("chunk_id", F.lit("-"), F.col("__i").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_chunk_id"), "para_no", "section_label", "page_no"],
+        *[*keys, F.concat("chunk_id", F.lit("-"), F.col("__i").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_chunk_id"), "para_no", "section_label", "page_no"],
         *[start.alias("char_start"), (start + F.length(body)).alias("char_end"), body.alias("chunk_text"), F.lit(True).alias("bm25_indexed")],
     )
     return parents.select(*children.columns).unionByName(children)

@@ -11,6 +11,7 @@ from lexloom import config
 from lexloom.functions.text import outer_json
 
 CLAIMS = "array<struct<text:string, passage_ids:array<string>, citations:array<string>>>"
+#: Fixed value: what is said instead of an answer that did not pass.
 REFUSAL = "I cannot verify an answer from the available document(s)."
 
 
@@ -93,13 +94,14 @@ def gate(claims: DataFrame, answer: str) -> DataFrame:
     return per.select(answer, outcome.alias("outcome"), reason.alias("reason"), "n_claims", F.when(F.col("down"), 0).otherwise(F.col("n_struck")).cast("bigint").alias("n_struck"))
 
 
-def render(claims: DataFrame, decisions: DataFrame, answer: str, order: str) -> DataFrame:
-    """The surviving claims of each answer in order, a notice if some were left out, or the refusal."""
+def render(claims: DataFrame, decisions: DataFrame, answer: str, order: str, notice: str = "struck_reason") -> DataFrame:
+    """The surviving claims of each answer in order, a notice if some were left out (each distinct one once, sorted), or the refusal."""
     joined = claims.join(decisions, answer)
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("component").isNull(), F.struct(order, "text")))), lambda c: c["text"]), " ")
-    notices = F.array_join(F.array_sort(F.collect_set("struck_reason")), "; ")
+    notices = F.array_join(F.array_sort(F.collect_set(notice)), "; ")
     body = joined.groupBy(answer, "outcome").agg(texts.alias("t"), notices.alias("w"))
-    return body.select(answer, F.when(F.col("outcome") == "REFUSE", REFUSAL).when(F.col("outcome") == "PARTIAL_ALLOW", F.concat("t", F.lit(" [Notice: Certain assertions were omitted because: "), "w", F.lit("]"))).otherwise(F.col("t")).alias("answer_text"))
+    partial = F.concat("t", F.lit(" \n[Notice: Certain assertions were omitted because: "), "w", F.lit("]"))
+    return body.select(answer, F.when(F.col("outcome") == "REFUSE", REFUSAL).when(F.col("outcome") == "PARTIAL_ALLOW", partial).otherwise(F.col("t")).alias("answer_text"))
 
 
 def acceptance(chunk_scores: DataFrame, pair: str, claim: str, score: str) -> DataFrame:
@@ -151,11 +153,17 @@ def shaped_generation(answer: Column, passages: Column, statutes: Column) -> Col
     return F.struct(F.when(blank, F.slice(F.array(claim), F.lit(1), F.lit(0))).otherwise(F.array(claim)).alias("claims"), F.when(blank, F.array(F.lit("empty_generation"))).otherwise(F.array().cast("array<string>")).alias("unanswerable"))
 
 
-DISCLAIMER = "This is information about documents, not legal advice."
+#: Fixed value: the notice that has to stand below each answer.
+DISCLAIMER = (
+    "This output is AI-generated legal information, NOT legal advice, and does not "
+    "create an advocate-client relationship. Consult an advocate enrolled under the "
+    "Advocates Act, 1961 before acting."
+)
 
 
 def with_disclaimer(text: Column) -> Column:
-    return F.concat(text, F.lit("\n\n"), F.lit(DISCLAIMER))
+    """The text, a rule, and the notice in italics."""
+    return F.concat(text, F.lit(f"\n\n---\n*{DISCLAIMER}*"))
 
 
 def context(texts: Column) -> Column:

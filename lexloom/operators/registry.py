@@ -189,12 +189,13 @@ def resolve(mentions: DataFrame, raw: str, known_sections: DataFrame, known_stat
     )
 
 
-def render(section: Column, short_forms: dict[str, str] | None = None) -> Column:
-    """'bns-2023-s318' to 'BNS 318'; ids of other kinds stay."""
-    forms = short_forms or {s[0]: s[6] for s in STATUTES}
-    act = F.regexp_extract(section, r"^(.*)-s([^-]*)$", 1)
-    short = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in forms.items() for x in p]), act), act)
-    return F.when(section.contains("-s") & (act != ""), F.concat(short, F.lit(" "), F.regexp_extract(section, r"^(.*)-s([^-]*)$", 2))).otherwise(section)
+def named(ids: DataFrame, section: str, known_statutes: DataFrame) -> DataFrame:
+    """ids with the name of each section as a reader knows it: 'bns-2023-s318' as 'BNS 318', with the statute's short form; ids of other kinds stay."""
+    shape = r"^(.*)-s([^-]*)$"
+    forms = known_statutes.select(F.col("statute_id").alias("__form_of"), F.col("short_form").alias("__form"))
+    act = F.regexp_extract(section, shape, 1)
+    name = F.when(act != "", F.concat(F.coalesce("__form", act), F.lit(" "), F.regexp_extract(section, shape, 2))).otherwise(F.col(section))
+    return ids.join(forms, act == F.col("__form_of"), "left").withColumn("name", name).drop("__form_of", "__form")
 
 
 def check(resolved: DataFrame, as_of: str, known_sections: DataFrame, known_statutes: DataFrame, successions: DataFrame) -> DataFrame:
@@ -202,14 +203,16 @@ def check(resolved: DataFrame, as_of: str, known_sections: DataFrame, known_stat
 
     Undated omissions first; then each side of the interval falls back to the statute's date; then not
     yet, ended, or in force. An ended section with successors is superseded, with its list; without,
-    it is repealed, and the note tells a recorded absence from a missing record.
+    it is repealed, and the note tells a recorded absence from a missing record. Acts go by the short forms of known_statutes.
     """
-    succ = successions.groupBy(F.col("from_section_id").alias("__from")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_set("to_section_id")), lambda s: render(s)), " / ").alias("__see"),
+    to = F.when(F.col("to_section_id").isNotNull(), F.struct("to_section_id", "name"))
+    succ = named(successions, "to_section_id", known_statutes).groupBy(F.col("from_section_id").alias("__from")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_set(to)), lambda s: s["name"]), " / ").alias("__see"),
         F.count("to_section_id").alias("__n"),
         F.max(F.col("relation") == "repealed_no_successor").alias("__none"),
     )
     acts = known_statutes.select(F.col("statute_id").alias("__sid"), F.col("in_force_from").alias("__afrom"), F.col("repealed_on").alias("__ato"), F.col("repealed_by").alias("__by"))
+    acts = acts.join(known_statutes.select(F.col("statute_id").alias("__heir"), F.col("short_form").alias("__heir_form")), F.col("__by") == F.col("__heir"), "left").drop("__heir")
     secs = known_sections.select(F.col("section_id").alias("__sec"), F.col("statute_id").alias("__act"), F.col("in_force_from").alias("__sfrom"), F.col("in_force_to").alias("__sto"), F.col("status").alias("__status"))
     is_section = F.col("target_type") == "section"
     df = resolved.join(secs, is_section & (F.col("target_id") == F.col("__sec")), "left")
@@ -218,7 +221,6 @@ def check(resolved: DataFrame, as_of: str, known_sections: DataFrame, known_stat
     start, end = F.coalesce("__sfrom", "__afrom"), F.coalesce("__sto", "__ato")
     has = F.coalesce("__n", F.lit(0)) > 0
     undated = is_section & (F.col("__status") == "omitted") & F.col("__sto").isNull()
-    forms = F.create_map(*[F.lit(x) for s in STATUTES for x in (s[0], s[6])])
     omitted = F.concat(F.lit("omitted from the "), F.when(F.col("__act") == "constitution-1950", "Constitution").otherwise("statute"), F.lit("; effective date not recorded in registry"))
     gone = F.concat(F.lit("repealed "), end.cast("string"))
     cases = [
@@ -230,14 +232,14 @@ def check(resolved: DataFrame, as_of: str, known_sections: DataFrame, known_stat
         (is_section & (day >= end) & has, "superseded", F.concat(gone, F.lit("; see "), "__see")),
         (is_section & (day >= end) & F.col("__none"), "repealed", F.concat(gone, F.lit("; no corresponding provision"))),
         (is_section & (day >= end), "repealed", F.concat(gone, F.lit("; successor not recorded in registry"))),
-        ((day >= end) & F.col("__by").isNotNull(), "superseded", F.concat(gone, F.lit("; see "), F.coalesce(F.try_element_at(forms, F.col("__by")), "__by"))),
+        ((day >= end) & F.col("__by").isNotNull(), "superseded", F.concat(gone, F.lit("; see "), F.coalesce("__heir_form", "__by"))),
         (day >= end, "repealed", gone),
     ]
     status, note = F.lit("in_force"), F.lit(None).cast("string")
     for test, s, n in reversed(cases):
         hit = F.coalesce(test, F.lit(False))
         status, note = F.when(hit, F.lit(s)).otherwise(status), F.when(hit, n).otherwise(note)
-    return df.withColumn("status", status).withColumn("note", note).drop("__sec", "__act", "__sfrom", "__sto", "__status", "__sid", "__afrom", "__ato", "__by", "__from", "__see", "__n", "__none")
+    return df.withColumn("status", status).withColumn("note", note).drop("__sec", "__act", "__sfrom", "__sto", "__status", "__sid", "__afrom", "__ato", "__by", "__heir_form", "__from", "__see", "__n", "__none")
 
 
 def unambiguous_successors(successions: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def gate_decision(spark, sf_dir):
 
 
 @query(f"""WITH {_GATE_SQL}, b AS (SELECT answer_id, outcome, string_agg('Claim ' || claim_id, ' ' ORDER BY claim_id) FILTER (component IS NULL) AS t, string_agg(DISTINCT struck_reason, '; ' ORDER BY struck_reason) AS w FROM st JOIN dec USING (answer_id) GROUP BY ALL)
-SELECT answer_id, CASE outcome WHEN 'REFUSE' THEN 'I cannot verify an answer from the available document(s).' WHEN 'PARTIAL_ALLOW' THEN t || ' [Notice: Certain assertions were omitted because: ' || w || ']' ELSE t END AS answer_text FROM b""")
+SELECT answer_id, CASE outcome WHEN 'REFUSE' THEN 'I cannot verify an answer from the available document(s).' WHEN 'PARTIAL_ALLOW' THEN t || ' ' || chr(10) || '[Notice: Certain assertions were omitted because: ' || w || ']' ELSE t END AS answer_text FROM b""")
 def answer_render(spark, sf_dir):
     s = _struck(spark, sf_dir)
     return C.render(s, C.gate(s, "answer_id"), "answer_id", "claim_id")

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 # a registry built from tables: an act for each supplier, a section for each part, successions between old and new acts
-_REG_SQL = """st AS (SELECT 'act-' || s_suppkey AS statute_id, s_name AS title, (1900 + s_suppkey % 100)::INT AS year, CASE WHEN s_suppkey % 7 > 0 THEN DATE '1990-01-01' + (s_suppkey * 30)::INT END AS in_force_from, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2024-07-01' END AS repealed_on, CASE WHEN s_suppkey % 10 = 0 THEN 'act-' || (s_suppkey + 1) END AS repealed_by FROM supplier),
+_REG_SQL = """st AS (SELECT 'act-' || s_suppkey AS statute_id, s_name AS title, (1900 + s_suppkey % 100)::INT AS year, CASE WHEN s_suppkey % 7 > 0 THEN DATE '1990-01-01' + (s_suppkey * 30)::INT END AS in_force_from, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2024-07-01' END AS repealed_on, CASE WHEN s_suppkey % 10 = 0 THEN 'act-' || (s_suppkey + 1) END AS repealed_by, 'ACT' || s_suppkey AS short_form FROM supplier),
 se AS (SELECT 'act-' || (p_partkey % 90) || '-s' || p_partkey AS section_id, 'act-' || (p_partkey % 90) AS statute_id, p_partkey::VARCHAR AS number, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS heading, CASE WHEN p_partkey % 4 = 0 THEN DATE '2000-01-01' + (p_size * 100)::INT END AS in_force_from, CASE WHEN p_partkey % 6 = 0 THEN DATE '2015-01-01' + (p_size * 50)::INT END AS in_force_to, CASE WHEN p_partkey % 31 = 0 THEN 'omitted' ELSE 'in_force' END AS status FROM part),
 su AS (SELECT 'act-' || (p_partkey % 90) || '-s' || p_partkey AS f, CASE WHEN p_size % 4 > 0 THEN 'act-' || ((p_partkey + k) % 90) || '-s' || (p_partkey + k) END AS t, CASE WHEN p_size % 4 > 0 THEN 'maps_to' ELSE 'repealed_no_successor' END AS relation, k FROM part, (VALUES (1), (2)) v(k) WHERE p_partkey % 6 = 0 AND (k = 1 OR p_size % 4 = 1))"""
 
@@ -38,7 +38,7 @@ def registry_tables(spark, sf_dir):
     act = lambda c: F.concat(F.lit("act-"), c.cast("string"))
     st = table(spark, sf_dir, "supplier").select(
         act(k).alias("statute_id"), F.col("s_name").alias("title"), (k % 100 + 1900).cast("int").alias("year"), F.when(k % 7 > 0, F.date_add(day("1990-01-01"), (k * 30).cast("int"))).alias("in_force_from"),
-        F.when(k % 5 == 0, day("2024-07-01")).alias("repealed_on"), F.when(k % 10 == 0, act(k + 1)).alias("repealed_by"), act(k).alias("short_form"),
+        F.when(k % 5 == 0, day("2024-07-01")).alias("repealed_on"), F.when(k % 10 == 0, act(k + 1)).alias("repealed_by"), F.concat(F.lit("ACT"), k.cast("string")).alias("short_form"),
     )
     p, n = F.col("p_partkey"), F.col("p_size")
     sid = lambda c: F.concat(act(c % 90), F.lit("-s"), c.cast("string"))
@@ -55,23 +55,46 @@ def registry_tables(spark, sf_dir):
     return st, se, su
 
 
-@query(f"""WITH {_REG_SQL}, m AS (SELECT o_orderkey AS id, 'act-' || (o_custkey % 90) || '-s' || (o_custkey + (o_orderkey % 3) * 90) AS target, o_orderdate::DATE + 8000 AS as_of FROM orders),
-g AS (SELECT f, count(t) AS n, bool_or(relation = 'repealed_no_successor') AS none FROM su GROUP BY f),
-j AS (SELECT m.*, se.section_id, se.status, se.in_force_to AS sto, coalesce(se.in_force_from, st.in_force_from) AS a, coalesce(se.in_force_to, st.repealed_on) AS e, coalesce(g.n, 0) > 0 AS has FROM m LEFT JOIN se ON se.section_id = m.target LEFT JOIN st ON st.statute_id = se.statute_id LEFT JOIN g ON g.f = se.section_id)
-SELECT id, target, CASE WHEN section_id IS NULL THEN 'not_found' WHEN status = 'omitted' AND sto IS NULL THEN CASE WHEN has THEN 'superseded' ELSE 'repealed' END WHEN as_of < a THEN 'not_found' WHEN as_of >= e THEN CASE WHEN has THEN 'superseded' ELSE 'repealed' END ELSE 'in_force' END AS status FROM j""")
+_CHECKED_SQL = """g AS (SELECT f, count(t) AS n, bool_or(relation = 'repealed_no_successor') AS none, string_agg(name, ' / ' ORDER BY t) AS see FROM
+  (SELECT DISTINCT f, t, relation, coalesce(short_form, regexp_extract(t, '^(.*)-s', 1)) || ' ' || regexp_extract(t, '-s([^-]*)$', 1) AS name FROM su LEFT JOIN st ON st.statute_id = regexp_extract(t, '^(.*)-s', 1)) GROUP BY f),
+j AS (SELECT m.*, se.section_id, se.status, se.in_force_to AS sto, coalesce(se.in_force_from, st.in_force_from) AS a, coalesce(se.in_force_to, st.repealed_on) AS e, coalesce(g.n, 0) > 0 AS has, coalesce(none, false) AS none, see, st.statute_id AS act, st.repealed_by AS heir, h.short_form AS heir_form
+  FROM m LEFT JOIN se ON se.section_id = m.target LEFT JOIN st ON st.statute_id = coalesce(se.statute_id, CASE WHEN m.target NOT LIKE '%-s%' THEN m.target END) LEFT JOIN st h ON h.statute_id = st.repealed_by LEFT JOIN g ON g.f = se.section_id),
+checked AS (SELECT *, CASE WHEN coalesce(section_id, CASE WHEN target NOT LIKE '%-s%' THEN act END) IS NULL THEN 'not_found|' || target || ' not in registry'
+  WHEN status = 'omitted' AND sto IS NULL THEN CASE WHEN has THEN 'superseded' ELSE 'repealed' END || '|omitted from the statute; effective date not recorded in registry' || CASE WHEN has THEN '; see ' || see ELSE '' END
+  WHEN as_of < a THEN 'not_found|not in force until ' || a WHEN as_of >= e AND section_id IS NOT NULL AND has THEN 'superseded|repealed ' || e || '; see ' || see
+  WHEN as_of >= e AND section_id IS NOT NULL AND none THEN 'repealed|repealed ' || e || '; no corresponding provision' WHEN as_of >= e AND section_id IS NOT NULL THEN 'repealed|repealed ' || e || '; successor not recorded in registry'
+  WHEN as_of >= e AND heir IS NOT NULL THEN 'superseded|repealed ' || e || '; see ' || coalesce(heir_form, heir) WHEN as_of >= e THEN 'repealed|repealed ' || e ELSE 'in_force|' END AS s FROM j)"""
+
+
+@query(f"""WITH {_REG_SQL}, m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 THEN 'act-' || (o_custkey % 120) ELSE 'act-' || (o_custkey % 90) || '-s' || (o_custkey + (o_orderkey % 3) * 90) END AS target, o_orderdate::DATE + 8000 AS as_of FROM orders), {_CHECKED_SQL}
+SELECT id, target, split_part(s, '|', 1) AS status, nullif(split_part(s, '|', 2), '') AS note FROM checked""")
 def registry_from_tables(spark, sf_dir):
-    """Validity on a date against a registry read from tables: an act for each supplier, a section for each part."""
+    """Validity on a date against a registry read from tables: an act for each supplier, a section for each part; every fifth citation names an act."""
     st, se, su = registry_tables(spark, sf_dir)
-    target = F.concat(F.lit("act-"), (F.col("o_custkey") % 90).cast("string"), F.lit("-s"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 90).cast("string"))
-    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), target.alias("target_id"), F.lit("section").alias("target_type"), F.date_add(F.col("o_orderdate").cast("date"), 8000).alias("as_of"))
-    return R.check(m, "as_of", se, st, su).select("id", F.col("target_id").alias("target"), "status")
+    act = F.col("o_orderkey") % 5 == 4
+    section = F.concat(F.lit("act-"), (F.col("o_custkey") % 90).cast("string"), F.lit("-s"), (F.col("o_custkey") + F.col("o_orderkey") % 3 * 90).cast("string"))
+    target = F.when(act, F.concat(F.lit("act-"), (F.col("o_custkey") % 120).cast("string"))).otherwise(section)
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), target.alias("target_id"), F.when(act, "statute").otherwise("section").alias("target_type"), F.date_add(F.col("o_orderdate").cast("date"), 8000).alias("as_of"))
+    return R.check(m, "as_of", se, st, su).select("id", F.col("target_id").alias("target"), "status", "note")
+
+
+@query(f"WITH {_REG_SQL} SELECT t AS to_section_id, count(DISTINCT f) AS n_from, min(f) AS first_from FROM su WHERE t IS NOT NULL GROUP BY t")
+def supersession_fanout(spark, sf_dir):
+    """How many old sections a new one stands for."""
+    s = registry_tables(spark, sf_dir)[2].where(F.col("to_section_id").isNotNull())
+    return s.groupBy("to_section_id").agg(F.countDistinct("from_section_id").alias("n_from"), F.min("from_section_id").alias("first_from"))
+
+
+@query(f"WITH {_REG_SQL} SELECT f AS from_section_id, min(t) AS successor FROM su WHERE t IS NOT NULL GROUP BY f HAVING count(DISTINCT t) = 1")
+def unambiguous_successor(spark, sf_dir):
+    return R.unambiguous_successors(registry_tables(spark, sf_dir)[2])
 
 
 @query(f"""WITH {_REG_SQL} SELECT 'section_without_statute' AS problem, section_id AS id FROM se WHERE statute_id NOT IN (SELECT statute_id FROM st) UNION ALL SELECT 'repeated_section', section_id FROM se GROUP BY section_id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'unknown_predecessor', f FROM su WHERE f NOT IN (SELECT section_id FROM se) UNION ALL SELECT DISTINCT 'unknown_successor', t FROM su WHERE t NOT IN (SELECT section_id FROM se)""")
 def registry_problems(spark, sf_dir):
     st, se, su = registry_tables(spark, sf_dir)
-    return R.registry_problems(st.where("statute_id <> 'act-3'"), se, su).where("NOT (problem = 'section_without_statute' AND id LIKE 'act-3-%')")
+    return R.registry_problems(st, se, su)
 
 
 @query(f"""WITH {_REG_SQL}, c AS (SELECT 'act-' || (l_partkey % 90) || '-s' || l_partkey AS target, count(*) AS occurrences FROM lineitem GROUP BY 1)
@@ -336,7 +359,7 @@ def generation_shapes(spark, sf_dir):
     return t.select("conv_id", "turn", F.size("g.claims").alias("n_claims"), F.array_join("g.unanswerable", ",").alias("unanswerable"), F.coalesce(F.array_join(F.get("g.claims", F.lit(0))["citations"], ","), F.lit("")).alias("citations"))
 
 
-@query(f"""SELECT conv_id, string_agg('[p' || (turn + 1) || '] ' || md5(text), chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || '{C.DISCLAIMER}' AS prompt FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(text)) - 1 AS turn, text FROM conversations) GROUP BY conv_id""")
+@query(f"""SELECT conv_id, string_agg('[p' || (turn + 1) || '] ' || md5(text), chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || '---' || chr(10) || '*{C.DISCLAIMER}*' AS prompt FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(text)) - 1 AS turn, text FROM conversations) GROUP BY conv_id""")
 def context_and_disclaimer(spark, sf_dir):
     texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("m")))), lambda t: t["m"])
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(texts.alias("t")).select("conv_id", C.with_disclaimer(C.context(F.col("t"))).alias("prompt"))

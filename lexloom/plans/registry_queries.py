@@ -109,17 +109,6 @@ def check_citation_asof(spark, sf_dir):
     return _checked(spark, sf_dir).select("mention_id", "target_id", F.col("as_of").cast("string").alias("as_of"), "status", "note")
 
 
-@query(f"WITH {PARSE} SELECT to_section_id, count(DISTINCT from_section_id) AS n_from, min(from_section_id) AS first_from FROM su WHERE to_section_id IS NOT NULL GROUP BY to_section_id")
-def supersession_fanout(spark, sf_dir):
-    s = R.supersession(spark).where(F.col("to_section_id").isNotNull())
-    return s.groupBy("to_section_id").agg(F.countDistinct("from_section_id").alias("n_from"), F.min("from_section_id").alias("first_from"))
-
-
-@query(f"WITH {PARSE} SELECT from_section_id, min(to_section_id) AS successor FROM su WHERE to_section_id IS NOT NULL GROUP BY from_section_id HAVING count(DISTINCT to_section_id) = 1")
-def unambiguous_successor(spark, sf_dir):
-    return R.unambiguous_successors(R.supersession(spark))
-
-
 @query(f"WITH {PARSE} SELECT coalesce(section_id, '-') AS section_id, count(*) AS n FROM q GROUP BY ALL")
 def citation_frequency(spark, sf_dir):
     return R.parse(mentions(spark, sf_dir), "raw").groupBy(F.coalesce("section_id", F.lit("-")).alias("section_id")).agg(F.count("*").alias("n"))

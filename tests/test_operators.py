@@ -106,14 +106,14 @@ def test_gate(spark):
     got = {r["answer"]: (r["outcome"], r["n_struck"]) for r in decided.collect()}
     assert got == {1: ("PARTIAL_ALLOW", 1), 2: ("REFUSE", 0), 3: ("REFUSE", 1), 4: ("ALLOW", 0), 5: ("REFUSE", 1)}
     texts = {r["answer"]: r["answer_text"] for r in C.render(claims, decided, "answer", "no").collect()}
-    assert texts[1].startswith("kept [Notice") and "struck" not in texts[1] and texts[2] == C.REFUSAL and texts[4] == "d"
+    assert texts[1].startswith("kept \n[Notice") and "struck" not in texts[1] and texts[2] == C.REFUSAL and texts[4] == "d"
 
 
 def test_scope_comes_before_ranking(spark):
     docs = spark.createDataFrame([("o1", 1, "alpha beta gamma"), ("o2", 2, "alpha alpha alpha"), ("o1", 3, "delta epsilon")], "owner string, doc_id int, text string")
     q = spark.createDataFrame([("q1", "o1", "alpha"), ("q2", "o3", "alpha")], "question_id string, owner string, question string")
     got = {r["question_id"]: r for r in ask(docs, q).collect()}
-    assert got["q1"]["passages"] == "1" and got["q1"]["outcome"] == "ALLOW"
+    assert got["q1"]["passages"] == "ch-o1-1-1" and got["q1"]["outcome"] == "ALLOW"
     assert got["q2"]["outcome"] == "REFUSE" and got["q2"]["reason"] == "no_claims_to_verify"
 
 
