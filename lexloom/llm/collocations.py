@@ -7,7 +7,7 @@ of its first m - 1 words and the number of its last word, together one exact 64-
 
 1. tasks hash the keys of such phrases into buckets and bincount them; a bucket that stays below the threshold holds
    no frequent phrase (at most MAX_BUCKETS bits, which tasks get as a bitmap);
-2. the distinct keys left are the candidates; they fall by hash into chunks of at most about CHUNK keys, each with a
+2. the distinct keys left, arrays that are united in two rounds, are the candidates; they fall by hash into chunks of at most about CHUNK keys, each with a
    minimal perfect hash of its own that stores its keys, so that a key that is no candidate is recognised;
 3. tasks bincount the slots of their keys; the partial arrays are summed in two rounds, first within fans, then whole;
 4. slots above the threshold are the frequent phrases; the tokens are numbered anew for the next level.
@@ -43,6 +43,7 @@ ROW = 256
 SLICE = 2 << 20
 FAN = 32
 COUNTS = "block long, slots binary, counts binary"
+KEYS = "block long, keys binary, suffixes binary"
 
 
 def byte_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +181,14 @@ def partial_counts(values: np.ndarray) -> Iterator[dict]:
         yield {"block": int(part[0] >> 16), "slots": slots.astype(np.uint16).tobytes(), "counts": counts[slots].astype(np.int64).tobytes()}
 
 
+def tree(parts: DataFrame, merge, schema: str) -> DataFrame:
+    """One row per block, merged from its rows: first within FAN fans of each block, then over the fans."""
+    fans = parts.withColumn("fan", F.pmod(F.xxhash64(*parts.columns), F.lit(FAN)))
+    return fans.groupBy("block", "fan").applyInPandas(merge, schema).groupBy("block").applyInPandas(merge, schema)
+
+
 def tree_sum(parts: DataFrame) -> DataFrame:
-    """One row per block, its arrays added up: first within FAN fans of each block, then over the fans."""
+    """The arrays of each block added up."""
 
     def add(key, frame):
         total = np.zeros(BLOCK, np.int64)
@@ -190,8 +197,18 @@ def tree_sum(parts: DataFrame) -> DataFrame:
         slots = np.flatnonzero(total)
         return pd.DataFrame({"block": [key[0]], "slots": [slots.astype(np.uint16).tobytes()], "counts": [total[slots].tobytes()]})
 
-    fans = parts.withColumn("fan", F.pmod(F.xxhash64("slots", "counts"), F.lit(FAN)))
-    return fans.groupBy("block", "fan").applyInPandas(add, COUNTS).groupBy("block").applyInPandas(add, COUNTS)
+    return tree(parts, add, COUNTS)
+
+
+def tree_union(parts: DataFrame) -> DataFrame:
+    """The distinct keys of each block, each with its suffix."""
+
+    def unite(key, frame):
+        keys, first = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in frame["keys"]]), return_index=True)
+        suffixes = np.concatenate([np.frombuffer(x, np.int64) for x in frame["suffixes"]])[first]
+        return pd.DataFrame({"block": [key[0]], "keys": [keys.tobytes()], "suffixes": [suffixes.tobytes()]})
+
+    return tree(parts, unite, KEYS)
 
 
 def level_keys(numbers: np.ndarray, words: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,15 +369,28 @@ def _candidates(table: DataFrame, bitmap: np.ndarray, m: int, buckets: int) -> D
     """key, suffix (number of the last m - 1 words), spread of each phrase that can be frequent."""
     passing = share(table.sparkSession, bitmap)
 
+    blocks = max(8, buckets >> 18)
+    schema = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("suffixes", pa.binary())])
+
     def find(batches):
         for numbers, words in opened(batches):
             at, keys = level_keys(numbers, words, m)
             bucket = mix(keys) % np.uint64(buckets)
             able = (passing()[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
             keys, first = np.unique(keys[able], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(numbers[at[able][first] + 1].astype(np.int64)), pa.array(spread_of(keys))], ["key", "suffix", "spread"])
+            suffixes, block = numbers[at[able][first] + 1].astype(np.int64), spread_of(keys) % blocks
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            rows = [{"block": int(block[part[0]]), "keys": keys[part].tobytes(), "suffixes": suffixes[part].tobytes()} for part in np.split(order, cuts[1:]) if len(part)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def unfold(batches):
+        for batch in batches:
+            for keys, suffixes in zip(batch.column(1), batch.column(2), strict=True):
+                keys = np.frombuffer(keys.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.frombuffer(suffixes.as_buffer(), np.int64)), pa.array(spread_of(keys))], ["key", "suffix", "spread"])
 
-    return table.mapInArrow(find, "key long, suffix long, spread long").groupBy("key").agg(F.first("suffix").alias("suffix"), F.first("spread").alias("spread"))
+    return tree_union(table.mapInArrow(find, KEYS)).mapInArrow(unfold, "key long, suffix long, spread long")
 
 
 def _slot_counts(table: DataFrame, chunks: list, m: int) -> DataFrame:
