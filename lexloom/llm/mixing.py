@@ -4,11 +4,11 @@ Words are counted once per document; sources, ranked by code point with null las
 in turn. Their targets share a budget by weight, but stop at max_repeat times the source's size;
 what is cut off is shared again by weight among the others until no target is above its stop.
 Every document of a source has the rate target / size: it is taken floor(rate) times, and once more
-if a number drawn from a hash of its id is below the fraction.
+if a number drawn from a hash of its id and text is below the fraction.
 
 Edge cases: a null or empty text has size 0 and is taken 0 words. A source without words has target
 0 and its documents are taken once per whole repeat of rate 0, i.e. never. Null ids hash like the
-empty string; rows with equal ids draw the same number. If all sources reach their stop, targets stay there. An empty
+empty string; rows with equal ids and texts are counted, and each draws a number of its own. If all sources reach their stop, targets stay there. An empty
 table gives no rows. Only id, source and text columns are read; other columns pass through `emit`.
 """
 
@@ -20,12 +20,33 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch, documents, fresh, word_count
 
 
-def draw(doc_id: Column, seed: str = "mix") -> Column:
-    """A number in [0, 1) from the first 48 bits of md5(seed:id)."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def draw(doc_id: Column, tie: Column, rank: Column, seed: str = "mix") -> Column:
+    """A number in [0, 1) from the first 48 bits of md5(seed:id:tie:rank); tie is the hash of the text, rank the place among equal rows."""
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), tie, rank.cast("string"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def with_rank(rows: DataFrame, key: str, text: str, source: str, tie: str, rank: str) -> DataFrame:
+    """rows with tie, the hash of the text, and rank, the place from 0 among the rows of one id, text and source.
+
+    Only rows that stand there more than once are moved and ranked, in the order of a hash of all their columns.
+    """
+    k, t, o, many = fresh(rows, "__k", "__t", "__o", "__many")
+    marked = rows.withColumn(tie, text_key(F.col(f"`{text}`"))) if text in rows.columns else rows
+    own = [F.col(f"`{key}`").cast("string"), F.col(f"`{tie}`"), F.col(f"`{source}`").cast("string")]
+    repeated = marked.groupBy(*[c.alias(n) for c, n in zip(own, (k, t, o), strict=True)]).agg(F.count("*").alias(many)).where(F.col(many) > 1)
+    same = own[0].eqNullSafe(F.col(k)) & (own[1] == F.col(t)) & own[2].eqNullSafe(F.col(o))
+    marked = marked.join(repeated, same, "left").drop(k, t, o)
+    single = marked.where(F.col(many).isNull()).withColumn(rank, F.lit(0).cast("long"))
+    order = Window.partitionBy(*own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    double = marked.where(F.col(many).isNotNull()).withColumn(rank, F.row_number().over(order).cast("long") - 1)
+    return single.unionByName(double).drop(many)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), max_repeat: int = 2) -> DataFrame:
     """source, source_size, weight, target, from a table of (source, size); share is a fraction of all sizes.
 
@@ -79,26 +100,27 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, rate, copies, taken."""
     scratch = Scratch(docs.sparkSession, "mix-sizes")
-    sizes = scratch.save(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sizes")
+    sizes = scratch.save(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), text_key(F.col(text)).alias("tie")), "sizes")
     targets = source_targets(sizes, **options)
+    sizes = with_rank(sizes, "doc_id", "", "source", "tie", "rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    copies = F.floor("rate") + F.when(draw(F.col("doc_id")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = F.floor("rate") + F.when(draw(F.col("doc_id"), F.col("tie"), F.col("rank")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return joined.select("doc_id", "size", "source", "source_size", "target", "rate", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def emit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed documents themselves: every row of docs as many times as it is taken, all columns kept.
 
-    The per-source rates (one row per source) meet the documents again, so no text is shuffled unless
-    the sources outgrow a broadcast; Spark decides that by size.
+    The per-source rates (one row per source) and the ids that stand there more than once meet the documents again,
+    so no text is shuffled unless these outgrow a broadcast; Spark decides that by size.
     """
     scratch = Scratch(docs.sparkSession, "mix-emit")
     sizes = scratch.save(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    of, rate, copy = fresh(docs, "__of", "__rate", "__copy")
+    of, rate, copy, tie, rank = fresh(docs, "__of", "__rate", "__copy", "__tie", "__rank")
     targets = source_targets(sizes, **options).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
-    copies = F.floor(rate) + F.when(draw(F.col(key)) < F.col(rate) - F.floor(rate), 1).otherwise(0)
-    mixed = docs.join(targets, F.col(source).cast("string").eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    copies = F.floor(rate) + F.when(draw(F.col(f"`{key}`"), F.col(tie), F.col(rank)) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    mixed = with_rank(docs, key, text, source, tie, rank).join(targets, F.col(source).cast("string").eqNullSafe(F.col(of))).withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
     return mixed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -108,7 +130,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS tie,
+    row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS rank FROM documents
 ), by_source AS (
   SELECT source, sum(size)::HUGEINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -123,10 +146,10 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, least(2 * source_size::DOUBLE, coalesce(weight * level, 2 * source_size::DOUBLE)) AS target FROM ranked, level
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END AS rate
+  SELECT s.doc_id, s.size, s.tie, s.rank, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END AS rate
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), copied AS (
-  SELECT *, floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656 < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated
+  SELECT *, floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || tie || ':' || rank), 1, 12))::BIGINT::DOUBLE / 281474976710656 < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated
 )
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies, rate FROM copied
 """
