@@ -253,11 +253,12 @@ class LanguageModel:
         return [self.langs[j] if s else "und" for j, s in zip(best, some)], score, h / math.log(2), some & ~far & (score >= self.least)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 5, max_rows: int = 1500, max_chars: int = 4_000_000, max_langs: int = 256) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = 5, max_rows: int = 1500, max_chars: int = 4_000_000, max_langs: int = 65_536) -> LanguageModel:
     """Fit on a bounded sample of labelled: for each language the rows first by a hash of their id.
 
-    One row in five of the sample is kept from training and calibrates temperature and rejection. Of over max_langs
-    values of lang the most frequent are learned.
+    One row in five of the sample is kept from training and calibrates temperature and rejection. Each value of lang that
+    is not null is a language of its own, as it stands; the more there are, the fewer rows each of them has, since max_chars
+    is shared. max_langs only bounds what the driver holds: above it the most frequent are learned.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     kinds = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs)
@@ -265,10 +266,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     if not counts:
         return LanguageModel({})
     order_by = F.xxhash64(F.col(key).cast("string"))
-    share = F.lit(0.0)
-    for x, n in counts.items():
-        share = F.when(F.col(lang) == x, F.lit(min(1.0, 1.3 * max_rows / n + 0.001))).otherwise(share)
-    near = rows.where(F.pmod(order_by, F.lit(1_000_003)) < share * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(order_by, F.lit(1_000_003)).alias("o"), order_by.alias("h"))
+    # one row for each language, at most max_langs
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, 1.3 * max_rows / n + 0.001)) for x, n in counts.items()], "__of string, __share double")
+    near = rows.join(F.broadcast(shares), F.col(lang).cast("string") == F.col("__of")).where(F.pmod(order_by, F.lit(1_000_003)) < F.col("__share") * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(order_by, F.lit(1_000_003)).alias("o"), order_by.alias("h"))
     by = Window.partitionBy("lang").orderBy("o", "h", F.xxhash64("text"))
     upto = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     sample = near.withColumn("n", F.row_number().over(by)).withColumn("before", F.coalesce(upto, F.lit(0))).where((F.col("n") <= max_rows) & (F.col("before") <= max_chars // len(counts)))

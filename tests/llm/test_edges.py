@@ -166,3 +166,26 @@ def test_short_texts_are_known_though_some_long_ones_are_mixed():
     model.calibrate([t for t, _ in texts], [x for _, x in texts])
     lang, score, _, ok = model.predict([say["a"](4), say["z"](4), f"{say['a'](300)} {say['z'](300)}", "", None])
     assert lang == ["a", "z", lang[2], "und", "und"] and ok[0] and ok[1] and min(score[:2]) > 0.9 > score[2] and not ok[3:].any()
+
+
+def test_mixing_of_equal_ids(spark):
+    """Three hundred equal rows are taken as often as their target says; so are rows that share an id but not the text, and reruns agree."""
+    same = [(7, "one two three four five", "en", "a", 23)] * 300 + [(None, f"word {i} of many", "en", "b", 9) for i in range(400)] + [(i, "x y", "en", "c", 3) for i in range(400)]
+    frame = spark.createDataFrame(same, SCHEMA).repartition(4)
+    taken = {r["source"]: (r["taken"], r["target"]) for r in mixing.mix(frame).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(t - target) < 0.12 * target for t, target in taken.values()), taken
+    first, again = (Counter(tuple(r) for r in mixing.emit(frame).collect()) for _ in range(2))
+    assert first == again
+    words = Counter()
+    for row, n in first.items():
+        words[row[3]] += n * len(row[1].split(" "))
+    assert dict(words) == {s: t for s, (t, _) in taken.items()}
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred values of lang, each with its own letters."""
+    rows = [(k * 10 + i, (chr(0x4E00 + 7 * k) + chr(0x4E01 + 7 * k) + " ") * 40, f"l{k}", "s", 1) for k in range(300) for i in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert len(model.langs) == 300
+    got = model.predict([r[1] for r in rows[::6]])[0]
+    assert got == [r[2] for r in rows[::6]]
