@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators.chunking import matches
 
 #: Names of acts as texts write them.
 ACT_NAMES = (
@@ -55,13 +54,21 @@ def pii_spans(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def legal_entities(df: DataFrame, key: str, text: str, patterns=ENTITIES) -> DataFrame:
-    """key, label, entity_text, span_start, span_end: the first of each (lower-cased text, label) by pattern and place, over two characters."""
-    found = None
-    for order, (label, pattern) in enumerate(patterns):
-        one = matches(df, key, F.col(text), pattern, 0).select(key, F.lit(order).alias("p"), F.lit(label).alias("label"), F.trim("found").alias("entity_text"), F.col("match_start").alias("span_start"), F.col("match_end").alias("span_end"))
-        found = one if found is None else found.unionByName(one)
-    first = F.row_number().over(Window.partitionBy(key, F.lower("entity_text"), "label").orderBy("p", "span_start"))
-    return found.where(F.length("entity_text") > 2).withColumn("__n", first).where("__n = 1").drop("__n", "p")
+    """key, label, entity_text, span_start, span_end: the first of each (lower-cased text, label) by pattern and place, over two characters.
+
+    All patterns are read in one pass over the rows; what repeats is left out inside the row, so texts and spans do not move.
+    """
+
+    def spans(order: int, label: str, pattern: str) -> Column:
+        found = F.transform(T.match_spans(F.col(text), pattern), lambda s: F.struct(F.trim(s["value"]).alias("value"), s["start"].alias("start"), s["end"].alias("end")))
+        named = lambda s: F.struct(F.lit(label).alias("label"), F.lower(s["value"]).alias("low"), F.lit(order).alias("p"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+        return F.transform(F.filter(found, lambda s: F.length(s["value"]) > 2), named)
+
+    ordered = F.array_sort(F.flatten(F.array(*[spans(i, label, pattern) for i, (label, pattern) in enumerate(patterns)])))
+    rows = df.select(key, ordered.alias("__e"))
+    new = lambda x, i: (i == 0) | (F.get("__e", i - 1)["label"] != x["label"]) | (F.get("__e", i - 1)["low"] != x["low"])
+    flat = rows.select(key, F.explode(F.filter("__e", new)).alias("s"))
+    return flat.select(key, F.col("s.label").alias("label"), F.col("s.value").alias("entity_text"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
 def buckets(entities: DataFrame, key: str) -> DataFrame:

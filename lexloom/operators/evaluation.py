@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,20 +137,38 @@ def _poisson(most: int = 8) -> list[tuple[float, int]]:
 POISSON = _poisson()
 
 
+def mixed32(h: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser, in 64-bit integers."""
+    h = (h ^ (h >> 16)) * 0x7FEB352D & 0xFFFFFFFF
+    h = (h ^ (h >> 15)) * 0x846CA68B & 0xFFFFFFFF
+    return h ^ (h >> 16)
+
+
 def paired_bootstrap(pairs: DataFrame, item: str, a: str, b: str, rounds: int = config.BOOTSTRAP_ROUNDS, seed: int = 42, alpha: float = config.ALPHA) -> DataFrame:
     """Mean difference, its bootstrap interval and Cohen's d.
 
-    Each resample weighs every item by a Poisson(1) number drawn from md5(seed:round:item), so items stay
-    where they are, one aggregate per round number replaces an index table, and reruns agree.
+    Each resample weighs every item by a Poisson(1) number drawn from a hash of (seed, item) and the round, so reruns
+    agree. A task adds up the weighted differences of its items for all rounds and gives one row per round; these are
+    what is shuffled, however many items there are.
     """
-    d = pairs.select(F.col(item).alias("i"), (F.col(a) - F.col(b)).alias("d"))
-    drawn = d.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("r").cast("string"), F.lit(":"), F.col("i").cast("string")))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight = F.lit(len(POISSON))
-    for upto, k in reversed(POISSON):
-        weight = F.when(F.col("u") < upto, F.lit(k)).otherwise(weight)
-    means = drawn.withColumn("u", u).withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    d = pairs.select(F.col(item).cast("string").alias("i"), (F.col(a) - F.col(b)).cast("double").alias("d"))
+    start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("i"))), 1, 8), 16, 10).cast("long")
+    upto = np.array([x for x, _ in POISSON])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B9) & np.uint64(0xFFFFFFFF)
+        total, weight, seen = np.zeros(rounds), np.zeros(rounds), False
+        for batch in batches:
+            first, difference = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+            for k in range(0, len(first), 64):
+                drawn = mixed32(first[k : k + 64, None] ^ turns[None, :]) / float(1 << 32)
+                w = np.searchsorted(upto, drawn, side="right")
+                total, weight, seen = total + difference[k : k + 64] @ w, weight + w.sum(0), True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, rounds + 1)), pa.array(total), pa.array(weight)], ["r", "total", "weight"])
+
+    sums = d.where(F.col("d").isNotNull() & F.col("i").isNotNull()).select(start.alias("h"), "d").mapInArrow(run, "r long, total double, weight double")
+    means = sums.groupBy("r").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("m"))
     ci = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
     base = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_difference"), F.try_divide(F.avg("d"), F.stddev_samp("d")).alias("cohens_d"))
     return base.crossJoin(ci).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))  # one row each

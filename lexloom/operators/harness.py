@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -176,21 +177,50 @@ def exact_split(df: DataFrame, key: str, seed: int = config.SPLIT_SEED, ratios=c
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate: edits over the reference's words. Each distinct word becomes one character, so that the built-in edit distance counts words.
+    """struct(wer, hits, substitutions, deletions, insertions) of two texts by words; of all shortest alignments one with the fewest substitutions.
 
-    An empty reference has 0 errors against an empty hypothesis, else 1.
+    An empty reference has rate 0 against an empty hypothesis, else 1. A null hypothesis, a page that could not be read,
+    has no errors and no rate.
     """
-    words = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), r"\s+"), lambda w: F.length(w) > 0)
-    letter = lambda vocabulary: lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0xE000), 8, "0")), "UTF-32")
-    both = F.struct(words(reference).alias("r"), words(hypothesis).alias("h"))
 
-    def rate(x: Column) -> Column:
-        vocabulary = F.array_distinct(F.concat(x["r"], x["h"]))
-        coded = lambda v: F.levenshtein(F.array_join(F.transform(x["r"], letter(v)), ""), F.array_join(F.transform(x["h"], letter(v)), ""))
-        n = F.size(x["r"])
-        return F.when(n == 0, F.when(F.size(x["h"]) == 0, 0.0).otherwise(1.0)).otherwise(let(vocabulary, coded) / n)
-
-    return let(both, rate)
+    @F.pandas_udf("wer double, hits long, substitutions long, deletions long, insertions long")
+    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 5 if h is None else _aligned((r or "").split(), h.split()) for r, h in zip(left, right, strict=True)]
+        return pd.DataFrame(rows, columns=["wer", "hits", "substitutions", "deletions", "insertions"]).astype({"wer": "float64", **dict.fromkeys(["hits", "substitutions", "deletions", "insertions"], "Int64")})
+
+    return run(reference, hypothesis)
+
+
+#: A substitution costs one more than the unit of a deletion or an insertion, so that the sum tells both numbers.
+EDIT = 1 << 24
+
+
+def _aligned(reference: list[str], hypothesis: list[str]) -> tuple[float, int, int, int, int]:
+    n, m = len(reference), len(hypothesis)
+    if n == 0:
+        return (float(m > 0), 0, 0, 0, m)
+    codes: dict[str, int] = {}
+    r, h = ([codes.setdefault(w, len(codes)) for w in words] for words in (reference, hypothesis))
+    h, steps = np.array(h, np.int64), np.arange(m + 1) * EDIT
+    row = steps.copy()
+    for i, word in enumerate(r):
+        best = row + EDIT  # a deletion
+        best[1:] = np.minimum(best[1:], row[:-1] + np.where(h == word, 0, EDIT + 1))
+        best[0] = (i + 1) * EDIT
+        row = np.minimum.accumulate(best - steps) + steps  # any number of insertions
+    edits, substitutions = divmod(int(row[-1]), EDIT)
+    deletions = (edits - substitutions + n - m) // 2
+    return edits / n, n - substitutions - deletions, substitutions, deletions, edits - substitutions - deletions
+
+
+def error_rates(rows: DataFrame, group: str, wer: str) -> DataFrame:
+    """group, n, n_failed, mean and upper median (the place n // 2 in order) of the rates; rows without a rate have failed and count only there."""
+    sizes = rows.groupBy(group).agg(F.count(wer).alias("n"), F.count_if(F.col(wer).isNull()).alias("n_failed"), F.avg(wer).alias("mean"))
+    # equal rates are one row with their number, so no task holds a group's rates
+    counts = rows.where(F.col(wer).isNotNull()).groupBy(group, wer).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(group).orderBy(wer))
+    placed = counts.withColumn("__upto", upto).join(sizes, group).where((F.col("__upto") > F.floor(F.col("n") / 2)) & (F.col("__upto") - F.col("__c") <= F.floor(F.col("n") / 2)))
+    return sizes.join(placed.select(group, F.col(wer).alias("upper_median")), group, "left").select(group, "n", "n_failed", "mean", "upper_median")
 
 
 def overlap_f(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:

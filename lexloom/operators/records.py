@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,17 +144,19 @@ def long_repeat(text: Column, least: int = 150) -> Column:
 
 def _first_repeat(text: str, least: int) -> str | None:
     n = len(text)
-    base, mod = 1_000_003, (1 << 61) - 1
     if n < 2 * least:
         return None
-    power, h, first = pow(base, least - 1, mod), 0, {}
-    for c in text[:least]:
-        h = (h * base + ord(c)) % mod
-    for start in range(n - least + 1):
-        if start:
-            h = ((h - ord(text[start - 1]) * power) * base + ord(text[start + least - 1])) % mod
-        at = first.setdefault(h, start)
-        if at < start and least <= start < n - least and text.startswith(text[start : start + least], at):
+    # polynomial hashes of all blocks in 64-bit arithmetic: sums of code points times powers, shifted to one power
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    powers = np.cumprod(np.full(n, 0xD1342543DE82EF95, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers)])
+    blocks = (sums[least:] - sums[:-least]) * powers[::-1][: n - least + 1]
+    order = np.argsort(blocks, kind="stable")
+    same = blocks[order][1:] == blocks[order][:-1]
+    again = np.sort(order[1:][same])  # blocks whose hash stood there before
+    for start in again[(again >= least) & (again < n - least)].tolist():
+        at = text.find(text[start : start + least])
+        if at < start:
             return text[at : start + least]
     return None
 

@@ -293,7 +293,9 @@ _POISSON = E.POISSON
 
 
 @query("WITH d AS (SELECT doc_id AS i, quality * 0.9::DOUBLE - (doc_id % 7)::DOUBLE / 7 AS d FROM labels WHERE quality IS NOT NULL), "
-  + "u AS (SELECT r, d, ('0x' || substr(md5('42:' || r || ':' || i), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM d, range(1, " + str(config.BOOTSTRAP_ROUNDS + 1) + ") x(r)), "
+  + "h0 AS (SELECT r, d, xor(('0x' || substr(md5('42:' || i), 1, 8))::BIGINT, (r * 2654435769) % 4294967296)::BIGINT AS h FROM d, range(1, " + str(config.BOOTSTRAP_ROUNDS + 1) + ") x(r)), "
+  + "h1 AS (SELECT r, d, ((xor(h, h >> 16)::HUGEINT * 2146121005) % 4294967296)::BIGINT AS h FROM h0), h2 AS (SELECT r, d, ((xor(h, h >> 15)::HUGEINT * 2221713035) % 4294967296)::BIGINT AS h FROM h1), "
+  + "u AS (SELECT r, d, xor(h, h >> 16) / 4294967296::DOUBLE AS u FROM h2), "
   + "w AS (SELECT r, d, CASE " + " ".join(f"WHEN u < {upto!r}::DOUBLE THEN {k}" for upto, k in _POISSON) + " ELSE 8 END AS w FROM u), "
   + """m AS (SELECT r, sum(w * d) / nullif(sum(w), 0) AS m FROM w GROUP BY r), c AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m)
 SELECT (SELECT count(*) FROM d) AS n, round((SELECT avg(d) FROM d), 6) AS mean_difference, round((SELECT avg(d) / stddev_samp(d) FROM d), 6) AS cohens_d, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM c""")

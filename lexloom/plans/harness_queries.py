@@ -270,10 +270,34 @@ def rouge_l(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", H.lcs_f(F.col("p"), F.col("s")).alias("rouge_l"))
 
 
-@query()
+#: Every eleventh page could not be read. A row of costs for each word of the reference; a substitution costs one more than 2^24.
+_WER_SQL = r"""pg AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> '') AS r, CASE WHEN (a.conv_id * 7 + a.turn) % 11 > 0 THEN list_filter(string_split_regex(b.text, '\s+'), lambda w: w <> '') END AS h
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+al AS (SELECT conv_id, turn, r, h, 0 AS i, list_transform(range(0, len(h) + 1), lambda j: j::BIGINT * 16777216) AS row FROM pg WHERE h IS NOT NULL
+  UNION ALL SELECT conv_id, turn, r, h, i + 1, list_transform(range(1, len(h) + 2), lambda j: list_min(best[1:j]) + (j - 1) * 16777216::BIGINT) FROM (
+    SELECT *, list_transform(range(1, len(h) + 2), lambda j: CASE WHEN j = 1 THEN (i + 1)::BIGINT * 16777216 ELSE least(row[j] + 16777216, row[j - 1] + CASE WHEN h[j - 1] = r[i + 1] THEN 0 ELSE 16777217 END) END - (j - 1) * 16777216::BIGINT) AS best FROM al WHERE i < len(r))),
+er AS (SELECT conv_id, turn, len(r) AS n, len(h) AS m, row[len(h) + 1] // 16777216 AS e, row[len(h) + 1] % 16777216 AS s FROM al WHERE i = len(r)),
+wr AS (SELECT pg.conv_id, pg.turn, CASE WHEN n = 0 THEN (m > 0)::INT::DOUBLE ELSE e / n::DOUBLE END AS wer, n, s AS substitutions, (e - s + n - m) // 2 AS deletions, (e - s - n + m) // 2 AS insertions FROM pg LEFT JOIN er USING (conv_id, turn))"""
+
+
+def _pages(spark, sf_dir):
+    """Each turn read as a transcript of the one before it, with every eleventh reading failed."""
+    read = F.when((F.col("conv_id") * 7 + F.col("turn")) % 11 > 0, F.col("pt"))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", H.word_errors(F.col("st"), read).alias("e")).select("conv_id", "turn", "e.*")
+
+
+@query(f"WITH RECURSIVE {_WER_SQL} SELECT conv_id, turn, round(wer, 6) AS wer, (n - substitutions - deletions)::BIGINT AS hits, substitutions::BIGINT AS substitutions, deletions::BIGINT AS deletions, insertions::BIGINT AS insertions FROM wr")
 def word_error_rate(spark, sf_dir):
-    """Each turn read as a transcript of the one before it; tests compare with the plain edit distance."""
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(H.word_errors(F.col("st"), F.col("pt")), 6).alias("wer"))
+    return _pages(spark, sf_dir).withColumn("wer", F.round("wer", 6))
+
+
+@query(f"""WITH RECURSIVE {_WER_SQL}, g AS (SELECT conv_id % 5 AS engine, wer FROM wr), o AS (SELECT engine, wer, row_number() OVER (PARTITION BY engine ORDER BY wer) - 1 AS place, count(*) OVER (PARTITION BY engine) AS n FROM g WHERE wer IS NOT NULL),
+u AS (SELECT engine, max(wer) AS upper_median FROM o WHERE place = n // 2 GROUP BY engine), t AS (SELECT engine, count(wer) AS n, count(*) FILTER (wer IS NULL) AS n_failed, avg(wer) AS mean FROM g GROUP BY engine)
+SELECT engine, n, n_failed, round(mean, 6) AS mean, round(upper_median, 6) AS upper_median FROM t LEFT JOIN u USING (engine)""")
+def wer_stats(spark, sf_dir):
+    """Mean and upper median of word error rates over the pages that could be read."""
+    got = H.error_rates(_pages(spark, sf_dir).withColumn("engine", F.col("conv_id") % 5), "engine", "wer")
+    return got.select("engine", "n", "n_failed", F.round("mean", 6).alias("mean"), F.round("upper_median", 6).alias("upper_median"))
 
 
 _TRACE = """'{"trace_id": "t' || event_id || '", "stages": [{"name": "retrieve", "duration_ms": ' || user_id || '}, {"name": "rerank", "duration_ms": ' || (event_id % 9) || '}], "top": ["c' || (event_id % 5) || '", "c9"], "cost": {"usd": ' || (event_id % 3) || '}}'"""

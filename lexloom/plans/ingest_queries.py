@@ -207,20 +207,26 @@ def entity_merge(spark, sf_dir):
     return got.select("doc_id", "label", F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"), F.col("entity_text").alias("entity"))
 
 
-@query("""SELECT doc_id, md5(text || chr(10) || chr(10) || source) AS joined_md5, 'Transcribe the page.' AS prompt, md5(text) AS cut_md5 FROM documents WHERE NOT contains(text, 'Transcribe the page.') AND regexp_replace(text, '\\s+$', '') = text AND text <> ''""")
+@query(r"""WITH t AS (SELECT doc_id, source, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN chr(10) || ' Transcribe the page. and more' WHEN 1 THEN ' ' || chr(10) ELSE '' END AS t FROM documents)
+SELECT doc_id, md5(t || chr(10) || chr(10) || source) AS joined_md5, 'Transcribe the page.' AS prompt, md5(CASE WHEN strpos(t, 'Transcribe the page.') > 0 THEN regexp_replace(substr(t, 1, strpos(t, 'Transcribe the page.') - 1), '\s+$', '') ELSE t END) AS cut_md5 FROM t""")
 def leaked_prompt_cut(spark, sf_dir):
-    """A prompt that a transcript repeats is cut off with all after it; paragraphs of a list are joined by blank lines."""
+    """A prompt that a transcript repeats is cut off with all after it, any other text stays as it is; paragraphs of a list are joined by blank lines."""
     prompt = "Transcribe the page."
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit(prompt)) & (F.regexp_replace("text", r"\s+$", "") == F.col("text")) & (F.col("text") != ""))
-    leaked = F.concat("text", F.lit(f" \n {prompt} and more"))
-    return d.select("doc_id", F.md5(F.array_join(F.array("text", "source"), "\n\n")).alias("joined_md5"), F.lit(prompt).alias("prompt"), F.md5(records.cut_leak(leaked, prompt)).alias("cut_md5"))
+    tail = F.when(F.col("doc_id") % 3 == 0, f"\n {prompt} and more").when(F.col("doc_id") % 3 == 1, " \n").otherwise("")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), tail).alias("t"))
+    return d.select("doc_id", F.md5(F.array_join(F.array("t", "source"), "\n\n")).alias("joined_md5"), F.lit(prompt).alias("prompt"), F.md5(records.cut_leak(F.col("t"), prompt)).alias("cut_md5"))
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, length(text) AS n, unnest(range(1, length(text) + 1)) AS i, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) >= 300),
+v AS (SELECT doc_id, n, i, hash(string_agg(c, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)) AS g FROM c),
+w AS (SELECT doc_id, n, i, md5(concat_ws(',', g, lead(g, 15) OVER o, lead(g, 30) OVER o, lead(g, 45) OVER o, lead(g, 60) OVER o, lead(g, 75) OVER o, lead(g, 90) OVER o, lead(g, 105) OVER o, lead(g, 120) OVER o, lead(g, 135) OVER o)) AS h FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, n, i, min(i) OVER (PARTITION BY doc_id, h) AS a FROM w WHERE i <= n - 149),
+b AS (SELECT doc_id, min(i) AS i, arg_min(a, i) AS a FROM f WHERE a < i AND i > 150 AND i <= n - 150 GROUP BY doc_id)
+SELECT doc_id, (i + 150 - a)::BIGINT AS n_chars, md5(substr(text, a, i + 150 - a)) AS block_md5 FROM b JOIN documents USING (doc_id)""")
 def long_repeats(spark, sf_dir):
-    """Documents in which a block of 150 characters stands again; tests compare with a plain search."""
+    """Documents in which a block of 150 characters stands again."""
     r = table(spark, sf_dir, "documents").select("doc_id", records.long_repeat(F.col("text")).alias("block"))
-    return r.where("block IS NOT NULL").select("doc_id", F.length("block").alias("n_chars"), F.md5("block").alias("block_md5"))
+    return r.where("block IS NOT NULL").select("doc_id", F.length("block").cast("bigint").alias("n_chars"), F.md5("block").alias("block_md5"))
 
 
 @query(r"""SELECT doc_id, coalesce(length(regexp_replace(text, '\P{L}', '', 'g')) >= 40 AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(text, '\P{L}', '', 'g')), 0)::DOUBLE >= 0.9::DOUBLE, false) AS english FROM documents""")

@@ -167,16 +167,6 @@ def split_disjoint(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.countDistinct("split").alias("n")).where("n > 1").agg(F.count("*").alias("n_shared"))
 
 
-@query("""WITH w AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE event_id % 17 > 0)
-SELECT event_type, n, round((SELECT avg(value) FROM w x WHERE x.event_type = w.event_type), 6) AS mean, round(value, 6) AS upper_median FROM w WHERE i = n // 2 + 1""")
-def wer_stats(spark, sf_dir):
-    """Mean and upper median over successes."""
-    e = table(spark, sf_dir, "events").where("event_id % 17 > 0").select("event_type", "value", "event_id")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    placed = ranked_within(e, "event_type", F.col("value"), F.col("event_id"))
-    return placed.join(n, "event_type").where("rank = n div 2").select("event_type", "n", "mean", F.round("value", 6).alias("upper_median"))
-
-
 @query("""SELECT conv_id, turn, (length(text) + 40) // 4 AS tokens, round((length(text) + 40) // 4 * 2e-7::DOUBLE, 9) AS usd FROM conversations""")
 def pipeline_cost(spark, sf_dir):
     n = F.floor((F.length("text") + 40) / 4)

@@ -249,23 +249,28 @@ def ner_entities(spark, sf_dir):
     return _due(spark, sf_dir).select("doc_id", "label", F.col("entity_text").alias("entity"), F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"))
 
 
-@query(f"WITH {_entities_sql(_DUE, 'documents', 'doc_id', _NER)} SELECT doc_id, CASE label WHEN 'PROVISION' THEN 'legal_provisions' WHEN 'MONEY' THEN 'monetary_values' ELSE 'dates' END AS bucket, count(*) AS n, string_agg(v, '|' ORDER BY s, v) AS texts FROM en GROUP BY ALL")
-def ner_buckets(spark, sf_dir):
-    return entities.buckets(_due(spark, sf_dir), "doc_id").select("doc_id", "bucket", "n", F.array_join("texts", "|").alias("texts"))
-
-
 #: A report from the columns of part that holds each kind of entity.
 _REPORT = """'Before the ' || CASE p_partkey % 3 WHEN 0 THEN 'Supreme Court of India' WHEN 1 THEN 'Delhi High Court' ELSE 'NCLT' END || ', Justice Asha Rao Patel. Section ' || (p_partkey % 400) || 'A of the Indian Penal Code, 1860 and Art. ' || p_size || '(1)(b); the Companies Act 2013, the RTI Act. AIR ' || (1950 + p_size) || ' SC ' || p_partkey || '; (' || (1990 + p_size % 30) || ') ' || (p_size % 9 + 1) || ' SCC ' || p_partkey || '; [1973] 4 SCR ' || p_size || '. W.P.(C) No. ' || p_partkey || '/2019, SLP 12/2020. Paid Rs. ' || p_size || ' lakh, INR 4,000.50 on ' || (p_size % 28 + 1) || '/02/2020, 3rd March 2021; May 5, 1999.'"""
 
 
+def _reports(spark, sf_dir):
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_REPORT).alias("text"))
+    return entities.legal_entities(texts, "doc_id", "text")
+
+
 @query(f"WITH {_entities_sql(_REPORT, 'part', 'p_partkey', entities.ENTITIES)} SELECT doc_id, label, v AS entity, s AS span_start, e AS span_end FROM en")
 def ner_all_labels(spark, sf_dir):
     """All nine patterns with offsets."""
-    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_REPORT).alias("text"))
-    got = entities.legal_entities(texts, "doc_id", "text")
+    got = _reports(spark, sf_dir)
     return got.select("doc_id", "label", F.col("entity_text").alias("entity"), F.col("span_start").cast("bigint"), F.col("span_end").cast("bigint"))
 
 
+@query(f"WITH {_entities_sql(_REPORT, 'part', 'p_partkey', entities.ENTITIES)} SELECT doc_id, bucket, count(*) AS n, string_agg(v, '|' ORDER BY s, v) AS texts FROM en JOIN {_values(list(entities.BUCKETS.items()))} b(label, bucket) USING (label) GROUP BY ALL")
+def ner_buckets(spark, sf_dir):
+    """The entities of all labels in their lists."""
+    return entities.buckets(_reports(spark, sf_dir), "doc_id").select("doc_id", "bucket", "n", F.array_join("texts", "|").alias("texts"))
+
+
 @query(f"WITH {PARSE}{CHECK} SELECT mention_id, CASE WHEN target_id IS NULL THEN 'not_found' ELSE status END AS status, target_id IS NOT NULL AS known FROM checked")
 def existence_status(spark, sf_dir):
     """The existence baseline in the registry's words: what it does not know is not_found, the rest has its status."""

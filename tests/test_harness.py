@@ -37,9 +37,31 @@ def pairs():
 
 def test_word_errors(spark):
     df = spark.createDataFrame(pairs(), "r string, h string")
-    for r in df.select("r", "h", H.word_errors(F.col("r"), F.col("h")).alias("wer")).collect():
-        a, b = (r["r"] or "").split(), (r["h"] or "").split()
-        assert r["wer"] == pytest.approx(edits(a, b) / len(a) if a else float(bool(b)))
+    for r in df.select("r", "h", H.word_errors(F.col("r"), F.col("h")).alias("e")).collect():
+        if r["h"] is None:
+            assert r["e"] is None or r["e"]["wer"] is None
+            continue
+        a, b, e = (r["r"] or "").split(), r["h"].split(), r["e"]
+        assert e["wer"] == pytest.approx(edits(a, b) / len(a) if a else float(bool(b)))
+        assert e["hits"] + e["substitutions"] + e["deletions"] == len(a) and e["hits"] + e["substitutions"] + e["insertions"] == len(b)
+        assert e["substitutions"] == fewest_substitutions(a, b)
+
+
+def fewest_substitutions(a, b):
+    row = [(j, 0) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        new = [(i, 0)]
+        for j, y in enumerate(b, 1):
+            same = x == y
+            new.append(min((row[j - 1][0] + (not same), row[j - 1][1] + (not same)), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    return row[-1][1]
+
+
+def test_error_rates_leave_failures_out(spark):
+    rows = [("a", 0.5), ("a", 0.5), ("a", 0.1), ("a", None), ("b", None), ("c", 0.2), ("c", 0.4)]
+    got = {r["g"]: tuple(r)[1:] for r in H.error_rates(spark.createDataFrame(rows, "g string, w double"), "g", "w").collect()}
+    assert got == {"a": (3, 1, pytest.approx(1.1 / 3), 0.5), "b": (0, 1, None, None), "c": (2, 0, pytest.approx(0.3), 0.4)}
 
 
 def test_longest_common_subsequence(spark):
