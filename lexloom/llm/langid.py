@@ -260,15 +260,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     is not null is a language of its own, as it stands; the more there are, the fewer rows each of them has, since max_chars
     is shared. max_langs only bounds what the driver holds: above it the most frequent are learned.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    kinds = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    kinds = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     counts = {r["lang"]: r["count"] for r in kinds.collect()}
     if not counts:
         return LanguageModel({})
-    order_by = F.xxhash64(F.col(key).cast("string"))
+    place = F.pmod(F.col("h"), F.lit(1_000_003))
     # one row for each language, at most max_langs
-    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, 1.3 * max_rows / n + 0.001)) for x, n in counts.items()], "__of string, __share double")
-    near = rows.join(F.broadcast(shares), F.col(lang).cast("string") == F.col("__of")).where(F.pmod(order_by, F.lit(1_000_003)) < F.col("__share") * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(order_by, F.lit(1_000_003)).alias("o"), order_by.alias("h"))
+    shares = labelled.sparkSession.createDataFrame([(x, min(1.0, 1.3 * max_rows / n + 0.001)) for x, n in counts.items()], "lang string, share double")
+    near = rows.join(F.broadcast(shares), "lang").where(place < F.col("share") * 1_000_003).select("lang", "text", place.alias("o"), "h")
     by = Window.partitionBy("lang").orderBy("o", "h", F.xxhash64("text"))
     upto = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
     sample = near.withColumn("n", F.row_number().over(by)).withColumn("before", F.coalesce(upto, F.lit(0))).where((F.col("n") <= max_rows) & (F.col("before") <= max_chars // len(counts)))
