@@ -15,6 +15,13 @@ from lexloom.functions.unicode import normal_form
 #: Letters and digits of any script without combining marks, and the underscore.
 TOKEN = r"[\p{L}\p{N}_]+"
 DEVANAGARI = r"[ऀ-ॿ]"
+#: What Hindi texts are brought to. Marks without width go, letters with a nukta are written as two characters, so is the candra a.
+DEVANAGARI_FORMS = (
+    ("\ufeff", ""), ("\ufffe", ""), ("\u2060", ""), ("\u00ad", ""), ("\u200b", " "), ("\u00a0", " "), ("\u200c", ""), ("\u200d", ""),
+    ("\u0972", "\u0905\u0945"), ("\u0929", "\u0928\u093c"), ("\u0931", "\u0930\u093c"), ("\u0934", "\u0933\u093c"),
+    ("\u0958", "\u0915\u093c"), ("\u0959", "\u0916\u093c"), ("\u095a", "\u0917\u093c"), ("\u095b", "\u091c\u093c"),
+    ("\u095c", "\u0921\u093c"), ("\u095d", "\u0922\u093c"), ("\u095e", "\u092b\u093c"), ("\u095f", "\u092f\u093c"), ("|", "\u0964"),
+)
 
 #: Line patterns that mark page headers of judgments, without regard to case.
 HEADER_LINES = (
@@ -69,6 +76,19 @@ def spaces(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(one, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def devanagari(text: Column) -> Column:
+    """Texts with a Devanagari letter in one form of each letter: DEVANAGARI_FORMS, and a colon behind a letter as visarga. Others stay."""
+    out = text
+    for old, new in DEVANAGARI_FORMS:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(text.rlike(DEVANAGARI), F.regexp_replace(out, "([\u0900-\u097f]):", "$1\u0903")).otherwise(text)
+
+
+def normalised(text: Column) -> Column:
+    """Canonical composition, Hindi letters in one form, white space tidied."""
+    return spaces(devanagari(normal_form(text)))
+
+
 def code_switched(text: Column) -> Column:
     return text.rlike(DEVANAGARI) & text.rlike("[A-Za-z]")
 

@@ -85,10 +85,11 @@ def retrieval_bundle(spark, sf_dir):
     return H.retrieval_measures(per, ["system"])
 
 
-@query("SELECT count(*) AS n, NULL::DOUBLE AS kappa, 1::DOUBLE AS kappa_of_one_label FROM labels")
+@query("SELECT count(*) AS n, NULL::DOUBLE AS kappa, 1::DOUBLE AS kappa_of_one_label FROM labels WHERE quality = 1 AND toxic = 0")
 def kappa_single_label(spark, sf_dir):
     """Two raters who only ever say one thing: undefined, or 1 in the variant that says so."""
-    pairs = table(spark, sf_dir, "labels").select(F.lit("x").alias("a"), F.lit("x").alias("b"))
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    pairs = good.select(F.col("quality").cast("string").alias("a"), (1 - F.col("toxic")).cast("string").alias("b"))
     return E.cohen_kappa(pairs).join(E.cohen_kappa(pairs, total_is_one=True).withColumnRenamed("kappa", "kappa_of_one_label"), "n")
 
 

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 # a registry built from tables: an act for each supplier, a section for each part, successions between old and new acts
-_REG_SQL = """st AS (SELECT 'act-' || s_suppkey AS statute_id, s_name AS title, (1900 + s_suppkey % 100)::INT AS year, CASE WHEN s_suppkey % 7 > 0 THEN DATE '1990-01-01' + (s_suppkey * 30)::INT END AS in_force_from, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2024-07-01' END AS repealed_on, CASE WHEN s_suppkey % 10 = 0 THEN 'act-' || (s_suppkey + 1) END AS repealed_by, 'ACT' || s_suppkey AS short_form FROM supplier),
+_REG_SQL = """st AS (SELECT 'act-' || s_suppkey AS statute_id, s_name AS title, (1900 + s_suppkey % 100)::INT AS year, CASE WHEN s_suppkey % 7 > 0 THEN DATE '1990-01-01' + (s_suppkey * 30)::INT END AS in_force_from, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2024-07-01' END AS repealed_on, CASE WHEN s_suppkey % 10 = 0 THEN 'act-' || (s_suppkey + 1) END AS repealed_by, 'ACT' || s_suppkey AS short_form FROM supplier WHERE s_suppkey % 13 <> 5),
 se AS (SELECT 'act-' || (p_partkey % 90) || '-s' || p_partkey AS section_id, 'act-' || (p_partkey % 90) AS statute_id, p_partkey::VARCHAR AS number, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS heading, CASE WHEN p_partkey % 4 = 0 THEN DATE '2000-01-01' + (p_size * 100)::INT END AS in_force_from, CASE WHEN p_partkey % 6 = 0 THEN DATE '2015-01-01' + (p_size * 50)::INT END AS in_force_to, CASE WHEN p_partkey % 31 = 0 THEN 'omitted' ELSE 'in_force' END AS status FROM part),
 su AS (SELECT 'act-' || (p_partkey % 90) || '-s' || p_partkey AS f, CASE WHEN p_size % 4 > 0 THEN 'act-' || ((p_partkey + k) % 90) || '-s' || (p_partkey + k) END AS t, CASE WHEN p_size % 4 > 0 THEN 'maps_to' ELSE 'repealed_no_successor' END AS relation, k FROM part, (VALUES (1), (2)) v(k) WHERE p_partkey % 6 = 0 AND (k = 1 OR p_size % 4 = 1))"""
 
@@ -36,7 +36,7 @@ def registry_tables(spark, sf_dir):
     k, day = F.col("s_suppkey"), lambda s: F.lit(s).cast("date")
     no = lambda t: F.lit(None).cast(t)
     act = lambda c: F.concat(F.lit("act-"), c.cast("string"))
-    st = table(spark, sf_dir, "supplier").select(
+    st = table(spark, sf_dir, "supplier").where(k % 13 != 5).select(  # some sections stand in no known act
         act(k).alias("statute_id"), F.col("s_name").alias("title"), (k % 100 + 1900).cast("int").alias("year"), F.when(k % 7 > 0, F.date_add(day("1990-01-01"), (k * 30).cast("int"))).alias("in_force_from"),
         F.when(k % 5 == 0, day("2024-07-01")).alias("repealed_on"), F.when(k % 10 == 0, act(k + 1)).alias("repealed_by"), F.concat(F.lit("ACT"), k.cast("string")).alias("short_form"),
     )
@@ -346,14 +346,25 @@ def best_clause_hits(spark, sf_dir):
     return C.best_clauses(h, "doc_id").join(F.broadcast(catalogue), "clause_type").select("doc_id", "clause_type", "span_start", "span_end", "score", "tier")
 
 
-@query(f"WITH {_CATALOGUE} SELECT code, question, statute, tier FROM cc")
+@query(f"""WITH {_CATALOGUE}, q AS (SELECT DISTINCT code, unnest(regexp_extract_all(lower(question), '[a-z]{{3,}}')) AS w FROM cc), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(t), '[a-z]{{3,}}'))) AS w FROM (SELECT doc_id, {F4_SQL} AS t FROM documents)),
+h AS (SELECT code, doc_id, count(*) AS n FROM q JOIN d USING (w) WHERE w NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}) GROUP BY ALL)
+SELECT code, question, statute, tier, count(h.doc_id) AS n_documents, coalesce(max(n), 0) AS most_words FROM cc LEFT JOIN h USING (code) GROUP BY ALL""")
 def clause_catalogue(spark, sf_dir):
-    return spark.createDataFrame(C.CLAUSES, "code string, question string, statute string, tier string")
+    """Each clause type with the documents that share a content word with its question."""
+    catalogue = spark.createDataFrame(C.CLAUSES, "code string, question string, statute string, tier string")
+    asked = catalogue.select("code", F.explode(F.array_distinct(T.content_words(F.col("question")))).alias("w"))
+    words = legal_texts(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.content_words(F.col("text")))).alias("w"))
+    hits = words.join(F.broadcast(asked), "w").groupBy("code", "doc_id").agg(F.count("*").alias("n")).groupBy("code").agg(F.count("*").alias("n_documents"), F.max("n").alias("most_words"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return catalogue.join(hits, "code", "left").select("code", "question", "statute", "tier", zero("n_documents"), zero("most_words"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in C.CONDITIONS) + ") v(condition, generator, retrieval)")
+@query("SELECT item_id, condition, generator, retrieval, length(text)::BIGINT AS question_chars FROM benchmark, (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in C.CONDITIONS) + ") v(condition, generator, retrieval)")
 def baseline_conditions(spark, sf_dir):
-    return spark.createDataFrame(C.CONDITIONS, "condition string, generator string, retrieval string")
+    """The work list of a comparison: every benchmark item under every condition."""
+    row = lambda c: F.struct(*[F.lit(x).alias(n) for x, n in zip(c, ("condition", "generator", "retrieval"), strict=True)])
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").cast("bigint").alias("question_chars"), F.explode(F.array(*[row(c) for c in C.CONDITIONS])).alias("c"))
+    return items.select("item_id", "c.condition", "c.generator", "c.retrieval", "question_chars")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0 ELSE 1 END AS n_claims, CASE WHEN turn % 4 = 3 THEN 'empty_generation' ELSE '' END AS unanswerable, CASE WHEN turn % 4 = 3 THEN '' ELSE 'a,b' END AS citations FROM conversations""")

@@ -74,9 +74,26 @@ def table_counts(spark, sf_dir):
     return out
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM documents""")
+def _forms_sql(column: str) -> str:
+    out = column
+    for old, new in T.DEVANAGARI_FORMS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"regexp_replace({out}, '([ऀ-ॿ]):', '\\1\u0903', 'g')"
+
+
+#: Hindi with letters in several forms, marks without width, a bar for a danda and a colon for a visarga.
+HINDI = "\u0915\u093c\u093e\u0928\u0942\u0928 \u0958\u093e\u0928\u0942\u0928\u200d \u0928\u093c \u0931\u0902 \u0972\u092a\u00ad\u0932 \u095e\u0948\u0938\u0932\u093e: \u0927\u093e\u0930\u093e\u200b420 | \u0905\u0924\u0903 12:30"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, nfc_normalize(CASE WHEN doc_id % 5 = 0 THEN text || ' {HINDI} ' || text ELSE text || ' a|b:c' END) AS t FROM documents), d AS (SELECT doc_id, CASE WHEN regexp_matches(t, '[ऀ-ॿ]') THEN {_forms_sql("t")} ELSE t END AS t FROM t)"""
+    + r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM d"""
+)
 def normalise_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.spaces(normal_form(F.col("text")))).alias("clean_md5"))
+    """Whole texts, every fifth with Hindi in its midst."""
+    mixed = F.when(F.col("doc_id") % 5 == 0, F.concat_ws(f" {HINDI} ", "text", "text")).otherwise(F.concat("text", F.lit(" a|b:c")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalised(mixed)).alias("clean_md5"))
 
 
 @query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' धारा' ELSE text END AS t FROM documents)

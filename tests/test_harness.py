@@ -145,3 +145,9 @@ def test_kinds_are_dealt_in_turn(spark):
     pairs = spark.createDataFrame([(i, 0, "The landlord must pay", "p", 1.0) for i in range(30)], "k int, claim_no int, claim string, passage string, overlap double")
     got = perturb.contrastive(pairs, "k").groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in got} == {"none": 30, "negate_obligation": 10, "swap_parties": 10, "unsupported_holding": 10}
+
+
+def test_hindi_in_one_form(spark):
+    rows = [("क़ानून‍ |",), ("क़ानून  ।",), ("धारा: 12:30",), ("a|b: c‍",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.normalised(F.col("t"))).collect()]
+    assert got[:2] == ["क़ानून ।"] * 2 and got[2] == "धाराः 12:30" and got[3] == "a|b: c‍" and got[4] is None
