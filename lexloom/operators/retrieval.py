@@ -123,6 +123,15 @@ def pool(runs: DataFrame, depth: int = config.POOL_DEPTH, c: int = config.RRF_K,
     return placed.where(F.col("pooled_rank") <= most) if most else placed
 
 
+def pool_statistics(pooled: DataFrame) -> DataFrame:
+    """One row about the pools of pool(): n_queries, n_judgments, min_pool, max_pool, mean_pool (2 decimals, null without a query), n_documents, and
+    contribution, how many judgments each method found, by name."""
+    sizes = pooled.groupBy("query_id").agg(F.count("*").alias("n"))
+    about = sizes.agg(F.count("*").alias("n_queries"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_judgments"), F.min("n").alias("min_pool"), F.max("n").alias("max_pool"), F.round(F.avg("n"), 2).alias("mean_pool"))
+    methods = pooled.select(F.explode("found_by").alias("method")).groupBy("method").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("method", "n"))).alias("contribution"))
+    return about.crossJoin(pooled.agg(F.count_distinct("doc_id").alias("n_documents"))).crossJoin(methods)  # one row each
+
+
 def rerank(candidates: DataFrame, scores: Column, k: int = config.RERANK_TOP_K, floor: float | None = None) -> DataFrame:
     """The best k of each query's candidates by a reranker's score; equal scores keep the order of the candidates' rank."""
     scored = candidates.withColumn("rerank_score", scores)

@@ -291,13 +291,12 @@ def rrf_pooling(spark, sf_dir):
     return retrieval.pool(_runs(spark, sf_dir)).select("query_id", "doc_id", "score", F.col("best_rank").cast("bigint").alias("best_rank"), F.array_join("found_by", ",").alias("found_by"))
 
 
-@query(f"""WITH {_RUNS_SQL}, p AS (SELECT query_id, doc_id, list(DISTINCT method) AS m FROM runs WHERE rank <= 10 GROUP BY ALL), s AS (SELECT query_id, count(*) AS n FROM p GROUP BY query_id)
-SELECT (SELECT count(*) FROM p) AS n_judgments, min(n) AS min_pool, max(n) AS max_pool, round(avg(n), 4) AS mean_pool, (SELECT count(DISTINCT doc_id) FROM p) AS n_documents FROM s""")
+@query(f"""WITH {_RUNS_SQL}, p AS (SELECT query_id, doc_id, list(DISTINCT method) AS m FROM runs WHERE rank <= 10 GROUP BY ALL), s AS (SELECT query_id, count(*) AS n FROM p GROUP BY query_id),
+c AS (SELECT string_agg(method || '=' || n, ',' ORDER BY method) AS contribution FROM (SELECT method, count(*) AS n FROM (SELECT unnest(m) AS method FROM p) GROUP BY method))
+SELECT count(*) AS n_queries, (SELECT count(*) FROM p) AS n_judgments, min(n) AS min_pool, max(n) AS max_pool, round(avg(n), 2) AS mean_pool, (SELECT count(DISTINCT doc_id) FROM p) AS n_documents, (SELECT coalesce(contribution, '') FROM c) AS contribution FROM s""")
 def pool_stats(spark, sf_dir):
-    p = retrieval.pool(_runs(spark, sf_dir))
-    per = p.groupBy("query_id").agg(F.count("*").alias("n"))
-    a = per.agg(F.sum("n").alias("n_judgments"), F.min("n").alias("min_pool"), F.max("n").alias("max_pool"), F.round(F.avg("n"), 4).alias("mean_pool"))
-    return a.crossJoin(p.agg(F.countDistinct("doc_id").alias("n_documents")))  # one row each
+    s = retrieval.pool_statistics(retrieval.pool(_runs(spark, sf_dir)))
+    return s.withColumn("contribution", F.array_join(F.transform("contribution", lambda c: F.concat_ws("=", c["method"], c["n"].cast("string"))), ","))
 
 
 @query(f"""WITH {_RUNS_SQL}, p AS (SELECT query_id, doc_id, min(method) AS m, count(DISTINCT method) AS n FROM runs WHERE rank <= 10 GROUP BY ALL)

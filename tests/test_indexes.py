@@ -95,3 +95,12 @@ def test_notes_take_names_from_the_registry(spark):
     asked = spark.createDataFrame([("section", "old-1900-s5"), ("statute", "old-1900"), ("section", "none")], "target_type string, target_id string").withColumn("day", F.lit("2020-01-01").cast("date"))
     got = {r["target_id"]: (r["status"], r["note"]) for r in R.check(asked, "day", sections, acts, after).collect()}
     assert got == {"old-1900-s5": ("superseded", "repealed 2000-01-01; see gone-3 9 / NEWACT 7"), "old-1900": ("superseded", "repealed 2000-01-01; see NEWACT"), "none": ("not_found", "none not in registry")}
+
+
+def test_pool_statistics(spark):
+    rows = [("q1", 1, ["a", "b"]), ("q1", 2, ["a"]), ("q2", 1, ["b"])]
+    schema = "query_id string, doc_id long, found_by array<string>"
+    got = retrieval.pool_statistics(spark.createDataFrame(rows, schema)).first()
+    assert tuple(got)[:6] == (2, 3, 1, 2, 1.5, 2) and [tuple(c) for c in got["contribution"]] == [("a", 2), ("b", 2)]
+    none = retrieval.pool_statistics(spark.createDataFrame([], schema)).first()
+    assert tuple(none) == (0, 0, None, None, None, 0, [])
