@@ -44,7 +44,8 @@ def test_word_arcs_help_on_held_out_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for view in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {view} AS SELECT * FROM '{SMALL}/{view}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, SMALL)
     assert sorted(got.columns) == sorted(want.columns)
