@@ -2,16 +2,21 @@
 
 A lexicon transducer turns each token into a symbol with a weight: insult, threat, target (a person
 spoken of), object (a person who can be acted on), first person, intent, negation, reported speech,
-clause end, other. Sequential transducers then rewrite the symbols of a clause, each for one thing:
-one reads from right to left and marks insults and threats with a target after them, the others read
-from left to right and mark targets before an insult, an object put before an intended threat, intent,
-the first person, denial and report. An arc has an output symbol and a weight; the grammar is their
-composition, in which each reads what the one before it writes and weights multiply, made as its states
-are met. Its last member accepts marked insults and threats and weighs the match: bare, aimed,
-intended. A clause scores the sum of its matches, so a denied or reported insult counts for little
-and a word of threat with nobody to suffer it for nothing, unless labelled rows show it to be toxic by itself.
-
-The lexicon holds function words, insults and threats of four languages. Words and stems (prefixes of 4
+break (a comma or colon), close (a mark beside a closing quote), other. Sequential transducers then rewrite
+the symbols of a sentence, each for one thing: those that read from right to left mark insults and threats
+with a target after them or with a report after their quote, the others read from left to right and mark
+targets before an insult, an object put before an intended threat, intent, the first person, denial and
+report. All but the reports stop at a break or close: those are clauses. A report also counts for what follows
+a mark at most REACH symbols after it, up to the end of the sentence or quote ("he said: ..."), and for the quote
+before it. An arc has an output symbol and a weight; the grammar is their composition, in which each reads
+what the one before it writes and weights multiply, made as its states are met. Its last member accepts
+marked insults and threats and weighs the match: bare, aimed, intended. A clause scores the sum of its
+matches, so a denied or reported insult counts for little and a word of threat with nobody to suffer it for
+nothing, unless labelled rows show it to be toxic by itself.
+
+The lexicon holds function words, insults and threats of four languages. A clause is read in the language whose
+function words prevail in it, the whole text's decide a tie, and without any the four are read as one;
+words of the other languages mean nothing there, but insults are insults in all. Words and stems (prefixes of 4
 to 6 letters) that labelled rows show to stand in toxic texts far more often than in others, whatever
 their language, join the insults with their log-odds as weight. A logistic curve, fitted on the same
 sample, turns a document's sum and density into a probability. Lexicon and curve are fitted on a bounded
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,17 +45,19 @@ from lexloom.llm.common import documents, held_out, share
 from lexloom.llm.quality_classifier import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-SYMBOL = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[.,;!?:\n]")
+QUOTES = "\"\u201c\u201d\u00bb"  # those that close; one of them is the German closing and the English opening mark
+SYMBOL = re.compile(rf"[^\W\d_]+(?:'[^\W\d_]+)*|[.,!?][{QUOTES}]|[{QUOTES}],|[.,;!?:\n]")
 
-OTHER, INSULT, THREAT, TARGET, OBJECT, FIRST, INTENT, NEGATION, REPORT, END = range(10)
+OTHER, INSULT, THREAT, TARGET, OBJECT, FIRST, INTENT, NEGATION, REPORT, BREAK, CLOSE, END = range(12)
 KINDS = 16  # symbols are a kind plus marks
-AIMED, FRONTED, MEANT, OWN = 16, 32, 64, 128
+AIMED, FRONTED, MEANT, OWN, TOLD = 16, 32, 64, 128, 256
+MARKS = (BREAK, CLOSE)
 
 #: Words of each kind in English, French, German and Spanish. Articles that are pronouns too are left out.
 INSULTS = (
     "idiot moron stupid dumb loser scum trash pathetic worthless disgusting imbecile fool bastard jerk vermin filth degenerate",
-    "imbécile crétin connard salaud abruti débile ordure",
-    "idiotin dummkopf trottel arschloch abschaum wertlos versager",
+    "imbécile crétin connard salaud abruti débile ordure idiote",
+    "idiot idiotin dummkopf dummköpfe trottel arschloch arschlöcher abschaum wertlos versager",
     "idiota imbécil estúpido estúpida escoria basura inútil",
 )
 THREATS = (
@@ -60,7 +68,7 @@ THREATS = (
 )
 TARGETS = (
     "your you're yours he she they their these those people everyone",
-    "ton ta tes votre vos ils elles ceux",
+    "tu ton ta tes votre vos ils elles ceux",
     "dein deine euer eure er diese leute",
     "tu tus su sus ellos ellas esos gente",
 )
@@ -80,11 +88,22 @@ REPORTS = (
     "dijo dice escribió según afirmó acusado",
 )
 
+#: Other words that tell the language of a clause, and the endings of plurals.
+HINTS = (
+    "the a an of to and is are was this that it in on for with be as at by from",
+    "le la les un une des du de a à et est êtes sont dans pour avec sur ce cette que qui c'est",
+    "der die das ein eine und ist bist seid sind in im den dem für mit auf von zu es",
+    "el la los las un una de a y es eres son en para con por que del al",
+)
+PLURALS = (("s", "es"), ("s",), ("e", "en", "nen", "n"), ("s", "es"))
+LANGUAGES = len(HINTS)
+
 #: What each kind of match is worth, times the word's weight, and what denial and report leave of it.
 BARE, INSULTED, THREATENED, HINTED = 1.0, 1.6, 2.0, 0.4
 UNMEANT, BEFORE = 0.5, 0.5
 DENIED, REPORTED = 0.2, 0.35
 SEED_WEIGHT, CACHE_WORDS, REACH = 2.5, 500_000, 4
+ENDS = ".;!?\n"
 
 
 def inflected(word: str) -> set[str]:
@@ -103,7 +122,7 @@ class Transducer:
 
 
 class Near(Transducer):
-    """Marks, or weighs, symbols of some kinds that stand at most reach symbols after one of the triggers (None: anywhere after it)."""
+    """Marks, or weighs, symbols of some kinds that stand in a clause at most reach symbols after one of the triggers (None: anywhere after it)."""
 
     def __init__(self, triggers: tuple[int, ...], kinds: tuple[int, ...], reach: int | None, mark: int = 0, weight: float = 1.0):
         self.triggers, self.kinds, self.reach, self.mark, self.weight = triggers, kinds, reach, mark, weight
@@ -111,6 +130,8 @@ class Near(Transducer):
     def step(self, state: int, symbol: int) -> tuple[int, int, float]:
         kind = symbol % KINDS
         hit = state > 0 and kind in self.kinds
+        if kind in MARKS:
+            return 0, symbol, 1.0
         after = 1 if kind in self.triggers else state if self.reach is None else state + 1 if 0 < state < self.reach else 0
         return after, symbol | self.mark if hit else symbol, self.weight if hit else 1.0
 
@@ -120,10 +141,38 @@ class Fronted(Transducer):
 
     def step(self, state: int, symbol: int) -> tuple[int, int, float]:
         kind = symbol % KINDS
+        if kind in MARKS:
+            return 0, symbol, 1.0
         after = 1 if kind == OBJECT else 2 if kind == INTENT and state else state
         return after, symbol | FRONTED if kind == THREAT and state == 2 else symbol, 1.0
 
 
+class Told(Transducer):
+    """Reports. The state: symbols since one in this clause (0: none), and whether one from beyond a mark still holds.
+
+    Forward, what follows a report in its clause or is carried over a mark, and what bears the mark, is weighed; backward
+    only a close carries it over, and insults and threats are marked. A close ends what was carried to it.
+    """
+
+    start = (0, False)
+
+    def __init__(self, forward: bool):
+        self.forward = forward
+
+    def step(self, state: tuple[int, bool], symbol: int) -> tuple[tuple[int, bool], int, float]:
+        (since, held), kind = state, symbol % KINDS
+        if kind == CLOSE:
+            return (0, 0 < since <= REACH), symbol, 1.0
+        if kind == BREAK:
+            return (0, held or self.forward and 0 < since <= REACH), symbol, 1.0
+        after = (1 if kind == REPORT else min(since + 1, REACH + 1) if since else 0, held)
+        if kind not in HITS:
+            return after, symbol, 1.0
+        if not self.forward:
+            return after, symbol | TOLD if held else symbol, 1.0
+        return after, symbol, REPORTED if since or held or symbol & TOLD else 1.0
+
+
 class Match(Transducer):
     """Accepts insults and threats; the weight is what the match is worth, 0 for all other symbols.
 
@@ -173,19 +222,19 @@ class Grammar:
     """The right-to-left pass, then the composition of all that reads from left to right."""
 
     def __init__(self) -> None:
-        self.back = Composition(Near(PERSONS, (INSULT,), REACH, AIMED), Near(PERSONS, (THREAT,), None, AIMED))
+        self.back = Composition(Near(PERSONS, (INSULT,), REACH, AIMED), Near(PERSONS, (THREAT,), None, AIMED), Told(forward=False))
         self.forth = Composition(
             Near(PERSONS, (INSULT,), REACH, AIMED),
             Fronted(),
             Near((INTENT,), (THREAT,), REACH, MEANT),
             Near((FIRST,), (THREAT,), REACH + 2, OWN),
             Near((NEGATION,), HITS, REACH, weight=DENIED),
-            Near((REPORT,), HITS, None, weight=REPORTED),
+            Told(forward=True),
             Match(),
         )
 
-    def clause(self, kinds: list[int]) -> list[tuple[int, int, float]]:
-        """(place, INSULT or THREAT, weight) of each match among the symbols of one clause."""
+    def sentence(self, kinds: list[int]) -> list[tuple[int, int, float]]:
+        """(place, INSULT or THREAT, weight) of each match among the symbols of one sentence."""
         state, marked = self.back.start, list(kinds)
         for i in range(len(kinds) - 1, -1, -1):
             state, marked[i], _ = self.back.step(state, kinds[i])
@@ -210,50 +259,87 @@ def folded(text: str | None) -> str:
 
 
 class ToxicityModel:
-    """fixed and stems: kind and weight by word; a threat's weight counts if it is aimed or meant, alone what bare says."""
+    """fixed and stems: insults of any language with their weights; words: kind and weight by word for each language, then for all as one.
+
+    A threat's weight counts if it is aimed or meant, alone what bare says.
+    """
 
     def __init__(self) -> None:
-        self.fixed: dict[str, tuple[int, float]] = {}
+        self.fixed: dict[str, float] = {}
         self.bare: dict[str, float] = {}
-        for kind, lists, weight in ((TARGET, TARGETS, 0.0), (OBJECT, OBJECTS, 0.0), (FIRST, FIRSTS, 0.0), (INTENT, INTENTS, 0.0), (NEGATION, NEGATIONS, 0.0), (REPORT, REPORTS, 0.0), (THREAT, THREATS, SEED_WEIGHT), (INSULT, INSULTS, SEED_WEIGHT)):
-            self.fixed |= {w: (kind, weight) for words in lists for w in words.split()}
-        self.fixed |= {x: (THREAT, SEED_WEIGHT) for w in THREATS[0].split() for x in inflected(w)}
+        self.words: list[dict[str, tuple[int, float]]] = [{} for _ in range(LANGUAGES)]
+        self.speaks: dict[str, tuple[int, ...]] = {}  # the languages that a function word speaks for
+        for kind, lists in ((TARGET, TARGETS), (OBJECT, OBJECTS), (FIRST, FIRSTS), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (OTHER, HINTS), (THREAT, THREATS), (INSULT, INSULTS)):
+            for i, names in enumerate(lists):
+                for w in names.split():
+                    if kind == INSULT:
+                        self.fixed |= {x: SEED_WEIGHT for x in (w, *(w + e for e in PLURALS[i]))}
+                        continue
+                    if kind != OTHER:
+                        forms = inflected(w) if kind == THREAT and i == 0 else {w}
+                        self.words[i] |= {x: (kind, SEED_WEIGHT if kind == THREAT else 0.0) for x in forms}
+                    if kind != THREAT and i not in self.speaks.get(w, ()):
+                        self.speaks[w] = (*self.speaks.get(w, ()), i)
+        self.words.append({x: k for d in self.words for x, k in d.items()})
         self.stems: dict[str, float] = {}
         self.curve = np.array([-3.0, 2.0, 0.0])
         self.grammar = Grammar()
-        self.cache: dict[str, tuple[int, float]] = {}
+        self.cache: dict[str, tuple[tuple[tuple[int, float], ...], float, tuple[int, ...]]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
 
-    def symbol(self, word: str) -> tuple[int, float]:
+    def symbols(self, word: str) -> tuple[tuple[tuple[int, float], ...], float, tuple[int, ...]]:
+        """Kind and weight in each language and in all as one, the largest weight, the languages that the word speaks for."""
         if word in self.fixed:
-            return self.fixed[word]
-        for n in (6, 5, 4):
-            if len(word) > n and word[:n] in self.stems:
-                return INSULT, self.stems[word[:n]]
-        return OTHER, 0.0
+            each = ((INSULT, self.fixed[word]),) * (LANGUAGES + 1)
+        elif word in self.words[-1]:
+            each = tuple(d.get(word, (OTHER, 0.0)) for d in self.words)
+        else:
+            stem = next((word[:n] for n in (6, 5, 4) if len(word) > n and word[:n] in self.stems), None)
+            each = ((INSULT, self.stems[stem]) if stem else (OTHER, 0.0),) * (LANGUAGES + 1)
+        return each, max(w for _, w in each), self.speaks.get(word, ())
 
     def clauses(self, low: str) -> Iterator[tuple[int, int, float]]:
         """Number of the first and the last token of each clause with matches, and its score; of a folded text."""
-        cache, kinds, weights, names, first, at = self.cache, [], [], [], 0, 0
-
-        def done() -> float:
-            found = self.grammar.clause(kinds) if any(weights) else ()
-            return sum(w * (weights[i] if kind == kinds[i] else self.bare.get(names[i], 0.0)) for i, kind, w in found)
-
-        for at, token in enumerate(SYMBOL.findall(low)):
+        cache, tokens = self.cache, SYMBOL.findall(low)
+        counts, spoken = Counter(tokens), [0] * LANGUAGES
+        for t in counts.keys() & self.speaks.keys():
+            for i in self.speaks[t]:
+                spoken[i] += counts[t]
+
+        def read(first: int, end: int) -> Iterator[tuple[int, int, float]]:
+            kinds, weights, cuts = [], [], [first]
+            for at in range(first, end + 1):
+                if at < end and tokens[at] in cache:
+                    continue
+                here = Counter(i for t in tokens[cuts[-1] : at] for i in cache[t][2])
+                lang = max(range(LANGUAGES), key=lambda i: (here[i], spoken[i], -i)) if any(spoken) else LANGUAGES
+                for t in tokens[cuts[-1] : at]:
+                    kind, weight = cache[t][0][lang]
+                    kinds.append(kind)
+                    weights.append(weight)
+                if at < end:
+                    kinds.append(BREAK if tokens[at] in ",:" else CLOSE)
+                    weights.append(0.0)
+                cuts.append(at + 1)
+            scores: dict[int, float] = {}
+            for i, kind, w in self.grammar.sentence(kinds) if any(weights) else ():
+                c = bisect_right(cuts, first + i) - 1
+                scores[c] = scores.get(c, 0.0) + w * (weights[i] if kind == kinds[i] else self.bare.get(tokens[first + i], 0.0))
+            yield from ((cuts[c], cuts[c + 1] - 2, score) for c, score in scores.items() if score)
+
+        first, some = 0, False
+        for at, token in enumerate(tokens):
             known = cache.get(token)
-            if known is None:  # only ends of clauses are not words
-                if kinds and (score := done()):
-                    yield first, at - 1, score
-                kinds, weights, names, first = [], [], [], at + 1
-            else:
-                kinds.append(known[0])
-                weights.append(known[1])
-                names.append(token)
-        if kinds and (score := done()):
-            yield first, first + len(kinds) - 1, score
+            if known is not None:
+                some = some or known[1] > 0
+            elif token in ENDS:
+                if some:
+                    yield from read(first, at)
+                first, some = at + 1, False
+        if some:
+            yield from read(first, len(tokens))
 
     def learn_words(self, low: str) -> tuple[int, bool]:
         """Number of words, and whether any of them can match; all are in the cache afterwards."""
@@ -262,7 +348,7 @@ class ToxicityModel:
             self.cache = {}
         names = set(words)
         for w in names.difference(self.cache):
-            self.cache[w] = self.symbol(w)
+            self.cache[w] = self.symbols(w)
         return len(words), any(self.cache[w][1] for w in names)
 
     def measure(self, text: str | None) -> tuple[float, float]:
@@ -281,6 +367,11 @@ class ToxicityModel:
         return [(spans[a][0], spans[b][1], score) for a, b, score in self.clauses(low)]
 
     def fit(self, rows: Iterator[tuple[str | None, int]], min_share: float = 0.02, min_docs: int = 5, least: float = 2.0) -> None:
+        """Words, stems and curve from (text, label) rows, near copies weighing as one.
+
+        A word or stem is learned if at least min_docs toxic rows, and min_share of them, have it, and its log-odds reach least. Smaller
+        values learn more words, rarer and less sure ones; none leaves out rows, and all texts are scored whole.
+        """
         sample, keys = [], []
         for text, label in rows:
             words = WORD.findall(folded(text))
@@ -309,10 +400,10 @@ class ToxicityModel:
                     covered[name[:k] + "*"] = max(covered[name[:k] + "*"], n)
         for x in sorted(strong):
             if not x.endswith("*"):
-                kind = self.fixed.get(x, (INSULT, 0.0))[0]
-                if kind == INSULT:
-                    self.fixed[x] = (INSULT, odds(x))
-                elif kind == THREAT:
+                kinds = {d[x][0] for d in self.words if x in d} if x not in self.fixed else set()
+                if not kinds:
+                    self.fixed[x] = odds(x)
+                elif THREAT in kinds:
                     self.bare[x] = odds(x)
             elif covered[x] < 0.7 * toxic[x]:
                 self.stems[x[:-1]] = odds(x)

@@ -372,18 +372,52 @@ def test_toxic_clauses_in_four_languages():
     assert weigh("the killing of time") == weigh("they will burn wood") == 0
 
 
+def test_toxic_reports_cross_marks():
+    weigh = lambda t: toxicity.ToxicityModel().measure(t)[0]
+    said = weigh("you are an idiot")
+    for text in ("he said: you are an idiot", "he said, you are an idiot", "laut Bericht: du bist ein Idiot", '"You are an idiot", he said', '"You are an idiot!" she wrote', "\u00abTu es un idiot\u00bb, dit-il", 'he wrote: "Go away, you are an idiot."'):
+        assert 0 < weigh(text) < said, text
+    for text in ("he said so. you are an idiot", "they said it to all of them many times, you are an idiot", 'he said: "go." you are an idiot', '"you are an idiot." then all went home and he said no'):
+        assert weigh(text) == said, text
+
+
+def test_toxic_words_count_in_their_language():
+    weigh = lambda t: toxicity.ToxicityModel().measure(t)[0]
+    assert weigh("Ich tue es für dich") == 0 < weigh("je vais te tuer")
+    assert weigh("this ton of trash") == weigh("this heap of trash") and weigh("put on the trash") == weigh("put away the trash")
+    for text in ("vous êtes des idiots", "ihr seid Idioten", "sois unos imbéciles", "you morons", "ihr seid Arschlöcher"):
+        assert weigh(text) > 0, text
+    assert weigh("he must not. ich werde dich töten") > 0 == weigh("er tue das, was die anderen tun")
+
+
 def test_toxic_grammar_against_its_definition():
-    """Weights of the composed transducers against rules that look at the whole clause."""
+    """Weights of the composed transducers against rules that look at the whole sentence."""
     t, rng, grammar = toxicity, random.Random(8), toxicity.Grammar()
 
+    def told(kinds, i):
+        marks = [j for j, k in enumerate(kinds) if k in t.MARKS]
+        closes = [j for j in marks if kinds[j] == t.CLOSE]
+        for r in (j for j, k in enumerate(kinds) if k == t.REPORT):
+            if r < i:
+                m = next((j for j in marks if j > r), len(kinds))
+                if m > i or m - r <= t.REACH and not any(m < j < i for j in closes):
+                    return True
+            else:
+                m = max((j for j in marks if j < r), default=-1)
+                if m > i and kinds[m] == t.CLOSE and r - m <= t.REACH and not any(i < j < m for j in closes):
+                    return True
+        return False
+
     def worth(kinds, i):
-        before, after = kinds[:i], kinds[i + 1 :]
+        first = max((j + 1 for j in range(i) if kinds[j] in t.MARKS), default=0)
+        end = next((j for j in range(i, len(kinds)) if kinds[j] in t.MARKS), len(kinds))
+        before, after = kinds[first:i], kinds[i + 1 : end]
         near = lambda some, reach, of: any(k in some for k in (of[-reach:] if of is before else of[:reach]))
-        factor = (t.DENIED if near((t.NEGATION,), t.REACH, before) else 1.0) * (t.REPORTED if t.REPORT in before else 1.0)
+        factor = (t.DENIED if near((t.NEGATION,), t.REACH, before) else 1.0) * (t.REPORTED if told(kinds, i) else 1.0)
         if kinds[i] == t.INSULT:
             return t.INSULT, factor * (t.INSULTED if near(t.PERSONS, t.REACH, before) or near(t.PERSONS, t.REACH, after) else t.BARE)
         meant = near((t.INTENT,), t.REACH, before)
-        fronted = t.OBJECT in before and t.INTENT in before[before.index(t.OBJECT) :] and _last_is_intended(before)
+        fronted = t.OBJECT in before and t.INTENT in before[max(j for j, k in enumerate(before) if k == t.OBJECT) :]
         if any(k in t.PERSONS for k in after):
             return t.THREAT, factor * t.THREATENED * (1.0 if meant else t.UNMEANT)
         if fronted:
@@ -392,14 +426,10 @@ def test_toxic_grammar_against_its_definition():
             return t.THREAT, factor * t.HINTED
         return t.INSULT, factor * t.BARE
 
-    def _last_is_intended(before):
-        last = max(j for j, k in enumerate(before) if k == t.OBJECT)
-        return t.INTENT in before[last:]
-
-    for _ in range(3000):
-        kinds = rng.choices(range(t.END), [6, 2, 2, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 14))
-        got = {i: (kind, round(w, 9)) for i, kind, w in grammar.clause(kinds)}
-        assert got == {i: (worth(kinds, i)[0], round(worth(kinds, i)[1], 9)) for i, k in enumerate(kinds) if k in t.HITS}
+    for _ in range(6000):
+        kinds = rng.choices(range(t.END), [6, 2, 2, 1, 1, 1, 1, 1, 1, 0.8, 0.6], k=rng.randint(1, 18))
+        got = {i: (kind, round(w, 9)) for i, kind, w in grammar.sentence(kinds)}
+        assert got == {i: (worth(kinds, i)[0], round(worth(kinds, i)[1], 9)) for i, k in enumerate(kinds) if k in t.HITS}, kinds
     assert len(grammar.forth.arcs) > 100
 
 
