@@ -187,14 +187,15 @@ def containing(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
 
     An item is looked up by a run of up to k of its inner words, which stand in any such document as they are (the
     first and the last may be parts of words there), and then compared as a whole. Items of fewer
-    than three words have no inner word and are compared with every document.
+    than three words have no inner word: they are looked up by the one of their runs of four characters (or their
+    whole, if shorter) that the fewest documents hold.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)
     needles = items.select(F.col(item), F.col(text).alias("needle"), words(F.col(text)).alias("w")).where(F.length("needle") > 0)
     long = needles.where(F.size("w") > 2).withColumn("size", F.least(F.size("w") - 2, F.lit(k))).withColumn("gram", F.array_join(F.slice("w", F.lit(2), F.col("size")), " "))
     sizes = [r[0] for r in long.select("size").distinct().collect()]  # at most k
     hay = docs.select(F.col(key), F.col(text).alias("hay"), words(F.col(text)).alias("w"))
-    met = hay.join(needles.where(F.size("w") <= 2).select(item, "needle"), F.contains("hay", "needle")).select(key, item)
+    met = _holding_short(hay, needles.where(F.size("w") <= 2).select(item, "needle"), key, item)
     if sizes:
         grams = F.explode(F.array_distinct(F.concat(*[T.ngrams(F.col("w"), n) for n in sizes]))).alias("gram")
         found = hay.select(key, grams).join(long.select(item, "gram"), "gram").select(key, item).distinct()
@@ -203,6 +204,24 @@ def containing(docs: DataFrame, items: DataFrame, key: str, item: str, text: str
     return met
 
 
+def _holding_short(hay: DataFrame, needles: DataFrame, key: str, item: str, run: int = 4) -> DataFrame:
+    """Pairs (doc, item) for short items, by the run of characters of each that stands in the fewest documents."""
+    gone = needles.withColumn("size", F.least(F.length("needle"), F.lit(run)))
+    sizes = [r[0] for r in gone.select("size").distinct().collect()]  # at most run
+    if not sizes:
+        return needles.join(hay.select(key), F.lit(False)).select(key, item)
+    runs = lambda c, n: F.array_distinct(T.ngrams(F.split(c, ""), n))  # noqa: E731 (characters joined by blanks)
+    own = None
+    for n in sizes:
+        some = gone.where(F.col("size") == n).select(item, "needle", F.explode(runs(F.col("needle"), n)).alias("gram"))
+        own = some if own is None else own.unionByName(some)
+    grams = hay.where(F.length("hay") > 0).select(key, F.explode(F.concat(*[runs(F.col("hay"), n) for n in sizes])).alias("gram"))
+    seen = grams.join(own.select("gram").distinct(), "gram", "left_semi").checkpoint()  # made once, read twice
+    counts = own.join(seen.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy(item, "needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = seen.join(counts.select(item, "needle", "gram"), "gram").select(key, item, "needle")
+    return found.join(hay.select(key, "hay"), key).where(F.contains("hay", "needle")).select(key, item).distinct()
+
+
 def with_split(pairs: DataFrame, splits: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """pairs with their document's split, those of dropped documents left out; a document without a split is an error."""
     j = pairs.join(dropped.select(key), key, "left_anti").join(splits.select(key, "split"), key, "left")

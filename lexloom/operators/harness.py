@@ -240,7 +240,7 @@ def lcs_f(a: Column, b: Column) -> Column:
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([_lcs_f(x, y) for x, y in zip(left, right)], dtype="float64")
 
-    return run(a, b)
+    return F.round(run(a, b), 4)
 
 
 def _lcs_f(a, b) -> float | None:
@@ -256,4 +256,4 @@ def _lcs_f(a, b) -> float | None:
         hit = row & at.get(a[i], 0)
         row = (row + hit | row - hit) & full
     common = m - row.bit_count()
-    return round(2 * common / (n + m), 4)
+    return 2 * common / (n + m)

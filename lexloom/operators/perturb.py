@@ -210,17 +210,54 @@ def source_pairs(docs: DataFrame, key: str, judgment: str, summary: str, least:
     return c.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).select(key, "claim_no", "claim", "passage", F.round("overlap", 4).alias("overlap"))
 
 
-def contrastive(pairs: DataFrame, key: str) -> DataFrame:
+def balanced(classes: dict[tuple[str, ...], int]) -> dict[tuple[str, ...], list[int]]:
+    """How many rows of each class (the kinds that apply to them: at most 127 classes) get each of its kinds, so that the kinds' sums are as equal as can be.
+
+    Rows go from a kind to one with at least two fewer, over other kinds where no class holds both, until no such way is left; then no
+    other dealing has a smaller largest sum, nor, that being equal, a smaller next one.
+    """
+    dealt = {c: {k: n // len(c) + (i < n % len(c)) for i, k in enumerate(c)} for c, n in sorted(classes.items()) if c}
+    while True:
+        load = {k: sum(d.get(k, 0) for d in dealt.values()) for k in KINDS}
+        ways: list[list[tuple[tuple[str, ...], str, str]]] = []
+        for start in KINDS:
+            way: dict[str, list] = {start: []}
+            queue = [start]
+            for a in queue:
+                for c, d in dealt.items():
+                    for b in c if d.get(a) else ():
+                        if b not in way:
+                            way[b] = [*way[a], (c, a, b)]
+                            queue.append(b)
+            ways += [w for b, w in way.items() if load[start] - load[b] > 1]
+        if not ways:
+            return {c: list(d.values()) for c, d in dealt.items()}
+        w = max(ways, key=lambda w: load[w[0][1]] - load[w[-1][2]])
+        n = min((load[w[0][1]] - load[w[-1][2]]) // 2, *[dealt[c][a] for c, a, _ in w])
+        for c, a, b in w:
+            dealt[c][a] -= n
+            dealt[c][b] += n
+
+
+def contrastive(pairs: DataFrame, key: str, balance: bool = True) -> DataFrame:
     """For each pair a positive row and a perturbed one: pair_id, key, kind, label, passage, claim, original_claim, overlap.
 
-    Among the pairs to which the same kinds apply these are dealt in turn, in order of the pairs' ids, so the kinds stay
-    balanced and no task has to see the others' choices. Pairs to which no kind applies are left out.
+    The pairs to which the same kinds apply are a class, of which there are at most 127. Their counts decide how many rows of each class
+    get each kind (`balanced`), and places in order of a hash of the ids which; no task has to see the others' choices. Without
+    balance a class deals its kinds in turn, in order of the ids. Pairs to which no kind applies are left out.
     """
     own = F.concat_ws(":", F.col(key).cast("string"), F.col("claim_no").cast("string"))
     p = pairs.withColumn("__id", own)
     p = p.withColumn("__a", all_perturbations(F.col("claim"), F.col("__id"))).checkpoint().where(F.size("__a") > 0)  # made once, though read more than once
-    p = ranked_within(p.withColumn("__kinds", F.array_join(F.transform("__a", lambda x: x["kind"]), ",")), "__kinds", F.col("__id"), name="__turn")
-    p = p.withColumn("__x", F.get("__a", (F.col("__turn") % F.size("__a")).cast("int")))
+    p = p.withColumn("__kinds", F.array_join(F.transform("__a", lambda x: x["kind"]), ","))
+    if balance:
+        shares = balanced({tuple(r[0].split(",")): r[1] for r in p.groupBy("__kinds").count().collect()})
+        ends = pairs.sparkSession.createDataFrame([(",".join(c), [sum(n[: i + 1]) for i in range(len(n))]) for c, n in shares.items()], "__kinds string, __ends array<bigint>")
+        p = ranked_within(p, "__kinds", F.xxhash64("__id"), F.col("__id"), name="__turn").join(F.broadcast(ends), "__kinds")
+        p = p.withColumn("__at", F.size(F.filter("__ends", lambda e: e <= F.col("__turn"))))
+    else:
+        p = ranked_within(p, "__kinds", F.col("__id"), name="__turn").withColumn("__at", (F.col("__turn") % F.size("__a")).cast("int"))
+    p = p.withColumn("__x", F.get("__a", F.col("__at")))
     base = [F.col(key), "passage"]
     rest = [F.col("claim").alias("original_claim"), "overlap"]
     pos = p.select(F.concat("__id", F.lit("-pos")).alias("pair_id"), *base, F.lit("none").alias("kind"), F.lit("entailed").alias("label"), "claim", *rest)

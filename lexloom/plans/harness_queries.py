@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom import config
 from lexloom.functions import measures as M
+from lexloom.functions import stem as P
 from lexloom.functions import text as T
 from lexloom.operators import evaluation as E
 from lexloom.operators import harness as H
@@ -265,12 +266,77 @@ def rouge_corpus_mean(spark, sf_dir):
     return each[0].unionByName(each[1])
 
 
-@query()
+#: A row of the table of common subsequences for each word of p.
+_LCS_SQL = """ls AS (SELECT conv_id, turn, coalesce(p, []) AS p, coalesce(s, []) AS s, 0 AS i, list_transform(range(0, coalesce(len(s), 0) + 1), lambda j: 0) AS row FROM pr
+  UNION ALL SELECT conv_id, turn, p, s, i + 1, list_transform(range(1, len(s) + 2), lambda j: list_max(best[1:j])) FROM (
+    SELECT *, list_transform(range(1, len(s) + 2), lambda j: CASE WHEN j > 1 AND s[j - 1] = p[i + 1] THEN row[j - 1] + 1 ELSE row[j] END) AS best FROM ls WHERE i < len(p))),
+fl AS (SELECT conv_id, turn, CASE WHEN len(p) + len(s) > 0 THEN round(2 * row[len(s) + 1] / (len(p) + len(s))::DOUBLE, 4) END AS f FROM ls WHERE i = len(p))"""
+
+
+@query(f"WITH RECURSIVE {_PAIR_SQL}, {_LCS_SQL} SELECT conv_id, turn, f AS rouge_l FROM fl")
 def rouge_l(spark, sf_dir):
-    """F of the longest common subsequence of words; tests compare with the plain table."""
+    """F of the longest common subsequence of words; a test compares with the plain table too."""
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", H.lcs_f(F.col("p"), F.col("s")).alias("rouge_l"))
 
 
+def _stem_sql() -> str:
+    """The stemmer step by step over the distinct words; y stands as Y where it is a consonant."""
+    v, c = "[aeiouy]", "[^aeiouy]"
+    shape = lambda e: f"regexp_replace(regexp_replace({e}, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g')"
+    is_like = lambda e, pattern: f"regexp_matches({shape(e)}, '{pattern}')"
+    some, more = (lambda e: is_like(e, f"^{c}*{v}+{c}")), (lambda e: is_like(e, f"^{c}*{v}+{c}+{v}+{c}"))
+    one, short = (lambda e: f"({some(e)} AND NOT {more(e)})"), (lambda e: is_like(e, f"{c}{v}[^aeiouywxY]$|^{v}{c}$"))
+    cut = lambda n: f"substr(w, 1, length(w) - {n})"
+    ends = lambda x: f"ends_with(w, '{x}')"
+    case = lambda whens: "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in whens) + " ELSE w END"
+    swap = lambda rules: case([(ends(a), f"CASE WHEN {some(cut(3) if a == 'logi' else cut(len(a)))} THEN {cut(len(a))} || '{b}' ELSE w END") for a, b in rules])
+    drop = lambda a: f"CASE WHEN {more(cut(len(a)))}" + (f" AND right({cut(3)}, 1) IN ('s', 't')" if a == "ion" else "") + f" THEN {cut(len(a))} ELSE w END"
+    ied = lambda x: (ends(x), f"CASE WHEN length(w) = 4 THEN {cut(1)} ELSE {cut(2)} END")
+    bare = [(f"{ends(x)} AND {is_like(cut(len(x)), v)}", cut(len(x))) for x in ("ed", "ing")]
+    mend = f"CASE WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN length(b) > 1 AND right(b, 1) = substr(b, length(b) - 1, 1) AND {is_like('b', c + '$')} THEN CASE WHEN right(b, 1) IN ('l', 's', 'z') THEN b ELSE substr(b, 1, length(b) - 1) END WHEN {one('b')} AND {short('b')} THEN b || 'e' ELSE b END"
+    steps = [case([ied("ies"), (ends("sses"), cut(2)), (f"{ends('s')} AND NOT {ends('ss')}", cut(1))])]
+    steps += [case([ied("ied"), (ends("eed"), f"CASE WHEN {some(cut(3))} THEN {cut(1)} ELSE w END"), (" OR ".join(f"({a})" for a, _ in bare), "'+' || " + case(bare))])]  # a plus: to be mended
+    fixed = f"CASE WHEN starts_with(w, '+') THEN (SELECT {mend} FROM (SELECT substr(w, 2) AS b)) ELSE w END"
+    steps += [fixed, case([(f"{ends('y')} AND length(w) > 2 AND {is_like(cut(1), c + '$')}", cut(1) + " || 'i'")]), swap(P.STEP_2), swap(P.STEP_3), case([(ends(a), drop(a)) for a in P.STEP_4])]
+    steps += [case([(f"{ends('e')} AND ({more(cut(1))} OR {one(cut(1))} AND NOT {short(cut(1))})", cut(1))]), case([(f"{ends('ll')} AND {more(cut(1))}", cut(1))])]
+    kept = "CASE o " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in P.IRREGULAR.items()) + " ELSE w END"
+    out = [f"w0 AS (SELECT DISTINCT w AS o, w FROM (SELECT unnest(pw) AS w FROM rt UNION ALL SELECT unnest(sw) FROM rt) WHERE length(w) > {P.SHORT})"]
+    out += [f"w{i + 1} AS (SELECT o, {step} AS w FROM w{i})" for i, step in enumerate(steps)]
+    return ", ".join(out) + f", st AS MATERIALIZED (SELECT o, {kept} AS w FROM w{len(steps)})"
+
+
+def _stemmed_sql(side: str) -> str:
+    return f"{side}x AS (SELECT conv_id, turn, list(coalesce(st.w, x.w) ORDER BY i) AS {side} FROM (SELECT conv_id, turn, unnest({side}w) AS w, unnest(range(len({side}w))) AS i FROM rt) x LEFT JOIN st ON st.o = x.w GROUP BY conv_id, turn)"
+
+
+_ROUGE_SQL = f"""rt AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS pw, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS sw FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+{_stem_sql()}, {_stemmed_sql('p')}, {_stemmed_sql('s')}, pr AS (SELECT conv_id, turn, coalesce(p, []) AS p, coalesce(s, []) AS s FROM rt LEFT JOIN px USING (conv_id, turn) LEFT JOIN sx USING (conv_id, turn)), {_rouge_sql(1)}, {_rouge_sql(2)}, {_LCS_SQL}"""
+
+
+def _stem_pairs(spark, sf_dir):
+    words = lambda c: P.stems(F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), F.array().cast("array<string>")))
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", words(F.col("pt")).alias("p"), words(F.col("st")).alias("s"))
+
+
+def _rouge_rows(spark, sf_dir):
+    key, pr = ["conv_id", "turn"], _stem_pairs(spark, sf_dir)
+    grams = lambda c, n: pr.select(*key, F.explode(T.ngrams(F.col(c), n)).alias("g"))
+    one, two = (H.overlap_f(grams("p", n), grams("s", n), key, "g").withColumnRenamed("f", f"rouge_{n}") for n in (1, 2))
+    return pr.select(*key, H.lcs_f(F.col("p"), F.col("s")).alias("rouge_l")).join(one, key, "left").join(two, key, "left")
+
+
+@query(f"WITH RECURSIVE {_ROUGE_SQL} SELECT pr.conv_id, pr.turn, f1.f AS rouge_1, f2.f AS rouge_2, fl.f AS rouge_l FROM pr LEFT JOIN f1 USING (conv_id, turn) LEFT JOIN f2 USING (conv_id, turn) LEFT JOIN fl USING (conv_id, turn)")
+def rouge_stemmed(spark, sf_dir):
+    """F of common stems, common pairs of stems and their longest common subsequence."""
+    return _rouge_rows(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_ROUGE_SQL} SELECT 'rouge_1' AS variant, count(f) AS n, round(avg(f), 4) AS mean FROM f1 UNION ALL SELECT 'rouge_2', count(f), round(avg(f), 4) FROM f2 UNION ALL SELECT 'rouge_l', count(f), round(avg(f), 4) FROM fl")
+def rouge_stemmed_mean(spark, sf_dir):
+    rows = _rouge_rows(spark, sf_dir).select(F.inline(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("f")) for v in ("rouge_1", "rouge_2", "rouge_l")])))
+    return rows.groupBy("variant").agg(F.count("f").alias("n"), F.round(F.avg("f"), 4).alias("mean"))
+
+
 #: Every eleventh page could not be read. A row of costs for each word of the reference; a substitution costs one more than 2^24.
 _WER_SQL = r"""pg AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(a.text, '\s+'), lambda w: w <> '') AS r, CASE WHEN (a.conv_id * 7 + a.turn) % 11 > 0 THEN list_filter(string_split_regex(b.text, '\s+'), lambda w: w <> '') END AS h
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),

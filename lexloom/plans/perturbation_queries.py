@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -161,9 +162,26 @@ _DECK_SQL = _ALL_SQL.replace("SELECT p_partkey AS k, ", "SELECT p_partkey || ':0
 t AS (SELECT *, a[(row_number() OVER (PARTITION BY sig ORDER BY k) - 1) % len(a) + 1] AS x FROM a)
 SELECT k || '-pos' AS pair_id, 'none' AS kind, 'entailed' AS label, c AS claim FROM t UNION ALL SELECT k || '-neg', x.kind, 'not_entailed', x.p FROM t""")
 def perturbation_set(spark, sf_dir):
-    """A positive and a perturbed row for each claim, the kinds dealt in turn."""
-    pairs = _claims(spark, sf_dir).select("k", F.lit(0).alias("claim_no"), F.col("c").alias("claim"), F.lit("").alias("passage"), F.lit(1.0).alias("overlap"))
-    return P.contrastive(pairs, "k").select("pair_id", "kind", "label", "claim")
+    """A positive and a perturbed row for each claim, each class dealing its kinds in turn."""
+    return P.contrastive(_pairs(spark, sf_dir), "k", balance=False).select("pair_id", "kind", "label", "claim")
+
+
+def _pairs(spark, sf_dir):
+    return _claims(spark, sf_dir).select("k", F.lit(0).alias("claim_no"), F.col("c").alias("claim"), F.lit("").alias("passage"), F.lit(1.0).alias("overlap"))
+
+
+#: The most loaded kinds by the claims that only they can take, then the most loaded of the others, and so on.
+@query(f"""WITH RECURSIVE {_ALL_SQL}, {_KINDS_SQL}, b_class AS (SELECT m, count(*) AS n FROM (SELECT k, sum(1 << i)::BIGINT AS m FROM kinds GROUP BY k) GROUP BY m),
+b_within AS (SELECT s, coalesce(sum(n), 0)::BIGINT AS own FROM range(0, {2 ** len(P.KINDS)}) t(s) LEFT JOIN b_class ON m & s = m GROUP BY s),
+b_more AS MATERIALIZED (SELECT a.s AS c, b.s, u.own - a.own AS g, bit_count(b.s)::BIGINT AS z FROM b_within a JOIN b_within b ON a.s & b.s = 0 AND b.s > 0 JOIN b_within u ON u.s = a.s | b.s),
+b_level AS (SELECT 0::BIGINT AS c, 0::BIGINT AS z, 0::BIGINT AS top, 0::BIGINT AS r UNION ALL SELECT c | s, z, top, g - (top - 1) * z FROM (
+  SELECT *, row_number() OVER (ORDER BY g - (top - 1) * z DESC, z) AS o FROM (SELECT b_more.*, max((b_more.g + b_more.z - 1) // b_more.z) OVER () AS top FROM b_level JOIN b_more ON b_more.c = b_level.c)) WHERE o = 1),
+b_kind AS (SELECT top - (i >= r)::BIGINT AS n FROM b_level, unnest(range(z)) t(i)) SELECT row_number() OVER (ORDER BY n DESC) AS place, n FROM b_kind""")
+def perturbation_manifest(spark, sf_dir):
+    """How many claims the kinds got when balanced over all classes, from the largest count down; kinds that apply nowhere have none."""
+    got = P.contrastive(_pairs(spark, sf_dir), "k").where("kind <> 'none'").groupBy("kind").agg(F.count("*").alias("n"))
+    all_kinds = spark.createDataFrame([(k,) for k in P.KINDS], "kind string").join(got, "kind", "left").select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return all_kinds.select(F.row_number().over(Window.orderBy(F.desc("n"))).cast("bigint").alias("place"), "n")  # one row for each kind
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"

@@ -102,8 +102,9 @@ def gold_sets(spark: SparkSession, folder: str, specs: dict[str, tuple[T.StructT
 
 
 def append_unseen(spark: SparkSession, log: str, batch: DataFrame, key: str) -> int:
-    """Rows of the batch whose key the log (JSON lines) has not yet, appended in order of the key, the first of equal keys; returns how many."""
-    first = batch.dropDuplicates([key])
+    """Rows of the batch whose key the log (JSON lines) has not yet, appended in order of the key; of equal keys the row that is least as JSON; returns how many."""
+    row = F.struct(*batch.columns)
+    first = batch.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
     if exists(spark, log):
         first = first.join(spark.read.schema(batch.schema).json(log).select(key), key, "left_anti")
     new = first.select(*batch.columns).sort(key).checkpoint()
@@ -187,12 +188,18 @@ def from_view(rows: DataFrame, view: DataFrame, key: str, column: str) -> DataFr
 
 
 def in_batches(rows: DataFrame, key: str, batches: int, path: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """work over rows dealt into batches by a hash of the key, each written by itself; a run that comes back skips those that are there."""
-    spark = rows.sparkSession
+    """work over rows dealt into batches by a hash of the key, each written by itself; a run that comes back skips those that are there.
+
+    The rows are written once, in a folder for each batch, so that a batch reads its own rows only.
+    """
+    spark, dealt = rows.sparkSession, f"{path}/input"
+    if not exists(spark, f"{dealt}/_SUCCESS"):
+        rows.withColumn("__batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")).write.mode("overwrite").partitionBy("__batch").parquet(dealt)
+    kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(dealt)
     for i in range(batches):
         target = f"{path}/batch={i}"
         if not exists(spark, f"{target}/_SUCCESS"):
-            work(rows.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i)).write.mode("overwrite").parquet(target)
+            work(kept.where(F.col("__batch") == i).drop("__batch")).write.mode("overwrite").parquet(target)
     return spark.read.parquet(*[f"{path}/batch={i}" for i in range(batches)])
 
 

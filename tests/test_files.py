@@ -41,6 +41,8 @@ def test_errors_name_file_and_line(spark, tmp_path):
 
 def test_logs_take_unseen_rows_only(spark, tmp_path):
     log = f"{tmp_path}/log"
+    twice = spark.createDataFrame([("k", 3), ("k", 1), ("k", 2)], "annotation_id string, n int").repartition(3)
+    assert files.append_unseen(spark, f"{tmp_path}/twice", twice, "annotation_id") == 1 and spark.read.json(f"{tmp_path}/twice").first()["n"] == 1
     first = spark.createDataFrame([("b", 1), ("a", 1), ("a", 1)], "annotation_id string, n int")
     assert files.append_unseen(spark, log, first, "annotation_id") == 2
     assert files.append_unseen(spark, log, spark.createDataFrame([("a", 9), ("c", 2)], "annotation_id string, n int"), "annotation_id") == 1

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.functions.stem import porter, stems
 from lexloom.operators import claims as C, harness as H, perturb, records
 from lexloom.plans.ask import ask
 
@@ -147,6 +148,38 @@ def test_kinds_are_dealt_in_turn(spark):
     assert {r["kind"]: r["count"] for r in got} == {"none": 30, "negate_obligation": 10, "swap_parties": 10, "unsupported_holding": 10}
 
 
+def test_kinds_are_balanced_over_all_classes(spark):
+    def best(classes):
+        """The smallest multiset of sums, largest first, by trying all dealings."""
+        sums = {(0,) * len(perturb.KINDS)}
+        for c, n in classes.items():
+            for _ in range(n):
+                sums = {tuple(v + (k == x) for k, v in zip(perturb.KINDS, s)) for s in sums for x in c}
+        return min(sorted(s, reverse=True) for s in sums)
+
+    rng = random.Random(4)
+    for _ in range(60):
+        some = perturb.KINDS[:4]
+        classes = {tuple(k for k in some if k in rng.sample(some, rng.randint(1, 3))) for _ in range(4)}
+        classes = {c: rng.randint(1, 4) for c in sorted(classes) if c}
+        dealt = perturb.balanced(classes)
+        assert {c: sum(n) for c, n in dealt.items()} == classes and all(min(n) >= 0 for n in dealt.values())
+        sums = [sum(n[c.index(k)] for c, n in dealt.items() if k in c) for k in perturb.KINDS]
+        assert sorted(sums, reverse=True) == best(classes), classes
+    assert perturb.balanced({}) == {}
+    claims = ["The landlord must pay"] * 30 + ["It is so"] * 12 + ["The landlord is here"] * 9
+    pairs = spark.createDataFrame([(i, 0, c, "p", 1.0) for i, c in enumerate(claims)], "k int, claim_no int, claim string, passage string, overlap double")
+    got = {r["kind"]: r["count"] for r in perturb.contrastive(pairs, "k").groupBy("kind").count().collect()}
+    assert got == {"none": 51, "negate_obligation": 17, "swap_parties": 17, "unsupported_holding": 17}
+
+
+def test_stems(spark):
+    known = {"caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "falling": "fall", "hissing": "hiss", "failing": "fail", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "digitizer": "digit", "vietnamization": "vietnam", "operator": "oper", "decisiveness": "decis", "triplicate": "triplic", "formalize": "formal", "electrical": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow", "replacement": "replac", "adoption": "adopt", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "dying": "die", "skies": "sky", "enjoy": "enjoy", "cried": "cri", "died": "die", "archaeology": "archaeolog"}
+    assert {w: porter(w) for w in known} == known
+    rows = spark.createDataFrame([(["running", "ties", "run", None],), ([],), (None,)], "w array<string>")
+    assert [r[0] for r in rows.select(stems(F.col("w"))).collect()] == [["run", "tie", "run", None], [], None]
+
+
 def test_hindi_in_one_form(spark):
     rows = [("क़ानून‍ |",), ("क़ानून  ।",), ("धारा: 12:30",), ("a|b: c‍",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(T.normalised(F.col("t"))).collect()]

@@ -166,7 +166,7 @@ def test_minhash_recall_at_its_threshold(spark):
 
 def test_containing(spark):
     docs = spark.createDataFrame([(1, "xx alpha beta gamma delta epsilon zeta yy"), (2, "alpha beta"), (3, "one two"), (4, None), (5, "alpha beta gamma  delta")], "d long, text string")
-    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "pha beta gamma delt"), (3, "o"), (4, "beta gamma"), (5, ""), (6, None), (7, "a  b c")], "i long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "pha beta gamma delt"), (3, "o"), (4, "beta gamma"), (5, ""), (6, None), (7, "a  b c"), (8, "alpha"), (9, "ta gam"), (10, "zzzz"), (11, " "), (12, "ma  delt")], "i long, text string")
     got = {(r["d"], r["i"]) for r in corpus.containing(docs, items, "d", "i", "text").collect()}
     want = {(d["d"], i["i"]) for d in docs.collect() for i in items.collect() if d["text"] and i["text"] and i["text"] in d["text"]}
     assert got == want
