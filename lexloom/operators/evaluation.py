@@ -110,10 +110,24 @@ def ece(bins: DataFrame) -> DataFrame:
     return bins.agg(F.round(F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n"), 4).alias("ece"), F.sum("n").alias("n"))
 
 
+#: Distinct (logit, label) pairs that platt_fit takes to the driver.
+FEW_PAIRS = 100_000
+
+
 def platt_fit(pairs: DataFrame, x: str, y: str, rounds: int = 100, rate: float = 0.1) -> tuple[float, float]:
-    """Slope and offset by full-batch gradient descent over the distinct pairs with their counts; each round is one aggregate of two numbers."""
+    """Slope and offset by full-batch gradient descent over the distinct pairs with their counts.
+
+    Up to FEW_PAIRS of them are gone through by the driver in one array; of more each round is one aggregate of two numbers.
+    """
     a, b = 1.0, 0.0
     pairs = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("__c")).checkpoint()
+    if pairs.count() <= FEW_PAIRS:
+        some = np.array(sorted((float(r[0]), float(r[1]), float(r[2])) for r in pairs.collect())).reshape(-1, 3)
+        xs, ys, cs = some.T
+        for _ in range(rounds if len(some) else 0):
+            e = (1 / (1 + np.exp(-np.clip(a * xs + b, -30, 30))) - ys) * cs
+            a, b = a - rate * float((e * xs).sum() / cs.sum()), b - rate * float(e.sum() / cs.sum())
+        return a, b
     for _ in range(rounds):
         z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col(x) + b))
         e = (M.sigmoid(z) - F.col(y)) * F.col("__c")

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from lexloom import config
 from lexloom.functions import measures as M
 from lexloom.functions.text import let
+from lexloom.operators.evaluation import platt_fit
+from lexloom.sources.files import save_scaler
 
 #: What a registry can answer, and which of the answers mean that the target exists.
 REGISTRY_STATUSES = ("in_force", "repealed", "superseded", "not_found")
@@ -223,6 +225,34 @@ def error_rates(rows: DataFrame, group: str, wer: str) -> DataFrame:
     return sizes.join(placed.select(group, F.col(wer).alias("upper_median")), group, "left").select(group, "n", "n_failed", "mean", "upper_median")
 
 
+def oos_calibration(items: DataFrame, candidates: DataFrame, item: str = "item", doc: str = "doc_id", label: str = "in_scope", least: int = 10, rounds: int = 200, path: str | None = None) -> DataFrame:
+    """The calibration job for questions in and out of scope as one row: status, reason, slope, offset, n_items, n_scored, what was skipped and why, and the mean probability of each class.
+
+    items have a document (null: skipped) and a label; candidates are the chunks that retrieval and reranker gave for an item, with their logit, of which
+    the largest counts; an item without candidates is skipped. Below `least` scored items nothing is fitted. With a path a fitted scaler is saved there.
+    """
+    top = candidates.groupBy(F.col(item).alias("__item")).agg(F.max("logit").alias("x"))
+    rows = items.join(top, F.col(item) == F.col("__item"), "left").select(F.col(doc).isNotNull().alias("known"), F.col(label).cast("double").alias("y"), F.when(F.col(doc).isNotNull(), F.col("x")).alias("x")).checkpoint()
+    scored = rows.where("x IS NOT NULL")
+    fitted = scored.count() >= least
+    a, b = platt_fit(scored, "x", "y", rounds=rounds) if fitted else (None, None)
+    if fitted and path is not None:
+        save_scaler(items.sparkSession, path, a, b, 0.5)
+    p = M.sigmoid(F.lit(a) * F.col("x") + F.lit(b)) if fitted else F.lit(None).cast("double")
+    mean = lambda y: F.round(F.coalesce(F.avg(F.when(F.col("y") == y, p)), F.lit(0.0 if fitted else None).cast("double")), 4)
+    return rows.agg(
+        F.lit("fitted" if fitted else "unavailable").alias("status"),
+        F.lit(None if fitted else f"fewer than {least} items with candidates").cast("string").alias("reason"),
+        *[F.round(F.lit(v).cast("double"), 4).alias(n) for n, v in (("slope", a), ("offset", b))],
+        F.count("*").alias("n_items"),
+        F.count("x").alias("n_scored"),
+        F.count_if(~F.col("known")).alias("skipped_no_doc_id"),
+        F.count_if(F.col("known") & F.col("x").isNull()).alias("skipped_no_chunks"),
+        mean(1).alias("mean_in_scope"),
+        mean(0).alias("mean_oos"),
+    )
+
+
 def overlap_f(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
     """keys and the F measure of two multisets of items (n-grams): twice the common count over the sum of the sizes."""
     ca, cb = a.groupBy(*keys, item).agg(F.count("*").alias("x")), b.groupBy(*keys, item).agg(F.count("*").alias("y"))

@@ -507,6 +507,24 @@ def stratified_audit_draw(spark, sf_dir):
     return H.stratified_draw(rows, "p_partkey", "stratum", "band", 200, {"1-critical": 0.25, "2-high": 0.45, "3-medium": 0.20, "4-routine": 0.10})
 
 
+#: The candidates of an item are the lines of its document; a line's logit follows from its length. 200 steps of gradient descent.
+_OOS_SQL = """oi AS (SELECT row_number() OVER (ORDER BY doc_id) AS item, CASE WHEN doc_id % 9 > 0 THEN doc_id END AS d, quality AS y FROM labels WHERE quality IS NOT NULL),
+oc AS (SELECT doc_id AS d, max(length(l) % 97 / 24.0 - 2)::DOUBLE AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(l) >= 40 GROUP BY doc_id),
+os AS (SELECT d IS NOT NULL AS known, y::DOUBLE AS y, x FROM oi LEFT JOIN oc USING (d)), op AS MATERIALIZED (SELECT x, y, count(*) AS c FROM os WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY x, y),
+gd AS (SELECT 0 AS i, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL SELECT i + 1, a - 0.1 * sum(e * x * c) / sum(c), b - 0.1 * sum(e * c) / sum(c) FROM (SELECT i, a, b, x, c, 1 / (1 + exp(-greatest(-30, least(30, a * x + b)))) - y AS e FROM gd, op WHERE i < 200) GROUP BY i, a, b),
+ab AS (SELECT a, b FROM gd WHERE i = 200), ot AS (SELECT count(x) >= 10 AS fitted, count(*) AS n_items, count(x) AS n_scored, count(*) FILTER (NOT known) AS no_doc, count(*) FILTER (known AND x IS NULL) AS no_chunks FROM os)"""
+
+
+@query(f"""WITH RECURSIVE {_OOS_SQL} SELECT CASE WHEN fitted THEN 'fitted' ELSE 'unavailable' END AS status, CASE WHEN NOT fitted THEN 'fewer than 10 items with candidates' END AS reason, CASE WHEN fitted THEN round(a, 4) END AS slope, CASE WHEN fitted THEN round(b, 4) END AS "offset",
+n_items, n_scored, no_doc AS skipped_no_doc_id, no_chunks AS skipped_no_chunks, CASE WHEN fitted THEN round(coalesce(m1, 0), 4) END AS mean_in_scope, CASE WHEN fitted THEN round(coalesce(m0, 0), 4) END AS mean_oos
+FROM ot LEFT JOIN ab ON true, (SELECT avg(1 / (1 + exp(-(a * x + b)))) FILTER (y = 1) AS m1, avg(1 / (1 + exp(-(a * x + b)))) FILTER (y = 0) AS m0 FROM os LEFT JOIN ab ON true)""")
+def oos_calibration(spark, sf_dir):
+    """The whole calibration job over items whose document has lines to retrieve."""
+    items = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("item"), F.when(F.col("doc_id") % 9 > 0, F.col("doc_id")).alias("doc_id"), F.col("quality").alias("in_scope"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") >= 40)
+    return H.oos_calibration(items, lines.select("item", (F.length("l") % 97 / 24.0 - 2).alias("logit")))
+
+
 @query("""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CASE WHEN r < round_even(n * 0.8::DOUBLE, 0) THEN 'train' WHEN r < round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split FROM r""")
 def exact_split(spark, sf_dir):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.functions.stem import porter, stems
-from lexloom.operators import claims as C, harness as H, perturb, records
+from lexloom.operators import claims as C, evaluation, harness as H, perturb, records
 from lexloom.plans.ask import ask
+from lexloom.sources import files
 
 
 def edits(a, b):
@@ -173,6 +174,24 @@ def test_kinds_are_balanced_over_all_classes(spark):
     assert got == {"none": 51, "negate_obligation": 17, "swap_parties": 17, "unsupported_holding": 17}
 
 
+def test_scope_calibration(spark, tmp_path):
+    items = spark.createDataFrame([(i, None if i == 0 else f"d{i}", i % 2) for i in range(30)], "item int, doc_id string, in_scope int")
+    logits = spark.createDataFrame([(i, x) for i in range(25) for x in (-9.0, 1.0 + i % 3 if i % 2 else -1.0 - i % 4)], "item int, logit double")
+    got = H.oos_calibration(items, logits, path=f"{tmp_path}/s").first()
+    assert (got["status"], got["n_items"], got["n_scored"], got["skipped_no_doc_id"], got["skipped_no_chunks"]) == ("fitted", 30, 24, 1, 5)
+    assert got["mean_in_scope"] > 0.8 and got["mean_oos"] < 0.2 and files.load_scaler(spark, f"{tmp_path}/s")[0] == pytest.approx(got["slope"], abs=1e-4)
+    few = H.oos_calibration(items, logits.where("item < 9"), path=f"{tmp_path}/none").first()
+    assert (few["status"], few["slope"], few["mean_oos"], few["n_scored"]) == ("unavailable", None, None, 8) and few["reason"]
+    assert files.load_scaler(spark, f"{tmp_path}/none") == (1.0, 0.0, 0.5)
+    pairs, few_pairs = items.join(logits, "item").select(F.col("logit").alias("x"), F.col("in_scope").cast("double").alias("y")), evaluation.FEW_PAIRS
+    here = evaluation.platt_fit(pairs, "x", "y", rounds=5)
+    try:
+        evaluation.FEW_PAIRS = 0
+        assert evaluation.platt_fit(pairs, "x", "y", rounds=5) == pytest.approx(here)
+    finally:
+        evaluation.FEW_PAIRS = few_pairs
+
+
 def test_stems(spark):
     known = {"caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "falling": "fall", "hissing": "hiss", "failing": "fail", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "digitizer": "digit", "vietnamization": "vietnam", "operator": "oper", "decisiveness": "decis", "triplicate": "triplic", "formalize": "formal", "electrical": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow", "replacement": "replac", "adoption": "adopt", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "dying": "die", "skies": "sky", "enjoy": "enjoy", "cried": "cri", "died": "die", "archaeology": "archaeolog"}
     assert {w: porter(w) for w in known} == known
