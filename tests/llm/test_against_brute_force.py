@@ -286,6 +286,93 @@ def test_kneser_ney_adds_up():
         assert math.isclose(got[i, 0], want, rel_tol=1e-4)
 
 
+def test_languages_against_plain_python():
+    """Predictions, scores and rejection from the definition of the models, symbol by symbol."""
+    rng, order = random.Random(12), 3
+    letters = {"x": "aaabcd", "y": "dddeaf", "z": "ggghij"}
+    say = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    words = {x: Counter(langid.pieces(say(x, 400))) for x in letters}
+    model = langid.LanguageModel(words, order)
+    held = [(say(x, rng.randint(1, 30)), x) for x in letters for _ in range(25)]
+    model.calibrate([t for t, _ in held], [x for _, x in held])
+    langs, alphabet = sorted(words), len({c for w in words.values() for v in w for c in v}) + 2
+    plain = {x: langid.KneserNey(words[x], order, alphabet) for x in langs}
+
+    def logp(text, lang):
+        strings = ["\x02" + w + "\x03" for w in langid.pieces(text or "")]
+        return sum(math.log(plain[lang].p(min(order, j + 1), v[max(0, j - order + 1) : j + 1])) for v in strings for j in range(1, len(v)))
+
+    symbols = lambda text: sum(len(w) + 1 for w in langid.pieces(text or ""))
+
+    def posterior(sums, n, temperature, span):
+        z = [temperature * (v - max(sums)) / (1 + n / span) for v in sums]
+        return [math.exp(v) / sum(map(math.exp, z)) for v in z]
+
+    tables = [([logp(t, x) for x in langs], symbols(t), langs.index(y)) for t, y in held]
+    loss = lambda t, span: sum(-math.log(max(posterior(a, n, t, span)[y], 1e-12)) for a, n, y in tables) / len(tables)
+    least = min(loss(10 ** (-3 + 0.1 * i), span) for i in range(41) for span in (math.inf, 1024, 256, 64, 16))
+    assert math.isclose(loss(model.temperature, model.span), least, rel_tol=1e-3, abs_tol=1e-6)
+    own = {x: [-a[j] / n for a, n, y in tables if y == j] for j, x in enumerate(langs)}
+    mean = {x: sum(v) / len(v) for x, v in own.items()}
+    scale = {x: math.sqrt(sum((h - mean[x]) ** 2 for h in v) / len(v)) + 1e-6 for x, v in own.items()}
+    reach = {x: 1.5 * max(3.0, *[abs(-a[j] / n - mean[x]) / (scale[x] + 1 / math.sqrt(n)) for a, n, y in tables if y == j]) for j, x in enumerate(langs)}
+    texts = [say(x, rng.randint(1, 12)) for x in letters for _ in range(40)] + [say("x", 4) + " " + say("z", 4) for _ in range(20)] + ["qqqq rrr " * 30, "", None, "12 34", "a"]
+    names, scores, bits, accepted = model.predict(texts)
+    for i, text in enumerate(texts):
+        n = symbols(text)
+        if not n:
+            assert (names[i], scores[i], accepted[i]) == ("und", 0.0, False)
+            continue
+        sums = [logp(text, x) for x in langs]
+        best = langs[sums.index(max(sums))]
+        score, far = max(posterior(sums, n, model.temperature, model.span)), (-max(sums) / n - mean[best]) / (scale[best] + 1 / math.sqrt(n)) / reach[best]
+        assert names[i] == best and math.isclose(scores[i], score, rel_tol=1e-3) and math.isclose(bits[i], -max(sums) / n / math.log(2), rel_tol=1e-4)
+        if abs(far - 1) > 1e-3 and abs(score - model.least) > 1e-3:
+            assert accepted[i] == (far <= 1 and score >= model.least), text
+    assert not accepted[texts.index("qqqq rrr " * 30)] and 0.9 < sum(accepted[:120]) / 120
+
+
+def test_quality_vectors_against_plain_python():
+    """Word vectors, pooling, network and temperature from their definitions, element by element."""
+    q, rng = quality_classifier, random.Random(6)
+    word = lambda: "".join(rng.choice("ba de ko lu".split()) for _ in range(2))
+    rows = [("\n".join(" ".join(word() + ("!!" if i % 2 and rng.random() < 0.5 else "") for _ in range(rng.randint(1, 9))) for _ in range(4)), i % 2) for i in range(40)]
+    model = q.QualityModel()
+    model.fit(iter(rows), epochs=20)
+    names = {n: w for w, n in model.words.numbers.items()}
+    index = {n: [float(v) for v in q.index_vector(w)] for n, w in names.items()}
+    context = {n: [0.0] * q.DIM for n in names}
+    for text, _ in rows:
+        a, b = model.words.stream(text)
+        mixed = [int(v) for pair in zip(a, b) for v in pair]
+        for i, left in enumerate(mixed):
+            for right in mixed[i + 1 : i + 1 + 2 * q.WINDOW]:
+                if left and right:
+                    context[left] = [u + v for u, v in zip(context[left], index[right])]
+                    context[right] = [u + v for u, v in zip(context[right], index[left])]
+    vectors = {0: [0.0] * q.DIM}
+    for n in names:
+        norm = max(math.sqrt(sum(v * v for v in context[n])), 1e-9)
+        vectors[n] = [u + v / norm for u, v in zip(index[n], context[n])]
+        assert max(abs(u - v) for u, v in zip(vectors[n], model.vectors[n])) < 1e-3
+
+    def logit(text):
+        a, b = ([int(v) for v in part] for part in model.words.stream(text))
+        pooled = [sum(vectors[n][d] for n in ids) / len(ids) if ids else 0.0 for ids in (a, b) for d in range(q.DIM)]
+        x = [*pooled, math.log1p(len(a)) / 10 if a else 0.0, a.count(0) / len(a) if a else 0.0]
+        x = [(v - c) / d for v, c, d in zip(x, model.center, model.spread)]
+        w1, b1, w2, b2 = model.layers
+        hidden = [math.tanh(sum(v * w1[i][j] for i, v in enumerate(x)) + b1[j]) for j in range(q.HIDDEN)]
+        return sum(h * w for h, w in zip(hidden, w2)) + float(b2[0])
+
+    texts = [t for t, _ in rows[:8]] + [word() + " unseen zzz", "", None, "!!! !!!\n!!! !!!"]
+    for text, got in zip(texts, model.score(texts)):
+        assert abs(1 / (1 + math.exp(-logit(text) / model.temperature)) - got) < 0.01
+    held = [(logit(t), y) for i, (t, y) in enumerate(rows) if i % 5 == 4]
+    loss = lambda tau: sum(math.log1p(math.exp((-z if y else z) / tau)) for z, y in held) / len(held)
+    assert loss(model.temperature) <= min(loss(0.3 * (8 / 0.3) ** (i / 59)) for i in range(60)) + 1e-3
+
+
 def test_lattice_sums_over_segmentations():
     pieces = {"▁": 0.1, "▁a": 0.2, "a": 0.1, "b": 0.05, "ab": 0.15, "▁ab": 0.1, "ba": 0.1}
     lattice = lm_scoring.Lattice({k: math.log(v) for k, v in pieces.items()}, [math.log(0.001)] * 256)
