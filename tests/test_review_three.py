@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.plans import catalog
 
 
 def test_sentences_keep_their_digits(spark):
@@ -10,3 +11,8 @@ def test_sentences_keep_their_digits(spark):
     df = spark.createDataFrame([("Zero. One. 28.68 Two. 3. 41 four",)], "t string")
     assert df.select(T.sentences(F.col("t"))).first()[0] == ["Zero.", "One.", "28.68 Two.", "3.", "41 four"]
     assert df.select(T.fragments(F.col("t"))).first()[0] == ["Zero.", "One.", "28.68 Two.", "3.", "41 four"]
+
+
+def test_kappa_of_one_label_reads_all_rows(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["kappa_single_label"](spark, str(tmp_path)).select("n", "kappa", "kappa_of_one_label").collect()] == [(3, None, 1.0)]
