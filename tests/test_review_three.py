@@ -1,8 +1,11 @@
 """What the third review found, each on a few rows."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.llm import langid
 from lexloom.plans import catalog
 
 
@@ -46,3 +49,14 @@ def test_work_on_a_small_file_is_dealt(spark, tmp_path):
     for name in ("ner_all_labels", "resolve_citation", "check_citation_asof", "existence_status"):
         plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "RoundRobinPartitioning(16)" in plan, name
+
+
+def test_a_long_batch_does_not_fill_the_cache(monkeypatch):
+    """The words that a worker remembers are bounded between the texts of a batch, and scores do not depend on it."""
+    texts = [" ".join(f"{a}{b}{c}{d}" for c in "abcdefgh" for d in "abcdefgh") for a in "xyzw" for b in "klmn"]
+    model = langid.LanguageModel({"x": Counter(langid.pieces(texts[0])), "y": Counter(langid.pieces(texts[5]))})
+    whole, n = model.totals(texts)
+    model.cache = {}
+    monkeypatch.setattr(langid, "CACHE_WORDS", 100)
+    cut, m = model.totals(texts)
+    assert len(model.cache) <= 164 and (n == m).all() and (whole == cut).all()
