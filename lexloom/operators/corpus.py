@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,43 +16,105 @@ from pyspark.sql import functions as F
 from lexloom import config
 from lexloom.functions import text as T
 from lexloom.operators.ordering import ranked
+from lexloom.sources.scratch import Scratch
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, k: int = config.SHINGLE_WORDS) -> DataFrame:
-    """doc_id, s (its distinct shingles as sorted 64-bit hashes) and a 128-bit hash of the whole set; texts without a word are left out.
+def normal_texts(docs: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
+    """doc_id and t (the normalised text, empty for one without a word), written once: all passes over shingles read it."""
+    return scratch.save(docs.select(F.col(key).alias("doc_id"), T.dedup_normal(T.split_lines(F.col(text))).alias("t")), "texts")
 
-    Built-in functions normalise; the words of a batch are then hashed once each and combined in one array.
+
+def _hashed(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes, all in one array, and where each text's begin and end.
+
+    The words of all texts are hashed once each and combined in one array.
     """
-    normal = docs.select(F.col(key).alias("doc_id"), T.dedup_normal(T.split_lines(F.col(text))).alias("t")).where("t <> ''")
+    lists = pc.split_pattern(texts, " ")
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    h = pd.util.hash_array(np.array(words.dictionary.to_pylist(), dtype=object), categorize=False)[words.indices.to_numpy()]
+    first = np.cumsum(n) - n
+    made = np.maximum(n - k + 1, 1)  # a shorter text is one shingle
+    doc = np.repeat(np.arange(len(n)), made)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(made) - made, made) + first[doc]
+    width = np.minimum(n, k)[doc]
+    s = width.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for j in range(k):
+        more = j < width
+        s[more] = ((s[more] ^ (s[more] >> np.uint64(29))) + h[start[more] + j]) * np.uint64(0xBF58476D1CE4E5B9)
+    s = (s ^ (s >> np.uint64(32))).view(np.int64)
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
+    return s[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(n)))).astype(np.int32)
+
+
+def _by_text(texts: DataFrame, k: int, schema: str, columns: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """doc_id and what columns gives for the shingles of some texts and their bounds; texts without a word are left out."""
+    names = ["doc_id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column(1), ""))
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lists = pc.split_pattern(part.column(1), " ")
-                n = pc.list_value_length(lists).to_numpy().astype(np.int64)
-                words = lists.flatten().dictionary_encode()
-                h = pd.util.hash_array(np.array(words.dictionary.to_pylist(), dtype=object), categorize=False)[words.indices.to_numpy()]
-                first = np.cumsum(n) - n
-                made = np.maximum(n - k + 1, 1)  # a shorter text is one shingle
-                doc = np.repeat(np.arange(len(n)), made)
-                start = np.arange(len(doc)) - np.repeat(np.cumsum(made) - made, made) + first[doc]
-                width = np.minimum(n, k)[doc]
-                s = width.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for j in range(k):
-                    more = j < width
-                    s[more] = ((s[more] ^ (s[more] >> np.uint64(29))) + h[start[more] + j]) * np.uint64(0xBF58476D1CE4E5B9)
-                s = (s ^ (s >> np.uint64(32))).view(np.int64)
-                order = np.lexsort((s, doc))
-                s, doc = s[order], doc[order]
-                new = np.ones(len(s), bool)
-                new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
-                s, offsets = s[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(n)))).astype(np.int32)
-                sets = [hashlib.blake2b(s[i:j].tobytes(), digest_size=16).digest() for i, j in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s)), pa.array(sets, pa.binary())], ["doc_id", "s", "set"])
-
-    kind = normal.schema["doc_id"].dataType.simpleString()
-    return normal.mapInArrow(run, f"doc_id {kind}, s array<bigint>, set binary").checkpoint()
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns(*_hashed(part.column(1), k))], names)
+
+    return texts.select("doc_id", "t").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
+def shingle_sets(texts: DataFrame, k: int = config.SHINGLE_WORDS) -> DataFrame:
+    """doc_id and s, its distinct shingles as sorted 64-bit hashes; texts without a word are left out."""
+    return _by_text(texts, k, "s array<bigint>", lambda s, at: [pa.ListArray.from_arrays(pa.array(at), pa.array(s))])
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A matrix as one list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]).astype(np.int32)), pa.array(rows.ravel()))
+
+
+def _about(s: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """For each set a 128-bit hash of the whole, its size, and which of 1024 bins hold an odd number of its shingles."""
+    sets = [hashlib.blake2b(s[i:j].tobytes(), digest_size=16).digest() for i, j in zip(at, at[1:], strict=False)]
+    doc = np.repeat(np.arange(len(sets)), np.diff(at))
+    odd = np.bincount(doc * 1024 + (s.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=len(sets) * 1024).reshape(-1, 1024) & 1
+    return [pa.array(sets, pa.binary()), pa.array(np.diff(at).astype(np.int32)), _fixed(np.packbits(odd.astype(np.uint8), axis=1).view(np.int64))]
+
+
+_ABOUT = "set binary, n int, odd array<bigint>"
+
+
+def frequent_shingles(texts: DataFrame, k: int, most: int, least: int = 32, held: int = 1 << 22) -> list[int]:
+    """The hashes of up to `most` shingles that many documents share, for ordering alone.
+
+    A task counts in its own documents, about `held` shingles at once and equal texts once, and only what it has met twice goes on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, seen = [], set()
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(kept) if kept else np.array([], np.int64), return_counts=True)
+            kept.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+
+        for batch in batches:
+            texts = []
+            for t in batch.column(0).to_pylist():
+                own = hash(t)
+                if t and own not in seen:
+                    seen.add(own)
+                    texts.append(t)
+            for at in range(0, len(texts), 1024):
+                kept.append(_hashed(pa.array(texts[at : at + 1024], pa.string()), k)[0])
+                if sum(map(len, kept)) > held:
+                    yield counted()
+        yield counted()
+
+    counts = texts.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return [r[0] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()]
 
 
 def blocked_pairs(rows: DataFrame, key: str, node: str, block: int = 2000) -> DataFrame:
@@ -62,8 +124,9 @@ def blocked_pairs(rows: DataFrame, key: str, node: str, block: int = 2000) -> Da
     very many nodes spreads over many tasks; no pair is left out.
     """
     rest = [c for c in rows.columns if c not in (key, node)]
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks")).where("__blocks > 1")
-    dealt = rows.join(sizes, key, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
+    # most keys have one node, hence no pair: only the others go on
+    sizes = rows.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key, F.ceil(F.col("__n") / block).cast("int").alias("__blocks"))
+    dealt = rows.join(sizes, key)
     own = F.pmod(F.xxhash64(node), F.col("__blocks")).cast("int")
     dealt = dealt.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     dealt = dealt.withColumn("__low", F.least("__own", "__other")).withColumn("__high", F.greatest("__own", "__other"))
@@ -75,11 +138,16 @@ def blocked_pairs(rows: DataFrame, key: str, node: str, block: int = 2000) -> Da
     return met.select("a", "b", *[f"{x}_{c}" for x in "ab" for c in rest])
 
 
-def shingle_classes(docs: DataFrame, key: str, text: str, k: int = config.SHINGLE_WORDS) -> tuple[DataFrame, DataFrame]:
-    """nodes (doc_id, s): the smallest id of each distinct shingle set; members (doc_id, rep): every document with shingles and its node."""
-    sets = shingle_sets(docs, key, text, k)
-    nodes = sets.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s")).checkpoint()  # copies merge before the exchange
-    return nodes.select(F.col("rep").alias("doc_id"), "s"), sets.select("doc_id", "set").join(nodes.select("set", "rep"), "set").select("doc_id", "rep")
+def shingle_classes(about: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """nodes: the smallest id of each distinct shingle set, with the set's other columns; members (doc_id, rep): every document with shingles and its node.
+
+    about: doc_id, set and columns that follow from the set. The sets themselves do not move.
+    """
+    rows = scratch.save(about, "about")
+    rest = [c for c in rows.columns if c not in ("doc_id", "set")]
+    # copies merge before the exchange
+    nodes = scratch.save(rows.groupBy("set").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in rest]), "nodes")
+    return nodes, rows.select("doc_id", "set").join(nodes.select("set", F.col("doc_id").alias("rep")), "set").select("doc_id", "rep")
 
 
 def near_duplicate_pairs(docs: DataFrame, key: str, text: str, threshold: float = config.NEAR_DUPLICATE_THRESHOLD, k: int = config.SHINGLE_WORDS, most_frequent: int = 4096) -> DataFrame:
@@ -92,13 +160,39 @@ def near_duplicate_pairs(docs: DataFrame, key: str, text: str, threshold: float
     The order is that of the hashes, with the most_frequent shingles that many documents share last, so that
     these seldom become keys; only the prefixes move.
     """
-    nodes, members = shingle_classes(docs, key, text, k)
-    counts = nodes.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 32")
-    late = counts.orderBy(F.desc("df"), "h").limit(most_frequent).agg(F.collect_list("h").alias("late"))  # one row of bounded size
-    ordered = nodes.crossJoin(F.broadcast(late)).select("doc_id", F.size("s").alias("n"), F.concat(F.array_except("s", "late"), F.array_intersect("s", "late")).alias("s"))
-    prefix = ordered.select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("h"))
-    met = blocked_pairs(prefix, "h", "doc_id").where(f"least(a_n, b_n) >= greatest(a_n, b_n) * {threshold} - 1e-9D").select("a", "b").distinct()
-    return verified(met, nodes, threshold).unionByName(_copies(members)).checkpoint()
+    scratch = Scratch(docs.sparkSession, "near")
+    texts = normal_texts(docs, key, text, scratch)
+    late = np.array(frequent_shingles(texts, k, most_frequent), np.int64)  # bounded
+
+    def columns(s: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        n = np.diff(at)
+        doc = np.repeat(np.arange(len(n)), n)
+        s_late = s[np.lexsort((s, np.isin(s, late), doc))]
+        head = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+        prefix = s_late[np.arange(len(s)) - at[:-1][doc] < head[doc]]
+        return [*_about(s, at), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(head)).astype(np.int32)), pa.array(prefix))]
+
+    nodes, members = shingle_classes(_by_text(texts, k, f"{_ABOUT}, prefix array<bigint>", columns), scratch)
+    met = blocked_pairs(nodes.select("doc_id", "n", F.explode("prefix").alias("h")), "h", "doc_id")
+    return _paired(met, nodes, members, texts, threshold, k, scratch)
+
+
+def _paired(met: DataFrame, nodes: DataFrame, members: DataFrame, texts: DataFrame, threshold: float, k: int, scratch: Scratch) -> DataFrame:
+    """Of the pairs (a, b, a_n, b_n) of nodes those at the threshold, and the membership pairs; the scratch tables are deleted.
+
+    Sets whose odd bins differ in d places differ in d shingles at least; what that rules out is not compared. Of the others the
+    sets are made again from their texts.
+    """
+    met = met.where(f"least(a_n, b_n) >= greatest(a_n, b_n) * {threshold} - 1e-9D").select("a", "b").distinct()
+    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}_n"), F.col("odd").alias(f"{x}_odd"))
+    apart = F.aggregate(F.zip_with("a_odd", "b_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (F.col("a_n") + F.col("b_n")) * ((1 - threshold + 1e-9) / (1 + threshold - 1e-9)) + 1e-6
+    left = scratch.save(met.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b"), "candidates")
+    ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = scratch.save(shingle_sets(texts.join(ids, "doc_id", "left_semi"), k), "sets")
+    pairs = verified(left, sets, threshold).unionByName(_copies(members)).checkpoint()
+    scratch.drop()
+    return pairs
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -106,43 +200,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def minhash_signatures(nodes: DataFrame, permutations: int = config.MINHASH_PERMUTATIONS, seed: int = 42) -> DataFrame:
-    """doc_id and its signature: for each of the hash functions x -> (a * x + b) mod 2 ** 64, upper half, the least value over its shingles."""
-    rng = np.random.default_rng(seed)
-    a, b = (rng.integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+def _signatures(s: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row for each set: of each of the hash functions x -> (a * x + b) mod 2 ** 64, upper half, the least value over its shingles."""
+    flat, doc = s.view(np.uint64), np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out = np.full((len(at) - 1, len(a)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for start in range(0, len(flat), 4096):  # all functions of some shingles at once, then the least of each document
+        x, own = flat[start : start + 4096], doc[start : start + 4096]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        least = np.minimum.reduceat(x[:, None] * a + b, first, axis=0)
+        out[own[first]] = np.minimum(out[own[first]], least)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat, n = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(lists).to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), n)
-            out = np.full((batch.num_rows, permutations), np.uint64(0xFFFFFFFFFFFFFFFF))
-            for start in range(0, len(flat), 4096):  # all functions of some shingles at once, then the least of each document
-                x, own = flat[start : start + 4096], doc[start : start + 4096]
-                first = np.flatnonzero(np.diff(own, prepend=-1))
-                least = np.minimum.reduceat(x[:, None] * a + b, first, axis=0)
-                out[own[first]] = np.minimum(out[own[first]], least)
-            signatures = (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            offsets = pa.array(np.arange(0, signatures.size + 1, permutations).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(signatures.ravel()))], ["doc_id", "signature"])
-
-    return nodes.select("doc_id", "s").mapInArrow(run, f"doc_id {nodes.schema['doc_id'].dataType.simpleString()}, signature array<int>")
-
-
-def minhash_pairs(docs: DataFrame, key: str, text: str, threshold: float = config.NEAR_DUPLICATE_THRESHOLD, bands: int = 16, k: int = config.SHINGLE_WORDS, permutations: int = config.MINHASH_PERMUTATIONS) -> DataFrame:
+
+def minhash_pairs(docs: DataFrame, key: str, text: str, threshold: float = config.NEAR_DUPLICATE_THRESHOLD, bands: int = 16, k: int = config.SHINGLE_WORDS, permutations: int = config.MINHASH_PERMUTATIONS, seed: int = 42) -> DataFrame:
     """Pairs (a, b, jaccard) at or above the threshold whose signatures agree in a band; the candidates are verified by their sets.
 
     The faster relation of `near_duplicate_pairs`, with the same classes and membership pairs: a pair that it gives is exact,
-    and it misses one of similarity s with probability (1 - s ** 8) ** 16 for 16 bands of 8, that is 0.0001 at 0.9.
+    and it misses one of similarity s with probability (1 - s ** 8) ** 16, that is 0.0001 at 0.9, for 16 bands of 8.
     """
-    nodes, members = shingle_classes(docs, key, text, k)
-    signed = minhash_signatures(nodes, permutations)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    texts = normal_texts(docs, key, text, scratch)
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+    signed = _by_text(texts, k, f"{_ABOUT}, signature array<int>", lambda s, at: [*_about(s, at), _fixed(_signatures(s, at, a, b))])
     width = permutations // bands
     keys = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * width + 1, width)) for i in range(bands)])
-    sized = nodes.select("doc_id", F.size("s").alias("n"))
-    banded = signed.select("doc_id", F.explode(keys).alias("band")).join(sized, "doc_id").checkpoint()
-    met = blocked_pairs(banded, "band", "doc_id").where(f"least(a_n, b_n) >= greatest(a_n, b_n) * {threshold} - 1e-9D").select("a", "b").distinct()
-    return verified(met, nodes, threshold).unionByName(_copies(members)).checkpoint()
+    nodes, members = shingle_classes(signed.select("doc_id", "set", "n", "odd", keys.alias("bands")), scratch)
+    met = blocked_pairs(nodes.select("doc_id", "n", F.explode("bands").alias("band")), "band", "doc_id")
+    return _paired(met, nodes, members, texts, threshold, k, scratch)
 
 
 def verified(candidates: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:

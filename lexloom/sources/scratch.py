@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -19,3 +19,20 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lexloom-"))
     return f"{root.rstrip('/')}/lexloom/{label}-{uuid.uuid4().hex[:12]}"
+
+
+class Scratch:
+    """Tables of one job in a folder of its own, as compressed Parquet, so that later steps read only the columns they use."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base = spark, shared_folder(spark, label)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df once and return a reader of the written table."""
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self) -> None:
+        """Delete all tables; only when no open result reads them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
