@@ -65,7 +65,8 @@ def clauses(df: DataFrame, key: str | list[str], text: str, child: int = config.
     piece = lambda x, i: F.struct(x["at"].alias("at"), x["label"].alias("label"), F.substring(F.col("__t"), x["at"] + 1, end(i) - x["at"]).alias("piece"))
     parts = cut.select(*keys, F.filter(F.transform("__b", piece), lambda x: x["piece"].rlike(r"\S")).alias("__p"))
     breaks = parts.withColumn("__f", F.transform("__p", lambda x: F.regexp_count(x["piece"], F.lit("\f"))))
-    rows = breaks.select(*keys, "__f", F.posexplode("__p").alias("__i", "__x"))
+    # outer, as the filter that Spark infers for an inner one finds all spans again, below every step
+    rows = breaks.select(*keys, "__f", F.posexplode_outer("__p").alias("__i", "__x")).where("__x IS NOT NULL")
     bare = left(F.col("__x.piece"))
     page = F.aggregate(F.slice("__f", F.lit(1), F.col("__i") + 1), F.lit(1), lambda n, x: n + x)
     rows = rows.select(*keys, (F.col("__i") + 1).alias("para_no"), F.col("__x.label").alias("section_label"), (F.col("__x.at") + F.length("__x.piece") - F.length(bare)).alias("char_start"), F.regexp_replace(bare, r"\s+$", "").alias("chunk_text"), page.alias("page_no"))
@@ -85,15 +86,15 @@ def clause_chunks(df: DataFrame, key: str | list[str], text: str, child: int = c
     keys = [key] if isinstance(key, str) else list(key)
     own = F.concat_ws("-", F.lit("ch"), *[F.col(c).cast("string") for c in keys], F.col("para_no").cast("string"))
     whole = clauses(df, keys, text, child)
-    parents = whole.withColumn("chunk_id", own).withColumn("parent_chunk_id", F.lit(None).cast("string"))
-    cut = parents.where("n_children > 0").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("n_children") - 1)))
-    body = F.substring("chunk_text", F.col("__i") * child + 1, F.lit(child))
-    start = F.col("char_start") + F.col("__i") * child
-    children = cut.select(
-        *[*keys, F.concat("chunk_id", F.lit("-"), F.col("__i").cast("string")).alias("chunk_id"), F.col("chunk_id").alias("parent_chunk_id"), "para_no", "section_label", "page_no"],
-        *[start.alias("char_start"), (start + F.length(body)).alias("char_end"), body.alias("chunk_text"), F.lit(True).alias("bm25_indexed")],
+    # a clause and its slices leave the row together, so that clauses are found once
+    cut = F.when(F.col("n_children") > 0, F.regexp_extract_all("chunk_text", F.lit(f"(?s).{{1,{child}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = whole.select(*keys, own.alias("__own"), "para_no", "section_label", "page_no", "char_start", "bm25_indexed", F.posexplode_outer(F.concat(F.array("chunk_text"), cut)).alias("__i", "chunk_text"))
+    part = F.col("__i") > 0
+    start = F.when(part, F.col("char_start") + (F.col("__i") - 1) * child).otherwise(F.col("char_start"))
+    return rows.select(
+        *[*keys, F.when(part, F.concat("__own", F.lit("-"), (F.col("__i") - 1).cast("string"))).otherwise(F.col("__own")).alias("chunk_id"), F.when(part, F.col("__own")).alias("parent_chunk_id")],
+        *["para_no", "section_label", "page_no", start.alias("char_start"), (start + F.length("chunk_text")).alias("char_end"), "chunk_text", (part | F.col("bm25_indexed")).alias("bm25_indexed")],
     )
-    return parents.select(*children.columns).unionByName(children)
 
 
 def small_to_big(ranked: DataFrame, query: str = "query_id", parent: str = "parent_id", rank: str = "rank", keep: int = config.RERANK_TOP_K) -> DataFrame:

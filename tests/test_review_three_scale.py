@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lexloom.operators import corpus
+from lexloom.operators import chunking, corpus, retrieval, search_index
+from lexloom.plans import catalog
 from lexloom.sources.scratch import Scratch
 
 
@@ -37,3 +39,24 @@ def test_keys_of_one_node_are_left_behind(spark):
     met = corpus.blocked_pairs(rows, "h", "node")
     assert sorted(tuple(r) for r in met.collect()) == [(0, 1), (0, 2), (1, 2)]
     assert "LeftOuter" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clauses_are_found_once(spark):
+    """Clauses and slices of a text come from one pass over its boundaries, and no filter repeats it."""
+    text = "Preamble \U0001f600\nSection 1. " + "ab \U0001f600 " * 200 + "\n(2) WHEREAS short\n\f\nClause 4A. end"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " \n ")], "doc_id long, text string").repartition(2)
+    chunks = chunking.clause_chunks(docs, "doc_id", "text")
+    assert _plan(chunks).count("regexp_replace(__t") == 1 and "Union" not in _plan(chunks)
+    rows = chunks.collect()
+    assert {r["doc_id"] for r in rows} == {1}
+    for r in rows:
+        assert text[r["char_start"] : r["char_end"]] == r["chunk_text"]
+    slices = [r for r in rows if r["parent_chunk_id"]]
+    assert [r["chunk_id"] for r in slices] == [f"ch-1-2-{i}" for i in range(len(slices))] and all(r["bm25_indexed"] and r["parent_chunk_id"] == "ch-1-2" for r in slices)
+    whole = {r["chunk_id"]: r for r in rows if not r["parent_chunk_id"]}
+    assert sorted(whole) == ["ch-1-1", "ch-1-2", "ch-1-3", "ch-1-4"] and [whole[f"ch-1-{i}"]["bm25_indexed"] for i in range(1, 5)] == [True, False, True, True]
+    assert "".join(r["chunk_text"] for r in slices) == whole["ch-1-2"]["chunk_text"] and [whole[f"ch-1-{i}"]["page_no"] for i in range(1, 5)] == [1, 1, 1, 2]
