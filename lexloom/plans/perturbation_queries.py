@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import text as T
 from lexloom.operators import perturb as P
 from lexloom.operators.corpus import hash_split
-from lexloom.sources.tables import table
+from lexloom.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,7 +54,8 @@ def _matches(pattern: str, m: str = "m", gap: str = "g") -> str:
 
 
 def _claims(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.expr(CLAIM).alias("c"))
+    # part is one file of narrow rows, with much work on each
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("k"), F.expr(CLAIM).alias("c"))
 
 
 def _run(spark, sf_dir, kind: str):

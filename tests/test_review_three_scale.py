@@ -60,3 +60,8 @@ def test_clauses_are_found_once(spark):
     whole = {r["chunk_id"]: r for r in rows if not r["parent_chunk_id"]}
     assert sorted(whole) == ["ch-1-1", "ch-1-2", "ch-1-3", "ch-1-4"] and [whole[f"ch-1-{i}"]["bm25_indexed"] for i in range(1, 5)] == [True, False, True, True]
     assert "".join(r["chunk_text"] for r in slices) == whole["ch-1-2"]["chunk_text"] and [whole[f"ch-1-{i}"]["page_no"] for i in range(1, 5)] == [1, 1, 1, 2]
+
+
+def test_claims_of_one_file_are_dealt(spark, tmp_path):
+    spark.range(64).selectExpr("id AS p_partkey", "int(id % 50) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert "RoundRobinPartitioning(16)" in catalog.QUERIES["perturb_claims"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
