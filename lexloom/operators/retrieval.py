@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from lexloom import config
 from lexloom.functions import text as T
 from lexloom.operators import search_index
+from lexloom.sources.scratch import Scratch
 
 
 def scoped(df: DataFrame, scope: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,10 +27,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
     """Okapi BM25: query_id, doc_id, score (6 decimals), rank; ties by doc_id.
 
     With an owner column on both sides a query sees its owner's documents only, statistics included. The texts are read
-    once into posting lists in the checkpoint folder, which statistics and scores read; `search_index.SearchIndex` keeps
+    once into posting lists in the checkpoint folder, of which statistics and scores read their own columns; `search_index.SearchIndex` keeps
     such lists for further batches of queries.
     """
-    postings = search_index.inverted(docs, doc_id, text, owner).checkpoint()
+    postings = Scratch(docs.sparkSession, "bm25").save(search_index.inverted(docs, doc_id, text, owner), "postings")
     return search_index.score(postings, *search_index.sides(postings), queries, query_id, query, k, owner)
 
 
@@ -40,6 +43,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Scores that a task holds at once.
+SCORES_HELD = 1 << 21
+
+
+def _products(q: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The place of some queries and their scores (6 decimals) with all vectors of a block, a few queries at once."""
+    n = max(1, SCORES_HELD // max(1, len(v)))
+    for at in range(0, len(q), n):
+        scores = q[at : at + n] @ v.T
+        yield at, np.round(scores, 6, out=scores)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_TOP_K, query_block: int = 4096, vector_block: int = 65536) -> DataFrame:
     """Flat inner-product search of a stated query set: query_id, doc_id, score (6 decimals), rank; ties by doc_id.
 
@@ -58,8 +73,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEVE_TOP_K
             matrix = lambda t, c: np.array(t[c].combine_chunks().values, np.float64).reshape(t.num_rows, -1)
             ids, q_ids, q = left["doc_id"].to_numpy(), right["query_id"].to_numpy(), matrix(right, "q")
             v = matrix(left, "v")
-            for at in range(0, len(q), 256):
-                scores = np.round(q[at : at + 256] @ v.T, 6)
+            for at, scores in _products(q, v):
                 for i, row in enumerate(scores):
                     cut = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
                     best = cut[np.lexsort((ids[cut], -row[cut]))[:k]]
@@ -92,8 +106,8 @@ def dense_within(vectors: DataFrame, queries: DataFrame, k: int = config.RETRIEV
             return schema.empty_table()
         matrix = lambda t, c: np.array(t[c].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
         v, q, rows, of, scores = matrix(left, "v"), matrix(right, "q"), [], [], []
-        for at in range(0, len(q), 64):
-            for i, row in enumerate(np.round(q[at : at + 64] @ v.T, 6)):
+        for at, scores_at in _products(q, v):
+            for i, row in enumerate(scores_at):
                 # all that tie with the k-th: the final rank settles them by id
                 best = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
                 rows.append(best)

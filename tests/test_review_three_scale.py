@@ -62,6 +62,44 @@ def test_clauses_are_found_once(spark):
     assert "".join(r["chunk_text"] for r in slices) == whole["ch-1-2"]["chunk_text"] and [whole[f"ch-1-{i}"]["page_no"] for i in range(1, 5)] == [1, 1, 1, 2]
 
 
+def test_blocks_of_postings_span_batches(spark, monkeypatch):
+    """A block ends with its documents or words, not with a batch to Python, so a term's list is not cut into many short rows."""
+    docs = spark.range(100).repartition(1).selectExpr("id AS doc_id", "'same words' AS text")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        got = search_index.inverted(docs, "doc_id", "text", block=60).where("term = 'same'").select("n").collect()
+        assert sorted(r[0] for r in got) == [40, 60]
+        monkeypatch.setattr(search_index, "BLOCK_WORDS", 30)
+        assert [r[0] for r in search_index.inverted(docs, "doc_id", "text", block=60).where("term = 'same'").select("n").collect()] == [20] * 5
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_postings_do_not_move_to_be_written(spark, tmp_path, monkeypatch):
+    """An index is written by the tasks that invert its documents."""
+    from pyspark.sql import DataFrame
+
+    dealt = []
+    real = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: dealt.append(a) or real(self, *a))
+    docs = spark.createDataFrame([(i, f"w{i % 7} all") for i in range(50)], "doc_id long, text string")
+    index = search_index.SearchIndex(spark, str(tmp_path / "i"), buckets=4).add(docs, "doc_id", "text")
+    assert not dealt
+    asked = spark.createDataFrame([("q", "w3 all all")], "q string, t string")
+    assert [(r["doc_id"], r["rank"]) for r in index.search(asked, "q", "t", 3).orderBy("rank").collect()] == [(3, 1), (10, 2), (17, 3)]
+    assert isinstance(docs, DataFrame)
+
+
 def test_claims_of_one_file_are_dealt(spark, tmp_path):
     spark.range(64).selectExpr("id AS p_partkey", "int(id % 50) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert "RoundRobinPartitioning(16)" in catalog.QUERIES["perturb_claims"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_held_are_bounded():
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(100, 8)), rng.normal(size=(1 << 16, 8))
+    parts = list(retrieval._products(q, v))
+    assert max(s.size for _, s in parts) <= retrieval.SCORES_HELD and [a for a, _ in parts] == list(range(0, 100, 32))
+    assert np.allclose(np.concatenate([s for _, s in parts]), np.round(q @ v.T, 6), atol=1.1e-6)
