@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.sources.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Scope:
@@ -42,6 +44,7 @@ def requested(ids: Column, corpus: Column) -> Column:
 def searchable(chunks: DataFrame, owner: str, indexed: str = "bm25_indexed") -> DataFrame:
     """An owner's indexed chunks, or all of them where none is indexed. One flag per owner moves, not the chunks."""
     some = chunks.groupBy(F.col(owner).alias("__owner")).agg(F.max(indexed).alias("__some"))
+    some = Scratch(chunks.sparkSession, "scope").save(some, "owners")  # its measured size lets Spark broadcast it
     joined = chunks.join(some, F.col(owner).eqNullSafe(F.col("__owner")))
     return joined.where(F.col(indexed) | ~F.coalesce("__some", F.lit(False))).drop("__owner", "__some")
 

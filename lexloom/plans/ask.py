@@ -11,8 +11,10 @@ from lexloom import config
 from lexloom.functions import text as T
 from lexloom.operators import chunking, claims as C, registry as R, retrieval, scope as S
 from lexloom.plans.text_queries import F4_SQL
+from lexloom.sources.scratch import Scratch
 from lexloom.sources.tables import table
 
+
 def claim(text: Column, passage_ids: Column, citations: Column | None = None) -> Column:
     """A claim as generators give it: struct(text, passage_ids, citations)."""
     none = F.array().cast("array<string>")
@@ -86,12 +88,14 @@ def ask(
     A question whose scope holds no matching slice has no claim and is refused.
     """
     spark = documents.sparkSession
-    chunks = chunking.clause_chunks(documents, ["owner", "doc_id"], "text").select("owner", "chunk_id", "parent_chunk_id", "chunk_text", "bm25_indexed").checkpoint()
+    scratch = Scratch(spark, "ask")
+    chunks = scratch.save(chunking.clause_chunks(documents, ["owner", "doc_id"], "text").select("owner", "chunk_id", "parent_chunk_id", "chunk_text", "bm25_indexed"), "chunks")
     slices = S.searchable(chunks, "owner")
     if encoder:
         ranked = retrieval.hybrid(slices, questions, "chunk_id", "chunk_text", "question_id", "question", "owner", encoder)
     else:
         ranked = retrieval.bm25(slices, questions, "chunk_id", "chunk_text", "question_id", "question", owner="owner")
+    ranked = scratch.save(ranked, "ranked")  # a few rows for each question; by their measured size Spark picks the joins with all chunks
     if reranker:
         texts = ranked.join(slices.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text")), "doc_id").join(questions.select(F.col("question_id").alias("query_id"), "question"), "query_id")
         ranked = retrieval.rerank(texts, reranker(F.col("question"), F.col("text")), config.RETRIEVE_TOP_K, config.RERANK_FLOOR).withColumn("rank", F.col("rerank_rank"))
@@ -99,6 +103,7 @@ def ask(
     clean = F.transform("passages", lambda p: F.struct(p["id"].alias("id"), p["clean"].alias("text")))
     # one answer has a handful of passages and claims; they are written once, so that no generator runs twice
     made = shown.select("question_id", "question", "passages", C.fence(clean).alias("prompt"), generator(F.col("question"), clean).alias("claims")).checkpoint()
+    scratch.drop()
 
     checked = verified(made, verifier).checkpoint()
     law = registry or (R.statutes(spark), R.sections(spark), R.supersession(spark))
