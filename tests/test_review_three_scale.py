@@ -97,6 +97,14 @@ def test_claims_of_one_file_are_dealt(spark, tmp_path):
     assert "RoundRobinPartitioning(16)" in catalog.QUERIES["perturb_claims"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stems_are_made_once(spark, tmp_path):
+    """ROUGE reads stems that were written; its plan has the one Python step of the common subsequence."""
+    rows = [(1, t, "user", x) for t, x in enumerate(["the running dogs", "a dog runs", "dogs ran"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["rouge_stemmed"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and got.count() == 2
+
+
 def test_scores_held_are_bounded():
     rng = np.random.default_rng(1)
     q, v = rng.normal(size=(100, 8)), rng.normal(size=(1 << 16, 8))
